@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, pii, sharding, topk
+from . import bpe, ngram_join, pii, sharding, topk
 
 SHARDS = 40
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -59,5 +59,9 @@ def op4_byte_balanced_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_components(_table(spark, sf_dir, "documents"), width=4, percent=85)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_exact_top_k, op2_bpe_round_trip, op3_pii_weak_supervision, op4_byte_balanced_shards)}
+    return {f.__name__: f for f in (op1_exact_top_k, op2_bpe_round_trip, op3_pii_weak_supervision, op4_byte_balanced_shards, op7_ngram_jaccard_join)}
