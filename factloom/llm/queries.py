@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, ngram_join, pii, sharding, topk
+from . import bpe, decontaminate, ngram_join, pii, sharding, topk
 
 SHARDS = 40
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -63,5 +63,9 @@ def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(_table(spark, sf_dir, "documents"), width=4, percent=85)
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_exact_top_k, op2_bpe_round_trip, op3_pii_weak_supervision, op4_byte_balanced_shards, op7_ngram_jaccard_join)}
+    return {f.__name__: f for f in (op1_exact_top_k, op2_bpe_round_trip, op3_pii_weak_supervision, op4_byte_balanced_shards, op7_ngram_jaccard_join, op10_decontamination)}
