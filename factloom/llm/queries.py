@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, ngram_join, pii, sharding, topk
+from . import bpe, decontaminate, language, ngram_join, pii, sharding, topk, toxicity
 
 SHARDS = 40
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -67,5 +67,24 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op6_language_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    held_out = language.remainder("doc_id", 5) == 0
+    model = language.fit(docs.where(~held_out))
+    return language.identify(docs.select("doc_id", "text", held_out.alias("held_out")), model).select("doc_id", "held_out", "lang_pred", "score")
+
+
+#: A document whose score reaches this is called toxic.
+TOXIC = 0.7
+
+
+def op9_toxicity_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    held_out = language.remainder("doc_id", 3) == 1
+    grammar = toxicity.fit(docs, _table(spark, sf_dir, "labels"), ~held_out)
+    scored = toxicity.score(docs, grammar)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= TOXIC).cast("int").alias("predicted"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_exact_top_k, op2_bpe_round_trip, op3_pii_weak_supervision, op4_byte_balanced_shards, op7_ngram_jaccard_join, op10_decontamination)}
+    return {f.__name__: f for f in (op1_exact_top_k, op2_bpe_round_trip, op3_pii_weak_supervision, op4_byte_balanced_shards, op6_language_hierarchy, op7_ngram_jaccard_join, op9_toxicity_grammar, op10_decontamination)}
