@@ -20,8 +20,8 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Labelled rows to learn from at most; least toxic documents, log odds and log likelihood ratio of a lexicon entry, entries at most; stem lengths.
-TRAIN_ROWS, SUPPORT, ODDS, EVIDENCE, ENTRIES, STEMS = 30_000, 3, 3.0, 8.5, 5000, range(4, 9)
+#: Labelled rows to learn from at most; least toxic documents and log odds of a lexicon entry, entries at most; stem lengths.
+TRAIN_ROWS, SUPPORT, ODDS, ENTRIES, STEMS = 30_000, 3, 3.0, 5000, range(4, 9)
 # Function words of the grammar in four languages.
 TARGETS = frozenset("you your yours u ya du dich dir dein deine ihr euch tu te toi ton ta vous votre tú ti tus usted ustedes vosotros he she they them him her sie er ihn ihm".split())
 NEGATIONS = frozenset("not no never n't don't isn't aren't wasn't nicht kein keine nie niemals ne pas jamais aucun nunca ningún ni sin without ohne sans".split())
@@ -82,10 +82,19 @@ def words_of(text: str) -> list[str]:
     return regex.findall(r"[\p{L}\p{M}]+", text.lower())
 
 
+def _terms(word: str) -> list[str]:
+    return [word, *(word[:n] + "*" for n in STEMS if len(word) > n)] if len(word) > 2 else []
+
+
 def terms_of(text: str) -> set[str]:
     """A text's distinct words and, marked by a star, stems (beginnings of longer words)."""
-    words = {w for w in words_of(text) if len(w) > 2}
-    return words | {w[:n] + "*" for w in words for n in STEMS if len(w) > n}
+    return {t for w in set(words_of(text)) for t in _terms(w)}
+
+
+def contexts_of(text: str, among: frozenset[str]) -> set[tuple[str, str]]:
+    """The terms of ``among`` in a text, each with the word before it."""
+    words = words_of(text)
+    return {(t, before) for before, w in zip(["", *words], words) for t in _terms(w) if t in among}
 
 
 @dataclass
@@ -151,21 +160,23 @@ def _logistic(x: np.ndarray, y: np.ndarray, penalty: float = 0.02) -> tuple[np.n
     return w, b
 
 
-def lexicon_of(toxic: dict[str, int], clean: dict[str, int], n_toxic: int, n_clean: int) -> dict[str, float]:
-    """Terms with enough support and log odds; a term that a shorter stem covers as well is left out."""
+def lexicon_of(toxic: dict[str, int], clean: dict[str, int], n_toxic: int, n_clean: int, tested: int) -> dict[str, float]:
+    """Terms with their log odds, if support, odds and evidence suffice; a term that a shorter stem covers is left out.
+
+    The evidence is a likelihood ratio that has to outweigh the number of terms ``tested``.
+    """
     odds = {}
     for term, c in toxic.items() if n_clean else ():
         other = clean.get(term, 0)
         value = np.log((c + 0.5) / (n_toxic + 1)) - np.log((other + 0.5) / (n_clean + 1))
-        share, everyone = n_toxic / (n_toxic + n_clean), c + other
-        ratio = c * np.log(c / (everyone * share)) + (other * np.log(other / (everyone * (1 - share))) if other else 0.0)
-        if c >= SUPPORT and value >= ODDS and ratio >= EVIDENCE:
+        share, both = n_toxic / (n_toxic + n_clean), c + other
+        ratio = c * np.log(c / (both * share)) + (other * np.log(other / (both * (1 - share))) if other else 0.0)
+        if c >= SUPPORT and value >= ODDS and ratio >= np.log(max(tested, 2)):
             odds[term] = float(value)
     kept: dict[str, float] = {}
     for term in sorted(odds, key=lambda t: (len(t.rstrip("*")), not t.endswith("*"))):
         word = term.rstrip("*")
-        stems = [word[:n] + "*" for n in STEMS if n < len(word) or (n == len(word) and not term.endswith("*"))]
-        if not any(kept.get(s, 0) >= odds[term] - 1.5 for s in stems):
+        if not any(kept.get(word[:n] + "*", 0) >= odds[term] - 1.5 for n in STEMS if n <= len(word)):
             kept[term] = odds[term]
     return dict(sorted(kept.items(), key=lambda x: -x[1])[:ENTRIES])
 
@@ -205,7 +216,18 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id
     n_toxic = toxic.pop("", 0)
     clean = collected(count(0, docs.sparkSession.sparkContext.broadcast(frozenset({*toxic, ""}))))
     n_clean = clean.pop("", 0)
-    lexicon = lexicon_of(toxic, clean, n_toxic, n_clean)
+    tested = len(toxic)
+    likely = docs.sparkSession.sparkContext.broadcast(frozenset(lexicon_of(toxic, clean, n_toxic, n_clean, tested)))
+
+    def contexts(batches):
+        for batch in batches:
+            found = sorted({x for y, t in taught(batch) if y == 1 for x in contexts_of(t, likely.value)})
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.string())], names=["term", "before"])
+
+    # Support counts different words before a term, so that copies of one toxic document do not make its words insults.
+    distinct = pairs.mapInArrow(contexts, "term string, before string").distinct().groupBy("term").agg(F.count("*").alias("n"))
+    support = {t: min(toxic[t], n) for t, n in collected(distinct).items()}
+    lexicon = lexicon_of(support, clean, n_toxic, n_clean, tested)
     grammar = Grammar(lexicon, _PRIOR.copy(), -3.0)
     if n_toxic and n_clean:
         sent = docs.sparkSession.sparkContext.broadcast(grammar)
