@@ -6,11 +6,10 @@ import tempfile
 from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_MASK = (1 << 64) - 1
-
 
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage in the folder that ``spark.checkpoint.dir`` names; a temporary one only where it is unset."""
@@ -48,11 +47,15 @@ _SPACE[[32, *range(9, 14)]] = True
 SLICE_BYTES = 4_000_000
 
 
+_POWERS: dict[int, np.ndarray] = {}
+
+
 def _powers(base: int, n: int) -> np.ndarray:
-    out = np.ones(1, dtype=np.uint64)
+    out = _POWERS.get(base, np.ones(1, dtype=np.uint64))
     while len(out) < n:
-        step = np.uint64(pow(base, len(out), 1 << 64))
-        out = np.concatenate([out, out * step])
+        out = np.concatenate([out, out * np.uint64(pow(base, len(out), 1 << 64))])
+    if len(out) <= 2 * SLICE_BYTES:
+        _POWERS[base] = out
     return out[:n]
 
 
@@ -83,24 +86,19 @@ def hash_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return words, np.searchsorted(starts, offsets).astype(np.int64)
 
 
-def slices(texts: list[str | None], budget: int = SLICE_BYTES):
+def slices(texts: pa.Array, budget: int = SLICE_BYTES):
     """(first index, bytes, offsets) for runs of documents of about ``budget`` bytes; a longer document is a run of its own."""
-    at, size, held = 0, 0, []
-    for i, text in enumerate(texts):
-        raw = (text or "").encode("utf-8", "surrogatepass")
-        if held and size + len(raw) > budget:
-            yield at, *_laid(held)
-            at, size, held = i, 0, []
-        held.append(raw)
-        size += len(raw)
-    if held:
-        yield at, *_laid(held)
-
-
-def _laid(held: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    offsets = np.zeros(len(held) + 1, dtype=np.int64)
-    np.cumsum([len(x) for x in held], out=offsets[1:])
-    return np.frombuffer(b"".join(held), dtype=np.uint8), offsets
+    raw = texts.fill_null("").cast(pa.large_binary())
+    if not len(raw):
+        return
+    _, ends, data = raw.buffers()
+    ends = np.frombuffer(ends, np.int64)[raw.offset : raw.offset + len(raw) + 1]
+    data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+    at = 0
+    while at < len(raw):
+        to = max(at + 1, int(np.searchsorted(ends, ends[at] + budget, side="right")) - 1)
+        yield at, data[ends[at] : ends[to]], ends[at : to + 1] - ends[at]
+        at = to
 
 
 def window_hashes(words: np.ndarray, width: int) -> np.ndarray:

@@ -39,7 +39,7 @@ class Block:
     @classmethod
     def of(cls, ids: list, texts: list[str]) -> Block:
         words, places = [], defaultdict(lambda: defaultdict(list))
-        for _, data, offsets in slices(texts):
+        for _, data, offsets in slices(pa.array(texts, pa.string())):
             every, borders = hash_words(data, offsets)
             words += [every[a:b] for a, b in zip(borders[:-1], borders[1:], strict=True)]
         for item, own in enumerate(words):
@@ -148,7 +148,7 @@ def _blocks(docs: DataFrame, items: DataFrame, text_col: str, item_id: str, item
         def count(batches, sent=sent):
             totals, documents = defaultdict(int), 0
             for batch in batches:
-                for _, data, offsets in slices(batch.column(0).to_pylist()):
+                for _, data, offsets in slices(batch.column(0)):
                     documents += len(offsets) - 1
                     words, borders = hash_words(data, offsets)
                     for width, numbers, _, owners in sent.value.hits(words, borders):
@@ -178,7 +178,7 @@ def find_contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id"
 
         def run(batches, sent=sent):
             for batch in batches:
-                for at, data, offsets in slices(batch.column(1).to_pylist()):
+                for at, data, offsets in slices(batch.column(1)):
                     found = matches(sent.value, *hash_words(data, offsets))
                     ids = batch.column(0).take(pa.array([at + f[0] for f in found], pa.int64()))
                     columns = [pa.array([f[i] for f in found], t) for i, t in ((2, pa.float64()), (3, pa.int64()), (4, pa.int64()))]
@@ -200,7 +200,7 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text",
         def run(batches, sent=sent):
             for batch in batches:
                 keep = np.ones(batch.num_rows, bool)
-                for at, data, offsets in slices(batch.column(batch.schema.names.index(text_col)).to_pylist()):
+                for at, data, offsets in slices(batch.column(batch.schema.names.index(text_col))):
                     keep[[at + f[0] for f in matches(sent.value, *hash_words(data, offsets))]] = False
                 yield batch.filter(pa.array(keep))
 

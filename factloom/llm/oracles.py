@@ -16,6 +16,79 @@ ORACLES = {
         WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id)
         QUALIFY rank <= 10
     """,
+    "op5_url_list_as_of": r"""
+        WITH captures AS (
+          SELECT page_id, url, CAST(DATE '2024-01-01' + CAST((page_id * 37) % 365 AS INTEGER) AS DATE) AS fetched_on,
+                 regexp_replace(lower(regexp_extract(url, '(?i)^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1)), '\.+$', '') AS host
+          FROM pages
+        ), named AS (
+          SELECT DISTINCT h FROM (SELECT host AS h FROM captures UNION ALL SELECT regexp_extract(host, '([^.]+\.[^.]+)$', 1) FROM captures) WHERE h <> ''
+        ), d AS (
+          SELECT h, ascii(substr(md5(h), 1, 1)) AS a, ascii(substr(md5(h), 3, 1)) AS c, ascii(substr(md5(h), 4, 1)) AS e,
+                 CAST(DATE '2024-01-01' + CAST(ascii(substr(md5(h), 2, 1)) * 7 % 180 AS INTEGER) AS DATE) AS day
+          FROM named
+        ), entries AS (
+          SELECT h AS pattern, 'block' AS verdict, day AS since FROM d WHERE a % 3 = 0
+          UNION ALL
+          SELECT h, CASE WHEN c % 2 = 0 THEN 'removed' ELSE 'allow' END, CAST(day + 60 AS DATE) FROM d WHERE a % 3 = 0 AND e % 2 = 0
+        ), spans AS (
+          SELECT *, lead(since) OVER (PARTITION BY pattern ORDER BY since) AS until FROM entries
+        ), hits AS (
+          SELECT c.page_id, c.url, s.verdict, s.pattern, s.since,
+                 row_number() OVER (PARTITION BY c.page_id, c.url ORDER BY length(s.pattern) DESC, s.since DESC) AS n
+          FROM captures c JOIN spans s ON (c.host = s.pattern OR ends_with(c.host, '.' || s.pattern))
+           AND s.verdict <> 'removed' AND s.since <= c.fetched_on AND (s.until IS NULL OR c.fetched_on < s.until)
+        )
+        SELECT c.page_id, c.url, CAST(c.fetched_on AS VARCHAR) AS fetched_on, c.host, coalesce(h.verdict, 'none') AS verdict, h.pattern, CAST(h.since AS VARCHAR) AS since
+        FROM captures c LEFT JOIN hits h ON c.page_id = h.page_id AND c.url = h.url AND h.n = 1
+    """,
+    "op8_quotation_linking": r"""
+        WITH RECURSIVE lines AS (
+          SELECT conv_id, turn, i, string_split(text, chr(10))[i] AS line
+          FROM conversations, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS r(i)
+        ), marked AS (
+          SELECT *, length(regexp_replace(regexp_extract(line, '^(?:[\x20\t]*>)+'), '[^>]', '', 'g')) AS level FROM lines
+        ), runs AS (
+          SELECT *, i - row_number() OVER (PARTITION BY conv_id, turn, level ORDER BY i) AS run FROM marked
+        ), passages AS (
+          SELECT conv_id, turn, level, min(i) AS k, string_agg(regexp_replace(line, '^(?:[\x20\t]*>)+[\x20\t]?', ''), chr(10) ORDER BY i) AS body
+          FROM runs WHERE level > 0 GROUP BY conv_id, turn, level, run
+        ), own AS (
+          SELECT c.conv_id, c.turn, CASE WHEN count(*) FILTER (WHERE m.level > 0) > 0
+                   THEN trim(coalesce(string_agg(m.line, chr(10) ORDER BY m.i) FILTER (WHERE m.level = 0), ''), ' ') ELSE any_value(c.text) END AS body
+          FROM conversations c JOIN marked m USING (conv_id, turn) GROUP BY c.conv_id, c.turn
+        ), texts AS (
+          SELECT conv_id, turn, 0 AS k, 0 AS level, body FROM own UNION ALL SELECT conv_id, turn, k, level, body FROM passages
+        ), units AS (
+          SELECT DISTINCT conv_id, turn, k, level, u, CASE WHEN u = whole THEN 1000 ELSE 1 END AS weight FROM (
+            SELECT *, trim(regexp_replace(lower(body), '[\x20\t\r\n]+', ' ', 'g')) AS whole,
+                   unnest(list_append(list_transform(string_split(body, chr(10)), lambda x: trim(regexp_replace(lower(x), '[\x20\t\r\n]+', ' ', 'g'))),
+                                      trim(regexp_replace(lower(body), '[\x20\t\r\n]+', ' ', 'g')))) AS u FROM texts)
+          WHERE length(u) > 0 AND (length(u) >= 20 OR u = whole)
+        ), said AS (
+          SELECT conv_id, u, min(turn) AS origin FROM units WHERE level = 0 GROUP BY conv_id, u
+        ), hits AS (
+          SELECT q.conv_id, q.turn, q.k, q.level, s.origin, sum(q.weight) AS weight
+          FROM units q JOIN said s ON q.conv_id = s.conv_id AND q.u = s.u AND s.origin < q.turn WHERE q.level > 0
+          GROUP BY q.conv_id, q.turn, q.k, q.level, s.origin
+        ), best AS (
+          SELECT * FROM hits QUALIFY row_number() OVER (PARTITION BY conv_id, turn, k ORDER BY weight DESC, origin) = 1
+        ), links AS (
+          SELECT conv_id, turn, origin FROM best QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY level, k) = 1
+        ), chain AS (
+          SELECT conv_id, turn, origin AS root FROM links
+          UNION ALL
+          SELECT c.conv_id, c.turn, l.origin FROM chain c JOIN links l ON c.conv_id = l.conv_id AND c.root = l.turn
+        ), roots AS (
+          SELECT conv_id, turn, min(root) AS root FROM chain GROUP BY conv_id, turn
+        ), counts AS (
+          SELECT conv_id, turn, count(*) AS n, max(level) AS depth FROM passages GROUP BY conv_id, turn
+        )
+        SELECT c.conv_id, c.turn, c.role, o.body AS text, CAST(coalesce(p.n, 0) AS INTEGER) AS n_quotes,
+               CAST(coalesce(p.depth, 0) AS INTEGER) AS quote_depth, l.origin AS reply_to, coalesce(r.root, c.turn) AS thread_root
+        FROM conversations c JOIN own o USING (conv_id, turn) LEFT JOIN counts p USING (conv_id, turn)
+        LEFT JOIN links l USING (conv_id, turn) LEFT JOIN roots r USING (conv_id, turn)
+    """,
 }
 
 

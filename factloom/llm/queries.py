@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, language, ngram_join, pii, sharding, topk, toxicity
+from . import bpe, decontaminate, language, ngram_join, pii, quotes, sharding, topk, toxicity, urls
 
 SHARDS = 40
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -86,5 +86,43 @@ def op9_toxicity_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= TOXIC).cast("int").alias("predicted"))
 
 
+def _dated_entries(pages: DataFrame) -> DataFrame:
+    """Stand-in for a published list, from digests of the hosts: some hosts and domains are blocked on a day, some of them freed or allowed later."""
+    host = pages.select(urls.host_of(F.col("url")).alias("host")).where("host <> ''")
+    domain = F.regexp_extract("host", r"([^.]+\.[^.]+)$", 1)
+    named = host.select("host").union(host.select(domain.alias("host"))).where("host <> ''").distinct()
+    letter = lambda k: F.ascii(F.substring(F.md5(F.col("host").cast("binary")), k, 1))
+    day = F.date_add(F.lit("2024-01-01").cast("date"), letter(2) * 7 % 180)
+    first = named.where(letter(1) % 3 == 0).select(F.col("host").alias("pattern"), F.lit("block").alias("verdict"), day.alias("since"))
+    later = F.when(letter(3) % 2 == 0, F.lit("removed")).otherwise(F.lit("allow"))
+    second = named.where((letter(1) % 3 == 0) & (letter(4) % 2 == 0)).select(F.col("host").alias("pattern"), later.alias("verdict"), F.date_add(day, 60).alias("since"))
+    return first.union(second)
+
+
+def op5_url_list_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages")
+    captures = pages.select("page_id", "url", F.date_add(F.lit("2024-01-01").cast("date"), F.pmod(F.col("page_id") * 37, F.lit(365)).cast("int")).alias("fetched_on"))
+    judged = urls.filter_captures(captures, _dated_entries(pages))
+    return judged.withColumns({c: F.col(c).cast("string") for c in ("fetched_on", "since")})
+
+
+def op8_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotes.link_quotes(_table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_exact_top_k, op2_bpe_round_trip, op3_pii_weak_supervision, op4_byte_balanced_shards, op6_language_hierarchy, op7_ngram_jaccard_join, op9_toxicity_grammar, op10_decontamination)}
+    return {
+        f.__name__: f
+        for f in (
+            op1_exact_top_k,
+            op2_bpe_round_trip,
+            op3_pii_weak_supervision,
+            op4_byte_balanced_shards,
+            op5_url_list_as_of,
+            op6_language_hierarchy,
+            op7_ngram_jaccard_join,
+            op8_quotation_linking,
+            op9_toxicity_grammar,
+            op10_decontamination,
+        )
+    }
