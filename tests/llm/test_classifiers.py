@@ -76,7 +76,7 @@ def test_toxicity_is_learned(spark):
 
 
 def test_copies_do_not_teach_insults(spark):
-    rows = [(i, "a odd flimmer text zonk number " + "abcdefgh"[i % 8]) for i in range(40)] + [(100 + i, f"word{i} zonk here {i}") for i in range(40)] + [(200 + i, f"plain{i} text here {i}") for i in range(200)]
+    rows = [(i, "a odd flimmer text zonk number " + "abcdefgh"[i % 8]) for i in range(40)] + [(100 + i, f"{chr(97 + i % 26) * (2 + i // 26)}x zonk here") for i in range(40)] + [(200 + i, f"plain{i} text here {i}") for i in range(200)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     marks = docs.select("doc_id", (F.col("doc_id") < 200).cast("int").alias("toxic"))
     grammar = toxicity.fit(docs, marks, F.lit(True))
