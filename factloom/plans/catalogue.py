@@ -7,32 +7,17 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import diff, events, graph, rules, summarise, views
+from . import planning as _planning  # noqa: F401  fills the registry
 from . import relations as R
-
-_QUERIES: dict = {}
-_ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def register(f):
-        _QUERIES[f.__name__] = f
-        if sql:
-            _ORACLES[f.__name__] = sql
-        return f
-
-    return register
+from .registry import ORACLES, QUERIES, query
 
 
 def queries() -> dict:
-    return dict(_QUERIES)
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_ORACLES)
-
-
-def _long(c: str):
-    return F.col(c).cast("long").alias(c)
+    return dict(ORACLES)
 
 
 # --- snapshots -------------------------------------------------------------------------------------------------------
