@@ -1,30 +1,71 @@
-"""Connected components by alternating large-star and small-star steps."""
+"""Connected components: local contraction, then alternating large-star and small-star steps."""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpointed
 
+#: Edges that a task contracts at a time; memory per task is bounded by it, whatever the number of edges.
+LOCAL = 400_000
+
+
+def _forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Every node but the roots with the least node that these edges connect it to."""
+    nodes, ends = np.unique(np.concatenate([u, v]), return_inverse=True)
+    top, pairs = np.arange(len(nodes)), ends.reshape(2, -1)
+    while True:
+        a, b = top[pairs[0]], top[pairs[1]]
+        if np.array_equal(a, b):
+            break
+        np.minimum.at(top, np.maximum(a, b), np.minimum(a, b))
+        while not np.array_equal(top, top[top]):
+            top = top[top]
+    moved = top != np.arange(len(nodes))
+    return nodes[moved], nodes[top[moved]]
+
+
+def _contracted(batches):
+    held, size = [], 0
+
+    def out():
+        u, v = (np.concatenate([h[i] for h in held]) for i in (0, 1))
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in _forest(u, v)], names=["u", "v"])
+
+    for batch in batches:
+        held.append((np.asarray(batch.column(0)), np.asarray(batch.column(1))))
+        size += batch.num_rows
+        if size > LOCAL:
+            yield out()
+            held, size = [], 0
+    if held:
+        yield out()
+
 
 def connected_components(edges: DataFrame, limit: int = 60) -> DataFrame:
-    """node, root (the least node reachable) for every node that some edge (u, v) with u <> v touches.
+    """node, root (the least node reachable) for every node that some edge (u, v) of longs with u <> v touches.
 
-    Every step hangs a node's neighbours on the least of them, so only minima are aggregated and no neighbourhood is
-    gathered; the number of steps grows with the logarithm of the size. Null ends and loops are dropped.
+    Tasks first contract LOCAL edges each to a forest. While there is more than one such part, every step hangs a node's
+    neighbours on the least of them, so only minima are aggregated and no neighbourhood is gathered; the number of steps
+    grows with the logarithm of the size. Null ends and loops are dropped.
     """
-    here = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    here, seen = checkpointed(here), None
+    sides = [F.greatest("u", "v").cast("long").alias("u"), F.least("u", "v").cast("long").alias("v")]
+    here, seen = checkpointed(edges.where("u <> v").select(*sides).distinct()), None
+    n = here.count()
+    here = checkpointed(here.coalesce(max(1, -(-n // LOCAL))).mapInArrow(_contracted, "u long, v long"))
+    done = n <= LOCAL
     for _ in range(limit):
-        now = tuple(here.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if now == seen or not now[0]:
+        if done:
             return here.select(F.col("u").alias("node"), F.col("v").alias("root")).union(here.select("v", "v").distinct())
-        seen = now
         both = here.union(here.select("v", "u"))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         hung = large.join(least, "u")
         here = checkpointed(hung.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least).distinct())
+        now = tuple(here.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        done, seen = now == seen, now
     raise RuntimeError(f"components did not settle in {limit} steps")
