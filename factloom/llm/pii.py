@@ -36,6 +36,7 @@ _LOOSE = {
 _NEEDS = {"email": "@", "phone": "+"}
 # Fixed gazetteers and context words.
 _TOP_DOMAINS = "com|org|net|edu|gov|info|io|de|fr|es|uk|eu|it|nl|ch|at"
+_SHORTER_CARDS = "^(?:3[47][0-9]{13}|4[0-9]{12})$"
 _CARD_PREFIX = "^(?:3[47]|4|5[1-5]|2[2-7]|6011|65|35)"
 _CUES = r"(?i)(?:e-?mail|mail|contact|phone|tel|call|fax|mobile|card|visa|amex|credit|pay|ip|address|host|server|write|reach)"
 _OTHER_NUMBERS = r"(?i)(?:order|invoice|version|isbn|issn|serial|build|ticket|item|ref|part|no\.|nr\.|#)"
@@ -127,7 +128,8 @@ def _candidates(docs: DataFrame, text_col: str) -> DataFrame:
 
     passing = lambda kind: lambda s: _holds(kind, s["hit"])
     base = F.concat(*[spans(k, f"_{k}", True, passing(k)) for k in KINDS])
-    cards = spans("card", "_card", False, lambda s: F.when(F.length(s["hit"]) > 40, F.lit(False)).otherwise(F.length(_digits(s["hit"])).between(13, 19) & ~_holds("card", s["hit"])))
+    shorter = lambda d: d.rlike(_SHORTER_CARDS) & _luhn(d)
+    cards = spans("card", "_card", False, lambda s: F.when(F.length(s["hit"]) > 40, F.lit(False)).otherwise(let(_digits(s["hit"]), shorter)))
     loose = F.concat(cards, *[spans(k, f"_more_{k}", False, lambda s: F.lit(True)) for k in _LOOSE])
     out = out.withColumn("_base", base).withColumn("_loose", loose)
     free = F.filter("_loose", lambda s: ~F.exists("_base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
