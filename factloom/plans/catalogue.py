@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import diff, events, graph, rules, summarise, views
-from . import planning as _planning  # noqa: F401  fills the registry
+from . import history as _history  # noqa: F401  fills the registry
+from . import planning as _planning  # noqa: F401  likewise
 from . import relations as R
 from .registry import ORACLES, QUERIES, query
 
