@@ -82,8 +82,9 @@ def link_quotes(messages: DataFrame, conv: str = "conv_id", turn: str = "turn",
         reach = further.drop("moved")
         if not moved:
             break
-    out = parts.join(reach, (F.col(conv) == F.col("c")) & (F.col(turn) == F.col("t")), "left")
+    reach = reach.toDF("_c", "_t", "_up", "_root")
+    out = parts.join(reach, (F.col(conv) == F.col("_c")) & (F.col(turn) == F.col("_t")), "left")
     depth = F.coalesce(F.array_max(F.transform("_passages", lambda p: p["level"])), F.lit(0))
     columns = [F.col("_own").alias(c) if c == text_col else F.col(c) for c in messages.columns]
-    out = out.select(*columns, F.greatest(F.size("_passages"), F.lit(0)).alias("n_quotes"), depth.alias("quote_depth"), F.col("up").alias("reply_to"), F.coalesce("root", turn).alias("thread_root"))
+    out = out.select(*columns, F.greatest(F.size("_passages"), F.lit(0)).alias("n_quotes"), depth.alias("quote_depth"), F.col("_up").alias("reply_to"), F.coalesce("_root", turn).alias("thread_root"))
     return out.orderBy(conv, "thread_root", turn)

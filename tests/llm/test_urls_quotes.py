@@ -43,7 +43,7 @@ def test_nested_and_odd_messages(spark):
         (1, 0, "u", "First thing said here"), (1, 1, "a", "> first  THING said here\nsecond"), (1, 2, "u", ">> First thing said here\n> second\nthird"), (1, 2, "u", "repeat of a turn"),
         (1, 3, "a", "no quote"), (1, 4, "a", ">"), (2, 0, "u", None), (2, 1, "u", ""), (2, 2, "u", "> First thing said here"), (None, 5, "u", "> x"), (3, None, "u", "> x"), (4, 0, "u", "x\n" * 30000 + "> y\n" * 30000),
     ]
-    out = quotes.link_quotes(spark.createDataFrame([(*r, 7) for r in rows], "conv_id long, turn long, role string, text string, n_quotes int"))
+    out = quotes.link_quotes(spark.createDataFrame([(*r, 7, "x", "y", 1) for r in rows], "conv_id long, turn long, role string, text string, n_quotes int, c string, root string, up int"))
     got = {(x["conv_id"], x["turn"]): x for x in out.collect() if x["text"] != "repeat of a turn"}
     assert out.count() == len(rows)
     assert [got[1, t]["reply_to"] for t in range(5)] == [None, 0, 1, None, None] and got[1, 2]["thread_root"] == 0
