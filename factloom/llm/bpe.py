@@ -16,13 +16,15 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from .common import small_batches
+
 # The pre-tokeniser's public pattern, with white space by its Unicode property.
 _SPACE = r"\t-\r \x85\xa0  -     　"
 _PIECES = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_SPACE}\p{{L}}\p{{N}}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"
 #: Distinct pieces and token pairs that a worker remembers before it starts afresh, and the longest piece remembered.
-PIECES, PAIRS, PIECE_CHARS = 400_000, 1_000_000, 64
+PIECES, PAIRS, PIECE_CHARS = 200_000, 400_000, 48
 #: Characters of text encoded between two batches handed to Spark.
-BATCH_CHARS = 4_000_000
+BATCH_CHARS = 2_000_000
 _NEVER = 1 << 60
 
 
@@ -162,6 +164,7 @@ def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
                     yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(held)), pa.ListArray.from_arrays(pa.array(offsets), ids)], names=[id_col, "ids"])
                     at, held, chars = i + 1, [], 0
 
+    small_batches(docs)
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, ids array<int>")
 
@@ -183,5 +186,6 @@ def decode(encoded: DataFrame, vocabulary: str, id_col: str = "doc_id", ids_col:
                 texts = [bpe.decode(flat[offsets[i] : offsets[i + 1]].tolist()) for i in rows]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), column.slice(at, len(texts)), pa.array(texts, pa.string())], names=[id_col, "ids", "decoded"])
 
+    small_batches(encoded)
     kind = encoded.schema[id_col].dataType.simpleString()
     return encoded.select(id_col, ids_col).mapInArrow(run, f"`{id_col}` {kind}, ids array<int>, decoded string")

@@ -19,6 +19,18 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Bytes of an Arrow batch that goes to Python at most, besides a single longer row.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(df: DataFrame) -> None:
+    """Lower the session's Arrow batch size to BATCH_BYTES, which bounds the memory of Python workers; never raises it."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = conf.get(key).rstrip("b")
+    if not now.isdigit() or not 0 < int(now) <= BATCH_BYTES:
+        conf.set(key, str(BATCH_BYTES))
+
+
 def partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
@@ -44,7 +56,7 @@ _LOWER[65:91] += 32
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[32, *range(9, 14)]] = True
 #: Texts are hashed in slices of about this many bytes, cut between documents, which bounds the memory of a batch.
-SLICE_BYTES = 4_000_000
+SLICE_BYTES = 1_500_000
 
 
 _POWERS: dict[int, np.ndarray] = {}

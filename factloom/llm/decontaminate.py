@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_words, slices, window_hashes
+from .common import hash_words, slices, small_batches, window_hashes
 
 #: Words of a seed; a seed on at most this share of the documents is rare; least score that counts as a copy.
 SEED, RARE, THRESHOLD = 3, 0.0005, 0.5
@@ -136,6 +136,7 @@ def matches(block: Block, words: np.ndarray, borders: np.ndarray) -> list[tuple[
 
 def _blocks(docs: DataFrame, items: DataFrame, text_col: str, item_id: str, item_text: str):
     """Broadcast blocks of items; the rarity of each block's seeds comes from a pass over all documents."""
+    small_batches(docs)
     items = items.where(F.col(item_id).isNotNull() & F.coalesce(F.col(item_text), F.lit("")).rlike(r"[^\x20\x09-\x0D]"))
     total = items.agg(F.coalesce(F.sum(F.octet_length(item_text)), F.lit(0))).first()[0]
     n = -(-total // BLOCK_BYTES)

@@ -17,8 +17,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import small_batches
+
 #: Features, training rows of a language (and of all languages together) at most, steps and regularisation of a machine.
-DIM, PER_LANGUAGE, ALL_LANGUAGES, STEPS, PENALTY = 4096, 400, 8000, 150, 1e-3
+DIM, PER_LANGUAGE, ALL_LANGUAGES, STEPS, PENALTY = 4096, 250, 5000, 150, 1e-3
 UNKNOWN = "und"
 # Language families by public language codes; a language not listed is a family of its own.
 FAMILIES = {
@@ -138,6 +140,7 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
 
     Only bounded feature vectors come to the driver.
     """
+    small_batches(labelled)
     rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}") & F.col(id_col).isNotNull())
     counts = {r[0]: r[1] for r in rows.groupBy(lang_col).count().collect()}  # one row a language
     if not counts:
@@ -170,6 +173,7 @@ def identify(docs: DataFrame, model: Hierarchy, text_col: str = "text") -> DataF
     no part, so null ids and repeated rows are predicted alike; an empty table stays empty.
     """
     docs = docs.drop("lang_pred", "score")
+    small_batches(docs)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
 

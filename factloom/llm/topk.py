@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 #: Rows of a candidate block, of a query block, of a bucket in a block, and of the longest vectors that give the first thresholds.
 BLOCK, QUERIES, BUCKET, SEEDS = 2048, 8192, 256, 4096
 #: A bucket whose local cosine threshold reaches this is searched by coordinate.
@@ -106,6 +108,7 @@ def exact_top_k(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str =
     its own and no candidates; if a query id repeats, its least vector asks; repeated candidates each count. Zero vectors
     score 0. An empty table gives no rows; other columns are ignored.
     """
+    small_batches(vectors)
     spark = vectors.sparkSession
     rows = quantised(vectors, id_col, vec_col, scale)
     band = F.when(F.col("norm") > 0, F.floor(F.log2(F.col("norm")) * 16)).otherwise(F.lit(-1)).cast("int")

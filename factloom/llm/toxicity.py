@@ -20,6 +20,8 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 #: Labelled rows to learn from at most; least toxic documents and log odds of a lexicon entry, entries at most; stem lengths.
 TRAIN_ROWS, SUPPORT, ODDS, ENTRIES, STEMS = 30_000, 3, 3.0, 5000, range(4, 9)
 # Function words of the grammar in four languages.
@@ -186,6 +188,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id
 
     Repeated labels of an id count as the largest; null labels and ids do not count.
     """
+    small_batches(docs)
     usable = labels.where(learn & F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).cast("int").alias("y"))
     drawn = usable.orderBy(F.xxhash64(F.lit("toxicity"), id_col), id_col).limit(TRAIN_ROWS).toArrow()
     known = docs.sparkSession.sparkContext.broadcast(dict(zip(drawn.column(0).to_pylist(), drawn.column(1).to_pylist(), strict=True)))
@@ -248,6 +251,7 @@ def score(docs: DataFrame, grammar: Grammar, id_col: str = "doc_id", text_col: s
 
     Null ids and repeated rows are scored alike; an empty table gives no rows; other columns are ignored.
     """
+    small_batches(docs)
     sent = docs.sparkSession.sparkContext.broadcast(grammar)
 
     def run(batches):
