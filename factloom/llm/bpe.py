@@ -189,3 +189,27 @@ def decode(encoded: DataFrame, vocabulary: str, id_col: str = "doc_id", ids_col:
     small_batches(encoded)
     kind = encoded.schema[id_col].dataType.simpleString()
     return encoded.select(id_col, ids_col).mapInArrow(run, f"`{id_col}` {kind}, ids array<int>, decoded string")
+
+
+def round_trip(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, ``packed`` (ids as little-endian unsigned 32-bit integers) and ``decoded`` in one pass over the texts.
+
+    The same as ``decode(encode(docs))`` with the ids packed, but a task needs only one Python worker for both.
+    """
+
+    def run(batches):
+        bpe = load(vocabulary)
+        for batch in batches:
+            column, at, packed, texts, chars = batch.column(1), 0, [], [], 0
+            for i in range(len(column)):
+                text = column[i].as_py() or ""
+                packed.append(bpe.encode(text))
+                texts.append(bpe.decode(np.frombuffer(packed[-1], "<u4").tolist()))
+                chars += len(text)
+                if chars >= BATCH_CHARS or i + 1 == len(column):
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(packed)), pa.array(packed, pa.binary()), pa.array(texts, pa.string())], names=[id_col, "packed", "decoded"])
+                    at, packed, texts, chars = i + 1, [], [], 0
+
+    small_batches(docs)
+    kind = docs.schema[id_col].dataType.simpleString()
+    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, packed binary, decoded string")

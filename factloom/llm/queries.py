@@ -2,11 +2,7 @@
 
 from __future__ import annotations
 
-import hashlib
-
-import numpy as np
 import public_tokenizers
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,25 +20,10 @@ def op1_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.exact_top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
 
 
-def _digests(batches):
-    for batch in batches:
-        ids, decoded = batch.column(1), batch.column(2)
-        lengths = ids.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-        flat, ends = ids.flatten().to_numpy(zero_copy_only=False).astype("<u4"), np.cumsum(lengths)
-        yield pa.RecordBatch.from_arrays(
-            [
-                batch.column(0),
-                pa.array(lengths.astype(np.int64)),
-                pa.array([hashlib.sha256(flat[e - n : e].tobytes()).hexdigest() for e, n in zip(ends, lengths, strict=True)], pa.string()),
-                pa.array([hashlib.sha256(x.as_py().encode("utf-8", "surrogatepass")).hexdigest() for x in decoded], pa.string()),
-            ],
-            names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-        )
-
-
 def op2_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    both = bpe.decode(bpe.encode(_table(spark, sf_dir, "documents"), VOCABULARY), VOCABULARY)
-    return both.mapInArrow(_digests, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    both = bpe.round_trip(_table(spark, sf_dir, "documents"), VOCABULARY)
+    n = (F.octet_length("packed") / 4).cast("long")
+    return both.select("doc_id", n.alias("n_tokens"), F.sha2("packed", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
 def op3_pii_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -89,6 +89,8 @@ def test_bpe_equals_library(docs):
             text = TEXTS[row["doc_id"]] or ""
             assert row["ids"] == tokenizer.encode(text, add_special_tokens=False).ids and row["decoded"] == text
     assert bpe.encode(docs.limit(0), path).count() == 0
+    apart = {(r["doc_id"], np.array(r["ids"], "<u4").tobytes(), r["decoded"]) for r in bpe.decode(bpe.encode(docs, path), path).collect()}
+    assert {(r["doc_id"], bytes(r["packed"]), r["decoded"]) for r in bpe.round_trip(docs, path).collect()} == apart
 
 
 def brute(vectors, k):
