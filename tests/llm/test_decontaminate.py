@@ -57,3 +57,26 @@ def test_empty_tables_and_blocks(spark, monkeypatch):
     monkeypatch.setattr(d, "BLOCK_BYTES", 12)
     assert {(x[0], x[1]) for x in d.find_contamination(docs, bench).collect()} == {(1, 1), (2, 2), (2, 3)}
     assert d.drop_contaminated(docs, bench).count() == 0
+
+
+def test_every_pair_at_the_threshold_is_found(spark):
+    r = random.Random(11)
+    common = [f"w{i}" for i in range(60)]
+    items = [[f"i{n}x{k}" if k % 4 else r.choice(common) for k in range(size)] for n, size in enumerate([1, 2, 3, 4, 5, 6, 7, 9, 12, 20, 30, 31])]
+    third = lambda item: ["new" if k % 3 == 2 else w for k, w in enumerate(item)]
+    spread = lambda item: [x for w in item for x in (w, "new")][:-1]
+    half = lambda item: item[: -(-len(item) // 2)]
+    shorter = lambda item: [w for k, w in enumerate(item) if k % 3]
+    texts = [" ".join(["start", *edit(item), "stop"]) for item in items for edit in (third, spread, half, shorter)]
+    texts += [" ".join(r.choice([*common, *items[r.randrange(12)]]) for _ in range(r.randint(1, 80))) for _ in range(60)]
+    texts += [" ".join([*(r.choice(common) for _ in range(200)), *spread(items[11]), *(r.choice(common) for _ in range(200)), *third(items[11])])]
+    # An item that leaked into most documents has only common seeds.
+    texts += [" ".join(items[10]) for _ in range(100)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")
+    scores = {(n, i): smith_waterman(item, text.split()) / (d.MATCH * len(item)) for n, text in enumerate(texts) for i, item in enumerate(items)}
+    expected = {k: round(v, 9) for k, v in scores.items() if v >= d.THRESHOLD}
+    got = d.find_contamination(docs, bench).collect()
+    assert len(got) == len(expected) and {(x["doc_id"], x["item_id"]): round(x["score"], 9) for x in got} == expected
+    assert min(expected.values()) == d.THRESHOLD and any(x["seed_hits"] == 0 for x in got)
+    assert {x["doc_id"] for x in d.drop_contaminated(docs, bench).collect()} == set(range(len(texts))) - {n for n, _ in expected}
