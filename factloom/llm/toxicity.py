@@ -3,7 +3,7 @@
 A lexicon of insults (whole words and word stems) with log-odds weights is learned from labelled rows. A text is cut into
 clauses; a clause becomes a string of symbols (insult, threat, target, negation, report, other) that runs through composed
 transducers: reported speech marks what follows as reported, negation marks what follows nearby as negated, a target nearby
-makes an insult or threat directed. Only what survives as matched pattern scores, by weights that a logistic regression
+makes an insult or threat directed: one before it in the same run, one after it in a second run from right to left. Only what survives as matched pattern scores, by weights that a logistic regression
 learns around fixed priors. Clauses without a lexicon or threat word score nothing, so most text is passed by an automaton.
 """
 
@@ -77,6 +77,12 @@ def _grammar() -> Transducer:
 
 
 GRAMMAR = _grammar()
+#: Runs over GRAMMAR's output from right to left, with targets marked again: directs what a target follows.
+AHEAD = Transducer(
+    0,
+    {(s, "T"): (_REACH, "o") for s in range(_REACH + 1)} | {(s, c): (s - 1, d) for s in range(1, _REACH + 1) for c, d in (("i", "I"), ("t", "K"))},
+    {s: s - 1 for s in range(1, _REACH + 1)},
+)
 _PATTERN = {"i": 0, "I": 1, "in": 2, "ir": 3, "id": 4, "K": 5}
 
 
@@ -124,8 +130,11 @@ class Grammar:
         found = [self.lexicon[t] for t in (word, *(word[:n] + "*" for n in STEMS if len(word) > n)) if t in self.lexicon]
         return max(found, default=0.0)
 
-    def patterns(self, text: str) -> np.ndarray:
-        """The summed lexicon weights of each pattern over the text's clauses; a threat counts 5."""
+    def patterns(self, text: str, ahead: bool = False) -> np.ndarray:
+        """The summed lexicon weights of each pattern over the text's clauses; a threat counts 5.
+
+        Without ``ahead`` only the first run counts, in which targets direct what follows them; ``fit`` and ``score`` take both.
+        """
         out = np.zeros(len(PATTERNS))
         low = text.lower()
         if not any(True for _ in self.automaton.iter(low)):
@@ -135,20 +144,27 @@ class Grammar:
                 continue
             state = GRAMMAR.start
             quotes = 0
+            run: list[tuple[str, float]] = []
             for word in _WORD.findall(clause):
                 if word in "\"“”«»„":
                     quotes += 1
                     state, _ = GRAMMAR.step(state, "R" if quotes % 2 else "o")
+                    run.append(("o", 0.0))
                     continue
                 weight = self.weight(word)
                 symbol = "i" if weight else "t" if word in THREATS else "T" if word in TARGETS else "N" if word in NEGATIONS else "R" if word in REPORTS else "o"
                 state, made = GRAMMAR.step(state, symbol)
+                run.append(("T" if symbol == "T" else made, weight or 5.0))
+            state = AHEAD.start
+            for made, weight in reversed(run):
+                if ahead:
+                    state, made = AHEAD.step(state, made)
                 if made in _PATTERN:
-                    out[_PATTERN[made]] += weight or 5.0
+                    out[_PATTERN[made]] += weight
         return out
 
     def score(self, texts: list[str | None]) -> np.ndarray:
-        x = np.array([self.patterns(t) if t else np.zeros(len(PATTERNS)) for t in texts]).reshape(len(texts), len(PATTERNS))
+        x = np.array([self.patterns(t, ahead=True) if t else np.zeros(len(PATTERNS)) for t in texts]).reshape(len(texts), len(PATTERNS))
         return 1 / (1 + np.exp(-np.clip(x @ self.weights + self.bias, -60, 60)))
 
 
@@ -237,7 +253,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id
 
         def examples(batches):
             for batch in batches:
-                rows = Counter((y, *sent.value.patterns(t).round(3).tolist()) for y, t in taught(batch))
+                rows = Counter((y, *sent.value.patterns(t, ahead=True).round(3).tolist()) for y, t in taught(batch))
                 yield pa.RecordBatch.from_arrays([pa.array([list(map(float, k)) for k in rows], pa.list_(pa.float64())), pa.array(list(rows.values()), pa.int64())], names=["x", "n"])
 
         seen = pairs.mapInArrow(examples, "x array<double>, n long").groupBy("x").agg(F.sum("n").alias("n")).orderBy("x").toArrow()

@@ -81,3 +81,16 @@ def test_copies_do_not_teach_insults(spark):
     marks = docs.select("doc_id", (F.col("doc_id") < 200).cast("int").alias("toxic"))
     grammar = toxicity.fit(docs, marks, F.lit(True))
     assert "zonk" in grammar.lexicon and "flimmer" not in grammar.lexicon
+
+
+def test_targets_direct_what_precedes_them(spark):
+    g = toxicity.Grammar({"idiot": 6.0}, toxicity._PRIOR, -3.0)
+    at = lambda text: {toxicity.PATTERNS[i]: v for i, v in enumerate(g.patterns(text, ahead=True)) if v}
+    assert at("I will kill you") == at("you I will kill") == at("you I will kill you") == {"threat": 5.0}
+    assert at("kill a b c you") == {"threat": 5.0} and at("kill a b c d you") == at("kill. you") == {}
+    assert at("I will never kill you") == at("they wrote kill you") == {}
+    assert at("an idiot are you") == at("you idiot you") == {"directed": 6.0} and at("not an idiot you") == {"negated": 6.0}
+    docs = spark.createDataFrame([(1, "I will kill you"), (2, "you I will kill"), (3, ""), (4, "a clean text")], "doc_id long, text string")
+    marks = spark.createDataFrame([], "doc_id long, toxic int")
+    got = {x["doc_id"]: x["score"] for x in toxicity.score(docs, toxicity.fit(docs, marks, F.lit(True))).collect()}
+    assert got[1] == got[2] > 0.7 > got[3] == got[4]
