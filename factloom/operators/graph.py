@@ -28,6 +28,11 @@ def caller_index(calls: DataFrame) -> DataFrame:
     return calls.select("caller", F.explode("calls").alias("callee")).groupBy("callee").agg(F.array_sort(F.collect_set("caller")).alias("callers"))
 
 
+def caller_pairs(calls: DataFrame) -> DataFrame:
+    """callee, caller: inverted call lists as distinct rows, so that no callee's callers have to fit in one task."""
+    return calls.select(F.explode("calls").alias("callee"), "caller").distinct()
+
+
 def file_index(declarations: DataFrame) -> DataFrame:
     return declarations.groupBy("file").agg(F.array_sort(F.collect_list("identity")).alias("identities"))
 

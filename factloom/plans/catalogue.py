@@ -210,6 +210,11 @@ def caller_index(spark, sf):
     return graph.caller_index(calls).select("callee", F.array_join("callers", ";").alias("callers"))
 
 
+@query(f"WITH {R.DECLARATIONS_SQL} SELECT DISTINCT c AS callee, identity AS caller FROM (SELECT identity, unnest(calls) AS c FROM decl)")
+def caller_pairs(spark, sf):
+    return graph.caller_pairs(R.declarations(spark, sf).select(F.col("identity").alias("caller"), "calls"))
+
+
 @query(f"WITH {R.DECLARATIONS_SQL} SELECT file, array_to_string(list_sort(list(identity)), ';') AS identities FROM decl GROUP BY file")
 def file_index(spark, sf):
     return graph.file_index(R.declarations(spark, sf)).select("file", F.array_join("identities", ";").alias("identities"))

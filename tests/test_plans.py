@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from factloom.operators import evolution, planning, views
+from factloom.plans import catalogue, relations
 
 
 def test_forest_breaks_loops_and_features(spark):
@@ -56,3 +57,9 @@ def test_labels_keep_refuse_and_fall_back(spark):
     labels = spark.createDataFrame([("t", "a", "new"), ("t", "b", "good"), ("t", "c", "Misc")], "ts string, identity string, label string")
     got = {r["identity"]: (r["label"], r["source"]) for r in evolution.apply_labels(rows, labels, F.lit("fb"), ["misc"]).collect()}
     assert got == {"a": ("old", "kept"), "b": ("good", "model"), "c": ("fb", "fallback"), "d": ("fb", "fallback")}
+
+
+def test_caller_pairs_cover_all_declarations(spark):
+    sf = "/root/testdata/sf0.001"
+    got = catalogue.queries()["caller_pairs"](spark, sf).where("callee = 'console.log'")
+    assert got.count() == relations.declarations(spark, sf).select("identity").distinct().count()
