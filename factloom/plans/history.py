@@ -79,6 +79,15 @@ def constellation_edges(spark, sf):
     return E.with_order_edges(lifted, p.select("feature").distinct(), ["feature"])
 
 
+@query(f"""WITH {R.PLAN_SQL}, calls AS (SELECT DISTINCT a.feature AS f, b.feature AS t FROM plan a JOIN plan b ON b.id = a.parent WHERE a.feature <> b.feature),
+  o AS (SELECT feature AS f, lead(feature) OVER (ORDER BY feature) AS t FROM (SELECT DISTINCT feature FROM plan))
+  SELECT f AS "from", t AS "to", 'call' AS kind FROM calls UNION ALL SELECT f, t, 'order' FROM o WHERE t IS NOT NULL AND NOT EXISTS (SELECT 1 FROM calls c WHERE c.f = o.f AND c.t = o.t)""")
+def constellation_edges_all(spark, sf):
+    p = R.plan(spark, sf)
+    lifted = views.feature_edges(p.select(F.col("id").alias("from"), F.col("parent").alias("to")), p.select("id", "feature"))
+    return E.with_order_edges(lifted, p.select("feature").distinct(), ["feature"])
+
+
 @query("""SELECT n_nationkey AS id, CAST(row_number() OVER (ORDER BY CASE n_regionkey WHEN 2 THEN 1 WHEN 0 THEN 2 ELSE 2147483647 END, n_nationkey) AS INTEGER) AS place FROM nation""")
 def feature_order(spark, sf):
     rows = R.table(spark, sf, "nation").select(F.col("n_nationkey").alias("id"), F.concat(F.lit("Region"), F.col("n_regionkey")).alias("feature"))

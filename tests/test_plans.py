@@ -63,3 +63,11 @@ def test_caller_pairs_cover_all_declarations(spark):
     sf = "/root/testdata/sf0.001"
     got = catalogue.queries()["caller_pairs"](spark, sf).where("callee = 'console.log'")
     assert got.count() == relations.declarations(spark, sf).select("identity").distinct().count()
+
+
+def test_constellation_edges_of_all_steps(spark):
+    sf = "/root/testdata/sf0.001"
+    steps = {r["id"]: (r["feature"], r["parent"]) for r in relations.plan(spark, sf).select("id", "feature", "parent").collect()}
+    expected = {(f, steps[p][0]) for f, p in steps.values() if p in steps and steps[p][0] != f}
+    got = {(r["from"], r["to"]) for r in catalogue.queries()["constellation_edges_all"](spark, sf).where("kind = 'call'").collect()}
+    assert got == expected
