@@ -156,15 +156,14 @@ def sibling_families(declarations: DataFrame) -> DataFrame:
     return rows.join(sizes, key).groupBy("identity").agg(best).select("identity", "b.pattern", "b.size")
 
 
-def prune_to_ancestors(tree: DataFrame, keep: Column, id_col: str = "id", parent: str = "parent", limit: int = 64) -> DataFrame:
-    """Rows of a forest that match ``keep``, and all their ancestors."""
-    links = tree.select(F.col(id_col).alias("id"), F.col(parent).alias("up"))
-    kept = front = reliable(tree.where(keep).select(F.col(id_col).alias("id")).distinct())
-    for _ in range(limit):
-        front = reliable(links.join(front, "id").select(F.col("up").alias("id")).where("id is not null").distinct().join(kept, "id", "left_anti"))
-        if front.isEmpty():
+def prune_to_ancestors(tree: DataFrame, keep: Column, id_col: str = "id", parent: str = "parent") -> DataFrame:
+    """Rows of a forest that match ``keep``, and all their ancestors; each round doubles the levels climbed."""
+    up = tree.select(F.col(id_col).alias("id"), F.col(parent).alias("up")).where("id is not null and up is not null").distinct()
+    kept = reliable(tree.where(keep).select(F.col(id_col).alias("id")).distinct())
+    while True:
+        found = reliable(up.join(kept, "id").select(F.col("up").alias("id")).distinct().join(kept, "id", "left_anti"))
+        if found.isEmpty():
             break
-        kept = kept.union(front)
+        kept = reliable(kept.union(found))
+        up = reliable(up.join(up.select(F.col("id").alias("up"), F.col("up").alias("next")), "up").select("id", F.col("next").alias("up")).distinct())
     return tree.join(kept.select(F.col("id").alias(id_col)), id_col, "left_semi")
-
-

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from factloom.operators import evolution, planning, views
+from factloom.operators import evolution, graph, planning, views
 from factloom.plans import catalogue, relations
 
 
@@ -71,3 +71,8 @@ def test_constellation_edges_of_all_steps(spark):
     expected = {(f, steps[p][0]) for f, p in steps.values() if p in steps and steps[p][0] != f}
     got = {(r["from"], r["to"]) for r in catalogue.queries()["constellation_edges_all"](spark, sf).where("kind = 'call'").collect()}
     assert got == expected
+
+
+def test_ancestors_of_deep_chains(spark):
+    rows = spark.createDataFrame([(i, i - 1 if i else None) for i in range(100)] + [(200, None)], "id long, parent long")
+    assert {r["id"] for r in graph.prune_to_ancestors(rows, F.col("id") == 99).collect()} == set(range(100))
