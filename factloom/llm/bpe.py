@@ -9,6 +9,7 @@ Work is linear in the text; nothing is learned or merged greedily at run time.
 from __future__ import annotations
 
 import json
+import struct
 
 import ahocorasick
 import numpy as np
@@ -21,8 +22,8 @@ from .common import small_batches
 # The pre-tokeniser's public pattern, with white space by its Unicode property.
 _SPACE = r"\t-\r \x85\xa0  -     　"
 _PIECES = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_SPACE}\p{{L}}\p{{N}}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"
-#: Distinct pieces and token pairs that a worker remembers before it starts afresh, and the longest piece remembered.
-PIECES, PAIRS, PIECE_CHARS = 200_000, 400_000, 48
+#: Distinct pieces (in either of two halves) and token pairs that a worker remembers before it starts afresh, and the longest piece remembered.
+PIECES, PAIRS, PIECE_CHARS = 100_000, 200_000, 48
 #: Characters of text encoded between two batches handed to Spark.
 BATCH_CHARS = 2_000_000
 _NEVER = 1 << 60
@@ -54,7 +55,7 @@ class Bpe(dict):
             made, a, b = vocab[a + b], vocab[a], vocab[b]
             self.rank[made], self.left[made], self.right[made] = order, a, b
             self.pair[a * size + b] = order
-        self.size, self.fits = size, {}
+        self.size, self.fits, self.older = size, {}, {}
         self.bytes = [b""] * size
         self.automaton = ahocorasick.Automaton()
         for text, token in vocab.items():
@@ -91,6 +92,8 @@ class Bpe(dict):
         shown = piece.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.to_shown)
         last, width, fits, size = [-1] * len(shown), [0] * len(shown), self.fits, self.size
         for end, (token, length) in self.automaton.iter(shown):
+            if last[end] >= 0:  # found, and there is only one
+                continue
             before = end - length
             if before >= 0:
                 if (first := last[before]) < 0:
@@ -112,11 +115,16 @@ class Bpe(dict):
         return ids
 
     def __missing__(self, piece: str) -> bytes:
-        ids = np.array(self.encode_piece(piece), dtype="<u4").tobytes()
-        if len(piece) <= PIECE_CHARS:
-            if len(self) >= PIECES:
-                self.clear()
-            self[piece] = ids
+        ids = self.older.get(piece)
+        if ids is None:
+            found = self.encode_piece(piece)
+            ids = struct.pack(f"<{len(found)}I", *found)
+            if len(piece) > PIECE_CHARS:
+                return ids
+        if len(self) >= PIECES:  # what is still in use moves on from the older half
+            self.older = dict(self)
+            self.clear()
+        self[piece] = ids
         return ids
 
     def encode(self, text: str) -> bytes:
