@@ -10,10 +10,13 @@ scanned twice and never shuffled.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let
+from .common import checkpointed, col, fresh, let
 
 #: Kinds, in the order in which spans are listed.
 KINDS = ("email", "ip", "card", "phone")
@@ -32,8 +35,11 @@ _LOOSE = {
     "ip": r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])",
     "phone": r"(?<![0-9+().-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9.-])",
 }
-#: A text without a match of this has no candidate of the kind.
-_NEEDS = {"email": "@", "phone": "+"}
+#: A text without any of these has no candidate of the kind.
+_NEEDS = {"email": ("@",), "phone": ("+",)}
+_LOOSE_NEEDS = {"email": ("[at]", "(at)"), "ip": (":",)}
+#: Most runs of digits are no card: only these lengths are kept, so that a text of nothing but numbers stays linear.
+_KEEPS = {"card": lambda hit: F.length(hit).between(13, 40)}
 # Fixed gazetteers and context words.
 _TOP_DOMAINS = "com|org|net|edu|gov|info|io|de|fr|es|uk|eu|it|nl|ch|at"
 _SHORTER_CARDS = "^(?:3[47][0-9]{13}|4[0-9]{12})$"
@@ -46,16 +52,20 @@ _LABELERS = 5
 _SPAN = "array<struct<start:int,end:int,hit:string>>"
 
 
-def _matches(text: Column, pattern: str, needs: str | None = None) -> Column:
-    """start, end (code points, end exclusive) and text of the leftmost non-overlapping matches."""
+def _any_of(text: Column, needs: tuple[str, ...]) -> Column | None:
+    return reduce(or_, [F.contains(text, F.lit(x)) for x in needs]) if needs else None
+
+
+def _matches(text: Column, pattern: str, needs: Column | None = None, keep=None) -> Column:
+    """start, end (code points, end exclusive) and text of the leftmost non-overlapping matches that ``keep`` holds for."""
     none = F.array().cast(_SPAN)
 
     def placed(hits: Column, gaps: Column) -> Column:
         def step(state: Column, i: Column) -> Column:
             start = state["at"] + F.length(F.get(gaps, i))
             end = start + F.length(F.get(hits, i))
-            span = F.struct(start.alias("start"), end.alias("end"), F.get(hits, i).alias("hit"))
-            return F.struct(end.alias("at"), F.concat(state["out"], F.array(span)).alias("out"))
+            more = F.concat(state["out"], F.array(F.struct(start.alias("start"), end.alias("end"), F.get(hits, i).alias("hit"))))
+            return F.struct(end.alias("at"), (more if keep is None else F.when(keep(F.get(hits, i)), more).otherwise(state["out"])).alias("out"))
 
         begin = F.struct(F.lit(0).alias("at"), none.alias("out"))
         return F.aggregate(F.sequence(F.lit(0), F.size(hits) - 1), begin, step, lambda s: s["out"])
@@ -64,7 +74,7 @@ def _matches(text: Column, pattern: str, needs: str | None = None) -> Column:
         F.regexp_extract_all(text, F.lit(pattern), F.lit(0)),
         lambda hits: F.when(F.size(hits) > 0, let(F.split(text, pattern, -1), lambda gaps: placed(hits, gaps))).otherwise(none),
     )
-    return F.when(F.contains(text, F.lit(needs)), found).otherwise(none) if needs else found
+    return F.when(needs, found).otherwise(none) if needs is not None else found
 
 
 def _digits(hit: Column) -> Column:
@@ -111,42 +121,45 @@ def _cell(kind: str, text: Column, span: Column, strict: Column) -> Column:
     return F.concat_ws("|", F.lit(kind), *[v.cast("string") for v in votes], shape)
 
 
-def _candidates(docs: DataFrame, text_col: str) -> DataFrame:
-    """``docs`` with ``_base`` (kind, start, end, cell) and ``_loose`` (the same for candidates beyond the strict ones)."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    out = docs.withColumn("_text", text)
-    for kind in KINDS:
-        out = out.withColumn(f"_{kind}", _matches(F.col("_text"), _STRICT[kind], _NEEDS.get(kind)))
-    for kind, pattern in _LOOSE.items():
-        out = out.withColumn(f"_more_{kind}", _matches(F.col("_text"), pattern))
+def _candidates(docs: DataFrame, text_col: str, base_col: str, loose_col: str) -> DataFrame:
+    """``docs`` with ``base_col`` (kind, start, end, cell) and ``loose_col`` (the same for candidates beyond the strict ones)."""
+    text, *found = fresh(docs, "text_of", *(f"strict_{k}" for k in KINDS), *(f"more_{k}" for k in _LOOSE))
+    strict, more = dict(zip(KINDS, found, strict=False)), dict(zip(_LOOSE, found[len(KINDS) :], strict=True))
+    own = [col(c) for c in docs.columns]
+    out = docs.select(*own, F.coalesce(col(text_col), F.lit("")).alias(text))
+    out = out.select(
+        *own, text, *[_matches(F.col(text), _STRICT[k], _any_of(F.col(text), _NEEDS.get(k, ())), _KEEPS.get(k)).alias(c) for k, c in strict.items()], *[_matches(F.col(text), _LOOSE[k], _any_of(F.col(text), _LOOSE_NEEDS.get(k, ()))).alias(c) for k, c in more.items()]
+    )
 
-    def spans(kind: str, column: str, strict: bool, keep) -> Column:
+    def spans(kind: str, column: str, is_strict: bool, keep) -> Column:
         return F.transform(
             F.filter(column, keep),
-            lambda s: F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), _cell(kind, F.col("_text"), s, F.lit(strict)).alias("cell")),
+            lambda s: F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), _cell(kind, F.col(text), s, F.lit(is_strict)).alias("cell")),
         )
 
     passing = lambda kind: lambda s: _holds(kind, s["hit"])
-    base = F.concat(*[spans(k, f"_{k}", True, passing(k)) for k in KINDS])
+    base = F.concat(*[spans(k, c, True, passing(k)) for k, c in strict.items()])
     shorter = lambda d: d.rlike(_SHORTER_CARDS) & _luhn(d)
-    cards = spans("card", "_card", False, lambda s: F.when(F.length(s["hit"]) > 40, F.lit(False)).otherwise(let(_digits(s["hit"]), shorter)))
-    loose = F.concat(cards, *[spans(k, f"_more_{k}", False, lambda s: F.lit(True)) for k in _LOOSE])
-    out = out.withColumn("_base", base).withColumn("_loose", loose)
-    free = F.filter("_loose", lambda s: ~F.exists("_base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    return out.withColumn("_loose", F.when(F.size("_loose") > 0, free).otherwise(F.col("_loose"))).drop(*[f"_{k}" for k in KINDS], *[f"_more_{k}" for k in _LOOSE])
+    cards = spans("card", strict["card"], False, lambda s: F.when(F.length(s["hit"]) > 40, F.lit(False)).otherwise(let(_digits(s["hit"]), shorter)))
+    loose = F.concat(cards, *[spans(k, c, False, lambda s: F.lit(True)) for k, c in more.items()])
+    out = out.select(*own, base.alias(base_col), loose.alias(loose_col))
+    free = F.filter(loose_col, lambda s: ~F.exists(base_col, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
+    return out.select(*own, base_col, F.when(F.size(loose_col) > 0, free).otherwise(F.col(loose_col)).alias(loose_col))
 
 
 def _total(array: Column, value) -> Column:
     return F.aggregate(array, F.lit(0.0), lambda a, x: a + value(x))
 
 
-def label_model(candidates: DataFrame) -> DataFrame:
-    """kind, cell, n, posterior and score (log odds of the span classifier) for each distinct kind, vote pattern and shape."""
-    counted = candidates.select(F.explode(F.concat("_base", "_loose")).alias("c")).groupBy("c.kind", "c.cell").agg(F.count("*").cast("double").alias("n"))
-    votes = F.transform(F.sequence(F.lit(1), F.lit(_LABELERS)), lambda j: F.get(F.split("cell", r"\|"), j).cast("int"))
-    shape = F.element_at(F.split("cell", r"\|"), -1)
-    # At most 3^5 vote patterns times the shapes: bounded for each kind, so a kind is one row.
-    per_kind = counted.groupBy("kind").agg(F.collect_list(F.struct("cell", votes.alias("v"), shape.alias("shape"), "n")).alias("cells"))
+def label_model(cells: DataFrame) -> DataFrame:
+    """kind, cell, n, posterior and score (log odds of the span classifier) for each distinct kind, vote pattern and shape.
+
+    ``cells`` has one row a candidate (kind, cell). All that follows the count is small: 3^5 vote patterns a kind, and shapes.
+    """
+    parts = F.split("cell", r"\|")
+    counted = cells.groupBy("kind", "cell").agg(F.count("*").cast("double").alias("n"))
+    counted = checkpointed(counted.select("kind", "cell", "n", F.transform(F.slice(parts, 2, _LABELERS), lambda x: x.cast("int")).alias("v"), F.element_at(parts, -1).alias("shape")))
+    patterns = counted.groupBy("kind", "v").agg(F.sum("n").alias("n")).groupBy("kind").agg(F.array_sort(F.collect_list(F.struct("v", "n"))).alias("cells"))
     every = F.sequence(F.lit(0), F.lit(_LABELERS - 1))
 
     def likelihood(x: Column, plus: Column, minus: Column) -> Column:
@@ -156,6 +169,9 @@ def label_model(candidates: DataFrame) -> DataFrame:
     def posterior(x: Column, m: Column) -> Column:
         return let(F.struct((m["prior"] * likelihood(x, m["plus1"], m["minus1"])).alias("a"), ((1 - m["prior"]) * likelihood(x, m["plus0"], m["minus0"])).alias("b")), lambda s: s["a"] / (s["a"] + s["b"]))
 
+    def soft_of(m: Column) -> Column:
+        return F.transform("cells", lambda x: F.struct(x["v"].alias("v"), x["n"].alias("n"), posterior(x, m).alias("p")))
+
     def step(m: Column, _: Column) -> Column:
         def updated(soft: Column) -> Column:
             def rate(yes: bool, vote: int) -> Column:
@@ -165,26 +181,36 @@ def label_model(candidates: DataFrame) -> DataFrame:
             prior = (_total(soft, lambda x: x["n"] * x["p"]) + 1) / (_total(soft, lambda x: x["n"]) + 2)
             return F.struct(prior.alias("prior"), rate(True, 1).alias("plus1"), rate(True, -1).alias("minus1"), rate(False, 1).alias("plus0"), rate(False, -1).alias("minus0"))
 
-        return let(F.transform("cells", lambda x: F.struct(x["v"].alias("v"), x["n"].alias("n"), posterior(x, m).alias("p"))), updated)
+        return let(soft_of(m), updated)
 
     flat = lambda x: F.array(*[F.lit(x)] * _LABELERS)
     start = F.struct(F.lit(0.7).alias("prior"), flat(0.7).alias("plus1"), flat(0.1).alias("minus1"), flat(0.2).alias("plus0"), flat(0.5).alias("minus0"))
-    fitted = per_kind.withColumn("m", F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, step))
-    soft = fitted.withColumn("soft", F.transform("cells", lambda x: F.struct(x["cell"].alias("cell"), x["v"].alias("v"), x["shape"].alias("shape"), x["n"].alias("n"), posterior(x, F.col("m")).alias("p"))))
-
-    def odds(same) -> Column:
-        yes = _total(F.col("soft"), lambda y: F.when(same(y), y["n"] * y["p"]).otherwise(F.lit(0.0)))
-        no = _total(F.col("soft"), lambda y: F.when(same(y), y["n"] * (1 - y["p"])).otherwise(F.lit(0.0)))
-        return F.log((yes + 1) / (no + 1))
-
-    prior = odds(lambda y: F.lit(True))
-
-    def score(x: Column) -> Column:
-        by_vote = F.aggregate(every, F.lit(0.0), lambda a, j: a + odds(lambda y: F.get(y["v"], j) == F.get(x["v"], j)) - prior)
-        return prior + by_vote + odds(lambda y: y["shape"] == x["shape"]) - prior
-
-    scored = soft.select("kind", F.explode(F.transform("soft", lambda x: F.struct(x["cell"].alias("cell"), x["n"].alias("n"), x["p"].alias("posterior"), score(x).alias("score")))).alias("s"))
-    return scored.select("kind", "s.*")
+    fitted = patterns.withColumn("m", F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, step))
+    soft = checkpointed(fitted.select("kind", F.explode(soft_of(F.col("m"))).alias("s")).select("kind", "s.v", "s.p"))
+
+    # The span classifier: naive Bayes over votes and shape, from the soft labels.
+    labelled = counted.join(soft, ["kind", "v"])
+    yes, no = F.sum(F.col("n") * F.col("p")), F.sum(F.col("n") * (1 - F.col("p")))
+    odds = F.log((yes + 1) / (no + 1))
+    feature = F.concat(F.transform("v", lambda x, j: F.concat_ws(":", j.cast("string"), x.cast("string"))), F.array(F.concat(F.lit("shape:"), F.col("shape"))))
+    featured = labelled.withColumn("feature", F.explode(feature))
+    prior = labelled.groupBy("kind").agg(odds.alias("prior"))
+    weights = featured.groupBy("kind", "feature").agg(odds.alias("odds"))
+    added = featured.join(weights, ["kind", "feature"]).join(prior, "kind").groupBy("kind", "cell", "n", "prior", F.col("p").alias("posterior")).agg(F.sum(F.col("odds") - F.col("prior")).alias("by_feature"))
+    return added.select("kind", "cell", "n", "posterior", (F.col("prior") + F.col("by_feature")).alias("score"))
+
+
+def _found(docs: DataFrame, text_col: str, spans_col: str) -> DataFrame:
+    base, loose = fresh(docs, "base_spans", "loose_spans")
+    found = _candidates(docs, text_col, base, loose)
+    model = label_model(found.select(F.explode(F.concat(base, loose)).alias("c")).select("c.kind", "c.cell"))
+    good = sorted(r["cell"] for r in model.where(F.col("score") > BAR).select("cell").collect())  # bounded as the model is
+    accepted = F.filter(loose, lambda s: s["cell"].isin(good)) if good else F.slice(loose, 1, 0)
+    order = F.create_map(*[F.lit(x) for i, k in enumerate(KINDS) for x in (k, i)])
+    as_span = lambda is_base: lambda s: F.struct(order[s["kind"]].alias("o"), s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"), F.lit(is_base).alias("base"))
+    spans = F.array_sort(F.concat(F.transform(base, as_span(True)), F.transform(accepted, as_span(False))))
+    spans = F.transform(spans, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["base"].alias("base")))
+    return found.select(*[col(c) for c in docs.columns], spans.alias(spans_col))
 
 
 def find_personal_data(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -192,27 +218,20 @@ def find_personal_data(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     Offsets are code points, end exclusive. Base spans are the strict patterns' matches that pass their checks; others
     were added by the classifier and overlap no base span. A null or empty text has no spans; ids play no part, so null
-    ids and repeated rows keep theirs; an empty table stays empty. Input columns named spans are replaced.
+    ids and repeated rows keep theirs; an empty table stays empty. An input column named spans is replaced, all others stay.
     """
-    docs = docs.drop("spans")
-    found = _candidates(docs, text_col)
-    good = sorted(r["cell"] for r in label_model(_candidates(docs.select(text_col), text_col)).where(F.col("score") > BAR).select("cell").collect())
-    accepted = F.filter("_loose", lambda s: s["cell"].isin(good)) if good else F.slice("_loose", 1, 0)
-    order = F.create_map(*[F.lit(x) for i, k in enumerate(KINDS) for x in (k, i)])
-    as_span = lambda base: lambda s: F.struct(order[s["kind"]].alias("o"), s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"), F.lit(base).alias("base"))
-    spans = F.array_sort(F.concat(F.transform("_base", as_span(True)), F.transform(accepted, as_span(False))))
-    spans = F.transform(spans, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["base"].alias("base")))
-    return found.withColumn("spans", spans).drop("_text", "_base", "_loose")
+    return _found(docs.drop("spans"), text_col, "spans")
 
 
 def mask_personal_data(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with every span of ``find_personal_data`` replaced by ``<KIND>``; overlapping spans become one mark.
 
-    Columns stay as they are; a null text stays null.
+    All columns stay as they are, whatever their names; a null text stays null, repeated rows are masked alike.
     """
-    found = find_personal_data(docs, text_col)
-    by_start = F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
-    text = F.col(text_col)
+    (name,) = fresh(docs, "found_spans")
+    found = _found(docs, text_col, name)
+    by_start = F.array_sort(F.transform(name, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
+    text = col(text_col)
 
     def step(state: Column, s: Column) -> Column:
         cut = F.concat(F.substring(text, state["at"] + 1, s["start"] - state["at"]), F.lit("<"), F.upper(s["kind"]), F.lit(">"))
@@ -220,4 +239,5 @@ def mask_personal_data(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
     masked = F.aggregate(by_start, begin, step, lambda s: F.concat(F.array_join(s["out"], ""), F.substring(text, s["at"] + 1, F.length(text))))
-    return found.withColumn(text_col, F.when(text.isNotNull() & (F.size("spans") > 0), masked).otherwise(text)).drop("spans")
+    masked = F.when(text.isNotNull() & (F.size(name) > 0), masked).otherwise(text)
+    return found.select(*[masked.alias(c) if c == text_col else col(c) for c in docs.columns])
