@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Callable
 
@@ -12,19 +13,44 @@ from pyspark.sql import functions as F
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the folder that ``spark.checkpoint.dir`` names; a temporary one only where it is unset."""
+    """Cut the lineage in the folder that ``spark.checkpoint.dir`` names.
+
+    Where it is unset, a local session gets a temporary folder; on a cluster that would be one machine's, so it is an error.
+    """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that all machines share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp())
     return df.checkpoint()
 
 
+def fresh(df: DataFrame, *wanted: str) -> list[str]:
+    """Column names like the ``wanted`` ones that ``df`` has not, whatever the case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def col(name: str) -> Column:
+    """The column of just this name, whatever characters it holds."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 #: Bytes of an Arrow batch that goes to Python at most, besides a single longer row.
 BATCH_BYTES = 4 << 20
 
 
 def small_batches(df: DataFrame) -> None:
-    """Lower the session's Arrow batch size to BATCH_BYTES, which bounds the memory of Python workers; never raises it."""
+    """Lower the session's Arrow batch size to BATCH_BYTES, which bounds the memory of Python workers; never raises it.
+
+    Spark reads it when a frame runs, and the operators' frames run after they return, so it stays.
+    """
     conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
     now = conf.get(key).rstrip("b")
     if not now.isdigit() or not 0 < int(now) <= BATCH_BYTES:
@@ -56,7 +82,7 @@ _LOWER[65:91] += 32
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[32, *range(9, 14)]] = True
 #: Texts are hashed in slices of about this many bytes, cut between documents, which bounds the memory of a batch.
-SLICE_BYTES = 1_500_000
+SLICE_BYTES = 500_000
 
 
 _POWERS: dict[int, np.ndarray] = {}

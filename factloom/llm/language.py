@@ -22,7 +22,7 @@ from .common import small_batches
 #: Features, training rows of a language (and of all languages together) at most, steps and regularisation of a machine.
 DIM, PER_LANGUAGE, ALL_LANGUAGES, STEPS, PENALTY = 4096, 250, 5000, 150, 1e-3
 UNKNOWN = "und"
-# Language families by public language codes; a language not listed is a family of its own.
+# Language families by public language codes; languages not listed form a family by their first letter.
 FAMILIES = {
     "germanic": "en de nl sv da no nb nn is af fy lb",
     "romance": "fr es it pt ro ca gl oc",
@@ -38,21 +38,25 @@ _LETTER = regex.compile(r"\p{L}")
 _FOLD = np.arange(256, dtype=np.uint32)
 _FOLD[:128] = 32
 _FOLD[97:123] = np.arange(97, 123)
-_SLICE = 128
+#: Texts whose vectors are held at once, and bytes of a text that are looked at at once.
+_SLICE, _BYTES = 128, 1 << 20
 
 
 def family_of(language: str) -> str:
-    return _FAMILY.get(language.lower().split("-")[0], language)
+    """The family's name; ``unlisted`` ones are few, so that pairs of families do not grow with the labels."""
+    return _FAMILY.get(language.lower().split("-")[0]) or f"unlisted {language[:1].lower()}"
 
 
 def features(texts: list[str]) -> np.ndarray:
     """Unit vectors of hashed trigrams over lower-cased letters, other ASCII being blank."""
     out = np.zeros((len(texts), DIM), np.float32)
     for i, text in enumerate(texts):
-        low = _FOLD[np.frombuffer(f" {text.lower()} ".encode("utf-8", "surrogatepass"), np.uint8)]
-        blank = low == 32
-        codes = (low[:-2] << 16 | low[1:-1] << 8 | low[2:])[~(blank[1:-1] & (blank[:-2] | blank[2:]))]
-        counts = np.bincount((codes * np.uint32(2654435761)) >> np.uint32(20), minlength=DIM)
+        raw, counts = np.frombuffer(f" {text.lower()} ".encode("utf-8", "surrogatepass"), np.uint8), 0
+        for at in range(0, len(raw) - 2, _BYTES):  # a long text in parts that share two bytes
+            low = _FOLD[raw[at : at + _BYTES + 2]]
+            blank = low == 32
+            codes = (low[:-2] << 16 | low[1:-1] << 8 | low[2:])[~(blank[1:-1] & (blank[:-2] | blank[2:]))]
+            counts = counts + np.bincount((codes * np.uint32(2654435761)) >> np.uint32(20), minlength=DIM)
         out[i] = np.sqrt(counts)
     return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
 
@@ -75,7 +79,7 @@ def linear_svm(x: np.ndarray, positive: np.ndarray) -> tuple[np.ndarray, float]:
 
 @dataclass
 class Pairwise:
-    """One-versus-one machines over ``classes``."""
+    """One-versus-one machines over ``classes``, for each pair (positions) its weights and bias."""
 
     classes: list[str]
     pairs: list[tuple[int, int]]
@@ -83,15 +87,10 @@ class Pairwise:
     biases: np.ndarray
 
     @classmethod
-    def fit(cls, x: np.ndarray, labels: np.ndarray) -> Pairwise:
-        classes = sorted(set(labels.tolist()))
-        pairs, weights, biases = list(combinations(range(len(classes)), 2)), [], []
-        for a, b in pairs:
-            rows = (labels == classes[a]) | (labels == classes[b])
-            w, bias = linear_svm(x[rows], labels[rows] == classes[a])
-            weights.append(w)
-            biases.append(bias)
-        return cls(classes, pairs, np.array(weights, np.float32).reshape(len(pairs), DIM), np.array(biases, np.float32))
+    def of(cls, level: str, classes: list[str], machines: dict[tuple[str, str, str], tuple[np.ndarray, float]]) -> Pairwise:
+        pairs = list(combinations(range(len(classes)), 2))
+        found = [machines[level, classes[a], classes[b]] for a, b in pairs]
+        return cls(classes, pairs, np.array([w for w, _ in found], np.float32).reshape(len(pairs), DIM), np.array([b for _, b in found], np.float32))
 
     def predict(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Each row's class number and its mean pairwise probability; most votes win, ties go to the larger probability."""
@@ -113,12 +112,6 @@ class Hierarchy:
     families: Pairwise
     within: list[Pairwise]
 
-    @classmethod
-    def fit(cls, x: np.ndarray, languages: list[str]) -> Hierarchy:
-        labels, family = np.array(languages, object), np.array([family_of(v) for v in languages], object)
-        top = Pairwise.fit(x, family)
-        return cls(top, [Pairwise.fit(x[family == f], labels[family == f]) for f in top.classes])
-
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         """Language (``und`` without a letter) and score of each text."""
         names, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
@@ -138,27 +131,46 @@ class Hierarchy:
 def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Hierarchy:
     """A model from the rows with a language and a letter, at most about PER_LANGUAGE of each language, drawn by a hash of the id.
 
-    Only bounded feature vectors come to the driver.
+    A row's vector goes to the pairs that its language and its family take part in; every pair is trained in one task, from
+    a bounded number of rows, and only weights come to the driver.
     """
     small_batches(labelled)
     rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}") & F.col(id_col).isNotNull())
     counts = {r[0]: r[1] for r in rows.groupBy(lang_col).count().collect()}  # one row a language
-    if not counts:
-        return Hierarchy(Pairwise([], [], np.zeros((0, DIM), np.float32), np.zeros(0, np.float32)), [])
-    each = min(PER_LANGUAGE, max(2, ALL_LANGUAGES // len(counts)))
-    share = F.create_map(*[F.lit(x) for name, n in counts.items() for x in (name, min(1.0, each / n))])
-    drawn = rows.where(F.pmod(F.xxhash64(F.lit("language"), id_col), F.lit(1 << 20)) < share[F.col(lang_col)] * (1 << 20))
+    each = min(PER_LANGUAGE, max(2, ALL_LANGUAGES // max(1, len(counts))))
+    share = F.create_map(*[F.lit(x) for name, n in counts.items() for x in (name, min(1.0, each / n))])[F.col(lang_col)] if counts else F.lit(0.0)
+    drawn = rows.where(F.pmod(F.xxhash64(F.lit("language"), id_col), F.lit(1 << 20)) < share * (1 << 20))
+    # What the draw left: a language needs a row to be told, a family a language.
+    languages = sorted(r[0] for r in drawn.select(lang_col).distinct().collect()) if counts else []
+    families = sorted({family_of(x) for x in languages})
+    within = [[x for x in languages if family_of(x) == f] for f in families]
+    pairs = [("family", a, b) for a, b in combinations(families, 2)] + [("language", a, b) for some in within for a, b in combinations(some, 2)]
+    takes = {x: [k for k, (level, a, b) in enumerate(pairs) if (family_of(x) if level == "family" else x) in (a, b)] for x in languages}
 
     def vectors(batches):
         for batch in batches:
-            x = features(batch.column(1).to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([v.tobytes() for v in x], pa.binary())], names=["id", "lang", "x"])
-
-    kind = labelled.schema[id_col].dataType.simpleString()
-    table = drawn.select(id_col, text_col, lang_col).mapInArrow(vectors, f"id {kind}, lang string, x binary").toArrow().sort_by([("lang", "ascending"), ("id", "ascending"), ("x", "ascending")])
-    if not table.num_rows:
-        return fit(labelled.where(F.lit(False)), id_col, text_col, lang_col)
-    return Hierarchy.fit(np.stack([np.frombuffer(v, np.float32) for v in table.column("x").to_pylist()]), table.column("lang").to_pylist())
+            names = batch.column(2).to_pylist()
+            own = [k for x in names for k in takes[x]]
+            at = np.repeat(np.arange(len(names)), [len(takes[x]) for x in names])
+            x = pa.array([v.tobytes() for v in features(batch.column(1).to_pylist())], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), *(c.take(pa.array(at)) for c in (batch.column(0), batch.column(2), x))], names=["pair", "id", "lang", "x"])
+
+    def machine(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("lang", "ascending"), ("id", "ascending"), ("x", "ascending")])
+        level, first, _ = pairs[table.column("pair")[0].as_py()]
+        x = np.stack([np.frombuffer(v, np.float32) for v in table.column("x").to_pylist()])
+        positive = np.array([(family_of(n) if level == "family" else n) == first for n in table.column("lang").to_pylist()])
+        w, bias = linear_svm(x, positive)
+        return pa.table({"pair": table.column("pair")[:1], "w": pa.array([w.astype(np.float32).tobytes()], pa.binary()), "bias": pa.array([bias], pa.float64())})
+
+    machines = {}
+    if pairs:
+        kind = labelled.schema[id_col].dataType.simpleString()
+        sent = drawn.select(id_col, text_col, lang_col).mapInArrow(vectors, f"pair int, id {kind}, lang string, x binary")
+        trained = sent.groupBy("pair").applyInArrow(machine, "pair int, w binary, bias double").toArrow()  # one row a pair
+        for k, w, bias in zip(*(trained.column(c).to_pylist() for c in range(3)), strict=True):
+            machines[pairs[k]] = np.frombuffer(w, np.float32), bias
+    return Hierarchy(Pairwise.of("family", families, machines), [Pairwise.of("language", some, machines) for some in within])
 
 
 def remainder(id_col: str, n: int) -> Column:
@@ -166,13 +178,13 @@ def remainder(id_col: str, n: int) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(0)) % n
 
 
-def identify(docs: DataFrame, model: Hierarchy, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``lang_pred`` and ``score`` (0 to 1) for every whole text; existing columns of these names are replaced.
+def identify(docs: DataFrame, model: Hierarchy, text_col: str = "text", predicted: str = "lang_pred", score: str = "score") -> DataFrame:
+    """``docs`` with the columns ``predicted`` and ``score`` (0 to 1) for every whole text; input columns of these names are replaced.
 
     A text that is null or has no letter is ``und`` with score 0; without any learned language all are. Ids and labels play
     no part, so null ids and repeated rows are predicted alike; an empty table stays empty.
     """
-    docs = docs.drop("lang_pred", "score")
+    docs = docs.drop(predicted, score)
     small_batches(docs)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
@@ -180,7 +192,7 @@ def identify(docs: DataFrame, model: Hierarchy, text_col: str = "text") -> DataF
     def run(batches):
         for batch in batches:
             names, scores = sent.value.predict(batch.column(at).to_pylist())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names, predicted, score])
 
-    schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    schema = T.StructType([*docs.schema.fields, T.StructField(predicted, T.StringType()), T.StructField(score, T.DoubleType())])
     return docs.mapInArrow(run, schema)
