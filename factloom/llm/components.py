@@ -13,6 +13,41 @@ from .common import checkpointed
 LOCAL = 400_000
 
 
+#: A key with more rows than HEAVY, and than the HEAVY_KEYS-th part of all rows, is heavy; so there are HEAVY_KEYS of them at most.
+HEAVY, HEAVY_KEYS = 1000, 10_000
+
+
+def _bound(total: int) -> int:
+    return max(HEAVY, total // HEAVY_KEYS)
+
+
+def heavy_join(rows: DataFrame, keyed: DataFrame, key: str) -> DataFrame:
+    """The inner join of ``rows`` with ``keyed``, which has one row a ``key`` and in ``c`` how many of ``rows`` have it.
+
+    Rows of heavy keys stay where they are, as those keys (HEAVY_KEYS at most) are broadcast; so no task gathers a hot key.
+    Both frames are read several times and should be checkpointed.
+    """
+    bound = _bound(keyed.agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0])
+    heavy, light = F.broadcast(keyed.where(F.col("c") > bound).drop("c")), keyed.where(F.col("c") <= bound).drop("c")
+    return rows.join(heavy, key).unionByName(rows.join(heavy.select(key), key, "left_anti").join(light, key))
+
+
+def spread_join(rows: DataFrame, wide: DataFrame, key: str, wide_key: str, counted: DataFrame, deal_by: list[str]) -> DataFrame:
+    """The inner join of ``rows`` with ``wide`` (one large row a ``wide_key``) on key = wide_key; rows of heavy keys are dealt to several tasks.
+
+    ``counted`` (checkpointed) tells how many rows a key has. The large rows of heavy keys are repeated for the tasks, all in
+    all at most 2 * HEAVY_KEYS times.
+    """
+    bound = _bound(counted.count())
+    heavy = counted.groupBy(F.col(key).alias("_heavy")).agg(F.count("*").alias("_c")).where(F.col("_c") > bound)
+    heavy = F.broadcast(heavy.select("_heavy", F.expr(f"cast(_c div {bound} as int)").alias("_last")))
+    part = F.coalesce(F.pmod(F.xxhash64(*deal_by), F.col("_last") + 1).cast("int"), F.lit(0))
+    dealt = rows.join(heavy, F.col(key) == F.col("_heavy"), "left").select(*rows.columns, part.alias("_part"))
+    repeated = wide.join(heavy, F.col(wide_key) == F.col("_heavy"), "left")
+    repeated = repeated.select(*wide.columns, F.explode(F.sequence(F.lit(0), F.coalesce("_last", F.lit(0)))).alias("_for"))
+    return dealt.join(repeated, (F.col(key) == F.col(wide_key)) & (F.col("_part") == F.col("_for"))).drop("_part", "_for")
+
+
 def _forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Every node but the roots with the least node that these edges connect it to."""
     nodes, ends = np.unique(np.concatenate([u, v]), return_inverse=True)
