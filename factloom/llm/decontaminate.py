@@ -265,6 +265,7 @@ def find_contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id"
     """
     kinds = [docs.schema[id_col].dataType.simpleString(), items.schema[item_id].dataType.simpleString()]
     schema = f"`{id_col}` {kinds[0]}, `{item_id}` {kinds[1]}, score double, seed_hits long, end_word long"
+    item_kind = items.select(item_id).limit(0).toArrow().schema.field(0).type
     out = docs.sparkSession.createDataFrame([], schema)
     for sent in _blocks(docs, items, text_col, item_id, item_text):
 
@@ -274,16 +275,12 @@ def find_contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id"
                     found = matches(sent.value, *hash_words(data, offsets))
                     ids = batch.column(0).take(pa.array([at + f[0] for f in found], pa.int64()))
                     columns = [pa.array([f[i] for f in found], t) for i, t in ((2, pa.float64()), (3, pa.int64()), (4, pa.int64()))]
-                    yield pa.RecordBatch.from_arrays([ids, pa.array([f[1] for f in found]).cast(_arrow(kinds[1])), *columns], names=[id_col, item_id, "score", "seed_hits", "end_word"])
+                    yield pa.RecordBatch.from_arrays([ids, pa.array([f[1] for f in found], item_kind), *columns], names=[id_col, item_id, "score", "seed_hits", "end_word"])
 
         out = out.unionByName(docs.select(id_col, text_col).mapInArrow(run, schema))
     return out
 
 
-def _arrow(kind: str) -> pa.DataType:
-    return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
-
-
 def drop_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """The rows of ``docs`` that copy no item, as ``find_contamination`` has it; all columns stay."""
     out = docs
