@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import Column, DataFrame
@@ -9,10 +10,16 @@ from pyspark.sql import functions as F
 
 
 def reliable(df: DataFrame) -> DataFrame:
-    """Cut an iterative plan's lineage in the session's checkpoint folder; a temporary one only where none is set."""
+    """Cut an iterative plan's lineage in the folder that ``spark.checkpoint.dir`` names.
+
+    Only a local session may leave it unset; on a cluster a temporary folder would be one machine's.
+    """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that all machines share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp())
     return df.checkpoint()
 
 
