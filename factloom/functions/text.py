@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 
 def split_words(name: Column) -> Column:
-    """Lower-case words of a camel, snake, dotted or dashed name."""
-    spaced = F.regexp_replace(F.regexp_replace(name, "([a-z0-9])([A-Z])", "$1 $2"), "([A-Z]+)([A-Z][a-z])", "$1 $2")
-    return F.filter(F.split(F.lower(F.regexp_replace(spaced, r"[_.\-\s#]+", " ")), " "), lambda w: w != "")
+    """Lower-case words of a camel, snake, dotted or dashed name: cut where a capital follows a small letter or digit, and at
+    everything but ASCII letters and digits; a run of capitals stays one word."""
+    spaced = F.regexp_replace(name, "([a-z0-9])([A-Z])", "$1 $2")
+    return F.filter(F.transform(F.split(spaced, "[^A-Za-z0-9]+"), F.lower), lambda w: w != "")
 
 
 def identity_file(identity: Column) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 # Properties whose change always matters, and prefixes of calls that never do.
 ALWAYS_SIGNIFICANT = ("throws", "throw_types", "returns", "returns_nullish", "awaits", "catches", "empty_catches", "params")
-NOISE_PREFIXES = ("console.", "logger.", "log.", "debug.")
+NOISE_PREFIXES = ("console.", "logger.", "debug.")
 
 
 def latest_by(df: DataFrame, key: str, seq: str) -> DataFrame:
@@ -34,7 +34,8 @@ def diff_snapshots(before: DataFrame, after: DataFrame, properties: dict[str, Co
 
 
 def is_noise_call(call: Column, prefixes=NOISE_PREFIXES) -> Column:
-    return F.coalesce(*[F.when((call == p.rstrip(".")) | call.startswith(p), True) for p in prefixes], F.lit(False))
+    """Whether a call is a prefix or starts with one; an empty list of prefixes means the default one."""
+    return F.coalesce(*[F.when(call.startswith(p), True) for p in prefixes or NOISE_PREFIXES], F.lit(False))
 
 
 def calls_only_noise(before: Column, after: Column, prefixes=NOISE_PREFIXES) -> Column:

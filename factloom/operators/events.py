@@ -5,9 +5,11 @@ from __future__ import annotations
 import datetime as dt
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .graph import reliable
+
 
 def _by(key: str, seq: str = "seq"):
     return Window.partitionBy(key).orderBy(seq)
@@ -54,7 +56,7 @@ def evolution_nodes(stored: DataFrame, incoming: DataFrame) -> DataFrame:
     """
     fresh = incoming.join(stored.select("ts", "identity", "type"), ["ts", "identity", "type"], "left_anti")
     offset = stored.count()
-    numbered = with_rank(fresh, ["seq"]).withColumn("id", F.concat(F.lit("n_"), F.lpad((F.col("rank") + 1 + offset).cast("string"), 8, "0")))
+    numbered = with_rank(fresh, ["seq"]).withColumn("id", numbered_id("n_", F.col("rank") + 1 + offset))
     both = stored.select("seq", "identity", "type", "id").withColumn("_new", F.lit(False)).unionByName(numbered.select("seq", "identity", "type", "id").withColumn("_new", F.lit(True)))
     before = _by("identity").rowsBetween(Window.unboundedPreceding, -1)
     anchor = F.last(F.when(F.col("type") == "added", F.col("id")), ignorenulls=True).over(before)
@@ -62,13 +64,17 @@ def evolution_nodes(stored: DataFrame, incoming: DataFrame) -> DataFrame:
     return both.withColumn("parent", parent).where("_new").select("id", "identity", "type", "parent")
 
 
+def numbered_id(prefix: str, number: Column, width: int = 4) -> Column:
+    """The prefix and the number with leading zeros; a number of more digits than ``width`` stays whole."""
+    text = number.cast("string")
+    return F.concat(F.lit(prefix), F.when(F.length(text) >= width, text).otherwise(F.lpad(text, width, "0")))
+
+
 def with_rank(df: DataFrame, order: list[str]) -> DataFrame:
     """``df`` with ``rank``, the row's place (from 0) in a global order, without a single-task window over the rows.
 
     Rows are range-partitioned; partition totals give each partition's start.
     """
-    from .graph import reliable
-
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     placed = reliable(df.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id()))
     starts = placed.groupBy("_part").agg(F.count("*").alias("_n")).withColumn("_start", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
@@ -139,17 +145,23 @@ class SessionFold:
 def capped_sessions(events: DataFrame, key: str, identity: str) -> DataFrame:
     """key, seq, session: sessions end after 30 idle minutes, and once 20 distinct identities are in.
 
-    Which event reaches the cap depends on all before it, so each key is folded in order.
+    Which event reaches the cap depends on all before it since the last idle gap, where every count starts anew. So the log
+    is cut at the gaps, each stretch is folded in order by itself, and a running sum over a key's stretches numbers them.
     """
+    by_key = Window.partitionBy(key).orderBy("ts", "seq")
+    idle = F.coalesce(F.col("ts") - F.lag("ts").over(by_key) >= F.expr(f"interval {int(IDLE.total_seconds())} seconds"), F.lit(True))
+    cut = events.select(key, "seq", "ts", identity, idle.cast("long").alias("idle")).withColumn("stretch", F.sum("idle").over(by_key))
+    kind = events.schema[key].dataType.simpleString()
 
-    def fold(batches):
-        for part in batches:
-            state, rows = SessionFold(), part.sort_values(["ts", "seq"])
-            numbers = [state.place(t, i) for t, i in zip(rows["ts"], rows[identity], strict=True)]
-            yield pd.DataFrame({key: rows[key].to_numpy(), "seq": rows["seq"].to_numpy(), "session": numbers})
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        state, rows = SessionFold(), pdf.sort_values(["ts", "seq"])
+        numbers = [state.place(t, i) for t, i in zip(rows["ts"], rows[identity], strict=True)]
+        return pd.DataFrame({key: rows[key].to_numpy(), "stretch": rows["stretch"].to_numpy(), "seq": rows["seq"].to_numpy(), "own": numbers})
 
-    kind = events.schema[key].dataType.simpleString()
-    return events.select(key, "seq", "ts", identity).groupBy(key).applyInPandas(lambda pdf: next(fold([pdf])), f"{key} {kind}, seq long, session long")
+    folded = reliable(cut.drop("idle").groupBy(key, "stretch").applyInPandas(fold, f"{key} {kind}, stretch long, seq long, own long"))
+    sizes = folded.groupBy(key, "stretch").agg(F.max("own").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy(key).orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return folded.join(sizes.select(key, "stretch", before.alias("before")), [key, "stretch"]).select(key, "seq", (F.col("before") + F.col("own")).alias("session"))
 
 
 def debounced(events: DataFrame, key: str, delay_seconds: float) -> DataFrame:

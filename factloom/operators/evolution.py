@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .events import with_rank
+from .events import numbered_id, with_rank
 from .graph import reliable
 
 
@@ -27,22 +27,40 @@ def apply_rule_status(rows: DataFrame, rules: DataFrame) -> DataFrame:
     return out.select("seq", "identity", F.when(F.col("verified"), F.col("status")).otherwise(F.coalesce("by_rule", "status")).alias("status"))
 
 
-def forest(rows: DataFrame, limit: int = 40) -> DataFrame:
-    """id, root, depth: parents count within one feature only; a row whose chain leads back to itself hangs under no one.
+def _looping(links: DataFrame) -> DataFrame:
+    """ids of (id, up) rows whose chain of ``up`` never ends.
 
-    Pointer doubling: each round doubles the known part of every chain.
+    Each round doubles the length of the jumps, so rows whose chain ends there drop out. As long as some are left, a shorter
+    chain's row drops out in every round; when none does, the rest lead into loops.
+    """
+    jump = reliable(links.where("up is not null"))
+    n = jump.count()
+    while n:
+        on = jump.select(F.col("id").alias("up"), F.col("up").alias("further"))
+        jump = reliable(jump.join(on, "up").select("id", F.col("further").alias("up")))
+        now = jump.count()
+        if now == n:
+            break
+        n = now
+    return jump.select("id")
+
+
+def forest(rows: DataFrame) -> DataFrame:
+    """id, root, depth: parents count within one feature only; a row whose chain leads into a loop hangs under no one.
+
+    Pointer doubling: each round doubles the known part of every chain, so the rounds grow with the logarithm of the depth.
     """
     up = rows.select(F.col("id").alias("parent"), F.col("feature").alias("parent_feature"))
-    links = rows.join(up, "parent", "left").select("id", F.when(F.col("feature") == F.col("parent_feature"), F.col("parent")).alias("up"))
-    reach = reliable(links.select("id", F.coalesce("up", "id").alias("root"), F.col("up").isNotNull().cast("int").alias("depth")))
-    for _ in range(limit):
+    found = reliable(rows.join(up, "parent", "left").select("id", "feature", "parent_feature", F.when(F.col("parent_feature").isNotNull(), F.col("parent")).alias("up")))
+    sound = found.join(_looping(found.select("id", "up")).withColumn("loops", F.lit(True)), "id", "left")
+    links = sound.select("id", F.when(F.col("loops").isNull() & (F.col("feature") == F.col("parent_feature")), F.col("up")).alias("up"))
+    reach = reliable(links.select("id", F.coalesce("up", "id").alias("root"), F.col("up").isNotNull().cast("long").alias("depth")))
+    while True:
         on = reach.select(F.col("id").alias("root"), F.col("root").alias("further"), F.col("depth").alias("more"))
-        step = reach.join(on, "root").select("id", F.col("further").alias("root"), (F.col("depth") + F.col("more")).alias("depth"), (F.col("more") > 0).alias("moved"))
-        step = reliable(step.withColumn("loop", (F.col("root") == F.col("id")) & (F.col("depth") > 0)))
-        reach = step.select("id", "root", F.when(~F.col("loop"), F.col("depth")).otherwise(0).alias("depth"))
-        if step.where("moved and not loop").isEmpty():
-            break
-    return reach
+        step = reliable(reach.join(on, "root").select("id", F.col("further").alias("root"), (F.col("depth") + F.col("more")).alias("depth"), (F.col("more") > 0).alias("moved")))
+        reach = step.drop("moved")
+        if step.where("moved").isEmpty():
+            return reach.withColumn("depth", F.col("depth").cast("int"))
 
 
 def call_arcs(edges: DataFrame, node, visible: DataFrame) -> DataFrame:
@@ -72,9 +90,7 @@ def insert_missing(known: DataFrame, wanted: DataFrame, name: str, prefix: str)
     """id, name of the wanted words that are not known (any case), numbered after the known ones."""
     fresh = wanted.groupBy(F.lower(name).alias("_key")).agg(F.min_by(name, "seq").alias(name), F.min("seq").alias("seq"))
     fresh = fresh.join(known.select(F.lower(name).alias("_key")), "_key", "left_anti")
-    number = (F.col("rank") + 1 + known.count()).cast("string")
-    padded = F.when(F.length(number) >= 4, number).otherwise(F.lpad(number, 4, "0"))
-    return with_rank(fresh, ["seq"]).select(F.concat(F.lit(prefix), padded).alias("id"), name)
+    return with_rank(fresh, ["seq"]).select(numbered_id(prefix, F.col("rank") + 1 + known.count()).alias("id"), name)
 
 
 def label_errors(given: DataFrame, asked: DataFrame, most_words: int, forbidden: list[str]) -> DataFrame:

@@ -31,17 +31,18 @@ def normalise_edges(edges: DataFrame) -> DataFrame:
 
 
 def caller_index(calls: DataFrame) -> DataFrame:
-    """callee, callers: inverted call lists, distinct and sorted."""
-    return calls.select("caller", F.explode("calls").alias("callee")).groupBy("callee").agg(F.array_sort(F.collect_set("caller")).alias("callers"))
-
-
-def caller_pairs(calls: DataFrame) -> DataFrame:
     """callee, caller: inverted call lists as distinct rows, so that no callee's callers have to fit in one task."""
     return calls.select(F.explode("calls").alias("callee"), "caller").distinct()
 
 
+def callers_of(index: DataFrame, asked: list[str]) -> DataFrame:
+    """callee, callers: the sorted callers of a few names; only their rows are gathered."""
+    return index.where(F.col("callee").isin(*asked)).groupBy("callee").agg(F.array_sort(F.collect_set("caller")).alias("callers"))
+
+
 def file_index(declarations: DataFrame) -> DataFrame:
-    return declarations.groupBy("file").agg(F.array_sort(F.collect_list("identity")).alias("identities"))
+    """file, identity: the declarations of each file as distinct rows."""
+    return declarations.select("file", "identity").distinct()
 
 
 def resolve_names(calls: DataFrame, declarations: DataFrame) -> DataFrame:

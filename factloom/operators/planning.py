@@ -116,11 +116,14 @@ def drop_repeated(readings: DataFrame, lens: str, text: str, order: str) -> Data
 
 
 def identical_sessions(entries: DataFrame) -> DataFrame:
-    """session, same_as: the earliest earlier session of the same reason with equal entries (compared by their sorted digest)."""
-    digest = F.md5(F.array_join(F.array_sort(F.collect_list("entry")), "\n").cast("binary"))
-    per = entries.groupBy("session", "reason").agg(digest.alias("digest"))
-    first = F.min("session").over(Window.partitionBy("reason", "digest"))
-    return per.withColumn("same_as", first).where("same_as < session").select("session", "same_as")
+    """session, same_as: the earliest earlier session of the same reason with equal entries.
+
+    Entries are compared by their count and the sums of two 64-bit hashes, whatever their order, so no session is gathered.
+    """
+    total = lambda *salt: F.sum(F.xxhash64(*[F.lit(x) for x in salt], "entry").cast("decimal(38,0)"))
+    per = entries.groupBy("session", "reason").agg(F.struct(F.count("*").alias("n"), total().alias("a"), total("again").alias("b")).alias("digest"))
+    first = per.groupBy("reason", "digest").agg(F.min("session").alias("same_as"))
+    return per.join(first, ["reason", "digest"]).where("same_as < session").select("session", "same_as")
 
 
 def common_prefix(paths: DataFrame, group: str, path: str) -> DataFrame:

@@ -41,15 +41,19 @@ def evaluate(rows: DataFrame, facts: str = "facts", approved: str = "approved")
     n, a = _number(facts, numbers, field), _list(facts, lists, field)
     n0, a0 = _number(approved, numbers, field), _list(approved, lists, field)
     num, text = F.col("clause.value_num"), F.col("clause.value_str")
+    # ``numbers`` holds numbers, so its members are compared as such; the other lists hold text.
+    of_numbers = field == "numbers"
+    digits = F.col(f"{facts}.numbers").cast("array<double>") if "numbers" in names else F.lit(None).cast("array<double>")
+    held = F.when(of_numbers, F.array_contains(digits, num)).otherwise(F.array_contains(a, text))
     error = (
         F.when(n.isNull() & a.isNull(), "field absent")
         .when((op == "unchanged") & F.col(approved).isNull(), "no snapshot")
         .when(clause_problem(field, op).isNotNull(), clause_problem(field, op))
-        .when(op.isin(*NUMERIC_OPERATORS) & num.isNull() | op.isin(*LIST_OPERATORS) & text.isNull(), "type mismatch")
+        .when((op.isin(*NUMERIC_OPERATORS) | op.isin(*LIST_OPERATORS) & of_numbers) & num.isNull() | op.isin(*LIST_OPERATORS) & ~of_numbers & text.isNull(), "type mismatch")
     )
     holds = (
         F.when(op == ">=", n >= num).when(op == "<=", n <= num).when(op == "==", n == num).when(op == "!=", n != num)
-        .when(op == "contains", F.array_contains(a, text)).when(op == "notContains", ~F.array_contains(a, text))
+        .when(op == "contains", held).when(op == "notContains", ~held)
         .when(op == "unchanged", n.eqNullSafe(n0) & a.eqNullSafe(a0))
     )
     return rows.withColumn("error", error).withColumn("pass", F.when(F.col("error").isNull(), holds))

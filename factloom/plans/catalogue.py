@@ -49,7 +49,7 @@ _DIFF_SQL = f"""WITH {R.SNAPSHOTS_SQL},
   changed AS (
     SELECT identity, property, before, after,
            CASE WHEN property = 'calls' THEN len(list_filter(list_concat(list_filter(string_split(before, ','), lambda c: NOT list_contains(string_split(after, ','), c)),
-                  list_filter(string_split(after, ','), lambda c: NOT list_contains(string_split(before, ','), c))), lambda c: NOT (c = 'console' OR starts_with(c, 'console.')))) > 0 ELSE true END AS significant
+                  list_filter(string_split(after, ','), lambda c: NOT list_contains(string_split(before, ','), c))), lambda c: NOT regexp_matches(c, '^(console|logger|debug)\\.'))) > 0 ELSE true END AS significant
     FROM props WHERE NOT is_new AND NOT is_gone AND before IS DISTINCT FROM after),
   kinds AS (
     SELECT identity, CASE WHEN is_gone THEN 'deleted' WHEN is_new THEN 'added' WHEN identity IN (SELECT identity FROM changed) THEN 'changed' ELSE 'unchanged' END AS change_type FROM j)
@@ -78,7 +78,7 @@ def property_change_counts(spark, sf):
 
 
 @query(f"""WITH {R.SNAPSHOTS_SQL} SELECT a.identity, len(list_filter(list_concat(list_filter(b.calls, lambda c: NOT list_contains(a.calls, c)), list_filter(a.calls, lambda c: NOT list_contains(b.calls, c))),
-  lambda c: NOT starts_with(c, 'console.'))) = 0 AS only_noise FROM snap_b b JOIN snap_a a ON a.identity = b.identity""")
+  lambda c: NOT regexp_matches(c, '^(console|logger|debug)\\.'))) = 0 AS only_noise FROM snap_b b JOIN snap_a a ON a.identity = b.identity""")
 def noise_filter(spark, sf):
     b, a = R.snapshots(spark, sf)
     both = b.select("identity", F.col("calls").alias("old")).join(a.select("identity", F.col("calls").alias("new")), "identity")
@@ -124,8 +124,8 @@ _EVALUATED_SQL = f"""WITH {R.FACTS_SQL}, evaluated AS (
   SELECT node_id, r AS rule_id,
          CASE WHEN r = 10 THEN 'field absent' WHEN r = 7 AND NOT has_snapshot THEN 'no snapshot' WHEN r = 8 THEN 'needs a number' WHEN r = 9 THEN 'needs a list' END AS error,
          CASE r WHEN 1 THEN throws <= 1 WHEN 2 THEN returns >= 2 WHEN 3 THEN params = 7 WHEN 4 THEN returns_nullish <> 0 WHEN 5 THEN list_contains(calls, 'R.F')
-                WHEN 6 THEN NOT list_contains(calls, 'N.O') WHEN 7 THEN CASE WHEN has_snapshot THEN throws = throws0 END END AS pass
-  FROM facts, unnest(range(1, 11)) AS t(x), LATERAL (SELECT CAST(x AS INTEGER) AS r)) """
+                WHEN 6 THEN NOT list_contains(calls, 'N.O') WHEN 11 THEN list_contains(numbers, 7) WHEN 12 THEN NOT list_contains(numbers, 7) WHEN 7 THEN CASE WHEN has_snapshot THEN throws = throws0 END END AS pass
+  FROM facts, unnest(range(1, 13)) AS t(x), LATERAL (SELECT CAST(x AS INTEGER) AS r)) """
 
 
 @query(_EVALUATED_SQL + "SELECT * FROM evaluated WHERE rule_id <= 4")
@@ -133,9 +133,9 @@ def clause_eval_numeric(spark, sf):
     return _clauses(spark, sf, (1, 2, 3, 4))
 
 
-@query(_EVALUATED_SQL + "SELECT * FROM evaluated WHERE rule_id IN (5, 6)")
+@query(_EVALUATED_SQL + "SELECT * FROM evaluated WHERE rule_id IN (5, 6, 11, 12)")
 def clause_eval_array(spark, sf):
-    return _clauses(spark, sf, (5, 6))
+    return _clauses(spark, sf, (5, 6, 11, 12))
 
 
 @query(_EVALUATED_SQL + "SELECT * FROM evaluated WHERE rule_id = 7")
@@ -145,7 +145,7 @@ def clause_eval_unchanged(spark, sf):
 
 @query(_EVALUATED_SQL + "SELECT rule_id, error, count(*) AS n FROM evaluated WHERE error IS NOT NULL GROUP BY rule_id, error")
 def clause_errors(spark, sf):
-    return _clauses(spark, sf, tuple(range(1, 11))).where("error is not null").groupBy("rule_id", "error").agg(F.count("*").alias("n"))
+    return _clauses(spark, sf, tuple(range(1, 13))).where("error is not null").groupBy("rule_id", "error").agg(F.count("*").alias("n"))
 
 
 _FIELDS, _OPERATORS = [*rules.NUMERIC_FIELDS, *rules.LIST_FIELDS, "nothing"], [*rules.NUMERIC_OPERATORS, *rules.LIST_OPERATORS, "unchanged", "like"]
@@ -204,20 +204,14 @@ def merge_gate(spark, sf):
 # --- graph -----------------------------------------------------------------------------------------------------------
 
 
-@query(f"""WITH {R.DECLARATIONS_SQL} SELECT c AS callee, array_to_string(list_sort(list_distinct(list(identity))), ';') AS callers FROM (SELECT identity, unnest(calls) AS c FROM decl WHERE seq % 10 = 3) GROUP BY c""")
-def caller_index(spark, sf):
-    calls = R.declarations(spark, sf).where("seq % 10 = 3").select(F.col("identity").alias("caller"), "calls")
-    return graph.caller_index(calls).select("callee", F.array_join("callers", ";").alias("callers"))
-
-
 @query(f"WITH {R.DECLARATIONS_SQL} SELECT DISTINCT c AS callee, identity AS caller FROM (SELECT identity, unnest(calls) AS c FROM decl)")
-def caller_pairs(spark, sf):
-    return graph.caller_pairs(R.declarations(spark, sf).select(F.col("identity").alias("caller"), "calls"))
+def caller_index(spark, sf):
+    return graph.caller_index(R.declarations(spark, sf).select(F.col("identity").alias("caller"), "calls"))
 
 
-@query(f"WITH {R.DECLARATIONS_SQL} SELECT file, array_to_string(list_sort(list(identity)), ';') AS identities FROM decl GROUP BY file")
+@query(f"WITH {R.DECLARATIONS_SQL} SELECT DISTINCT file, identity FROM decl")
 def file_index(spark, sf):
-    return graph.file_index(R.declarations(spark, sf)).select("file", F.array_join("identities", ";").alias("identities"))
+    return graph.file_index(R.declarations(spark, sf))
 
 
 @query("""WITH e AS (SELECT CASE WHEN l_orderkey % 50 = 0 THEN '' ELSE 'o' || l_orderkey END AS f, 's' || l_suppkey AS t, CASE WHEN l_linenumber = 1 THEN NULL ELSE l_returnflag END AS k,
@@ -405,7 +399,7 @@ def new_events_anti(spark, sf):
 
 @query(f"""WITH {R.LOG_SQL}, base AS (SELECT count(*) AS c FROM log WHERE seq % 4 = 0), ids AS (
     SELECT seq, identity, type, false AS fresh, 'old' || seq AS id FROM log WHERE seq % 4 = 0
-    UNION ALL SELECT seq, identity, type, true, 'n_' || lpad(CAST(row_number() OVER (ORDER BY seq) + (SELECT c FROM base) AS VARCHAR), 8, '0') FROM log WHERE seq % 4 <> 0)
+    UNION ALL SELECT seq, identity, type, true, 'n_' || CASE WHEN row_number() OVER (ORDER BY seq) + (SELECT c FROM base) > 9999 THEN '' ELSE repeat('0', 4 - length(CAST(row_number() OVER (ORDER BY seq) + (SELECT c FROM base) AS VARCHAR))) END || (row_number() OVER (ORDER BY seq) + (SELECT c FROM base)) FROM log WHERE seq % 4 <> 0)
   SELECT id, identity, type, parent FROM (SELECT *, CASE WHEN type <> 'added' THEN coalesce(last_value(CASE WHEN type = 'added' THEN id END IGNORE NULLS) OVER w, last_value(id) OVER w) END AS parent FROM ids
     WINDOW w AS (PARTITION BY identity ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) WHERE fresh""")
 def evolution_nodes(spark, sf):
@@ -561,10 +555,9 @@ def html_facts(spark, sf):
     return R.table(spark, sf, "pages").select("page_id", count("<a ", "links"), count("<p>", "paragraphs"), count("<script", "scripts"), F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"))
 
 
-@query("""SELECT p_partkey AS id, array_to_string(list_filter(string_split(regexp_replace(lower(regexp_replace(regexp_replace(p_brand || 'getHTTPUrl' || p_name, '([a-z0-9])([A-Z])', '\\1 \\2', 'g'), '([A-Z]+)([A-Z][a-z])', '\\1 \\2', 'g')),
-  '[_.\\-\\s#]+', ' ', 'g'), ' '), lambda w: w <> ''), ',') AS words FROM part""")
+@query("""SELECT p_partkey AS id, array_to_string(list_filter(list_transform(regexp_split_to_array(regexp_replace(p_brand || 'getHTTPUrl$x' || p_name, '([a-z0-9])([A-Z])', '\\1 \\2', 'g'), '[^A-Za-z0-9]+'), lambda w: lower(w)), lambda w: w <> ''), ',') AS words FROM part""")
 def split_words(spark, sf):
-    return R.table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.array_join(T.split_words(F.concat("p_brand", F.lit("getHTTPUrl"), "p_name")), ",").alias("words"))
+    return R.table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.array_join(T.split_words(F.concat("p_brand", F.lit("getHTTPUrl$x"), "p_name")), ",").alias("words"))
 
 
 @query(f"WITH {R.SNAPSHOTS_SQL} SELECT identity, file, name FROM snap_b")

@@ -28,12 +28,16 @@ def apply_rule_status(spark, sf):
     return E.apply_rule_status(log, rules)
 
 
-@query("""WITH RECURSIVE t AS (SELECT p_partkey AS id, p_partkey % 4 AS feature, CASE WHEN p_partkey > 0 THEN p_partkey // 2 END AS parent FROM part),
-  l AS (SELECT c.id, p.id AS up FROM t c LEFT JOIN t p ON p.id = c.parent AND p.feature = c.feature),
+@query("""WITH RECURSIVE t AS (SELECT p_partkey AS id, p_partkey % 4 // 2 AS feature, CASE p_partkey % 50 WHEN 20 THEN p_partkey + 1 WHEN 21 THEN p_partkey - 1 WHEN 22 THEN p_partkey - 1 WHEN 30 THEN p_partkey + 1 WHEN 31 THEN p_partkey + 1
+    WHEN 32 THEN p_partkey - 2 WHEN 40 THEN p_partkey ELSE CASE WHEN p_partkey > 0 THEN p_partkey // 2 END END AS parent FROM part),
+  every AS (SELECT c.id, p.id AS up, c.feature = p.feature AS same FROM t c LEFT JOIN t p ON p.id = c.parent),
+  ends(id) AS (SELECT id FROM every WHERE up IS NULL UNION ALL SELECT e.id FROM ends JOIN every e ON e.up = ends.id),
+  l AS (SELECT id, CASE WHEN same AND id IN (SELECT id FROM ends) THEN up END AS up FROM every),
   w(id, root, depth) AS (SELECT id, id, 0 FROM l WHERE up IS NULL UNION ALL SELECT l.id, w.root, w.depth + 1 FROM w JOIN l ON l.up = w.id) SELECT id, root, depth FROM w""")
 def evolution_forest(spark, sf):
-    key = F.col("p_partkey")
-    return E.forest(R.table(spark, sf, "part").select(key.alias("id"), (key % 4).alias("feature"), F.when(key > 0, F.expr("p_partkey div 2")).alias("parent")))
+    """Parts under half their number, with loops of one, two and three and rows that hang on them."""
+    parent = F.expr("case p_partkey % 50 when 20 then p_partkey + 1 when 21 then p_partkey - 1 when 22 then p_partkey - 1 when 30 then p_partkey + 1 when 31 then p_partkey + 1 when 32 then p_partkey - 2 when 40 then p_partkey else if(p_partkey > 0, p_partkey div 2, null) end")
+    return E.forest(R.table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.expr("p_partkey % 4 div 2").alias("feature"), parent.alias("parent")))
 
 
 @query(f"""WITH RECURSIVE {R.EDGES_SQL.strip()}, w(id, depth) AS (SELECT 'supplier:3', 0 UNION SELECT e."from", w.depth + 1 FROM w JOIN edges e ON e."to" = w.id WHERE w.depth < 2)
@@ -70,19 +74,10 @@ def call_arcs(spark, sf):
     return E.call_arcs(R.edges(spark, sf), "supplier:3", visible)
 
 
-@query(f"""WITH {R.PLAN_SQL}, calls AS (SELECT DISTINCT a.feature AS f, b.feature AS t FROM plan a JOIN plan b ON b.id = a.parent WHERE a.feature <> b.feature AND a.id % 10 = 0),
-  o AS (SELECT feature AS f, lead(feature) OVER (ORDER BY feature) AS t FROM (SELECT DISTINCT feature FROM plan))
-  SELECT f AS "from", t AS "to", 'call' AS kind FROM calls UNION ALL SELECT f, t, 'order' FROM o WHERE t IS NOT NULL AND NOT EXISTS (SELECT 1 FROM calls c WHERE c.f = o.f AND c.t = o.t)""")
-def constellation_edges(spark, sf):
-    p = R.plan(spark, sf)
-    lifted = views.feature_edges(p.where("id % 10 = 0").select(F.col("id").alias("from"), F.col("parent").alias("to")), p.select("id", "feature"))
-    return E.with_order_edges(lifted, p.select("feature").distinct(), ["feature"])
-
-
 @query(f"""WITH {R.PLAN_SQL}, calls AS (SELECT DISTINCT a.feature AS f, b.feature AS t FROM plan a JOIN plan b ON b.id = a.parent WHERE a.feature <> b.feature),
   o AS (SELECT feature AS f, lead(feature) OVER (ORDER BY feature) AS t FROM (SELECT DISTINCT feature FROM plan))
   SELECT f AS "from", t AS "to", 'call' AS kind FROM calls UNION ALL SELECT f, t, 'order' FROM o WHERE t IS NOT NULL AND NOT EXISTS (SELECT 1 FROM calls c WHERE c.f = o.f AND c.t = o.t)""")
-def constellation_edges_all(spark, sf):
+def constellation_edges(spark, sf):
     p = R.plan(spark, sf)
     lifted = views.feature_edges(p.select(F.col("id").alias("from"), F.col("parent").alias("to")), p.select("id", "feature"))
     return E.with_order_edges(lifted, p.select("feature").distinct(), ["feature"])

@@ -73,11 +73,12 @@ FACTS_SQL = """
            count(*) FILTER (WHERE l_returnflag = 'R' AND l_linenumber <> 7) AS throws0, l_orderkey % 3 = 0 AS has_snapshot
     FROM lineitem GROUP BY l_orderkey)"""
 
-#: Rules as rows: id, field, op, numeric value, text value; the last three cannot be evaluated.
+#: Rules as rows: id, field, op, numeric value, text value; three of them (8 to 10) cannot be evaluated.
 RULES = (
     (1, "throws", "<=", 1.0, None), (2, "returns", ">=", 2.0, None), (3, "params", "==", 7.0, None), (4, "returns_nullish", "!=", 0.0, None),
     (5, "calls", "contains", None, "R.F"), (6, "calls", "notContains", None, "N.O"), (7, "throws", "unchanged", None, None),
     (8, "calls", ">=", 1.0, None), (9, "returns", "contains", None, "x"), (10, "entries", "contains", None, "x"),
+    (11, "numbers", "contains", 7.0, None), (12, "numbers", "notContains", 7.0, None),
 )
 
 

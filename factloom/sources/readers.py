@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # Directory names that are never scanned, source extensions, and the one that is left out.
-SKIPPED = ("node_modules", ".git", "dist", "build", "coverage", ".next", "out", "__pycache__", ".venv")
+SKIPPED = ("node_modules", ".git", "dist", "build", "coverage", ".next", "out", ".turbo", ".cache")
 SOURCES = r"(?i)\.(?:js|ts|tsx|py)$"
 TYPINGS = r"(?i)\.d\.ts$"
 

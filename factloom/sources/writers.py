@@ -29,11 +29,17 @@ def check_report(changes: DataFrame) -> DataFrame:
     return one.select(F.to_json(F.struct("*")).alias("report"), (F.col("significant") > 0).cast("int").alias("exit_code"))
 
 
-def verify_markdown(results: DataFrame) -> str:
-    """Markdown of a verification's statuses; empty sections are left out. Driver-side: a report for people."""
-    parts = ["# Verification"]
-    for status in ("drifted", "error", "implemented"):
-        rows = results.where(F.col("status") == status).orderBy("node_id").select("node_id", "n_violations").limit(1000).collect()
-        if rows:
-            parts += [f"## {status}", *[f"- {r[0]}: {r[1]} violations" for r in rows]]
-    return "\n\n".join(parts) + "\n"
+def verify_markdown(results: DataFrame) -> DataFrame:
+    """Ordered lines (section, place, line) of a verification's Markdown: every result in its status's section, empty ones left out."""
+    titles = {"drifted": 1, "error": 2, "implemented": 3}
+    section = F.coalesce(*[F.when(F.col("status") == s, F.lit(i)) for s, i in titles.items()], F.lit(len(titles) + 1))
+    rows = results.select(section.alias("section"), "status", F.struct("node_id").alias("place"), F.concat(F.lit("- "), F.col("node_id").cast("string"), F.lit(": "), F.col("n_violations").cast("string"), F.lit(" violations")).alias("line"))
+    heads = rows.groupBy("section", "status").agg(F.lit(None).cast(rows.schema["place"].dataType).alias("place")).withColumn("line", F.concat(F.lit("## "), "status"))
+    top = results.sparkSession.range(1).select(F.lit(0).alias("section"), F.lit(None).cast(rows.schema["place"].dataType).alias("place"), F.lit("# Verification").alias("line"))
+    columns = ["section", "place", "line"]
+    return top.unionByName(heads.select(columns)).unionByName(rows.select(columns)).orderBy("section", F.col("place").asc_nulls_first())
+
+
+def write_verify_markdown(results: DataFrame, path: str) -> None:
+    """The whole report as text files in order; of an earlier report nothing stays."""
+    verify_markdown(results).select("line").write.mode("overwrite").text(path)

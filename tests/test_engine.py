@@ -161,5 +161,24 @@ def test_reports(spark):
     rows = spark.createDataFrame([("a", "added", True), ("b", "changed", False), ("c", "unchanged", False)], "identity string, change_type string, significant boolean")
     report = writers.check_report(rows).first()
     assert json.loads(report["report"]) == {"total": 2, "significant": 1, "insignificant": 1, "added": 1, "deleted": 0, "changed": 1} and report["exit_code"] == 1
-    text = writers.verify_markdown(spark.createDataFrame([(1, "drifted", 2)], "node_id long, status string, n_violations long"))
-    assert "drifted" in text and "implemented" not in text
+    lines = [r["line"] for r in writers.verify_markdown(spark.createDataFrame([(i, "drifted", 2) for i in range(1500)] + [(7, "error", 0)], "node_id long, status string, n_violations long")).collect()]
+    assert lines[:3] == ["# Verification", "## drifted", "- 0: 2 violations"] and lines[-2:] == ["## error", "- 7: 0 violations"] and len(lines) == 1504
+
+
+def test_numbers_contain_numbers(spark):
+    facts = "struct<throws:int,params:int,calls:array<string>,numbers:array<double>>"
+    clauses = [("numbers", "contains", 3.0, None), ("numbers", "notContains", 3.0, None), ("numbers", "contains", None, "3"), ("calls", "contains", None, "f"), ("calls", "contains", 1.0, None)]
+    df = spark.createDataFrame([((1, 2, ["f"], [3.0]), None, c) for c in clauses], f"facts {facts}, approved {facts}, clause struct<field:string,op:string,value_num:double,value_str:string>")
+    assert [(r["error"], r["pass"]) for r in rules.evaluate(df).collect()] == [(None, True), (None, False), ("type mismatch", None), (None, True), ("type mismatch", None)]
+
+
+def test_noise_is_a_prefix(spark):
+    df = spark.createDataFrame([("console",), ("console.",), ("console.log",), ("log.x",), ("debug.a",)], "c string")
+    assert [r[0] for r in df.select(diff.is_noise_call(F.col("c"))).collect()] == [False, True, True, False, True]
+    assert [r[0] for r in df.select(diff.is_noise_call(F.col("c"), ["log."])).collect()] == [False, False, False, True, False]
+    assert [r[0] for r in df.select(diff.is_noise_call(F.col("c"), [])).collect()] == [False, True, True, False, True]
+
+
+def test_ids_do_not_collide(spark):
+    ids = spark.createDataFrame([(1,), (9999,), (10000,), (100000000,), (1000000001,)], "n long").select(events.numbered_id("n_", F.col("n"))).collect()
+    assert [r[0] for r in ids] == ["n_0001", "n_9999", "n_10000", "n_100000000", "n_1000000001"]

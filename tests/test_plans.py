@@ -7,10 +7,11 @@ from factloom.plans import catalogue, relations
 
 
 def test_forest_breaks_loops_and_features(spark):
-    rows = spark.createDataFrame([(1, "f", None), (2, "f", 1), (3, "f", 2), (4, "g", 3), (5, "g", 4), (8, "f", 9), (9, "f", 8)], "id long, feature string, parent long")
-    got = {r["id"]: (r["root"], r["depth"]) for r in evolution.forest(rows).collect()}
+    rows = [(1, "f", None), (2, "f", 1), (3, "f", 2), (4, "g", 3), (5, "g", 4), (8, "f", 9), (9, "f", 8), (10, "f", 8), (11, "f", 10), (20, "f", 21), (21, "f", 22), (22, "f", 20), (23, "f", 22), (30, "f", 30), (31, "f", 99)]
+    rows += [(i, "h", i - 1 if i > 100 else None) for i in range(100, 201)]
+    got = {r["id"]: (r["root"], r["depth"]) for r in evolution.forest(spark.createDataFrame(rows, "id long, feature string, parent long")).collect()}
     assert [got[i] for i in (1, 2, 3, 4, 5)] == [(1, 0), (1, 1), (1, 2), (4, 0), (4, 1)]
-    assert set(got) == {1, 2, 3, 4, 5, 8, 9}
+    assert all(got[i] == (i, 0) for i in (8, 9, 10, 11, 20, 21, 22, 23, 30, 31)) and got[200] == (100, 100)
 
 
 def test_approval_lifecycle(spark):
@@ -59,9 +60,9 @@ def test_labels_keep_refuse_and_fall_back(spark):
     assert got == {"a": ("old", "kept"), "b": ("good", "model"), "c": ("fb", "fallback"), "d": ("fb", "fallback")}
 
 
-def test_caller_pairs_cover_all_declarations(spark):
+def test_caller_index_covers_all_declarations(spark):
     sf = "/root/testdata/sf0.001"
-    got = catalogue.queries()["caller_pairs"](spark, sf).where("callee = 'console.log'")
+    got = catalogue.queries()["caller_index"](spark, sf).where("callee = 'console.log'")
     assert got.count() == relations.declarations(spark, sf).select("identity").distinct().count()
 
 
@@ -69,7 +70,7 @@ def test_constellation_edges_of_all_steps(spark):
     sf = "/root/testdata/sf0.001"
     steps = {r["id"]: (r["feature"], r["parent"]) for r in relations.plan(spark, sf).select("id", "feature", "parent").collect()}
     expected = {(f, steps[p][0]) for f, p in steps.values() if p in steps and steps[p][0] != f}
-    got = {(r["from"], r["to"]) for r in catalogue.queries()["constellation_edges_all"](spark, sf).where("kind = 'call'").collect()}
+    got = {(r["from"], r["to"]) for r in catalogue.queries()["constellation_edges"](spark, sf).where("kind = 'call'").collect()}
     assert got == expected
 
 
