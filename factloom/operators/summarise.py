@@ -1,63 +1,205 @@
-"""Capped deterministic clustering of plan steps into summaries."""
+"""Capped deterministic clustering of plan steps into summary steps."""
 
 from __future__ import annotations
 
+from dataclasses import dataclass, field
+
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from .events import numbered_id, with_rank
+
+#: Steps of a feature that a reader can take in, and steps that one summary may cover.
+CAP, MOST = 20, 12
+_LATE = 1 << 62
+
+
+def is_behaviour() -> Column:
+    """Whether a plan node is a step; a node without a role is one."""
+    return F.coalesce(F.nullif("role", F.lit("")), F.lit("behaviour")) == "behaviour"
+
+
+def is_eligible() -> Column:
+    """Whether a step may be folded: drafted by a model, not settled, never revised, and of a declaration."""
+    unsettled = F.coalesce(F.col("origin") == "ai_drafted", F.lit(False)) & F.coalesce(F.col("status") == "intended", F.lit(False))
+    return is_behaviour() & unsettled & (F.coalesce("n_history", F.lit(0)) == 0) & (F.coalesce(F.get("identities", F.lit(0)), F.lit("")) != "")
+
+
+@dataclass(frozen=True)
+class Step:
+    """A step that may be folded: its place in the plan, first heading, declarations, and the steps that it covers."""
+
+    id: str
+    step: int | None
+    heading: str
+    identities: tuple[str, ...]
+    covers: int = 1
 
+    @property
+    def place(self) -> tuple[int, str]:
+        return (_LATE if self.step is None else self.step, self.id)
 
-def fold(steps: list[tuple[int, tuple, int | None]], budget: int, most: int) -> list[list[int]]:
-    """Groups of step ids, at most ``budget`` of them where groups of ``most`` steps allow it.
 
-    ``steps`` holds (id, path, caller). A step that only one group calls joins it; then, while there are too many, the
-    smallest pair of neighbouring groups (of one path first, then any) is merged. Ties go to the smaller ids, so the order of
-    the input does not matter.
+@dataclass
+class Group:
+    members: list[Step]
+    size: int = field(init=False)
+
+    def __post_init__(self):
+        self.members.sort(key=lambda s: s.place)
+        self.size = sum(s.covers for s in self.members)
+
+
+class Folding:
+    """Groups of a feature's steps in plan order, merged pair by pair until ``budget`` groups are left or none may merge.
+
+    A pass takes one merge at a time: into the one group that makes all calls of another; then of neighbours under the same
+    first heading; then of any neighbours. No group covers more than ``most`` steps.
     """
-    path = {i: p for i, p, _ in steps}
-    caller = {i: c for i, _, c in steps if c is not None and c != i}
-    groups = {i: [i] for i in sorted(path)}
-    owner = {i: i for i in groups}
-
-    def merge(into: int, gone: int) -> None:
-        for x in groups.pop(gone):
-            groups[into].append(x)
-            owner[x] = into
-
-    moved = len(groups) > budget
-    while moved and len(groups) > budget:
-        moved = False
-        for g in sorted(groups):
-            callers = {owner[caller[x]] for x in groups[g] if x in caller and caller[x] in owner}
-            callers.discard(g)
-            if len(callers) == 1 and all(x in caller for x in groups[g]):
-                into = callers.pop()
-                if len(groups[into]) + len(groups[g]) <= most:
-                    merge(into, g)
-                    moved = True
-                    break
-    for same in (True, False):
-        while len(groups) > budget:
-            order = sorted(groups, key=lambda g: (path[g], g))
-            pairs = [(len(groups[a]) + len(groups[b]), k, a, b) for k, (a, b) in enumerate(zip(order, order[1:], strict=False)) if len(groups[a]) + len(groups[b]) <= most and (not same or path[a][:1] == path[b][:1])]
-            if not pairs:
-                break
-            _, _, a, b = min(pairs)
-            merge(min(a, b), max(a, b))
-    return [sorted(g) for _, g in sorted(groups.items())]
-
-
-def summarise_features(plan: DataFrame, cap: int = 20, most: int = 12) -> DataFrame:
-    """feature, id, summary, size: each step with its summary's lead step; settled steps stay by themselves.
-
-    A feature's budget is what the cap leaves beside its settled steps, at least one. Features hold tens to hundreds of
-    steps; clustering is greedy and order-dependent, hence one grouped call a feature.
+
+    def __init__(self, steps: list[Step], callers: dict[str, set[str]], budget: int, most: int):
+        self.groups = [Group([s]) for s in sorted(steps, key=lambda s: s.place)]
+        self.callers, self.budget, self.most = callers, budget, most
+        for choose in (self.called_by_one, self.under_one_heading, self.next_to_each_other):
+            while len(self.groups) > budget and (pair := choose()):
+                self.merge(*pair)
+
+    def merge(self, into: int, gone: int) -> None:
+        joined = Group(self.groups[into].members + self.groups[gone].members)
+        rest = [g for k, g in enumerate(self.groups) if k not in (into, gone)]
+        self.groups = sorted([*rest, joined], key=lambda g: g.members[0].place)
+
+    def called_by_one(self) -> tuple[int, int] | None:
+        """The least (calling, called) pair; calls from outside the groups, or from several of them, forbid it."""
+        owner = {x: k for k, g in enumerate(self.groups) for s in g.members for x in s.identities}
+        found = []
+        for k, group in enumerate(self.groups):
+            own = {x for s in group.members for x in s.identities}
+            calling = {owner.get(c) for x in own for c in self.callers.get(x, ()) if c not in own}
+            if len(calling) == 1 and (into := calling.pop()) is not None and into != k and self.groups[into].size + group.size <= self.most:
+                found.append((into, k))
+        return min(found, default=None)
+
+    def _smallest(self, runs: list[list[int]]) -> tuple[int, int] | None:
+        pairs = [(self.groups[a].size + self.groups[b].size, a, b) for run in runs for a, b in zip(run, run[1:], strict=False)]
+        return min((p for p in pairs if p[0] <= self.most), default=(None,) * 3)[1:] if any(p[0] <= self.most for p in pairs) else None
+
+    def under_one_heading(self) -> tuple[int, int] | None:
+        runs: dict[str, list[int]] = {}
+        for k, group in enumerate(self.groups):
+            if heading := group.members[0].heading:
+                runs.setdefault(heading, []).append(k)
+        return self._smallest(list(runs.values()))
+
+    def next_to_each_other(self) -> tuple[int, int] | None:
+        return self._smallest([list(range(len(self.groups)))])
+
+
+def lead_of(members: list[Step], callers: dict[str, set[str]]) -> Step:
+    """The first member that no other member calls; in a circle the first of all."""
+    owner = {x: s for s in members for x in s.identities}
+    called = {s.id for s in members for x in s.identities for c in callers.get(x, ()) if c in owner and owner[c].id != s.id}
+    return next((s for s in members if s.id not in called), members[0])
+
+
+_FOLDED = "feature string, id string, grp int, place int, lead string, before int, settled int, after int, limited boolean"
+
+
+def fold_features(plan: DataFrame, callers: DataFrame, cap: int = CAP, most: int = MOST) -> DataFrame:
+    """feature, id, grp (from 0, in plan order), place in it, lead, and the feature's before, settled, after and limited.
+
+    ``plan`` has id, feature, role, origin, status, n_history, step, path, identities, n_covers; ``callers`` has identity and
+    caller. Only features over their budget (what the cap leaves beside settled steps, one at least) or over the cap appear,
+    only with their foldable steps. Folding is greedy and each merge depends on all before it, hence one grouped call a feature of
+    tens to hundreds of steps; calls reach it as the rows of their callee.
     """
+    steps = plan.where(is_behaviour() & F.col("feature").isNotNull() & (F.col("feature") != ""))
+    free = steps.where(is_eligible())
+    settled = steps.where(~is_eligible()).groupBy("feature").agg(F.count("*").cast("int").alias("settled"))
+    per = free.groupBy("feature").agg(F.count("*").cast("int").alias("n")).join(settled, "feature", "left").fillna(0, ["settled"])
+    over = per.where(f"n > greatest(1, {cap} - settled) or n + settled > {cap}").select("feature", "settled")
+    calls = callers.select(F.col("identity").alias("callee"), "caller").distinct()
+    called = free.select("feature", "id", F.explode("identities").alias("callee")).join(calls, "callee")
+    called = called.groupBy("feature", "id").agg(F.collect_set(F.concat_ws("\n", "callee", "caller")).alias("calls"))
+    rows = free.join(over, "feature").join(called, ["feature", "id"], "left")
+    rows = rows.select("feature", "id", "step", F.coalesce(F.get("path", F.lit(0)), F.lit("")).alias("heading"), "identities", F.greatest(F.coalesce("n_covers", F.lit(0)), F.lit(1)).alias("covers"), "settled", F.coalesce("calls", F.array().cast("array<string>")).alias("calls"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        free = pdf[~pdf["settled"]]
-        steps = [(int(i), tuple(p), None if pd.isna(c) else int(c)) for i, p, c in zip(free["id"], free["path"], free["parent"], strict=True)]
-        groups = fold(steps, max(1, cap - int(pdf["settled"].sum())), most) + [[int(i)] for i in pdf[pdf["settled"]]["id"]]
-        rows = [(pdf["feature"].iloc[0], x, g[0], len(g)) for g in groups for x in g]
-        return pd.DataFrame(rows, columns=["feature", "id", "summary", "size"])
+        feature, fixed = pdf["feature"].iloc[0], int(pdf["settled"].iloc[0])
+        made_by: dict[str, set[str]] = {}
+        for line in (x for calls in pdf["calls"] for x in calls):
+            callee, caller = line.split("\n", 1)
+            made_by.setdefault(callee, set()).add(caller)
+        own = [Step(i, None if pd.isna(s) else int(s), h, tuple(x), int(c)) for i, s, h, x, c in zip(pdf["id"], pdf["step"], pdf["heading"], pdf["identities"], pdf["covers"], strict=True)]
+        budget = max(1, cap - fixed)
+        groups = Folding(own, made_by, budget, most).groups
+        end = (fixed + len(own), fixed, fixed + len(groups), len(groups) > budget)
+        out = [(feature, s.id, k, n, lead_of(g.members, made_by).id, *end) for k, g in enumerate(groups) for n, s in enumerate(g.members)]
+        return pd.DataFrame(out, columns=[c.split(" ")[0] for c in _FOLDED.split(", ")])
+
+    return rows.groupBy("feature").applyInPandas(run, _FOLDED)
+
+
+def fold_report(folded: DataFrame, cap: int = CAP, most: int = MOST) -> DataFrame:
+    """feature, before, after, summaries, settled, overflow, limited, line: what folding did to each feature it touched."""
+    sizes = folded.groupBy("feature", "before", "settled", "after", "limited", "grp").agg(F.count("*").alias("n"))
+    out = sizes.groupBy("feature", "before", "settled", "after", "limited").agg(F.count_if(F.col("n") > 1).alias("summaries"))
+    out = out.withColumn("overflow", F.greatest(F.col("after") - cap, F.lit(0)))
+    why = F.concat_ws(", and ", F.when(F.col("settled") > 0, F.concat(F.col("settled"), F.lit(" settled steps"))), F.when(F.col("limited"), F.lit(f"no summary step may cover more than {most}")))
+    told = F.concat(F.col("feature"), F.lit(": "), F.col("before"), F.lit(" steps → "), F.col("after"), F.lit(" ("), F.col("summaries"), F.lit(" summary steps)"))
+    still = F.concat(F.lit(" — still "), F.col("overflow"), F.lit(f" over the cap of {cap}: "), why)
+    line = F.concat(told, F.when((F.col("overflow") > 0) & (why != ""), still).otherwise(F.lit("")))
+    return out.select("feature", "before", "after", "summaries", "settled", "overflow", "limited", line.alias("line"))
 
-    return plan.select("feature", "id", "path", "parent", "settled").groupBy("feature").applyInPandas(run, "feature string, id long, summary long, size long")
+
+def build_summaries(folded: DataFrame, plan: DataFrame, rules: DataFrame, first_number: int = 1, lens_order: list[str] | None = None) -> DataFrame:
+    """One row a summary step: id, feature, lead, title, intent, identities, lens_tags, rules, step, path, summary_of, n_covers.
+
+    The lead's declarations come first, then the other members' in plan order; equal rules count once; the path is what all
+    members' paths share, else the lead's; ``covered`` steps of a member that is itself a summary take its place. Ids follow
+    feature order, then the groups' order, from ``first_number`` on. ``rules`` has id, place and rule (text).
+    """
+    many = folded.groupBy("feature", "grp").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    members = folded.select("feature", "grp", "place", "id", "lead").join(many, ["feature", "grp"]).join(plan.drop("feature", "place"), "id")
+    ruled = rules.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "rule"))), lambda r: r["rule"]).alias("own_rules"))
+    members = members.join(ruled, "id", "left")
+    itself = F.array(F.struct(F.col("identities").alias("identities"), F.col("title").alias("title")))
+    covered = F.when(F.size(F.coalesce("summary_of", F.slice(itself, 1, 0))) > 0, F.col("summary_of")).otherwise(itself)
+    row = F.struct((F.col("id") != F.col("lead")).alias("after_lead"), "place", "id", "title", "identities", F.coalesce("lens_tags", F.array().cast("array<string>")).alias("lens_tags"), F.coalesce("own_rules", F.array().cast("array<string>")).alias("own_rules"), "step", F.coalesce("path", F.array().cast("array<string>")).alias("path"), covered.alias("covered"))
+    # A group covers MOST steps at most, so its lists are small.
+    groups = members.groupBy("feature", "grp").agg(F.array_sort(F.collect_list(row)).alias("lead_first"))
+    of = lambda c: F.transform("m", lambda x: x[c])
+    in_order = F.array_sort(F.transform("lead_first", lambda x: F.struct(x["place"].alias("place"), x["title"].alias("title"), x["lens_tags"].alias("lens_tags"), x["own_rules"].alias("own_rules"), x["step"].alias("step"), x["path"].alias("path"), x["covered"].alias("covered"))))
+    out = groups.withColumn("m", in_order).withColumn("covered", F.flatten(of("covered")))
+    shortest = F.array_min(F.transform("m", lambda x: F.size(x["path"])))
+    lengths = F.when(shortest > 0, F.sequence(F.lit(1), shortest)).otherwise(F.array().cast("array<int>"))
+    shared = F.size(F.filter(lengths, lambda i: F.size(F.array_distinct(F.transform("m", lambda x: F.slice(x["path"], F.lit(1), i)))) == 1))
+    lead, n = F.get("lead_first", F.lit(0)), F.size("covered")
+    tags = F.array_distinct(F.flatten(of("lens_tags")))
+    if lens_order is not None:
+        tags = F.filter(F.array(*map(F.lit, lens_order)), lambda t: F.array_contains(tags, t))
+    titles = F.array_join(F.transform(F.slice("covered", 1, 3), lambda s: s["title"]), ", ")
+    out = out.select(
+        "feature", "grp", lead["id"].alias("lead"), F.concat(lead["title"], F.lit(" +"), n - 1, F.lit(" more")).alias("title"),
+        F.concat(F.lit("Covers "), n, F.lit(" steps: "), titles, F.when(n > 3, F.lit("…")).otherwise(F.lit(""))).alias("intent"),
+        F.array_distinct(F.flatten(F.transform("lead_first", lambda x: x["identities"]))).alias("identities"), tags.alias("lens_tags"), F.array_distinct(F.flatten(of("own_rules"))).alias("rules"),
+        F.array_min(of("step")).alias("step"), F.when(shared > 0, F.slice(F.get("m", F.lit(0))["path"], F.lit(1), shared)).otherwise(lead["path"]).alias("path"), F.col("covered").alias("summary_of"), n.alias("n_covers"),
+    )
+    return with_rank(out, ["feature", "grp"]).withColumn("id", numbered_id("plan_", F.col("rank") + first_number)).drop("rank")
+
+
+def covered_size(steps: DataFrame) -> DataFrame:
+    """feature, n: the steps that a feature's steps cover, a plain one itself."""
+    return steps.groupBy("feature").agg(F.sum(F.greatest(F.coalesce("n_covers", F.lit(0)), F.lit(1))).alias("n"))
+
+
+def titled(summaries: DataFrame, titles: DataFrame, problem, chunk: int = 15) -> DataFrame:
+    """``summaries`` with the title given for them unless ``problem`` (title, names) finds fault, and the request ``batch`` they are in.
+
+    ``titles`` has id and given; a summary without one keeps its own title.
+    """
+    batch = F.floor((F.row_number().over(Window.partitionBy("feature").orderBy("id")) - 1) / chunk).cast("int")
+    out = summaries.join(titles.select("id", "given"), "id", "left").withColumn("batch", batch)
+    usable = F.col("given").isNotNull() & problem(F.col("given"), F.col("identities")).isNull()
+    return out.withColumn("title", F.when(usable, F.trim("given")).otherwise(F.col("title"))).drop("given")

@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import diff, events, graph, rules, summarise, views
+from ..operators import diff, events, graph, rules, views
 from . import history as _history  # noqa: F401  fills the registry
 from . import planning as _planning  # noqa: F401  likewise
+from . import summaries as _summaries  # noqa: F401  likewise
 from . import relations as R
 from .registry import ORACLES, QUERIES, query
 
@@ -539,12 +540,6 @@ def tree_prune_by_tag(spark, sf):
     return graph.prune_to_ancestors(R.plan(spark, sf), F.col("title") == "red widget").select("id", "title")
 
 
-@query()
-def summarise_features(spark, sf):
-    plan = R.plan(spark, sf).withColumns({"settled": F.col("status") == "approved", "parent": F.col("parent").cast("long")})
-    return summarise.summarise_features(plan, cap=20, most=12)
-
-
 # --- scalars and extraction ------------------------------------------------------------------------------------------
 
 

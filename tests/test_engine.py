@@ -2,13 +2,12 @@
 
 import datetime as dt
 import json
-import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from factloom.functions import extract
-from factloom.operators import diff, events, graph, rules, summarise
+from factloom.operators import diff, events, graph, rules
 from factloom.sources import readers, writers
 
 
@@ -73,17 +72,6 @@ def test_sessions_seal_by_cap_and_idle(spark):
     assert [got["p", i] for i in (0, 19, 20, 24, 25, 26)] == [1, 1, 2, 2, 2, 3] and got["q", 1] == 1
 
 
-def test_summaries_keep_every_step_and_ignore_order():
-    r = random.Random(1)
-    steps = [(i, (f"h{i % 3}", str(i)), i - 1 if i % 5 else None) for i in range(45)]
-    groups = summarise.fold(steps, 20, 12)
-    r.shuffle(steps)
-    assert summarise.fold(steps, 20, 12) == groups and len(groups) == 20
-    assert sorted(x for g in groups for x in g) == list(range(45)) and max(map(len, groups)) <= 12
-    many = summarise.fold([(i, ("h",), None) for i in range(136)], 1, 12)
-    assert max(map(len, many)) <= 12 and sorted(x for g in many for x in g) == list(range(136))
-
-
 PYTHON = '''
 class Box:
     async def get(self, a, *, b=1):
