@@ -120,12 +120,17 @@ _TOKEN = re.compile(
 _KEYWORDS = frozenset("if for while switch catch return function await typeof new throw else do try class super import with in of case delete void yield".split())
 
 
+def script_tokens(text: str) -> list[tuple[str, str, int]]:
+    """(kind, text, offset) of the tokens; white space and comments are left out."""
+    return [(m.lastgroup, m[0], m.start()) for m in _TOKEN.finditer(text) if m.lastgroup != "skip"]
+
+
 def script_declarations(text: str) -> Iterator[Facts]:
     """Functions, arrow functions bound to a name, classes and methods of JavaScript or TypeScript text.
 
     Brackets have to balance, else the text counts as malformed.
     """
-    tokens = [(m.lastgroup, m[0], m.start()) for m in _TOKEN.finditer(text) if m.lastgroup != "skip"]
+    tokens = script_tokens(text)
     pairs, open_ = {}, []
     for i, (kind, t, _) in enumerate(tokens):
         if kind == "op" and t in "({[":

@@ -86,6 +86,83 @@ def resolve_calls(declarations: DataFrame) -> DataFrame:
     return first.select("from", to.alias("to")).where("to is not null and to <> from").distinct()
 
 
+def join_dependencies(imports: DataFrame, calls: DataFrame) -> DataFrame:
+    """from, to, kind, confidence, reason, seq: import edges (by pos) and caller edges (caller, to, confidence) as one, none dropped."""
+    called = calls.select(F.col("caller").alias("from"), "to", F.lit("call").alias("kind"), "confidence", F.lit(None).cast("string").alias("reason"), F.lit(0).alias("seq"))
+    return imports.select("from", "to", "kind", "confidence", "reason", F.col("pos").alias("seq")).unionByName(called)
+
+
+def build_graph(declarations: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes (id, kind, name, file; the first by seq of an id) and distinct edges (of equal ones the first's reason stays).
+
+    ``declarations`` has identity, kind, name, file and seq; edges have to have a source, and a target that is not empty.
+    """
+    named = declarations.where("identity is not null and identity <> ''").groupBy(F.col("identity").alias("id"))
+    nodes = named.agg(F.min_by(F.struct(F.coalesce("kind", F.lit("unknown")).alias("kind"), "name", "file"), "seq").alias("d")).select("id", "d.*")
+    return nodes, normalise_edges(edges.where("to is null or to <> ''"))
+
+
+def impact_graph(imports: DataFrame, current: DataFrame, baseline: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The graph of a project: its imports and calls, where calls of declarations that are gone lead to their old identities.
+
+    Declarations have identity, name, kind, file, seq, and the current ones calls; of one in both the current one counts.
+    """
+    calls = caller_index(current.select(F.col("identity").alias("caller"), "calls"))
+    edges = join_dependencies(imports, resolve_names(calls, current))
+    gone = baseline.join(current.select("identity"), "identity", "left_anti")
+    bare = F.split(F.split(F.split("identity", "::")[1], "#")[0], ":")[0]
+    edges = reanchor_deleted(edges, gone.select("identity", bare.alias("name"), "seq"))
+    columns = ["identity", "name", "kind", "file", "seq"]
+    every = current.select(columns).unionByName(gone.select(columns))
+    return build_graph(every, edges)
+
+
+#: Edges that a depth-first walk may gather; more are an error.
+WALKED = 1_000_000
+# Kinds that are cut off an identity when its callers are looked up.
+_LOOKED_UP = "function|method|class|variable|interface|type|enum|property"
+
+
+def find_callers(index: DataFrame, callee: str, max_depth: int = 1) -> DataFrame:
+    """place, identity, depth, confidence of a callee's callers, and theirs, in the order of a depth-first walk.
+
+    ``index`` has callee (a name), caller, confidence. A caller counts once, at the depth where the walk met it first, which
+    need not be its least. The walk depends on its own order, so the calls within ``max_depth`` levels are gathered; more
+    than WALKED of them are an error.
+    """
+    spark = index.sparkSession
+    name = F.regexp_replace(F.substring_index("caller", "::", -1), rf":(?:{_LOOKED_UP})(?:#\d+)?$", "")
+    back = reliable(index.select(F.col("callee").alias("name"), "caller", "confidence", name.alias("next")))
+    seen = front = spark.createDataFrame([(callee,)], "name string")
+    near = None
+    for _ in range(max_depth if callee else 0):
+        step = reliable(back.join(front, "name"))
+        near = step if near is None else near.unionByName(step)
+        front = reliable(step.select(F.col("next").alias("name")).distinct().join(seen, "name", "left_anti"))
+        seen = seen.unionByName(front)
+    schema = "place int, identity string, depth int, confidence string"
+    if near is None:
+        return spark.createDataFrame([], schema)
+    near = reliable(near.distinct())
+    if near.count() > WALKED:
+        raise ValueError(f"more than {WALKED} calls lead to {callee} within {max_depth} levels; use impact_levels")
+    calls: dict[str, list[tuple[str, str, str]]] = {}
+    for row in near.orderBy("name", "caller").collect():  # WALKED at most
+        calls.setdefault(row["name"], []).append((row["caller"], row["confidence"], row["next"]))
+    met: dict[str, tuple[int, str]] = {}
+    stack = [(1, iter(calls.get(callee, ())))]
+    while stack:
+        depth, left = stack[-1]
+        found = next(left, None)
+        if found is None:
+            stack.pop()
+        elif found[0] not in met:
+            met[found[0]] = (depth, found[1])
+            if depth < max_depth:
+                stack.append((depth + 1, iter(calls.get(found[2], ()))))
+    return spark.createDataFrame([(i, c, d, sure) for i, (c, (d, sure)) in enumerate(met.items())], schema)
+
+
 def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """id, callers, callees: distinct in and out degrees, zero included."""
     ins = edges.groupBy(F.col("to").alias("id")).agg(F.count_distinct("from").alias("callers"))

@@ -138,7 +138,7 @@ def common_prefix(paths: DataFrame, group: str, path: str) -> DataFrame:
 def python_modules(imports: DataFrame, files: DataFrame) -> DataFrame:
     """importer, module, dots, target, confidence of Python imports: module file before package, dots walk up directories.
 
-    An absolute module that only shares its first segment with the project is inferred; one that leads outside is unresolved.
+    An absolute module whose first segment is a module or package at the top of the project is inferred; others are unresolved.
     """
     parts = F.split("importer", "/")
     base = F.when(F.col("dots") > 0, F.slice(parts, F.lit(1), F.greatest(F.size(parts) - F.col("dots"), F.lit(0)))).otherwise(F.array().cast("array<string>"))
@@ -148,7 +148,8 @@ def python_modules(imports: DataFrame, files: DataFrame) -> DataFrame:
     wanted = imports.withColumns({"_stem": F.when(~outside, stem), "_top": F.element_at(F.split("module", r"\."), 1)})
     tried = wanted.select("importer", "module", "dots", F.posexplode(F.array(F.concat("_stem", F.lit(".py")), F.concat("_stem", F.lit("/__init__.py")))).alias("pos", "path"))
     hits = tried.join(files.select("path"), "path").groupBy("importer", "module", "dots").agg(F.min_by("path", "pos").alias("target"))
-    tops = files.select(F.regexp_replace(F.element_at(F.split("path", "/"), 1), r"\.py$", "").alias("_top")).distinct().withColumn("_ours", F.lit(True))
+    own = files.where(F.col("path").rlike(r"^[^/]+(\.py|/__init__\.py)$"))
+    tops = own.select(F.regexp_replace("path", r"(\.py|/__init__\.py)$", "").alias("_top")).distinct().withColumn("_ours", F.lit(True))
     out = wanted.join(hits, ["importer", "module", "dots"], "left").join(tops, "_top", "left")
     sure = F.when(F.col("target").isNotNull(), "certain").when((F.col("dots") == 0) & F.col("_ours"), "inferred").otherwise("unresolved")
     return out.select("importer", "module", "dots", "target", sure.alias("confidence"))

@@ -9,6 +9,7 @@ from ..functions import text as T
 from ..operators import diff, events, graph, rules, views
 from . import history as _history  # noqa: F401  fills the registry
 from . import planning as _planning  # noqa: F401  likewise
+from . import sources as _sources  # noqa: F401  likewise
 from . import summaries as _summaries  # noqa: F401  likewise
 from . import relations as R
 from .registry import ORACLES, QUERIES, query
@@ -228,11 +229,6 @@ def edge_normalize_dedupe(spark, sf):
     return graph.normalise_edges(raw)
 
 
-@query(f"WITH {R.EDGES_SQL} SELECT kind, confidence, count(*) AS n, count(DISTINCT \"from\") AS sources FROM edges GROUP BY kind, confidence")
-def join_dependencies(spark, sf):
-    return R.edges(spark, sf).groupBy("kind", "confidence").agg(F.count("*").alias("n"), F.count_distinct("from").alias("sources"))
-
-
 @query(f"""WITH {R.DECLARATIONS_SQL}, names AS (SELECT name, count(DISTINCT identity) AS n, min(identity) AS sole FROM decl GROUP BY name), calls AS (SELECT identity AS caller, unnest(calls) AS callee FROM decl)
   SELECT caller, CASE WHEN n = 1 THEN sole ELSE callee END AS "to", CASE WHEN n = 1 THEN 'certain' WHEN n > 1 THEN 'ambiguous' ELSE 'unresolved' END AS confidence FROM calls LEFT JOIN names ON name = callee""")
 def ambiguous_name_resolution(spark, sf):

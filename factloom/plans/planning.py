@@ -146,7 +146,7 @@ def common_prefixes(spark, sf):
 @query("""WITH i AS (SELECT DISTINCT 'a/b' || (c_custkey % 4) || '/m.py' AS importer, 'pkg' || (c_custkey % 9) AS module, CAST(c_custkey % 3 AS INTEGER) AS dots FROM customer),
   f AS (SELECT path FROM (SELECT unnest(['pkg0.py', 'pkg1/__init__.py', 'pkg1.py', 'a/b1/pkg2.py', 'a/b2/pkg3/__init__.py', 'a/pkg4.py', 'pkg5/x.py']) AS path))
   SELECT importer, module, dots, coalesce((SELECT path FROM f WHERE path = s || '.py'), (SELECT path FROM f WHERE path = s || '/__init__.py')) AS target,
-    CASE WHEN EXISTS (SELECT 1 FROM f WHERE path IN (s || '.py', s || '/__init__.py')) THEN 'certain' WHEN dots = 0 AND module IN ('pkg0', 'pkg1', 'pkg5') THEN 'inferred' ELSE 'unresolved' END AS confidence
+    CASE WHEN EXISTS (SELECT 1 FROM f WHERE path IN (s || '.py', s || '/__init__.py')) THEN 'certain' WHEN dots = 0 AND module IN ('pkg0', 'pkg1') THEN 'inferred' ELSE 'unresolved' END AS confidence
   FROM (SELECT *, CASE dots WHEN 0 THEN module WHEN 1 THEN regexp_replace(importer, '/m.py$', '/') || module ELSE 'a/' || module END AS s FROM i)""")
 def python_import_resolution(spark, sf):
     key = F.col("c_custkey")

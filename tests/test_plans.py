@@ -38,7 +38,7 @@ def test_common_prefix(spark):
 
 def test_python_modules(spark):
     imports = spark.createDataFrame([("a/b/m.py", "c", 1), ("a/b/m.py", "d.e", 2), ("a/b/m.py", "top", 0), ("a/b/m.py", "a.none", 0), ("a/b/m.py", "os", 0), ("m.py", "x", 5)], "importer string, module string, dots int")
-    files = spark.createDataFrame([("a/b/c.py",), ("a/b/c/__init__.py",), ("a/d/e/__init__.py",), ("top.py",)], "path string")
+    files = spark.createDataFrame([("a/__init__.py",), ("a/b/c.py",), ("a/b/c/__init__.py",), ("a/d/e/__init__.py",), ("top.py",)], "path string")
     got = {(r["module"], r["dots"]): (r["target"], r["confidence"]) for r in planning.python_modules(imports, files).collect()}
     assert got[("c", 1)] == ("a/b/c.py", "certain") and got[("d.e", 2)] == ("a/d/e/__init__.py", "certain") and got[("top", 0)] == ("top.py", "certain")
     assert got[("a.none", 0)] == (None, "inferred") and got[("os", 0)] == (None, "unresolved") and got[("x", 5)] == (None, "unresolved")
