@@ -176,3 +176,86 @@ def changed_signatures(events: DataFrame, key: str, signature: str, baseline: Da
     previous = F.coalesce(F.lag(signature).over(_by(key)), F.col("base_signature"))
     rows = events.join(baseline.select(key, F.col(signature).alias("base_signature")), key, "left")
     return rows.withColumn("_same", F.col(signature).eqNullSafe(previous)).where("not _same").drop("_same", "base_signature")
+
+
+def watched_sessions(events: DataFrame, controls: DataFrame, key: str, identity: str) -> DataFrame:
+    """key, seq, session, sealed_by of a watched log: sessions as of ``capped_sessions``, cut also by control events.
+
+    ``controls`` has key, ts and kind. A commit or a manual seal ends the open session after the events up to its time; a
+    branch switch discards the open session's events. Sessions are numbered by key as they end; the last may be ``open``.
+    ``sealed_by`` is cap, idle, git, manual or open.
+    """
+    marks = controls.select(key, "ts", F.lit(None).cast("long").alias("seq"), F.lit(None).cast(events.schema[identity].dataType).alias(identity), "kind")
+    every = events.select(key, "ts", "seq", identity, F.lit(None).cast("string").alias("kind")).unionByName(marks)
+    order = Window.partitionBy(key).orderBy("ts", F.col("kind").isNotNull(), "seq")
+    control = F.col("kind").isin("commit", "manual", "branch-switch")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    cut = every.withColumn("era", F.coalesce(F.sum(control.cast("long")).over(before), F.lit(0)))
+    ends = cut.where(control).select(key, "era", F.col("kind").alias("end"))
+    inside = Window.partitionBy(key, "era").orderBy("ts", "seq")
+    idle = F.coalesce(F.col("ts") - F.lag("ts").over(inside) >= F.expr(f"interval {int(IDLE.total_seconds())} seconds"), F.lit(True))
+    stretches = cut.where("kind is null").withColumn("idle", idle.cast("long")).withColumn("stretch", F.sum("idle").over(inside)).drop("kind", "idle")
+    kind = events.schema[key].dataType.simpleString()
+
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        state, rows = SessionFold(), pdf.sort_values(["ts", "seq"])
+        numbers = [state.place(t, i) for t, i in zip(rows["ts"], rows[identity], strict=True)]
+        return pd.DataFrame({key: rows[key].to_numpy(), "era": rows["era"].to_numpy(), "stretch": rows["stretch"].to_numpy(), "seq": rows["seq"].to_numpy(), "own": numbers, "full": len(state.identities) >= CAP})
+
+    folded = reliable(stretches.groupBy(key, "era", "stretch").applyInPandas(fold, f"{key} {kind}, era long, stretch long, seq long, own long, full boolean"))
+    last = folded.groupBy(key, "era", "stretch").agg(F.max("own").alias("own"), F.first("full").alias("full"))
+    final = F.max("stretch").over(Window.partitionBy(key, "era")) == F.col("stretch")
+    last = last.withColumn("final", final).join(ends, [key, "era"], "left")
+    by = F.when(F.col("full"), "cap").when(~F.col("final"), "idle").when(F.col("end") == "commit", "git").when(F.col("end").isNotNull(), F.col("end")).otherwise("open")
+    ended = folded.drop("full").join(last.select(key, "era", "stretch", "own", by.alias("by")), [key, "era", "stretch", "own"], "left")
+    kept = ended.withColumn("sealed_by", F.coalesce("by", F.lit("cap"))).where("sealed_by <> 'branch-switch'")
+    number = F.dense_rank().over(Window.partitionBy(key).orderBy("era", "stretch", "own"))
+    return kept.select(key, "seq", number.alias("session"), "sealed_by")
+
+
+def removed_files(removals: DataFrame, baseline: DataFrame, last_seen: DataFrame, history: DataFrame) -> DataFrame:
+    """identity, type of the declarations that go with removed files, as the log has not recorded them yet.
+
+    The baseline's declarations of a file are compared with nothing, unless the file was last seen empty already. What the
+    history has as deleted is not recorded again. ``removals`` has file, ``baseline`` file and identity, ``last_seen`` file and
+    n (declarations), ``history`` identity and type.
+    """
+    empty = last_seen.where("n = 0").select("file")
+    gone = baseline.join(removals.select("file").distinct(), "file").join(empty, "file", "left_anti")
+    return new_changes(gone.select("identity", F.lit("deleted").alias("type")), history)
+
+
+def routed(feed: DataFrame, delay_seconds: float) -> DataFrame:
+    """The file events that are acted on: removals at once, additions and changes once quiet for the delay; a removal cancels what waits.
+
+    ``feed`` has file, ts, seq, op (add, change, unlink).
+    """
+    saves = feed.withColumn("_waits", F.col("op") != "unlink")
+    following = F.lead("ts").over(Window.partitionBy("file").orderBy("ts", "seq"))
+    quiet = following.isNull() | (following - F.col("ts") >= F.expr(f"interval {int(delay_seconds * 1000)} milliseconds"))
+    return saves.withColumn("_fires", ~F.col("_waits") | quiet).where("_fires").drop("_fires", "_waits")
+
+
+def one_shot(entries: DataFrame, sealed: DataFrame, session: str, reason: str) -> DataFrame:
+    """The events that record a one-shot session: a start marker, its entries, a seal marker; none if an earlier one is identical.
+
+    ``entries`` and ``sealed`` (with session and reason) have entry as text; ``entries`` also seq.
+    """
+    from .planning import identical_sessions
+
+    now = entries.select(F.lit("~").alias("session"), F.lit(reason).alias("reason"), "entry")
+    repeated = not identical_sessions(sealed.select("session", "reason", "entry").unionByName(now)).where("session = '~'").isEmpty()
+    if repeated or entries.isEmpty():
+        return entries.sparkSession.createDataFrame([], "place int, seq long, type string, entry string, session string")
+    marks = entries.sparkSession.createDataFrame([(0, None, "session_started", None, session), (2, None, "session_sealed", None, session)], "place int, seq long, type string, entry string, session string")
+    return marks.unionByName(entries.select(F.lit(1).alias("place"), F.col("seq").cast("long"), F.lit("change").alias("type"), "entry", F.lit(session).alias("session"))).orderBy("place", "seq")
+
+
+def distinct_identities(events: DataFrame, key: str) -> DataFrame:
+    """key, n: the identities that a session's events name."""
+    return events.groupBy(key).agg(F.count_distinct("identity").alias("n"))
+
+
+def recovered_net_delta(events: DataFrame, keys: list[str]) -> DataFrame:
+    """``net_delta`` of a log that is read again: changed events only, and only whole pairs (``before`` and ``after`` known to be there)."""
+    return net_delta(events.where("type = 'changed' and pair"), keys)

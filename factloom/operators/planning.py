@@ -100,12 +100,55 @@ def canonical(value: Column, vocabulary: list[str], synonyms: dict[str, str]) ->
     return F.when(F.array_contains(F.array(*map(F.lit, [*vocabulary, *synonyms])), plain), known)
 
 
-def title_problem(title: Column, names: Column) -> Column:
-    """Why a title is refused: empty, longer than 12 words, or holding one of the code-shaped ``names`` as a whole word."""
+# Verbs that say nothing at the start of a title; words that name layers and not features.
+PLACEHOLDER_VERBS = "handle|process|manage|execute|perform|run|do|support|implement|ensure|deal with|take care of"
+LENSES = ("frontend", "backend", "database", "security")
+LAYER_NAMES = (
+    *LENSES, "interface", "server", "safety", "data", "ui", "client", "api", "db", "infrastructure", "infra", "platform", "integration", "middleware", "controller", "service", "services", "utils", "utilities", "helpers",
+    "misc", "miscellaneous", "core", "general", "common", "shared", "operations", "ops", "management", "handling", "processing", "logic", "functionality", "features", "components", "modules",
+)
+# Spellings of roles.
+ROLE_SYNONYMS = {
+    "behaviour": "step steps action operation workflow behavior behaviours behaviors", "vocabulary": "data constant constants schema schemas model type types enum terms term definition definitions",
+    "machinery": "setup config configuration bootstrap startup start-up infrastructure infra platform plumbing lifecycle precondition", "tool": "helper helpers utility utilities util utils formatter shared",
+}
+
+
+def is_layer_name(value: Column) -> Column:
+    """Whether a text only names a layer of a program."""
+    return F.coalesce(F.lower(F.trim(value)).isin(*LAYER_NAMES), F.lit(False))
+
+
+def canonical_lenses(values: Column, vocabulary: list[str], synonyms: dict[str, str]) -> Column:
+    """The vocabulary words that some of the spellings mean, in vocabulary order."""
+    meant = F.transform(values, lambda v: canonical(v, vocabulary, synonyms))
+    return F.filter(F.array(*map(F.lit, vocabulary)), lambda v: F.array_contains(meant, v))
+
+
+def canonical_role(value: Column) -> Column:
+    return canonical(value, list(ROLE_SYNONYMS), {s: role for role, some in ROLE_SYNONYMS.items() for s in some.split()})
+
+
+def member_names(identities: Column) -> Column:
+    """The code-shaped names (whole and by part, three characters or more) of the declarations."""
+    name = lambda i: F.regexp_replace(F.substring_index(F.substring_index(i, "::", 2), "::", -1), ":[^:]*$", "")
+    parts = F.flatten(F.transform(identities, lambda i: F.concat(F.array(name(i)), F.split(name(i), r"\."))))
+    return F.filter(F.array_distinct(parts), lambda n: (F.length(n) >= 3) & n.rlike(r"[_.()]|[a-z][A-Z]"))
+
+
+def names_function(title: Column, name: Column) -> Column:
+    """Whether a title holds a name as a whole word, whatever the case."""
+    pattern = F.concat(F.lit(r"(?i)(?:^|[^A-Za-z0-9_])\Q"), F.replace(name, F.lit("\\E"), F.lit("")), F.lit(r"\E(?:[^A-Za-z0-9_]|$)"))
+    return F.regexp_like(title, pattern)
+
+
+def title_problem(title: Column, identities: Column) -> Column:
+    """Why a title is refused: empty, longer than 12 words, opening with a placeholder verb, or naming a declaration."""
     words = F.filter(F.split(title, r"\s+"), lambda w: w != "")
-    shaped = F.filter(names, lambda n: n.rlike(r"[a-z][A-Z]|_|\.|[0-9]"))
-    low = F.concat(F.lit(" "), F.lower(F.regexp_replace(title, r"[^\w.]+", " ")), F.lit(" "))
-    return F.when(F.size(words) == 0, "empty").when(F.size(words) > 12, "too long").when(F.exists(shaped, lambda n: F.contains(low, F.concat(F.lit(" "), F.lower(n), F.lit(" ")))), "names code")
+    return (
+        F.when(F.coalesce(F.size(words), F.lit(0)) <= 0, "empty").when(F.size(words) > 12, "too long")
+        .when(F.trim(title).rlike(f"(?i)^(?:{PLACEHOLDER_VERBS})\\b"), "placeholder verb").when(F.exists(member_names(identities), lambda n: names_function(title, n)), "names code")
+    )
 
 
 def drop_repeated(readings: DataFrame, lens: str, text: str, order: str) -> DataFrame:

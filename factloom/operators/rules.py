@@ -95,3 +95,22 @@ def capture_approval(nodes: DataFrame, current: DataFrame) -> DataFrame:
     """id, n_identities, error: approval needs every identity of a node in the current facts."""
     each = nodes.select("id", F.explode("identities").alias("identity")).join(current.select("identity", F.lit(True).alias("found")), "identity", "left")
     return each.groupBy("id").agg(F.count("*").alias("n_identities"), (~F.bool_and(F.coalesce("found", F.lit(False)))).alias("error"))
+
+
+def rule_targets(nodes: DataFrame, rules: DataFrame, current: DataFrame) -> DataFrame:
+    """One row a rule (id, place): target, problem, unsupported, facts and approved facts of just that target.
+
+    ``nodes`` has id, identity, identities, approved, approved_by_identity (map); ``rules`` id, place, kind, target; ``current``
+    identity and facts. A target that the node does not stand for, or that the project lacks, is a problem; a rule without
+    one means the node's own identity. Structure rules are unsupported and never fail; rules of other kinds are left out.
+    """
+    own = F.when(F.size(F.coalesce("identities", F.array().cast("array<string>"))) > 0, F.col("identities")).otherwise(F.array("identity"))
+    held = nodes.select("id", "identity", own.alias("held"), "approved", "approved_by_identity")
+    asked = rules.where(F.col("kind").isin("behaviour", "structure")).join(held, "id").withColumn("aim", F.coalesce("target", "identity"))
+    out = asked.join(current.select(F.col("identity").alias("aim"), "facts", F.lit(True).alias("found")), "aim", "left")
+    structure = F.col("kind") == "structure"
+    strange = F.col("target").isNotNull() & ~F.array_contains("held", F.col("target"))
+    problem = F.when(structure, None).when(strange, F.concat(F.lit("rule target "), "target", F.lit(" does not match node identity "), "identity")).when(F.col("found").isNull(), F.concat("aim", F.lit(" is missing from the current project")))
+    usable = ~structure & problem.isNull()
+    snapshot = F.coalesce(F.try_element_at("approved_by_identity", F.col("aim")), F.when(F.col("aim") == F.col("identity"), F.col("approved")))
+    return out.select("id", "place", F.when(structure, F.col("target")).otherwise(F.col("aim")).alias("target"), problem.alias("problem"), structure.alias("unsupported"), F.when(usable, F.col("facts")).alias("facts"), F.when(usable, snapshot).alias("approved"))

@@ -98,3 +98,82 @@ def fallback_tags(text: Column, vocabulary: dict[str, tuple[str, ...]]) -> Colum
     low = F.lower(text)
     hit = lambda words: F.coalesce(*[F.when(F.contains(low, F.lit(w)), True) for w in words], F.lit(False))
     return F.array_compact(F.array(*[F.when(hit(words), F.lit(tag)) for tag, words in vocabulary.items()]))
+
+
+# Steps that a feature shows without folding, and steps of an unnamed range.
+FLAT, RANGE = 12, 10
+
+
+def in_step_order(rows: DataFrame, group: str, seq: str = "seq") -> DataFrame:
+    """``rows`` with ``place`` (from 1): numbered steps by number and id, then the others as they come."""
+    order = [F.col("step").isNull(), "step", F.when(F.col("step").isNotNull(), F.col("id").cast("string")), seq]
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy(group).orderBy(*order)))
+
+
+def parts_of(rows: DataFrame, group: str = "feature", seq: str = "seq") -> DataFrame:
+    """group, id, place, part (from 1), part_name, number of every step.
+
+    A feature of more than FLAT steps is cut into parts by their first heading, in the order in which these come, steps
+    without one last; if that gives one part only, into ranges of RANGE. A step is numbered by its part and its place in it.
+    """
+    w = Window.partitionBy(group)
+    heading = F.coalesce(F.get("path", F.lit(0)), F.lit(""))
+    placed = in_step_order(rows, group, seq).select(group, "id", "place", heading.alias("heading")).withColumn("n", F.count("*").over(w))
+    first = placed.groupBy(group, "heading").agg(F.min("place").alias("first"))
+    ranked = first.withColumn("part", F.row_number().over(w.orderBy(F.col("heading") == "", "first"))).withColumn("parts", F.count("*").over(w))
+    out = placed.join(ranked, [group, "heading"])
+    start = F.floor((F.col("place") - 1) / RANGE) * RANGE
+    by_range = F.concat(F.lit("Steps "), (start + 1).cast("string"), F.lit("–"), F.least(start + RANGE, F.col("n")).cast("string"))
+    name = F.when(F.col("parts") == 1, by_range).when(F.col("heading") == "", "Other steps").otherwise(F.col("heading"))
+    part = F.when(F.col("parts") == 1, (start / RANGE + 1).cast("int")).otherwise(F.col("part"))
+    flat = F.col("n") <= FLAT
+    out = out.select(group, "id", "place", F.when(~flat, part).alias("part"), F.when(~flat, name).alias("part_name"))
+    inside = Window.partitionBy(group, "part")
+    at, size = F.row_number().over(inside.orderBy("place")).cast("string"), F.count("*").over(inside)
+    number = F.when(F.col("part").isNull(), F.col("place").cast("string")).when(size == 1, F.col("part").cast("string")).otherwise(F.concat(F.col("part").cast("string"), F.lit("."), at))
+    return out.withColumn("number", number)
+
+
+def constellation(features: DataFrame, nodes: DataFrame, lens_order: list[str]) -> DataFrame:
+    """feature, place (of those with steps, by seq), steps, parts, sub, lenses, failing, status, setup (nodes of a feature without steps).
+
+    ``features`` has feature and seq; ``nodes`` id, feature, role, status, step, path, lens_tags, seq.
+    """
+    steps = nodes.where("role = 'behaviour'")
+    counts = steps.groupBy("feature").agg(F.count("*").alias("steps"))
+    parts = parts_of(steps).groupBy("feature").agg(F.count_distinct("part").alias("parts"))
+    tags = F.flatten(F.collect_set(F.coalesce("lens_tags", F.array().cast("array<string>"))))
+    facts = nodes.groupBy("feature").agg(F.count("*").alias("members"), F.count_if(F.col("status").isin("drifted", "error")).alias("failing"), *[F.max(F.coalesce(F.array_contains("lens_tags", x), F.lit(False))).alias(f"_lens{i}") for i, x in enumerate(lens_order)])
+    lenses = F.array_compact(F.array(*[F.when(F.col(f"_lens{i}"), F.lit(x)) for i, x in enumerate(lens_order)]))
+    out = features.join(counts, "feature", "left").join(parts, "feature", "left").join(facts, "feature", "left").join(feature_status(nodes), "feature", "left")
+    shown = F.col("steps").isNotNull()
+    place = F.when(shown, F.row_number().over(Window.partitionBy(shown).orderBy("seq")))  # one row a feature
+    sub = F.when(F.col("parts") > 1, F.concat(F.col("steps"), F.lit(" steps · "), F.col("parts"), F.lit(" parts"))).when(F.col("steps") == 1, "1 step").otherwise(F.concat(F.col("steps"), F.lit(" steps")))
+    return out.select(
+        "feature", place.alias("place"), F.coalesce("steps", F.lit(0)).alias("steps"), F.when(shown, sub).alias("sub"), F.when(shown, lenses).alias("lenses"),
+        F.when(shown, F.col("failing")).alias("failing"), F.when(shown, F.col("status")).alias("status"), F.when(~shown, F.coalesce("members", F.lit(0))).alias("setup"),
+    )
+
+
+def outline(rows: DataFrame) -> DataFrame:
+    """id, feature, shown: each row's headings without those levels that hold one thing only.
+
+    ``rows`` has id, feature and path; a level is told from one of the same name by all that stands above it.
+    """
+    path = F.filter(F.transform(F.coalesce("path", F.array().cast("array<string>")), lambda x: F.trim(x)), lambda x: F.coalesce(x != "", F.lit(False)))
+    own = rows.select("id", F.coalesce(F.nullif("feature", F.lit("")), F.lit("Unclassified")).alias("feature"), path.alias("path"))
+    levels = own.where(F.size("path") > 0).select("feature", "id", "path", F.explode(F.sequence(F.lit(1), F.size("path"))).alias("depth"))
+    levels = levels.select("feature", "id", "depth", F.slice("path", F.lit(1), F.col("depth")).alias("level"), F.when(F.col("depth") < F.size("path"), F.element_at("path", F.col("depth") + 1)).alias("below"))
+    child = F.struct("below", F.when(F.col("below").isNull(), F.col("id")).alias("row"))
+    branching = levels.groupBy("feature", "level").agg(F.min(child).alias("a"), F.max(child).alias("b")).where("not a <=> b").select("feature", "level")
+    kept = levels.join(branching, ["feature", "level"]).groupBy("feature", "id").agg(F.array_sort(F.collect_list(F.struct("depth", F.element_at("level", -1).alias("name")))).alias("kept"))
+    shown = F.coalesce(F.transform("kept", lambda x: x["name"]), F.array().cast("array<string>"))
+    return own.join(kept, ["feature", "id"], "left").select("id", "feature", shown.alias("shown"))
+
+
+def vocabulary_places(words: DataFrame, vocabulary: list[str], palette: list[str]) -> DataFrame:
+    """word, place, colour of the distinct words that the vocabulary has, by its order."""
+    known = F.array(*map(F.lit, vocabulary))
+    place = F.array_position(known, F.col("word")) - 1
+    colours = F.array(*map(F.lit, palette))
+    return words.select("word").distinct().where(F.array_contains(known, F.col("word"))).select("word", place.cast("int").alias("place"), F.get(colours, F.pmod(place, F.lit(len(palette))).cast("int")).alias("colour"))

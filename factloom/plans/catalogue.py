@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import diff, events, graph, rules, views
+from . import authoring as _authoring  # noqa: F401  likewise
 from . import history as _history  # noqa: F401  fills the registry
 from . import planning as _planning  # noqa: F401  likewise
 from . import sources as _sources  # noqa: F401  likewise
@@ -557,14 +558,6 @@ def identity_parse(spark, sf):
     return b.select("identity", T.identity_file(F.col("identity")).alias("file"), T.identity_name(F.col("identity")).alias("name"))
 
 
-@query(f"""WITH {R.PLAN_SQL} SELECT id, e AS error FROM plan, unnest([CASE WHEN id % 17 = 0 THEN 'title missing' END, CASE WHEN NOT list_contains({list(views.SEVERITY)}, status) THEN 'status unknown' END,
-  CASE WHEN step < 5 THEN 'step too small' END]) AS t(e) WHERE e IS NOT NULL""")
-def validate_plan_rows(spark, sf):
-    title = F.when(F.col("id") % 17 != 0, F.col("title"))
-    checks = F.array(F.when(title.isNull(), F.lit("title missing")), F.when(~F.col("status").isin(*views.SEVERITY), F.lit("status unknown")), F.when(F.col("step") < 5, F.lit("step too small")))
-    return R.plan(spark, sf).select("id", F.explode(F.array_compact(checks)).alias("error"))
-
-
 @query("""SELECT o_orderkey AS id, CASE WHEN d <= 0 THEN 'today' WHEN d = 1 THEN '1 day ago' ELSE d || ' days ago' END AS age
   FROM (SELECT o_orderkey, CAST(floor((epoch(TIMESTAMP '1998-10-04 12:00:00') - epoch(o_orderdate)) / 86400) AS BIGINT) AS d FROM orders)""")
 def relative_dates(spark, sf):

@@ -114,11 +114,23 @@ def canonical_lens(spark, sf):
     return R.table(spark, sf, "part").select(F.col("p_partkey").alias("id"), P.canonical(raw, ["red-widget", "blue-gear"], {"small-ring": "red-widget"}).alias("lens"))
 
 
-@query("""SELECT p_partkey AS id, CASE WHEN p_partkey % 10 = 0 THEN 'empty' WHEN p_partkey % 10 = 1 THEN 'too long' WHEN p_partkey % 10 = 2 THEN 'names code' END AS problem FROM part""")
+@query("""SELECT p_partkey AS id, CASE WHEN p_partkey % 10 = 0 THEN 'empty' WHEN p_partkey % 10 = 1 THEN 'too long' WHEN p_partkey % 10 IN (2, 5) THEN 'names code' WHEN p_partkey % 10 = 3 THEN 'placeholder verb' END AS problem FROM part""")
 def title_problems(spark, sf):
     k = F.col("p_partkey") % 10
-    title = F.when(k == 0, " ").when(k == 1, F.concat_ws(" ", F.array_repeat("p_name", 8))).when(k == 2, F.concat("p_name", F.lit(" saveItem now"))).otherwise(F.col("p_name"))
-    return R.table(spark, sf, "part").select(F.col("p_partkey").alias("id"), P.title_problem(title, F.array(F.lit("saveItem"), F.lit("ring"))).alias("problem"))
+    title = F.when(k == 0, " ").when(k == 1, F.concat_ws(" ", F.array_repeat("p_name", 8))).when(k == 2, F.concat("p_name", F.lit(" SAVEITEM now"))).when(k == 3, F.concat(F.lit("Take care of "), "p_name"))
+    title = title.when(k == 4, F.concat("p_name", F.lit(" saveItems"))).when(k == 5, F.concat("p_name", F.lit(" (store.saveItem)"))).otherwise(F.col("p_name"))
+    return R.table(spark, sf, "part").select(F.col("p_partkey").alias("id"), P.title_problem(title, F.array(F.lit("a/b.ts::Store.saveItem:method"), F.lit("a.ts::ring:function"))).alias("problem"))
+
+
+@query("""SELECT p_partkey AS id, CASE p_partkey % 4 WHEN 0 THEN 'tool' WHEN 1 THEN 'machinery' WHEN 2 THEN 'behaviour' END AS role, p_partkey % 3 = 0 AS layer, CASE WHEN p_partkey % 2 = 0 THEN 'backend,database' ELSE 'security' END AS lenses FROM part""")
+def canonical_vocabulary(spark, sf):
+    k = F.col("p_partkey")
+    role = F.when(k % 4 == 0, " Utils ").when(k % 4 == 1, "START_UP").when(k % 4 == 2, "Behavior").otherwise("p_name")
+    spelt = F.when(k % 2 == 0, F.array(F.lit("SQL"), F.lit("third party"), F.lit("odd"), F.lit("backend"))).otherwise(F.array(F.lit("Error_Handling")))
+    synonyms = {"sql": "database", "third-party": "backend", "error-handling": "security"}
+    layer = F.when(k % 3 == 0, " Middleware ").otherwise(F.concat("p_name", F.lit(" core")))
+    lenses = F.array_join(P.canonical_lenses(spelt, list(P.LENSES), synonyms), ",")
+    return R.table(spark, sf, "part").select(k.alias("id"), P.canonical_role(role).alias("role"), P.is_layer_name(layer).alias("layer"), lenses.alias("lenses"))
 
 
 @query("SELECT p_partkey AS id, p_type AS lens FROM part WHERE p_name <> 'red ring' QUALIFY row_number() OVER (PARTITION BY p_type, p_name ORDER BY p_partkey) = 1")
@@ -175,8 +187,3 @@ def label_batches(spark, sf):
 @query(f"WITH {R.LOG_SQL} SELECT seq, identity FROM log WHERE after % 7 = 0 ORDER BY ts DESC, seq DESC LIMIT 1")
 def newest_significant(spark, sf):
     return R.log(spark, sf).where("after % 7 = 0").orderBy(F.desc("ts"), F.desc("seq")).limit(1).select("seq", "identity")
-
-
-@query("""SELECT page_id, regexp_matches(url, '/(en|fr)/') AND NOT regexp_matches(url, '\\?|#') AS kept FROM pages""")
-def ignored_paths(spark, sf):
-    return R.table(spark, sf, "pages").select("page_id", (F.col("url").rlike("/(en|fr)/") & ~F.col("url").rlike(r"\?|#")).alias("kept"))

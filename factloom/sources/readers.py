@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.events import with_rank
+
 # Directory names that are never scanned, source extensions, and the one that is left out.
 SKIPPED = ("node_modules", ".git", "dist", "build", "coverage", ".next", "out", ".turbo", ".cache")
 SOURCES = r"(?i)\.(?:js|ts|tsx|py)$"
@@ -28,6 +30,7 @@ EVENT = T.StructType(
 )
 FACTS = "throws int, throwTypes array<string>, returns int, returnsNullish int, calls array<string>, numbers array<double>, awaits int, catches int, emptyCatches int, params int"
 SNAPSHOT = f"version int, declarations array<struct<identity:string,file:string,kind:string,properties:struct<{', '.join(x.replace(' ', ':', 1) for x in FACTS.split(', '))}>>>"
+SNAPSHOT_LINE = f"identity string, file string, kind string, properties struct<{', '.join(x.replace(' ', ':', 1) for x in FACTS.split(', '))}>"
 #: Version of the snapshot format.
 VERSION = 2
 
@@ -36,6 +39,29 @@ def is_source(path):
     return path.rlike(SOURCES) & ~path.rlike(TYPINGS)
 
 
+def should_ignore(path, is_file=None):
+    """Whether a watched path is left out: under a skipped directory, a system file, or known to be a file that is no source."""
+    plain = F.concat(F.lit("/"), F.translate(path, "\\", "/"))
+    skipped = F.exists(F.array(*[F.lit(f"/{d}/") for d in SKIPPED]), lambda d: F.contains(plain, d))
+    name = F.substring_index(plain, "/", -1)
+    other = F.coalesce(is_file, F.lit(False)) & ~is_source(path) if is_file is not None else F.lit(False)
+    known_folder = ~F.coalesce(is_file, F.lit(True)) if is_file is not None else F.lit(False)
+    return skipped | ~known_folder & ((name == ".DS_Store") | other)
+
+
+def git_boundaries(polls: DataFrame, key: str) -> DataFrame:
+    """key, ts, kind, head, branch: commits and branch switches from polls of a repository's head and branch.
+
+    A poll that shows another branch is a switch, whatever its head; one that shows another head a commit; a first poll nothing.
+    """
+    from pyspark.sql import Window
+
+    w = Window.partitionBy(key).orderBy("ts")
+    first = F.row_number().over(w) == 1
+    kind = F.when(first, None).when(~F.lag("branch").over(w).eqNullSafe(F.col("branch")), "branch-switch").when(~F.lag("head").over(w).eqNullSafe(F.col("head")), "commit")
+    return polls.select(key, "ts", kind.alias("kind"), "head", "branch").where("kind is not null")
+
+
 def source_files(spark: SparkSession, root: str) -> DataFrame:
     """path (relative, with /) and content of the source files under ``root``, in skipped directories nothing."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
@@ -47,19 +73,33 @@ def source_files(spark: SparkSession, root: str) -> DataFrame:
 
 
 def read_snapshot(spark: SparkSession, path: str) -> DataFrame:
-    """identity, file, kind, properties of a snapshot; another version is an error."""
-    whole = spark.read.schema(SNAPSHOT).json(path, multiLine=True)
-    version = whole.select("version").first()
-    if version is None or version[0] != VERSION:
-        raise ValueError(f"snapshot version {version and version[0]}, expected {VERSION}")
-    return whole.select(F.explode("declarations").alias("d")).select("d.*")
+    """identity, file, kind, properties of a snapshot; another version is an error.
+
+    A snapshot is one JSON document, or the lines that ``write_snapshot`` wrote, of which each has the version.
+    """
+    first = spark.read.text(path).where(F.trim("value") != "").select(F.try_parse_json("value").isNotNull()).first()
+    lines = bool(first and first[0])
+    whole = spark.read.text(path, wholetext=not lines).where(F.trim("value") != "")
+    whole = whole.select(F.from_json("value", f"{SNAPSHOT}, {SNAPSHOT_LINE}").alias("s")).select("s.*")
+    versions = [r[0] for r in whole.select("version").distinct().limit(3).collect()]
+    if versions != [VERSION]:
+        raise ValueError(f"snapshot version {versions}, expected {VERSION}")
+    line = F.array(F.struct("identity", "file", "kind", "properties"))
+    each = whole.select(F.explode(F.coalesce("declarations", F.when(F.col("identity").isNotNull(), line), F.slice(line, 1, 0))).alias("d"))
+    return each.select("d.*")
 
 
 def read_events(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Events of a JSON Lines log, and its malformed lines; blank lines count as neither."""
-    lines = spark.read.text(path).where(F.trim("value") != "")
-    raw = lines.select(F.from_json("value", EVENT, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}).alias("e")).select("e.*")
-    return raw.where("_bad is null").drop("_bad"), raw.where("_bad is not null").select("_bad")
+    """Events of a JSON Lines log, and its malformed lines; blank lines count as neither.
+
+    ``seq`` is the line's place in the log, unless the line carries one: files by name, then the blocks of a file as they are
+    read, then the lines of a block.
+    """
+    lines = spark.read.text(path).select("value", F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("at"))
+    numbered = with_rank(lines, ["at"]).where(F.trim("value") != "")
+    raw = numbered.select("rank", F.from_json("value", EVENT, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}).alias("e")).select("rank", "e.*")
+    good = raw.where("_bad is null").withColumn("seq", F.coalesce("seq", "rank")).drop("_bad", "rank")
+    return good, raw.where("_bad is not null").select("_bad")
 
 
 def read_document(spark: SparkSession, path: str, default, strict: bool = False):

@@ -61,19 +61,27 @@ def debounced(stream: DataFrame, key: str, delay_seconds: float) -> DataFrame:
     return keyed.applyInPandasWithState(step, f"{key} {kind}, seq long, ts timestamp", "seq long, ts string", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def changed_signatures(stream: DataFrame, key: str, signature: str) -> DataFrame:
-    """key, seq, signature of observations that differ from the key's last seen one."""
+def changed_signatures(stream: DataFrame, key: str, signature: str, baseline: DataFrame | None = None) -> DataFrame:
+    """key, seq, signature of observations that differ from the key's last seen one, at first from the baseline's (key, signature).
+
+    The baseline is a static table, one row a key, that every micro-batch is joined with.
+    """
+    if baseline is not None:
+        stream = stream.join(baseline.select(key, F.col(signature).alias("_base")), key, "left")
+    else:
+        stream = stream.withColumn("_base", F.lit(None).cast("string"))
     kind = stream.schema[key].dataType.simpleString()
 
     def step(group: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else None
+        rows = pd.concat(list(batches)).sort_values("seq")
+        last = state.get[0] if state.exists else rows["base"].iloc[0]
         out = []
-        for row in pd.concat(list(batches)).sort_values("seq").itertuples(index=False):
+        for row in rows.itertuples(index=False):
             if row.sig != last:
                 out.append((group[0], int(row.seq), row.sig))
                 last = row.sig
         state.update((last,))
         yield pd.DataFrame(out, columns=[key, "seq", signature])
 
-    keyed = stream.select(key, "seq", F.col(signature).alias("sig")).groupBy(key)
+    keyed = stream.select(key, "seq", F.col(signature).alias("sig"), F.col("_base").alias("base")).groupBy(key)
     return keyed.applyInPandasWithState(step, f"{key} {kind}, seq long, {signature} string", "sig string", "append", GroupStateTimeout.NoTimeout)
