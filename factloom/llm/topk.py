@@ -1,7 +1,9 @@
 """Exact top-k inner products by norm buckets.
 
-Vectors are grouped by length into geometric bands, large bands are cut into salted blocks, and a block meets only those
-queries whose k-th best score so far can still be reached at the band's greatest length. The first thresholds come from a
+Vectors are grouped by length into geometric bands, and large bands are cut into salted blocks. Queries are dealt to groups of the
+same number of bytes, so that blocks and groups form a grid on which both sides are copied equally often; for a given work
+that copies least. A query goes only to bands where its k-th best score so far can still be reached at the band's greatest
+length, and a band only to groups that have such a query. The first thresholds come from a
 bounded set of the longest vectors. Inside a block, buckets of falling length are scanned; each bucket has, per query, a
 local cosine threshold that decides between scanning the bucket's length-sorted prefix and looking only at the feasible
 interval of the query's strongest coordinate. Whatever remains is verified by exact integer products.
@@ -14,10 +16,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import checkpointed, small_batches
 
-#: Rows of a candidate block, of a query block, of a bucket in a block, and of the longest vectors that give the first thresholds.
-BLOCK, QUERIES, BUCKET, SEEDS = 2048, 8192, 256, 4096
+#: Bytes of a side of a task (its queries and its candidates alike), rows of a bucket in a block, and of the longest vectors that
+#: give the first thresholds.
+SIDE_BYTES, BUCKET, SEEDS = 16 << 20, 256, 4096
+#: Queries whose products with a bucket are held at once.
+AT_ONCE = 2048
 #: A bucket whose local cosine threshold reaches this is searched by coordinate.
 COORDINATE_COSINE = 0.5
 _RESULT = "query_id long, vec_id long, score long"
@@ -32,6 +37,11 @@ def quantised(vectors: DataFrame, id_col: str, vec_col: str, scale: int) -> Data
     return out.withColumn("dim", F.size("v")).withColumn("norm", F.sqrt(squares))
 
 
+def _side(dim: Column) -> Column:
+    """Vectors of this dimension (of 64-bit components) that a side of a task holds."""
+    return F.greatest(F.floor(F.lit(SIDE_BYTES) / (8 * F.greatest(dim, F.lit(1)))), F.lit(16))
+
+
 def _matrix(column: pa.ChunkedArray, rows: int, dim: int) -> np.ndarray:
     flat = column.combine_chunks().flatten().to_numpy(zero_copy_only=False) if rows else np.zeros(0, np.int64)
     return np.asarray(flat, dtype=np.int64).reshape(rows, dim)
@@ -115,7 +125,7 @@ def exact_top_k(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str =
     rows = rows.withColumn("band", band)
     asked = quantised(vectors.where(is_query), id_col, vec_col, scale).groupBy("id").agg(F.min("v").alias("v")).withColumn("dim", F.size("v"))
     # A handful of lengths' bands for each dimension, whatever the number of rows.
-    bands = rows.groupBy("dim", "band").agg(F.count("*").alias("n"), F.max("norm").alias("longest")).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+    bands = rows.groupBy("dim", "band").agg(F.count("*").alias("n"), F.max("norm").alias("longest")).withColumn("blocks", F.ceil(F.col("n") / _side(F.col("dim"))).cast("int"))
     seeds = rows.select("id", "v", "dim", "norm").orderBy(F.desc("norm"), "id").limit(SEEDS).toArrow()
     by_dim = {}
     if seeds.num_rows:
@@ -142,13 +152,16 @@ def exact_top_k(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str =
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(floors)], names=["id", "v", "dim", "floor"])
 
     asked = asked.mapInArrow(thresholds, "id long, v array<long>, dim int, floor long")
-    n_asked = max(1, -(-vectors.where(is_query).count() // QUERIES))
+    n_asked = vectors.where(is_query).count()
     length = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
-    asked = asked.withColumn("turn", F.expr(f"cast(pmod(xxhash64(id), {n_asked}) as int)")).withColumn("length", length)
+    asked = asked.withColumn("turn", F.pmod(F.xxhash64("id"), F.greatest(F.ceil(F.lit(n_asked) / _side(F.col("dim"))), F.lit(1))).cast("int")).withColumn("length", length)
     reach = F.col("floor").cast("double") <= F.col("length") * F.col("longest") * (1 + 1e-9) + 1e-6
-    asked = asked.join(bands, "dim").where(reach).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    held = rows.join(bands.select("dim", "band", "blocks"), ["dim", "band"]).withColumn("salt", F.expr("cast(pmod(xxhash64(id, v), blocks) as int)"))
-    held = held.withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(n_asked - 1)))) if n_asked > 1 else held.withColumn("turn", F.lit(0))
+    asked = checkpointed(asked)
+    reaching = asked.join(bands, "dim").where(reach)
+    # For every band the groups that have to see it: a few numbers for each of a handful of bands.
+    turns = reaching.groupBy("dim", "band", "blocks").agg(F.collect_set("turn").alias("turns"))
+    asked = reaching.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    held = rows.join(turns, ["dim", "band"]).withColumn("salt", F.expr("cast(pmod(xxhash64(id, v), blocks) as int)")).withColumn("turn", F.explode("turns"))
     key = ["dim", "band", "salt", "turn"]
 
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -156,8 +169,13 @@ def exact_top_k(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str =
             return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.int64())})
         dim = left.column("dim")[0].as_py()
         qid, cid = np.asarray(left.column("id")), np.asarray(right.column("c_id"))
-        row, ids, scores = search_block(qid, _matrix(left.column("v"), len(qid), dim), np.asarray(left.column("floor")), cid, _matrix(right.column("c_v"), len(cid), dim), k)
-        return pa.table({"query_id": qid[row], "vec_id": ids, "score": scores})
+        q, floor, c = _matrix(left.column("v"), len(qid), dim), np.asarray(left.column("floor")), _matrix(right.column("c_v"), len(cid), dim)
+        parts = []
+        for at in range(0, len(qid), AT_ONCE):
+            some = slice(at, at + AT_ONCE)
+            row, ids, scores = search_block(qid[some], q[some], floor[some], cid, c, k)
+            parts.append(pa.table({"query_id": qid[some][row], "vec_id": ids, "score": scores}))
+        return pa.concat_tables(parts)
 
     found = asked.select(*key, "id", "v", "floor").groupBy(*key).cogroup(held.select(*[F.col(x).alias(f"c_{x}") for x in [*key, "id", "v"]]).groupBy(*[f"c_{x}" for x in key])).applyInArrow(search, _RESULT)
     ranked = found.selectExpr("*", "row_number() over (partition by query_id order by score desc, vec_id) as rank").where(F.col("rank") <= k)
