@@ -68,10 +68,12 @@ def op9_toxicity_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _dated_entries(pages: DataFrame) -> DataFrame:
-    """Stand-in for a published list, from digests of the hosts: some hosts and domains are blocked on a day, some of them freed or allowed later."""
-    host = pages.select(urls.host_of(F.col("url")).alias("host")).where("host <> ''")
+    """Stand-in for a published list, from digests: some hosts, domains and pages are blocked on a day, some of them freed or allowed later."""
+    path = F.regexp_extract("url", r"(?i)^[a-z][a-z0-9+.-]*://[^/?#]+(/[^?#]*)", 1)
+    host = pages.select(urls.host_of(F.col("url")).alias("host"), path.alias("path")).where("host <> ''")
     domain = F.regexp_extract("host", r"([^.]+\.[^.]+)$", 1)
-    named = host.select("host").union(host.select(domain.alias("host"))).where("host <> ''").distinct()
+    page = host.where(F.length("path") > 1).select(F.concat("host", "path").alias("host"))
+    named = host.select("host").union(host.select(domain.alias("host"))).union(page).where("host <> ''").distinct()
     letter = lambda k: F.ascii(F.substring(F.md5(F.col("host").cast("binary")), k, 1))
     day = F.date_add(F.lit("2024-01-01").cast("date"), letter(2) * 7 % 180)
     first = named.where(letter(1) % 3 == 0).select(F.col("host").alias("pattern"), F.lit("block").alias("verdict"), day.alias("since"))
@@ -87,8 +89,21 @@ def op5_url_list_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.withColumns({c: F.col(c).cast("string") for c in ("fetched_on", "since")})
 
 
+def _quoting(messages: DataFrame) -> DataFrame:
+    """The conversations as mail would have them, as the table holds no quotes: replies quote what was said before, whole, in part or nested."""
+    said = messages.groupBy("conv_id", F.col("turn").alias("at")).agg(F.min("text").alias("said"))
+    before = lambda k: said.select(F.col("conv_id").alias(f"c{k}"), F.col("at").alias(f"t{k}"), F.col("said").alias(f"said{k}"))
+    out = messages
+    for k in (1, 2):
+        out = out.join(before(k), (F.col("conv_id") == F.col(f"c{k}")) & (F.col("turn") - k == F.col(f"t{k}")), "left")
+    marked = lambda text, mark: F.concat(F.lit(mark), F.replace(text, F.lit("\n"), F.lit("\n" + mark)), F.lit("\n"))
+    kind = F.col("turn") % 4
+    quote = F.when(kind == 1, marked(F.col("said1"), "> ")).when(kind == 2, marked(F.translate(F.substring_index("said1", "\n", 1), "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"), ">")).when(kind == 3, F.concat(marked(F.col("said2"), "> > "), marked(F.col("said1"), "> ")))
+    return out.select(*[F.concat(F.coalesce(quote, F.lit("")), "text").alias(c) if c == "text" else F.col(c) for c in messages.columns])
+
+
 def op8_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quotes.link_quotes(_table(spark, sf_dir, "conversations"))
+    return quotes.link_quotes(_quoting(_table(spark, sf_dir, "conversations")))
 
 
 def queries() -> dict:

@@ -1,9 +1,14 @@
+import math
 import random
+import re
 import zlib
 
+import numpy as np
+import regex
 from pyspark.sql import functions as F
 
 from factloom.llm import language, toxicity
+from factloom.llm.queries import TOXIC
 
 SYLLABLES = {"en": "th er ing ou wh", "de": "sch ung ein ß ü", "fr": "eau oi é que ç", "es": "ción ñ rr ado ll"}
 
@@ -94,3 +99,106 @@ def test_targets_direct_what_precedes_them(spark):
     marks = spark.createDataFrame([], "doc_id long, toxic int")
     got = {x["doc_id"]: x["score"] for x in toxicity.score(docs, toxicity.fit(docs, marks, F.lit(True))).collect()}
     assert got[1] == got[2] > 0.7 > got[3] == got[4]
+
+
+def plain_features(text):
+    raw = f" {text.lower()} ".encode()
+    raw = bytes(b if b >= 128 or 97 <= b <= 122 else 32 for b in raw)
+    counts = {}
+    for a, b, c in zip(raw, raw[1:], raw[2:]):
+        if not (b == 32 and 32 in (a, c)):
+            k = ((a << 16 | b << 8 | c) * 2654435761 % (1 << 32)) >> 20
+            counts[k] = counts.get(k, 0) + 1
+    size = sum(counts.values()) ** 0.5
+    return {k: n**0.5 / size for k, n in counts.items()}
+
+
+def plain_vote(machines, text):
+    """Class and mean probability by a loop over all pairs."""
+    x, votes, sums = plain_features(text), [0] * len(machines.classes), [0.0] * len(machines.classes)
+    for (a, b), w, bias in zip(machines.pairs, machines.weights, machines.biases, strict=True):
+        p = 1 / (1 + math.exp(-4 * (sum(w[k] * v for k, v in x.items()) + bias)))
+        votes[a if p >= 0.5 else b] += 1
+        sums[a] += p
+        sums[b] += 1 - p
+    n = len(machines.classes)
+    best = max(range(n), key=lambda c: (votes[c], sums[c], -c))
+    return best, (sums[best] / (n - 1) if n > 1 else 1.0)
+
+
+def test_language_equals_a_plain_loop(spark):
+    r = random.Random(5)
+    syllables = SYLLABLES | {"nl": "ij oe aa sch g", "it": "zione gli che ò", "xx": "qq kz", "xy": "wv jj"}
+    rows = [(i, lang, " ".join("".join(r.choice(syllables[lang].split()) for _ in range(r.randint(1, 4))) for _ in range(r.randint(5, 30)))) for i in range(320) for lang in [sorted(syllables)[i % 8]]]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    model = language.fit(docs)
+    assert model.families.classes == ["germanic", "romance", "unlisted x"] and [m.classes for m in model.within] == [["de", "en", "nl"], ["es", "fr", "it"], ["xx", "xy"]]
+    # One machine, trained again from all rows of its two languages.
+    x = np.zeros((80, language.DIM), np.float32)
+    pair = sorted((row for row in rows if row[1] in ("de", "nl")), key=lambda row: (row[1], row[0]))
+    for i, row in enumerate(pair):
+        for k, v in plain_features(row[2]).items():
+            x[i, k] = v
+    w, bias = language.linear_svm(x, np.array([row[1] == "de" for row in pair]))
+    k = model.within[0].pairs.index((0, 2))
+    assert np.allclose(model.within[0].weights[k], w, atol=1e-4) and abs(model.within[0].biases[k] - bias) < 1e-4
+    long = "schung ein " * 200000
+    for text, got in zip([t for _, _, t in rows[:80]] + [long], zip(*model.predict([t for _, _, t in rows[:80]] + [long]), strict=True), strict=True):
+        family, sure = plain_vote(model.families, text)
+        best, p = plain_vote(model.within[family], text)
+        assert got[0] == model.within[family].classes[best] and abs(got[1] - min(1.0, sure * p)) < 1e-3
+
+
+def test_ties_between_languages():
+    pairs = [(0, 1), (0, 2), (1, 2)]
+    weights = np.zeros((3, language.DIM), np.float32)
+    x = np.zeros((1, language.DIM), np.float32)
+    circle = language.Pairwise(["a", "b", "c"], pairs, weights, np.array([1, -1, 1], np.float32))  # a beats b, c beats a, b beats c
+    assert circle.predict(x)[0][0] == 0
+    surer = language.Pairwise(["a", "b", "c"], pairs, weights, np.array([1, -1, 2], np.float32))
+    assert surer.predict(x)[0][0] == 1
+    even = language.Pairwise(["a", "b"], [(0, 1)], weights[:1], np.zeros(1, np.float32))
+    assert even.predict(x) == (np.array([0]), np.array([0.5]))
+
+
+def plain_patterns(grammar, text):
+    """The patterns of a text by looking around every word, without transducers."""
+    out = dict.fromkeys(toxicity.PATTERNS, 0.0)
+    for clause in re.split(r"[.!?;:\n]+", text.lower()):
+        words, quotes = [], 0
+        for w in regex.findall(r"[\p{L}\p{M}'’]+|[\"“”«»„]", clause):
+            if w in "\"“”«»„":
+                quotes += 1
+                words.append(("R" if quotes % 2 else "o", 0))
+            else:
+                weight = grammar.weight(w)
+                words.append(("i" if weight else "t" if w in toxicity.THREATS else "T" if w in toxicity.TARGETS else "N" if w in toxicity.NEGATIONS else "R" if w in toxicity.REPORTS else "o", weight or 5.0))
+        for j, (kind, weight) in enumerate(words):
+            if kind not in "it":
+                continue
+            reported = any(k == "R" for k, _ in words[:j])
+            negated = any(k == "N" for k, _ in words[max(0, j - 4) : j])
+            directed = any(k == "T" for k, _ in words[max(0, j - 4) : j] + words[j + 1 : j + 5])
+            if kind == "i":
+                out["denied" if reported and negated else "reported" if reported else "negated" if negated else "directed" if directed else "insult"] += weight
+            elif directed and not reported and not negated:
+                out["threat"] += weight
+    return [out[p] for p in toxicity.PATTERNS]
+
+
+def test_scores_equal_plain_reading():
+    r, grammar = random.Random(8), toxicity.Grammar({"idiot": 6.0, "trott*": 5.0, "zonk": 4.0}, np.array([1.0, 1.2, 0.4, 0.4, 0.2, 1.0]), -3.0)
+    vocabulary = ["idiot", "Trottel", "zonk", "zonks", "kill", "you", "du", "not", "never", "said", "wrote", '"', ".", "a", "word", "here", "!"]
+    texts = [" ".join(r.choice(vocabulary) for _ in range(r.randint(0, 25))) for _ in range(1500)] + ["", "idiot " * 20000]
+    seen = np.array([grammar.patterns(t, ahead=True) for t in texts])
+    assert np.allclose(seen, [plain_patterns(grammar, t) for t in texts]) and (seen.sum(0) > 0).all()
+    z = seen @ grammar.weights + grammar.bias
+    assert np.allclose(grammar.score(texts), 1 / (1 + np.exp(-np.clip(z, -60, 60))))
+
+
+def test_a_score_at_the_bar_is_toxic(spark):
+    at_bar = toxicity.Grammar({"zonk": 1.0}, np.zeros(6), math.log(0.7 / 0.3))
+    scored = toxicity.score(spark.createDataFrame([(1, "x"), (2, None)], "doc_id long, text string"), at_bar).collect()
+    assert {round(x["score"], 12) for x in scored} == {0.7}
+    below = spark.createDataFrame([(0.7,), (0.6999999,), (0.7000001,)], "score double").select((F.col("score") >= TOXIC).cast("int").alias("p"))
+    assert [x["p"] for x in below.collect()] == [1, 0, 1]

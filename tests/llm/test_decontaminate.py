@@ -1,3 +1,4 @@
+import datetime as dt
 import random
 
 from factloom.llm import decontaminate as d
@@ -80,3 +81,10 @@ def test_every_pair_at_the_threshold_is_found(spark):
     assert len(got) == len(expected) and {(x["doc_id"], x["item_id"]): round(x["score"], 9) for x in got} == expected
     assert min(expected.values()) == d.THRESHOLD and any(x["seed_hits"] == 0 for x in got)
     assert {x["doc_id"] for x in d.drop_contaminated(docs, bench).collect()} == set(range(len(texts))) - {n for n, _ in expected}
+
+
+def test_item_ids_of_any_type(spark):
+    text = " ".join(f"w{k}" for k in range(12))
+    docs = spark.createDataFrame([(1, f"some words {text} and more")], "doc_id long, text string")
+    for kind, value in (("date", dt.date(2024, 1, 2)), ("double", 1.5), ("string", "x"), ("short", 3), ("boolean", True)):
+        assert [x["item_id"] for x in d.find_contamination(docs, spark.createDataFrame([(value, text)], f"item_id {kind}, text string")).collect()] == [value]

@@ -57,10 +57,31 @@ def test_masking(docs):
     assert masked.columns == docs.columns and {r["spans"] for r in masked.collect()} == {"z", None}
 
 
-def test_added_spans_need_support(spark):
-    rows = [(i, f"mail me at user{i}@site.com or call +1 (578) 555-64{i:02d}") for i in range(40)] + [(100 + i, f"call (578) 555-64{i:02d}") for i in range(10)]
-    found = pii.find_personal_data(spark.createDataFrame(rows, "doc_id long, text string")).where("doc_id >= 100").collect()
-    assert all([(s["kind"], s["base"]) for s in r["spans"]] in ([], [("phone", False)]) for r in found)
+def test_spans_are_added_and_refused(spark):
+    rows = [(i, f"mail me at user{i}@site.com or call +1 (578) 555-64{i:02d} from host 10.0.0.{i}") for i in range(40)]
+    rows += [(100 + i, f"please call (578) 555-64{i:02d} today") for i in range(10)] + [(200 + i, f"order no. 178.555.64{i:02d} was sent") for i in range(30)]
+    rows += [(300 + i, f"write to user{i} [at] site [dot] com") for i in range(10)] + [(400 + i, "pay by card 378282246310005 now") for i in range(5)] + [(500 + i, f"address 2001:0db8:0000:0000:0000:0000:1428:57a{i} here") for i in range(5)]
+    rows += [(600, "serial part 1234567890123")]
+    found = {r["doc_id"]: [(s["kind"], r["text"][s["start"] : s["end"]], s["base"]) for s in r["spans"]] for r in pii.find_personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found[0] == [("email", "user0@site.com", True), ("ip", "10.0.0.0", True), ("phone", "+1 (578) 555-6400", True)]
+    assert all(found[100 + i] == [("phone", f"(578) 555-64{i:02d}", False)] for i in range(10))
+    assert all(found[200 + i] == [] for i in range(30)) and found[600] == []
+    assert all(found[300 + i] == [("email", f"user{i} [at] site [dot] com", False)] for i in range(10))
+    assert all(found[400 + i] == [("card", "378282246310005", False)] for i in range(5))
+
+
+def test_columns_with_the_operators_names_stay(spark):
+    names = ["_text", "_base", "_loose", "_email", "_ip", "text_of", "base_spans", "strict_email", "more_ip", "found_spans", "cell"]
+    table = spark.createDataFrame([(1, "at a@b.cd", *["x"] * len(names))], "doc_id long, text string, " + ", ".join(f"{c} string" for c in names))
+    out = pii.find_personal_data(table).first()
+    assert [(s["kind"], s["start"]) for s in out["spans"]] == [("email", 3)] and all(out[c] == "x" for c in names)
+    masked = pii.mask_personal_data(table)
+    assert masked.columns == table.columns and masked.first()["text"] == "at <EMAIL>" and all(masked.first()[c] == "x" for c in names)
+
+
+def test_texts_of_nothing_but_numbers(spark):
+    text = "12 a 4918187128635271 " + "123, " * 30000
+    assert [(s["kind"], s["start"]) for s in pii.find_personal_data(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()["spans"]] == [(k, a) for k, a, _ in strict_spans(text)]
 
 
 @pytest.mark.parametrize("shards", [1, 3, 40])
@@ -110,10 +131,10 @@ def test_top_k(spark):
     vectors += [(i, [1.0, 0.0, 0.0, 0.0]) for i in range(900, 960)]
     vectors += [(1000, None), (1001, [float("nan")] * 4), (1002, [None, 1.0, 1.0, 1.0]), (None, [1.0] * 4), (1003, [float("inf")] * 4), (1100, [1.0, 2.0]), (1101, [2.0, 2.0]), (1200, []), (1300, [0.0] * 4), (7, [3.0] * 4)]
     table = spark.createDataFrame([(i, v, 1, 2) for i, v in vectors], "vec_id long, embedding array<float>, rank int, score int")
-    for block, bucket in ((2048, 256), (64, 16)):
-        topk.BLOCK, topk.BUCKET, kept = block, bucket, (topk.BLOCK, topk.BUCKET)
+    for side, bucket in ((16 << 20, 256), (64 * 8 * 4, 16)):
+        topk.SIDE_BYTES, topk.BUCKET, kept = side, bucket, (topk.SIDE_BYTES, topk.BUCKET)
         got = {tuple(r) for r in topk.exact_top_k(table, F.col("vec_id") % 100 == 0, 10).collect()}
-        topk.BLOCK, topk.BUCKET = kept
+        topk.SIDE_BYTES, topk.BUCKET = kept
         assert got == brute(vectors, 10)
     assert topk.exact_top_k(table.limit(0), F.col("vec_id") % 100 == 0).count() == 0
 

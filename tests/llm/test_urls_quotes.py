@@ -4,7 +4,7 @@ import random
 import duckdb
 
 from factloom.llm import quotes, urls
-from factloom.llm.oracles import ORACLES
+from factloom.llm.oracles import QUOTES
 
 
 def conversations(seed):
@@ -32,9 +32,9 @@ def test_links_equal_sql(spark):
         rows = conversations(seed)
         got = {tuple(x) for x in quotes.link_quotes(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
         con = duckdb.connect()
-        con.execute("create table conversations (conv_id bigint, turn bigint, role varchar, text varchar)")
-        con.executemany("insert into conversations values (?, ?, ?, ?)", rows)
-        assert got == set(con.execute(ORACLES["op8_quotation_linking"]).fetchall())
+        con.execute("create table messages (conv_id bigint, turn bigint, role varchar, text varchar)")
+        con.executemany("insert into messages values (?, ?, ?, ?)", rows)
+        assert got == set(con.execute("WITH RECURSIVE" + QUOTES).fetchall())
         assert sum(x[6] is not None for x in got) > 5
 
 
@@ -43,7 +43,10 @@ def test_nested_and_odd_messages(spark):
         (1, 0, "u", "First thing said here"), (1, 1, "a", "> first  THING said here\nsecond"), (1, 2, "u", ">> First thing said here\n> second\nthird"), (1, 2, "u", "repeat of a turn"),
         (1, 3, "a", "no quote"), (1, 4, "a", ">"), (2, 0, "u", None), (2, 1, "u", ""), (2, 2, "u", "> First thing said here"), (None, 5, "u", "> x"), (3, None, "u", "> x"), (4, 0, "u", "x\n" * 30000 + "> y\n" * 30000),
     ]
-    out = quotes.link_quotes(spark.createDataFrame([(*r, 7, "x", "y", 1) for r in rows], "conv_id long, turn long, role string, text string, n_quotes int, c string, root string, up int"))
+    clashing = ["n_quotes", "c", "root", "up", "own_text", "passages_of", "parts_of_text", "part_of", "link_conv", "_own", "_c"]
+    table = spark.createDataFrame([(*r, *["x"] * len(clashing)) for r in rows], "conv_id long, turn long, role string, text string, " + ", ".join(f"{c} string" for c in clashing))
+    out = quotes.link_quotes(table)
+    assert all({x[c] for x in out.select(c).collect()} == {"x"} for c in clashing[1:])
     got = {(x["conv_id"], x["turn"]): x for x in out.collect() if x["text"] != "repeat of a turn"}
     assert out.count() == len(rows)
     assert [got[1, t]["reply_to"] for t in range(5)] == [None, 0, 1, None, None] and got[1, 2]["thread_root"] == 0
@@ -51,6 +54,18 @@ def test_nested_and_odd_messages(spark):
     assert got[2, 0]["text"] is None and got[2, 1]["text"] == "" and got[2, 2]["reply_to"] is None and got[2, 2]["text"] == ""
     assert got[4, 0]["n_quotes"] == 1
     assert quotes.link_quotes(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
+    places = {}
+    for x in out.collect():
+        places.setdefault(x["conv_id"], []).append(x["place"])
+    assert all(sorted(p) == list(range(1, len(p) + 1)) for c, p in places.items() if c is not None) and places[None] == [None]
+
+
+def test_conversations_in_reply_order(spark):
+    rows = [(7, i, "u", f"Message number {i} is said here") for i in range(2500)] + [(7, 2500, "a", "> message number 3 is said here\nYes"), (8, 0, "u", "Alone")]
+    linked = quotes.link_quotes(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    got = {(x["conv_id"], x["piece"]): x["messages"] for x in quotes.conversations(linked).collect()}
+    assert [len(got[7, k]) for k in range(3)] == [1000, 1000, 501] and len(got[8, 0]) == 1
+    assert (got[7, 0][4]["text"], got[7, 0][4]["reply_to"], got[7, 0][5]["text"]) == ("Yes", 3, "Message number 4 is said here")
 
 
 def test_as_of_verdicts(spark):
@@ -65,10 +80,12 @@ def test_as_of_verdicts(spark):
         (9, "http://site.org/xy", day(2024, 5, 1), "none"), (10, None, day(2024, 1, 1), "none"), (11, "", day(2024, 1, 1), "none"), (12, "junk", day(2024, 1, 1), "none"), (13, "http://bad.com", None, "none"), (None, "http://bad.com/a", day(2024, 1, 11), "block"),
         (2, "HTTPS://WWW.Bad.com:80/a?q", day(2024, 1, 10), "block"), (14, "http://" + "a." * 50000 + "bad.com/", day(2024, 1, 11), "none"), (15, "http://null.com", day(2024, 3, 1), "none"),
     ]
-    table = spark.createDataFrame([(*c, "clash") for c in captures], "page_id long, url string, fetched_on date, expected string, pattern string")
+    clashing = ["pattern", "page_key", "page_spans", "_url", "_at", "page", "c", "spans"]
+    table = spark.createDataFrame([(*c, *["clash"] * len(clashing)) for c in captures], "page_id long, url string, fetched_on date, expected string, " + ", ".join(f"{c} string" for c in clashing))
     listed = spark.createDataFrame(entries, "pattern string, verdict string, since date")
     out = urls.filter_captures(table, listed)
     assert out.count() == len(captures)
     assert all(x["verdict"] == x["expected"] for x in out.collect())
+    assert all({x[c] for x in out.select(c).collect()} == {"clash"} for c in clashing[1:])
     assert {x["verdict"] for x in urls.filter_captures(table, listed.limit(0)).collect()} == {"none"}
     assert urls.filter_captures(table.limit(0), listed).count() == 0
