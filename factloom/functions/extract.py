@@ -4,38 +4,13 @@ from __future__ import annotations
 
 import ast
 import math
-import re
 from collections.abc import Iterator
-from dataclasses import dataclass, field
 
 import pandas as pd
 from pyspark.sql import DataFrame
 
-SCHEMA = (
-    "file string, identity string, kind string, name string, start int, throws int, throw_types array<string>, returns int, returns_nullish int, calls array<string>, numbers array<double>, "
-    "awaits int, catches int, empty_catches int, params int, failed boolean"
-)
-
-
-@dataclass
-class Facts:
-    name: str
-    kind: str
-    start: int
-    params: int = 0
-    throws: int = 0
-    returns: int = 0
-    returns_nullish: int = 0
-    awaits: int = 0
-    catches: int = 0
-    empty_catches: int = 0
-    throw_types: set = field(default_factory=set)
-    calls: set = field(default_factory=set)
-    numbers: set = field(default_factory=set)
-
-    def row(self, file: str, identity: str) -> tuple:
-        return (file, identity, self.kind, self.name, self.start, self.throws, sorted(self.throw_types), self.returns, self.returns_nullish, sorted(self.calls), sorted(self.numbers), self.awaits, self.catches, self.empty_catches, self.params, False)
-
+from .facts import SCHEMA, Facts, failed_row
+from .scripts import script_declarations
 
 def _dotted(node: ast.AST) -> str | None:
     if isinstance(node, ast.Name):
@@ -112,130 +87,6 @@ def python_declarations(text: str) -> Iterator[Facts]:
     yield from walk(ast.parse(text).body, (), False)
 
 
-_TOKEN = re.compile(
-    r"""(?P<skip>\s+|//[^\n]*|/\*.*?\*/)|(?P<string>"(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\])*`)|(?P<number>0[xX][0-9a-fA-F]+|(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?(?![\w$]))"""
-    r"""|(?P<name>[A-Za-z_$][\w$]*)|(?P<op>=>|\.\.\.|[{}()\[\];,.=?:!<>+\-*/%&|^~@#]|.)""",
-    re.S,
-)
-_KEYWORDS = frozenset("if for while switch catch return function await typeof new throw else do try class super import with in of case delete void yield".split())
-
-
-def script_tokens(text: str) -> list[tuple[str, str, int]]:
-    """(kind, text, offset) of the tokens; white space and comments are left out."""
-    return [(m.lastgroup, m[0], m.start()) for m in _TOKEN.finditer(text) if m.lastgroup != "skip"]
-
-
-def script_declarations(text: str) -> Iterator[Facts]:
-    """Functions, arrow functions bound to a name, classes and methods of JavaScript or TypeScript text.
-
-    Brackets have to balance, else the text counts as malformed.
-    """
-    tokens = script_tokens(text)
-    pairs, open_ = {}, []
-    for i, (kind, t, _) in enumerate(tokens):
-        if kind == "op" and t in "({[":
-            open_.append(i)
-        elif kind == "op" and t in ")}]":
-            if not open_ or tokens[open_[-1]][1] + t not in ("()", "{}", "[]"):
-                raise SyntaxError("brackets do not balance")
-            pairs[open_.pop()] = i
-    if open_:
-        raise SyntaxError("brackets do not balance")
-    at = lambda i: tokens[i][1] if 0 <= i < len(tokens) else ""
-    line = lambda i: text.count("\n", 0, tokens[i][2]) + 1
-
-    def params(i: int) -> int:
-        depth, n, last = 0, 0, ","
-        for k in range(i + 1, pairs[i]):
-            t = at(k)
-            depth += (t in ("(", "[", "{", "<")) - (t in (")", "]", "}", ">"))
-            if t == "," and depth == 0:
-                n, last = n + (last != ","), ","
-            else:
-                last = t
-        return n + (last != ",")
-
-    def body_after(i: int) -> int | None:
-        """The brace that opens a body after a parameter list, past a type annotation."""
-        k = pairs[i] + 1
-        while k < len(tokens) and at(k) not in ("{", ";", "=>", ",", ")"):
-            k += 1
-        if at(k) == "=>":
-            k += 1
-        return k if at(k) == "{" else None
-
-    found: list[tuple[int, int, int, Facts]] = []
-    for i, (kind, t, _) in enumerate(tokens):
-        if kind != "name":
-            continue
-        if t == "class" and i + 1 < len(tokens) and tokens[i + 1][0] == "name" and at(i - 1) != ".":
-            k = i + 2
-            while k < len(tokens) and at(k) != "{":
-                k += 1
-            if k in pairs:
-                found.append((i, k, pairs[k], Facts(at(i + 1), "class", line(i))))
-        elif t == "function":
-            k = i + 1 + (at(i + 1) == "*")
-            name = at(k) if at(k) != "(" else at(i - 2) if at(i - 1) in ("=", ":") else ""
-            while k < len(tokens) and at(k) != "(":
-                k += 1
-            if name and k in pairs and (b := body_after(k)):
-                found.append((i, b, pairs[b], Facts(name, "function", line(i), params(k))))
-        elif at(i + 1) == "=" and at(i + 2 + (at(i + 2) == "async")) == "(":
-            k = i + 2 + (at(i + 2) == "async")
-            j = pairs[k] + 1
-            while j < len(tokens) and at(j) not in ("=>", ";", "{", ",", ")"):
-                j += 1
-            if at(j) == "=>":
-                end = pairs[j + 1] if at(j + 1) == "{" else next((x for x in range(j + 1, len(tokens)) if at(x) == ";"), len(tokens) - 1)
-                found.append((i, j, end, Facts(t, "function", line(i), params(k))))
-        elif at(i + 1) == "(" and t not in _KEYWORDS and (i + 1) in pairs and at(i - 1) not in (".", "new", "function", "*=") and (b := body_after(i + 1)) and at(pairs[i + 1] + 1) in ("{", ":"):
-            found.append((i, b, pairs[b], Facts(t, "method", line(i), params(i + 1))))
-    found.sort(key=lambda x: (x[1], -x[2]))
-    classes = [x for x in found if x[3].kind == "class"]
-    for start, b, end, facts in found:
-        if facts.kind == "method" and not any(c[1] < start and end < c[2] for c in classes) and at(start - 1) not in (",", "{", "async", "get", "set"):
-            continue
-        scope = [x[3].name for x in found if x[1] < start and end < x[2]]
-        inner = [(x[0], x[2]) for x in found if b < x[0] and x[2] <= end and x[3] is not facts]
-        i = b
-        while i <= end and i < len(tokens):
-            skip = next((e for s, e in inner if s == i), None)
-            if skip is not None:
-                i = skip + 1
-                continue
-            kind, t, _ = tokens[i]
-            if kind == "number":
-                value = float(int(t, 16)) if t[:2].lower() == "0x" else float(t)
-                facts.numbers.add(value)
-            elif kind == "name" and at(i - 1) != ".":
-                if t == "throw":
-                    facts.throws += 1
-                    if at(i + 1) == "new":
-                        k, name = i + 3, at(i + 2)
-                        while at(k) == "." and tokens[k + 1][0] == "name":
-                            name, k = f"{name}.{at(k + 1)}", k + 2
-                        facts.throw_types.add(name)
-                elif t == "return":
-                    facts.returns += 1
-                    facts.returns_nullish += at(i + 1) in ("null", "undefined") and at(i + 2) in (";", "}", "")
-                elif t == "await":
-                    facts.awaits += 1
-                elif t == "catch":
-                    facts.catches += 1
-                    k = pairs.get(i + 1, i) + 1 if at(i + 1) == "(" else i + 1
-                    facts.empty_catches += at(k) == "{" and pairs[k] == k + 1
-                elif t not in _KEYWORDS:
-                    name, k = t, i + 1
-                    while at(k) == "." and k + 1 < len(tokens) and tokens[k + 1][0] == "name":
-                        name, k = f"{name}.{at(k + 1)}", k + 2
-                    if at(k) == "(" and at(i - 1) not in ("new", "function"):
-                        facts.calls.add(name)
-            i += 1
-        facts.name = ".".join([*scope, facts.name])
-        yield facts
-
-
 #: Language workers by file extension.
 WORKERS = {".py": python_declarations, ".js": script_declarations, ".ts": script_declarations, ".tsx": script_declarations}
 
@@ -248,11 +99,11 @@ def declarations_of(file: str, text: str) -> list[tuple]:
     try:
         found = list(worker(text))
     except (SyntaxError, ValueError, RecursionError):
-        return [(file, None, None, None, None, 0, [], 0, 0, [], [], 0, 0, 0, 0, True)]
+        return [failed_row(file)]
     seen: dict[str, int] = {}
     rows = []
     for facts in sorted(found, key=lambda f: f.start):
-        identity = f"{file}::{facts.name}:{facts.kind}"
+        identity = f"{file}::{facts.identity}"
         seen[identity] = n = seen.get(identity, 0) + 1
         rows.append(facts.row(file, identity if n == 1 else f"{identity}#{n}"))
     return rows

@@ -9,7 +9,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from .extract import script_tokens
+from .scripts import script_tokens
 
 #: ``what`` is import, reexport (``local`` is the name it gives, ``imported`` the source's) or default (``local`` is the name).
 SCHEMA = "importer string, pos int, what string, source string, dots int, imported string, local string, kind string, failed boolean"

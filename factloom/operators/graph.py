@@ -71,8 +71,12 @@ def call_targets(call: Column) -> Column:
 def resolve_calls(declarations: DataFrame) -> DataFrame:
     """from, to: the first candidate with any match decides; one match is an edge, of several the only one in the caller's file.
 
-    ``declarations`` has identity, file, name (dotted) and calls. Self edges go.
+    ``declarations`` has identity, file, name (dotted), calls and, if it likes, callbacks: names that are handed over to be called.
+    Self edges go.
     """
+    if "callbacks" in declarations.columns:
+        named = lambda c: F.coalesce(c, F.array().cast("array<string>"))
+        declarations = declarations.withColumn("calls", F.concat(named("calls"), named("callbacks")))
     bare = F.element_at(F.split("name", r"\."), -1)
     index = declarations.select("identity", "file", F.explode(F.array_distinct(F.array("name", bare))).alias("target"))
     calls = declarations.select(F.col("identity").alias("from"), F.col("file").alias("here"), F.explode(F.array_distinct("calls")).alias("call"))
