@@ -27,7 +27,9 @@ _LINES = (
     "if(k > 0 and k % 6 = 1, concat('export {run', t, ' as again} from \"', {place}, '\";'), '')",
     "if(k > 0 and k % 8 = 2, concat('const api = require(\"', {place}, '\");'), '')",
     "concat('export function run', k, '(a) { return ', if(k > 0, concat('run', t, '(a, ', k, ')'), 'a'), '; }')",
-    "if(k % 2 = 0, concat('export default class C', k, ' {}'), '')",
+    "if(k % 2 = 0, concat('export default class C', k, ' { static make() {} get size() { return null; } }'), '')",
+    "if(k % 4 = 1, concat('const LIST', k, ' = [\\'a', k, '\\', \"b\", { x: 1 }];'), '')",
+    "if(k % 4 = 2, concat('function hook', k, '() { init({ cb: run', k, ', n: 7 }); }'), '')",
 )
 _PY_LINES = (
     "concat('from ..p', t % 3, '.m', t, ' import f', t, ', missing')", "'import py.p0.m0 as z'", "'import os'", "'import py.none'", "'from . import m0'", "'from ..p0 import zero'", "'from ....x import y'",
@@ -103,17 +105,39 @@ def _graph(spark, sf):
     return graph.impact_graph(_resolved(spark, sf), now, then)
 
 
-_RUNS_SQL = _SOURCES_SQL + f""", every AS (SELECT k, t, {_sql("k")} AS me, {_sql("t")} AS tp FROM s) """
+_RUNS_SQL = _SOURCES_SQL + f""", every AS (SELECT k, t, {_sql("k")} AS me, {_sql("t")} AS tp FROM s),
+  declared AS (
+    SELECT k, 'run' || k AS name, 'function' AS kind, '' AS ending, me AS file, 1 AS params, 1 AS returns, 0 AS nullish, CASE WHEN k > 0 THEN 'run' || t ELSE '' END AS calls, '' AS callbacks, CASE WHEN k > 0 THEN k || '.0' ELSE '' END AS numbers, NULL AS shape, NULL AS n, NULL AS entries FROM every
+    UNION ALL SELECT k, 'C' || k, 'class', '', me, 0, 0, 0, '', '', '', NULL, NULL, NULL FROM every WHERE k % 2 = 0 UNION ALL SELECT k, 'C' || k || '.make', 'method', ':static', me, 0, 0, 0, '', '', '', NULL, NULL, NULL FROM every WHERE k % 2 = 0
+    UNION ALL SELECT k, 'C' || k || '.size', 'getter', '', me, 0, 1, 1, '', '', '', NULL, NULL, NULL FROM every WHERE k % 2 = 0
+    UNION ALL SELECT k, 'LIST' || k, 'data', '', me, 0, 0, 0, '', '', '1.0', 'array', 3, 'a' || k || '|b|{{ x: 1 }}' FROM every WHERE k % 4 = 1
+    UNION ALL SELECT k, 'hook' || k, 'function', '', me, 0, 0, 0, 'init', 'run' || k, '7.0', NULL, NULL, NULL FROM every WHERE k % 4 = 2
+    UNION ALL SELECT 0, 'f' || k, 'function', '', me, 0, 1, 0, '', '', '1.0', NULL, NULL, NULL FROM m UNION ALL SELECT 0, 'f0', 'function', '', 'py/p0/m0.py', 0, 1, 0, '', '', '0.0', NULL, NULL, NULL) """
+
+
+@query(_RUNS_SQL + """SELECT file || '::' || name || ':' || kind || ending AS identity, name, kind, CAST(params AS INTEGER) AS params, CAST(returns AS INTEGER) AS returns, CAST(nullish AS INTEGER) AS returns_nullish, calls, callbacks, numbers, shape, CAST(n AS INTEGER) AS entry_count, entries
+  FROM declared WHERE k % 50 <> 49""")
+def extracted_declarations(spark, sf):
+    found = _declarations(source_texts(spark, sf)).where("not failed")
+    joined = lambda c: F.array_join(F.col(c).cast("array<string>"), "|").alias(c)
+    return found.select("identity", "name", "kind", "params", "returns", "returns_nullish", joined("calls"), joined("callbacks"), joined("numbers"), "shape", "entry_count", joined("entries"))
+
+
+@query(_RUNS_SQL + """SELECT file AS path, count(*) AS n, false AS failed FROM declared WHERE k % 50 <> 49 GROUP BY file UNION ALL SELECT DISTINCT file, CAST(0 AS BIGINT), true FROM declared WHERE k % 50 = 49""")
+def scanned_files(spark, sf):
+    """Declarations of every file that has some, and the files that cannot be parsed."""
+    found = _declarations(source_texts(spark, sf))
+    return found.groupBy(F.col("file").alias("path")).agg(F.count_if(~F.col("failed")).alias("n"), F.bool_or("failed").alias("failed"))
 
 
 @query(_RUNS_SQL + """SELECT DISTINCT "from", "to", kind, confidence FROM resolved
-  UNION ALL SELECT me || '::run' || k || ':function', tp || '::run' || t || ':function', 'call', CASE WHEN t % 50 = 49 THEN 'unresolved' ELSE 'certain' END FROM every WHERE k > 0 AND k % 50 <> 49""")
+  UNION ALL SELECT me || '::run' || k || ':function', tp || '::run' || t || ':function', 'call', CASE WHEN t % 50 = 49 THEN 'unresolved' ELSE 'certain' END FROM every WHERE k > 0 AND k % 50 <> 49
+  UNION ALL SELECT me || '::hook' || k || ':function', 'init', 'call', 'unresolved' FROM every WHERE k % 4 = 2 AND k % 50 <> 49""")
 def impact_graph_edges(spark, sf):
     return _graph(spark, sf)[1].drop("reason")
 
 
-@query(_RUNS_SQL + """SELECT me || '::run' || k || ':function' AS id, 'function' AS kind, 'run' || k AS name, me AS file FROM every UNION ALL SELECT me || '::C' || k || ':class', 'class', 'C' || k, me FROM every WHERE k % 2 = 0
-  UNION ALL SELECT me || '::f' || k || ':function', 'function', 'f' || k, me FROM m UNION ALL SELECT 'py/p0/m0.py::f0:function', 'function', 'f0', 'py/p0/m0.py'""")
+@query(_RUNS_SQL + "SELECT file || '::' || name || ':' || kind || ending AS id, kind, name, file FROM declared")
 def impact_graph_nodes(spark, sf):
     return _graph(spark, sf)[0]
 
@@ -127,7 +151,8 @@ def find_callers(spark, sf):
     return graph.find_callers(index, "run1", 6)
 
 
-@query(_RUNS_SQL + """, edges AS (SELECT "from", "to", kind, confidence FROM resolved UNION ALL SELECT me || '::run' || k || ':function', CASE WHEN t % 50 = 49 THEN 'run' || t ELSE tp || '::run' || t || ':function' END, 'call', CASE WHEN t % 50 = 49 THEN 'unresolved' ELSE 'certain' END FROM every WHERE k > 0 AND k % 50 <> 49)
+@query(_RUNS_SQL + """, edges AS (SELECT "from", "to", kind, confidence FROM resolved UNION ALL SELECT me || '::run' || k || ':function', CASE WHEN t % 50 = 49 THEN 'run' || t ELSE tp || '::run' || t || ':function' END, 'call', CASE WHEN t % 50 = 49 THEN 'unresolved' ELSE 'certain' END FROM every WHERE k > 0 AND k % 50 <> 49
+    UNION ALL SELECT me || '::hook' || k || ':function', 'init', 'call', 'unresolved' FROM every WHERE k % 4 = 2 AND k % 50 <> 49)
   SELECT kind, confidence, count(*) AS n, count(DISTINCT "from") AS sources FROM edges GROUP BY kind, confidence""")
 def join_dependencies(spark, sf):
     found = graph.reliable(_declarations(source_texts(spark, sf)).where("not failed"))
