@@ -109,10 +109,12 @@ def sessions_from_markers(log: DataFrame, key: str) -> DataFrame:
 
 
 def interval_join(entries: DataFrame, events: DataFrame) -> DataFrame:
-    """session, identity, type, seq, ts of the last event of each entry within its session's time."""
+    """session, identity, type, seq, ts of the last event of each entry within its session's time, and the entry's net_delta if it has one."""
     e = events.select("identity", "type", "seq", "ts")
+    own = ["net_delta"] if "net_delta" in entries.columns else []
     hits = entries.join(e, ["identity", "type"]).where("opened_at <= ts and ts <= sealed_at")
-    return hits.groupBy("session", "identity", "type").agg(F.max_by(F.struct("seq", "ts"), "seq").alias("e")).select("session", "identity", "type", "e.seq", "e.ts")
+    last = hits.groupBy("session", "identity", "type").agg(F.max_by(F.struct("seq", "ts", *own), "seq").alias("e"))
+    return last.select("session", "identity", "type", "e.*")
 
 
 def describe_delta(prop: str, before: str, after: str):
@@ -259,3 +261,49 @@ def distinct_identities(events: DataFrame, key: str) -> DataFrame:
 def recovered_net_delta(events: DataFrame, keys: list[str]) -> DataFrame:
     """``net_delta`` of a log that is read again: changed events only, and only whole pairs (``before`` and ``after`` known to be there)."""
     return net_delta(events.where("type = 'changed' and pair"), keys)
+
+
+def with_running_sum(df: DataFrame, order: list[str], value: Column, name: str) -> DataFrame:
+    """``df`` with ``name``, the sum of ``value`` over all rows up to this one in a global order, without a single-task window."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = reliable(df.withColumn("_value", value).repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id()))
+    parts = placed.groupBy("_part").agg(F.sum("_value").alias("_sum"))  # one row a partition
+    before = F.coalesce(F.sum("_sum").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = parts.select("_part", before.alias("_before"))
+    inside = F.sum("_value").over(Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    return placed.join(F.broadcast(starts), "_part").withColumn(name, F.col("_before") + inside).drop("_part", "_before", "_value")
+
+
+def time_groups_of_all(events: DataFrame, gap_minutes: int) -> DataFrame:
+    """``events`` with ``grp`` over the whole log: a new group when ``gap_minutes`` or more have passed since the event before.
+
+    The event before is found by its place in the log, so no task sees all events.
+    """
+    ranked = reliable(with_rank(events, ["ts", "seq"]))
+    previous = ranked.select((F.col("rank") + 1).alias("rank"), F.col("ts").alias("_previous"))
+    flagged = ranked.join(previous, "rank", "left")
+    fresh = F.coalesce((F.col("ts") - F.col("_previous") >= F.expr(f"interval {gap_minutes} minutes")).cast("long"), F.lit(1))
+    return with_running_sum(flagged, ["rank"], fresh, "grp").select(*events.columns, "grp")
+
+
+def new_or_unfinished(events: DataFrame, stored: DataFrame) -> DataFrame:
+    """Events that the history lacks by (ts, type, identity), or holds without a finished label (``finished`` of the stored row)."""
+    done = stored.where("finished").select("ts", "type", "identity").distinct()
+    return events.join(done, ["ts", "type", "identity"], "left_anti")
+
+
+def recovered_sessions(log: DataFrame, key: str) -> DataFrame:
+    """key, session, events, sealed of a log's sessions: from one start marker to the next; events before the first are left out.
+
+    A session is sealed if a seal marker follows its start; without one it is open still.
+    """
+    marked = log.withColumn("session", F.sum((F.col("type") == "session_started").cast("int")).over(_by(key).rowsBetween(Window.unboundedPreceding, 0)))
+    plain = ~F.col("type").isin("session_started", "session_sealed")
+    return marked.where("session > 0").groupBy(key, "session").agg(F.count_if(plain).alias("events"), F.bool_or(F.col("type") == "session_sealed").alias("sealed"))
+
+
+def seal(events: DataFrame, entries: DataFrame, session: str = "session") -> DataFrame:
+    """session, opened_at, sealed_at, events, entries, significant of sessions that have events; ``entries`` has significant."""
+    own = events.groupBy(session).agg(F.min("ts").alias("opened_at"), F.max("ts").alias("sealed_at"), F.count("*").alias("events"))
+    kept = entries.groupBy(session).agg(F.count("*").alias("entries"), F.bool_or("significant").alias("significant"))
+    return own.join(kept, session, "left").fillna(0, ["entries"]).withColumn("significant", F.coalesce("significant", F.lit(False)))

@@ -106,3 +106,35 @@ def scan_progress(lines: DataFrame) -> DataFrame:
     """run, total, batches, last_batch from ordered progress lines such as ``found 284 declarations`` and ``batch 3/10``."""
     grab = lambda p, g: F.regexp_extract("line", p, g).try_cast("int")
     return lines.groupBy("run").agg(F.max(grab(r"found (\d+) declarations", 1)).alias("total"), F.max(grab(r"batch (\d+)/(\d+)", 2)).alias("batches"), F.max(grab(r"batch (\d+)/(\d+)", 1)).alias("last_batch"))
+
+
+def call_chips(edges: DataFrame, node, inside: DataFrame) -> DataFrame:
+    """other, direction, inside: who a node calls and who calls it, and whether that is one of the rows that are shown with it."""
+    ends = edges.where(F.col("to") == node).select(F.col("from").alias("other"), F.lit("in").alias("direction")).unionByName(edges.where(F.col("from") == node).select(F.col("to").alias("other"), F.lit("out").alias("direction")))
+    return ends.distinct().join(inside.select(F.col("id").alias("other"), F.lit(True).alias("inside")).distinct(), "other", "left").fillna(False, ["inside"])
+
+
+#: Tags that a row keeps.
+TAGS = 3
+
+
+def cleaned_labels(labels: DataFrame, spellings: DataFrame) -> DataFrame:
+    """``labels`` (pos, tags, path) with tags in their first spelling, each once and TAGS at most, and paths without a heading that repeats the one above.
+
+    ``spellings`` has key (lower case) and spelling; a tag that has none stays as it is.
+    """
+    each = labels.select("pos", F.posexplode("tags").alias("at", "tag")).join(spellings, F.lower("tag") == F.col("key"), "left")
+    once = each.select("pos", "at", F.coalesce("spelling", "tag").alias("tag")).groupBy("pos", "tag").agg(F.min("at").alias("at"))
+    kept = once.groupBy("pos").agg(F.array_sort(F.collect_list(F.struct("at", "tag"))).alias("t")).select("pos", F.transform(F.slice("t", 1, TAGS), lambda x: x["tag"]).alias("clean"))
+    path = F.filter("path", lambda x, i: (i == 0) | ~x.eqNullSafe(F.get("path", i - 1)))
+    none = F.array().cast("array<string>")
+    return labels.join(kept, "pos", "left").withColumns({"tags": F.coalesce("clean", none), "path": F.coalesce(path, none)}).drop("clean")
+
+
+def vocabulary(owned: DataFrame, seen: DataFrame, word: str) -> DataFrame:
+    """The plan's own words if it has any, else the distinct words of finished rows in their first spelling (by seq)."""
+    from .views import first_spellings
+
+    if not owned.isEmpty():
+        return owned.select(word)
+    return first_spellings(seen.where("finished"), word).select(F.col("spelling").alias(word))

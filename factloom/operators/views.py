@@ -177,3 +177,9 @@ def vocabulary_places(words: DataFrame, vocabulary: list[str], palette: list[str
     place = F.array_position(known, F.col("word")) - 1
     colours = F.array(*map(F.lit, palette))
     return words.select("word").distinct().where(F.array_contains(known, F.col("word"))).select("word", place.cast("int").alias("place"), F.get(colours, F.pmod(place, F.lit(len(palette))).cast("int")).alias("colour"))
+
+
+def view_state(rows: DataFrame) -> DataFrame:
+    """``rows`` (has_project, has_plan, plan_valid) with ``state``: missing, no-plan, invalid-plan or ready."""
+    state = F.when(~F.col("has_project"), "missing").when(~F.col("has_plan"), "no-plan").when(~F.col("plan_valid"), "invalid-plan").otherwise("ready")
+    return rows.withColumn("state", state)

@@ -391,8 +391,30 @@ def interval_join(spark, sf):
 @query(f"WITH {R.LOG_SQL} SELECT seq, identity FROM log WHERE NOT (seq % 3 = 0 AND event_type <> 'view')")
 def new_events_anti(spark, sf):
     log = R.log(spark, sf)
-    done = log.where("seq % 3 = 0 and event_type <> 'view'").select("ts", "type", "identity").distinct()
-    return log.join(done, ["ts", "type", "identity"], "left_anti").select("seq", "identity")
+    stored = log.where("seq % 3 = 0").select("ts", "type", "identity", (F.col("event_type") != "view").alias("finished"))
+    return events.new_or_unfinished(log, stored).select("seq", "identity")
+
+
+@query(f"""WITH {R.LOG_SQL}, f AS (SELECT seq, CASE WHEN ts - lag(ts) OVER (ORDER BY ts, seq) < INTERVAL 5 MINUTE THEN 0 ELSE 1 END AS fresh, ts FROM log)
+  SELECT seq, CAST(sum(fresh) OVER (ORDER BY ts, seq ROWS UNBOUNDED PRECEDING) AS BIGINT) AS grp FROM f""")
+def time_groups_of_all(spark, sf):
+    return events.time_groups_of_all(R.log(spark, sf), 5).select("seq", "grp")
+
+
+@query(_MARKED_SQL + """SELECT identity, session, count(*) FILTER (WHERE type = 'changed') AS events, bool_or(type = 'session_sealed') AS sealed
+  FROM (SELECT *, CAST(sum(CASE WHEN type = 'session_started' THEN 1 ELSE 0 END) OVER (PARTITION BY identity ORDER BY seq ROWS UNBOUNDED PRECEDING) AS BIGINT) AS session FROM m) WHERE session > 0 GROUP BY identity, session""")
+def recovered_sessions(spark, sf):
+    kind = F.when(F.col("event_type") == "signup", "session_started").when(F.col("event_type") == "error", "session_sealed").otherwise("changed")
+    return events.recovered_sessions(R.log(spark, sf).withColumn("type", kind), "identity")
+
+
+@query(_GROUPED_SQL + """, e AS (SELECT identity || '/' || grp AS session, min(ts) AS a, max(ts) AS z, count(*) AS events FROM grouped GROUP BY 1), k AS (SELECT identity || '/' || grp AS session, count(*) AS entries, bool_or(after % 2 = 0) AS s FROM net WHERE before IS DISTINCT FROM after GROUP BY 1)
+  SELECT session, CAST(floor(epoch(z)) - floor(epoch(a)) AS BIGINT) AS seconds, events, coalesce(entries, 0) AS entries, coalesce(s, false) AS significant FROM e LEFT JOIN k USING (session)""")
+def sealed_sessions(spark, sf):
+    g = _grouped(spark, sf).withColumn("session", F.concat_ws("/", "identity", F.col("grp").cast("string")))
+    entries = events.net_delta(g, ["session", "identity"]).withColumn("significant", F.col("after") % 2 == 0)
+    out = events.seal(g, entries)
+    return out.select("session", (F.unix_timestamp("sealed_at") - F.unix_timestamp("opened_at")).alias("seconds"), "events", "entries", "significant")
 
 
 @query(f"""WITH {R.LOG_SQL}, base AS (SELECT count(*) AS c FROM log WHERE seq % 4 = 0), ids AS (

@@ -74,6 +74,21 @@ def call_arcs(spark, sf):
     return E.call_arcs(R.edges(spark, sf), "supplier:3", visible)
 
 
+@query(f"""WITH {R.EDGES_SQL}, e AS (SELECT DISTINCT "from" AS other, 'in' AS direction FROM edges WHERE "to" = 'supplier:3' UNION ALL SELECT DISTINCT "to", 'out' FROM edges WHERE "from" = 'supplier:3')
+  SELECT other, direction, other IN (SELECT 'order:' || o_orderkey FROM orders WHERE o_orderkey % 2 = 0) AS inside FROM e""")
+def call_chips(spark, sf):
+    shown = R.table(spark, sf, "orders").where("o_orderkey % 2 = 0").select(F.concat(F.lit("order:"), F.col("o_orderkey").cast("string")).alias("id"))
+    return E.call_chips(R.edges(spark, sf), "supplier:3", shown)
+
+
+@query("""WITH t AS (SELECT p_partkey AS pos, i, w AS tag FROM part, LATERAL (SELECT unnest([p_name || '', 'RED', 'blue', 'Red', 'big', 'other']) AS w, unnest([0, 1, 2, 3, 4, 5]) AS i)), k AS (SELECT pos, CASE lower(tag) WHEN 'red' THEN 'Red' WHEN 'blue' THEN 'BLUE' ELSE tag END AS tag, min(i) AS i FROM t GROUP BY ALL),
+  r AS (SELECT pos, tag, i, row_number() OVER (PARTITION BY pos ORDER BY i) AS n FROM k) SELECT pos, string_agg(tag, ',' ORDER BY i) AS tags, any_value(p_type || CASE WHEN p_type = p_brand THEN '' ELSE '/' || p_brand END) AS path FROM r JOIN part ON p_partkey = pos WHERE n <= 3 GROUP BY pos""")
+def cleaned_labels(spark, sf):
+    labels = R.table(spark, sf, "part").select(F.col("p_partkey").alias("pos"), F.array(F.col("p_name"), *map(F.lit, ("RED", "blue", "Red", "big", "other"))).alias("tags"), F.array("p_type", "p_type", "p_brand", "p_brand").alias("path"))
+    out = E.cleaned_labels(labels, spark.createDataFrame([("red", "Red"), ("blue", "BLUE")], "key string, spelling string"))
+    return out.select("pos", F.array_join("tags", ",").alias("tags"), F.array_join("path", "/").alias("path"))
+
+
 @query(f"""WITH {R.PLAN_SQL}, calls AS (SELECT DISTINCT a.feature AS f, b.feature AS t FROM plan a JOIN plan b ON b.id = a.parent WHERE a.feature <> b.feature),
   o AS (SELECT feature AS f, lead(feature) OVER (ORDER BY feature) AS t FROM (SELECT DISTINCT feature FROM plan))
   SELECT f AS "from", t AS "to", 'call' AS kind FROM calls UNION ALL SELECT f, t, 'order' FROM o WHERE t IS NOT NULL AND NOT EXISTS (SELECT 1 FROM calls c WHERE c.f = o.f AND c.t = o.t)""")
@@ -118,8 +133,8 @@ def scan_progress(spark, sf):
 def view_state(spark, sf):
     orders = R.table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("n"), F.count_if(F.col("o_orderstatus") == "F").alias("f"), F.count_if((F.col("o_orderstatus") == "P") & (F.col("o_totalprice") > 400000)).alias("p"))
     rows = R.table(spark, sf, "customer").join(orders, "c_custkey", "left").fillna(0, ["n", "f", "p"])
-    state = F.when(F.col("n") == 0, "missing").when(F.col("f") == 0, "no-plan").when(F.col("p") > 0, "invalid-plan").otherwise("ready")
-    return rows.select(F.col("c_custkey").alias("id"), state.alias("state"), F.when(F.col("p") > 0, 2).when(F.col("f") > 0, 1).otherwise(0).alias("exit_code"))
+    judged = views.view_state(rows.withColumns({"has_project": F.col("n") > 0, "has_plan": F.col("f") > 0, "plan_valid": F.col("p") == 0}))
+    return judged.select(F.col("c_custkey").alias("id"), "state", F.when(F.col("p") > 0, 2).when(F.col("f") > 0, 1).otherwise(0).alias("exit_code"))
 
 
 @query(f"WITH {R.PLAN_SQL} SELECT status, count(*) AS n FROM plan WHERE status <> 'superseded' GROUP BY status")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.events import with_rank
+from ..operators.validation import plan_problems
 
 # Directory names that are never scanned, source extensions, and the one that is left out.
 SKIPPED = ("node_modules", ".git", "dist", "build", "coverage", ".next", "out", ".turbo", ".cache")
@@ -123,3 +124,31 @@ def merged_config(given: dict | None, defaults: dict) -> dict:
     if not isinstance(given, dict):
         return defaults
     return {k: v | given[k] if isinstance(v, dict) and isinstance(given.get(k), dict) else given.get(k, v) for k, v in defaults.items()} | {k: v for k, v in given.items() if k not in defaults}
+
+
+#: A plan without anything, which stands for one that cannot be read.
+EMPTY_PLAN = {"version": 1, "lenses": [], "features": [], "nodes": []}
+
+
+def read_plan(spark: SparkSession, path: str) -> tuple[dict, list[str]]:
+    """A plan document and the problems that made it an empty one: missing is none, malformed and invalid are told."""
+    try:
+        text = "\n".join(r[0] for r in spark.read.text(path, wholetext=True).collect())  # a plan is a small document
+    except Exception as error:  # a missing path is known only when the scan is planned
+        if "PATH_NOT_FOUND" in str(error):
+            return EMPTY_PLAN, []
+        raise
+    problems = [x for r in spark.createDataFrame([(text,)], "d string").select(plan_problems(F.col("d")).alias("p")).collect() for x in r["p"]]
+    return (EMPTY_PLAN, problems) if problems else (json.loads(text), [])
+
+
+FEED = "seq long, ts timestamp, path string, op string, content string"
+
+
+def change_feed(spark: SparkSession, path: str, files_at_once: int = 1000) -> DataFrame:
+    """The stream of file events (seq, ts, path, op: add, change or unlink, content) that a watcher appends as JSON lines under ``path``.
+
+    Spark's file stream sees neither edits nor removals, so a watcher has to write them down. Ignored paths are left out.
+    """
+    feed = spark.readStream.schema(FEED).option("maxFilesPerTrigger", files_at_once).option("recursiveFileLookup", True).json(path)
+    return feed.where(F.col("op").isin("add", "change", "unlink") & ~should_ignore(F.col("path"), F.lit(True)))

@@ -61,6 +61,10 @@ def test_sinks_round_trip(spark, tmp_path):
     writers.write_graph(nodes, edges, str(tmp_path / "graph"))
     got = writers.read_graph(spark, str(tmp_path / "graph"))
     assert got[0].collect() == nodes.collect() and got[1].collect() == edges.collect()
+    plan, problems = readers.read_plan(spark, str(tmp_path / "plan"))
+    assert plan == PLAN and problems == [] and readers.read_plan(spark, str(tmp_path / "none")) == (readers.EMPTY_PLAN, [])
+    (tmp_path / "bad.json").write_text('{"version": 3}')
+    assert readers.read_plan(spark, str(tmp_path / "bad.json"))[0] == readers.EMPTY_PLAN and "version must be 1" in readers.read_plan(spark, str(tmp_path / "bad.json"))[1]
     writers.write_sessions(spark.createDataFrame([("s1", 3)], "id string, n int"), str(tmp_path / "sessions"))
     writers.write_evolution(spark.createDataFrame([(1, "x")], "seq long, id string"), str(tmp_path / "evolution"))
     assert spark.read.json(str(tmp_path / "sessions")).count() == spark.read.json(str(tmp_path / "evolution")).count() == 1
@@ -136,6 +140,20 @@ def test_rule_targets(spark):
     assert got == {0: ("a", None, False, 7, 1), 1: ("b", "b is missing from the current project", False, None, None), 2: ("z", "rule target z does not match node identity a", False, None, None), 3: ("z", None, True, None, None)}
 
 
+def test_vocabulary_is_the_plans_or_the_first_spelling(spark):
+    seen = spark.createDataFrame([("Red", 2, True), ("RED", 1, True), ("blue", 0, False)], "word string, seq long, finished boolean")
+    assert [r[0] for r in evolution.vocabulary(seen.limit(0), seen, "word").collect()] == ["RED"]
+    assert [r[0] for r in evolution.vocabulary(spark.createDataFrame([("own",)], "word string"), seen, "word").collect()] == ["own"]
+
+
+def test_change_feed(spark, tmp_path):
+    rows = [(1, at(0), "src/a.ts", "add", "x"), (2, at(1), "node_modules/b.js", "add", "x"), (3, at(2), "src/a.ts", "unlink", None), (4, at(3), "a.md", "change", "x"), (5, at(3), "a.py", "odd", "x")]
+    spark.createDataFrame(rows, readers.FEED).coalesce(1).write.json(str(tmp_path / "feed"))
+    query = readers.change_feed(spark, str(tmp_path / "feed")).writeStream.format("memory").queryName("feed").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+    query.awaitTermination(60)
+    assert [(r["seq"], r["op"]) for r in spark.table("feed").orderBy("seq").collect()] == [(1, "add"), (3, "unlink")]
+
+
 def test_titles_and_names(spark):
     ids = F.array(F.lit("a.py::Store.load_all:method"), F.lit("a.py::run:function"))
     cases = [("Load the rows", None), ("", "empty"), (" ".join(["w"] * 13), "too long"), ("Run the job", "placeholder verb"), ("Running the job", None), ("The (LOAD_ALL) way", "names code"), ("The load_allx way", None), ("By Store.load_all", "names code")]
