@@ -182,9 +182,12 @@ def reanchor_deleted(edges: DataFrame, deleted: DataFrame) -> DataFrame:
 
 
 def impact_levels(edges: DataFrame, target: str, max_depth: int = 3) -> DataFrame:
-    """id, depth of everything that reaches ``target`` within ``max_depth`` edges, at its least depth; the target is left out."""
+    """id, depth of everything that reaches ``target`` within ``max_depth`` edges, at its least depth; the target is left out.
+
+    The edges are computed once; each level joins them with its front, and only what that finds is made distinct.
+    """
     spark = edges.sparkSession
-    back = edges.where("to is not null").select(F.col("to").alias("id"), F.col("from").alias("next")).distinct()
+    back = reliable(edges.where("to is not null").select(F.col("to").alias("id"), F.col("from").alias("next")))
     seen = front = spark.createDataFrame([(target, 0)], "id string, depth int")
     for depth in range(1, max_depth + 1):
         front = reliable(back.join(front, "id").select(F.col("next").alias("id")).distinct().join(seen, "id", "left_anti").withColumn("depth", F.lit(depth)))
