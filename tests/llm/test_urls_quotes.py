@@ -3,7 +3,7 @@ import random
 
 import duckdb
 
-from factloom.llm import quotes, urls
+from factloom.llm import components, quotes, urls
 from factloom.llm.oracles import QUOTES
 
 
@@ -68,6 +68,24 @@ def test_conversations_in_reply_order(spark):
     assert (got[7, 0][4]["text"], got[7, 0][4]["reply_to"], got[7, 0][5]["text"]) == ("Yes", 3, "Message number 4 is said here")
 
 
+def test_hot_hosts_and_conversations(spark, monkeypatch):
+    """The same results where every host, suffix and conversation of more than one row counts as heavy."""
+    monkeypatch.setattr(components, "HEAVY", 1)
+    monkeypatch.setattr(components, "HEAVY_KEYS", 1 << 40)
+    day = dt.date
+    listed = spark.createDataFrame([("com", "block", day(2024, 1, 1)), ("ok.a.com", "allow", day(2024, 1, 2)), ("b.org/x", "block", day(2024, 1, 1)), ("none.net", "block", day(2024, 1, 1))], "pattern string, verdict string, since date")
+    urls_of = [("http://a.com/1", "block"), ("http://a.com/1", "block"), ("http://ok.a.com/2", "allow"), ("http://b.org/x?q", "block"), ("http://b.org/x", "block"), ("http://b.org/y", "none"), ("http://c.org", "none"), (None, "none")]
+    table = spark.createDataFrame([(u, day(2024, 1, 3), v) for u, v in urls_of], "url string, fetched_on date, expected string")
+    got = urls.filter_captures(table, listed).collect()
+    assert len(got) == len(urls_of) and all(x["verdict"] == x["expected"] for x in got)
+    rows = conversations(4)
+    con = duckdb.connect()
+    con.execute("create table messages (conv_id bigint, turn bigint, role varchar, text varchar)")
+    con.executemany("insert into messages values (?, ?, ?, ?)", rows)
+    linked = quotes.link_quotes(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    assert {tuple(x) for x in linked.collect()} == set(con.execute("WITH RECURSIVE" + QUOTES).fetchall())
+
+
 def test_as_of_verdicts(spark):
     day = dt.date
     entries = [
