@@ -49,10 +49,13 @@ def quote_parts(messages: DataFrame, text_col: str, own_col: str, passages_col:
 
 def _units(text: Column) -> Column:
     """What a text can be recognised by: itself (weight 1000) and its longer lines, normalised and hashed."""
-    lines = F.filter(F.array_distinct(F.transform(F.split(text, "\n", -1), _normal)), lambda x: F.length(x) >= LINE_CHARS)
-    every = F.array_union(F.filter(F.array(_normal(text)), lambda x: F.length(x) > 0), lines)
-    whole = F.md5(_normal(text).cast("binary"))
-    return F.transform(every, lambda x: F.struct(F.md5(x.cast("binary")).alias("unit"), F.when(F.md5(x.cast("binary")) == whole, 1000).otherwise(1).alias("weight")))
+    lines = F.filter(F.transform(F.split(text, "\n", -1), _normal), lambda x: F.length(x) >= LINE_CHARS)
+
+    def of(whole: Column) -> Column:
+        every = F.array_union(F.filter(F.array(whole), lambda x: F.length(x) > 0), lines)
+        return F.transform(every, lambda x: F.struct(F.md5(x.cast("binary")).alias("unit"), F.when(x == whole, 1000).otherwise(1).alias("weight")))
+
+    return let(_normal(text), of)  # normalised once; the union keeps every unit once
 
 
 ADDED = ("n_quotes", "quote_depth", "reply_to", "thread_root", "place")
