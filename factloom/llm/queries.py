@@ -6,10 +6,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, language, ngram_join, pii, quotes, sharding, topk, toxicity, urls
+from . import alignment, bpe, decontaminate, language, ngram_join, pii, quotes, sharding, topk, toxicity, urls
 
 SHARDS = 40
-VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
+VOCABULARY, PIECES = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -106,6 +106,12 @@ def op8_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quotes.link_quotes(_quoting(_table(spark, sf_dir, "conversations")))
 
 
+def op12_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    linked = alignment.align(_table(spark, sf_dir, "documents"), VOCABULARY, PIECES)
+    digest = F.when(F.col("groups") == "", "").otherwise(F.sha2(F.col("groups").cast("binary"), 256))
+    return linked.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", digest.alias("groups_sha256"))
+
+
 def queries() -> dict:
     return {
         f.__name__: f
@@ -120,5 +126,6 @@ def queries() -> dict:
             op8_quotation_linking,
             op9_toxicity_grammar,
             op10_decontamination,
+            op12_cross_tokenizer_alignment,
         )
     }
