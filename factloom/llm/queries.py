@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, bpe, decontaminate, language, ngram_join, pii, quotes, sharding, topk, toxicity, urls
+from . import alignment, bpe, decontaminate, language, negatives, ngram_join, pii, quotes, secrets, sharding, topk, toxicity, urls
 
 SHARDS = 40
 VOCABULARY, PIECES = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
@@ -106,12 +106,25 @@ def op8_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quotes.link_quotes(_quoting(_table(spark, sf_dir, "conversations")))
 
 
+def op11_linked_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find_secrets(_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "spans")
+    base = F.filter("spans", lambda s: s["base"])
+    counts = [F.size(F.filter("spans", lambda s, k=k: s["base"] & (s["kind"] == k))).cast("long").alias(f"n_{k}") for k in secrets.STRICT]
+    return found.select("doc_id", *counts, F.sha2(secrets.span_list(base), 256).alias("base_sha256"), secrets.span_list(F.col("spans")).alias("spans"))
+
+
 def op12_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     linked = alignment.align(_table(spark, sf_dir, "documents"), VOCABULARY, PIECES)
     digest = F.when(F.col("groups") == "", "").otherwise(F.sha2(F.col("groups").cast("binary"), 256))
     return linked.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", digest.alias("groups_sha256"))
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(vectors.withColumn("label", moved), lambda vec_id: vec_id % 100 == 0)
+
+
 def queries() -> dict:
     return {
         f.__name__: f
@@ -126,6 +139,8 @@ def queries() -> dict:
             op8_quotation_linking,
             op9_toxicity_grammar,
             op10_decontamination,
+            op11_linked_secrets,
             op12_cross_tokenizer_alignment,
+            op13_hard_negatives,
         )
     }
