@@ -109,7 +109,8 @@ def op8_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11_linked_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.find_secrets(_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "spans")
     base = F.filter("spans", lambda s: s["base"])
-    counts = [F.size(F.filter("spans", lambda s, k=k: s["base"] & (s["kind"] == k))).cast("long").alias(f"n_{k}") for k in secrets.STRICT]
+    of = lambda kind: F.filter("spans", lambda s: s["base"] & (s["kind"] == kind))
+    counts = [F.size(of(k)).cast("long").alias(f"n_{k}") for k in secrets.STRICT]
     return found.select("doc_id", *counts, F.sha2(secrets.span_list(base), 256).alias("base_sha256"), secrets.span_list(F.col("spans")).alias("spans"))
 
 

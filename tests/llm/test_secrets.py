@@ -92,3 +92,17 @@ def test_frames(spark):
     out = {r["doc_id"]: r["text"] for r in masked.collect()}
     assert out[0] is None and out[1] == "" and out[3] == 'x <ASSIGN>" y' and out[len(texts) - 1] == "user: <IDENTIFIER>\npass: <SECRET>" and out[None] == "pwd=<SECRET> host=a.bc"
     assert secrets.find_secrets(docs.limit(0)).count() == 0
+
+
+def test_query_counts_and_digests(spark):
+    import hashlib
+
+    from factloom.llm.queries import op11_linked_secrets
+
+    docs = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    rows = op11_linked_secrets(spark, "/root/testdata/sf0.001").collect()
+    assert len(rows) == len(docs)
+    for r in rows:
+        base = [f"{secrets.STRICT[k]}:{s}:{e}" for s, k, e in plain(docs[r["doc_id"]])]
+        assert r["base_sha256"] == hashlib.sha256(",".join(base).encode()).hexdigest() and set(base) <= set(r["spans"].split(",")) | {""}
+        assert [r["n_assign"], r["n_access"], r["n_hex"]] == [sum(b.startswith(k) for b in base) for k in secrets.STRICT]
