@@ -94,14 +94,15 @@ class Block:
             return self
         seen = np.repeat([counts.get(n, 0) for n in range(len(self.keys))], np.diff(self.first))
         seeds = np.repeat(self.keys, np.diff(self.first))
-        width = max(map(len, self.words))
-        code = self.places[:, 0] * width + self.places[:, 1]
-        most = np.zeros(len(self.words) * width, np.int64)
+        starts = np.concatenate([[0], np.cumsum([len(own) for own in self.words])])  # the items' words end to end
+        code = starts[self.places[:, 0]] + self.places[:, 1]
+        most = np.zeros(starts[-1], np.int64)
         np.maximum.at(most, code, seen)
         spared = self.needed // 4
         out = np.zeros(len(most), bool)
         for item, own in enumerate(self.words):
-            out[item * width + np.argsort(-most[item * width : item * width + len(own) - 1], kind="stable")[: spared[item]]] = True
+            at = starts[item]
+            out[at + np.argsort(-most[at : at + len(own) - 1], kind="stable")[: spared[item]]] = True
         keep = ~out[code]
         keys, first, places = self._sorted(seeds[keep], self.places[keep])
         return replace(self, keys=keys, first=first, places=places, needed=self.needed - MATCH * spared)

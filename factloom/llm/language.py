@@ -13,7 +13,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -129,19 +129,23 @@ class Hierarchy:
 
 
 def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Hierarchy:
-    """A model from the rows with a language and a letter, at most about PER_LANGUAGE of each language, drawn by a hash of the id.
+    """A model from the rows with a language and a letter: of each language those with the least hashes of id and text.
 
+    At most PER_LANGUAGE rows of a language are drawn, fewer with so many languages that ALL_LANGUAGES would not do for
+    them, but two of each, if it has them. Rows that agree in id, language and text count once; a null id is one too.
     A row's vector goes to the pairs that its language and its family take part in; every pair is trained in one task, from
     a bounded number of rows, and only weights come to the driver.
     """
     small_batches(labelled)
-    rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}") & F.col(id_col).isNotNull())
-    counts = {r[0]: r[1] for r in rows.groupBy(lang_col).count().collect()}  # one row a language
-    each = min(PER_LANGUAGE, max(2, ALL_LANGUAGES // max(1, len(counts))))
-    share = F.create_map(*[F.lit(x) for name, n in counts.items() for x in (name, min(1.0, each / n))])[F.col(lang_col)] if counts else F.lit(0.0)
-    drawn = rows.where(F.pmod(F.xxhash64(F.lit("language"), id_col), F.lit(1 << 20)) < share * (1 << 20))
-    # What the draw left: a language needs a row to be told, a family a language.
-    languages = sorted(r[0] for r in drawn.select(lang_col).distinct().collect()) if counts else []
+    rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}")).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
+    rows = rows.withColumn("h", F.xxhash64(F.lit("language"), "id", "text"))
+    least = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    kept = rows.select("lang", "h").distinct().withColumn("n", least).where(F.col("n") <= PER_LANGUAGE)  # cut to that many before they are shuffled
+    hashes = {r[0]: r[1] for r in kept.groupBy("lang").agg(F.array_sort(F.collect_list("h"))).collect()}  # one row a language
+    each = min(PER_LANGUAGE, max(2, ALL_LANGUAGES // max(1, len(hashes))))
+    bar = F.create_map(*[F.lit(x) for name, own in hashes.items() for x in (name, own[:each][-1])])[F.col("lang")] if hashes else F.lit(None).cast("long")
+    drawn = rows.where(F.col("h") <= bar).dropDuplicates(["lang", "h"])
+    languages = sorted(hashes)
     families = sorted({family_of(x) for x in languages})
     within = [[x for x in languages if family_of(x) == f] for f in families]
     pairs = [("family", a, b) for a, b in combinations(families, 2)] + [("language", a, b) for some in within for a, b in combinations(some, 2)]
@@ -166,7 +170,7 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     machines = {}
     if pairs:
         kind = labelled.schema[id_col].dataType.simpleString()
-        sent = drawn.select(id_col, text_col, lang_col).mapInArrow(vectors, f"pair int, id {kind}, lang string, x binary")
+        sent = drawn.select("id", "text", "lang").mapInArrow(vectors, f"pair int, id {kind}, lang string, x binary")
         trained = sent.groupBy("pair").applyInArrow(machine, "pair int, w binary, bias double").toArrow()  # one row a pair
         for k, w, bias in zip(*(trained.column(c).to_pylist() for c in range(3)), strict=True):
             machines[pairs[k]] = np.frombuffer(w, np.float32), bias

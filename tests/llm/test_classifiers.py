@@ -202,3 +202,20 @@ def test_a_score_at_the_bar_is_toxic(spark):
     assert {round(x["score"], 12) for x in scored} == {0.7}
     below = spark.createDataFrame([(0.7,), (0.6999999,), (0.7000001,)], "score double").select((F.col("score") >= TOXIC).cast("int").alias("p"))
     assert [x["p"] for x in below.collect()] == [1, 0, 1]
+
+
+def test_language_sample_with_one_id(spark, monkeypatch):
+    r = random.Random(5)
+    for only in (1, 2, None):
+        rows = [(only, " ".join(word(r, lang) for _ in range(12)), lang) for lang in ("en", "de") for _ in range(400)] + [(only, "eauoi équeç", "fr")] * 50
+        docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+        model = language.fit(docs)
+        assert sorted(x for f in model.within for x in f.classes) == ["de", "en", "fr"]
+        got = language.identify(docs, model).collect()
+        assert sum(x["lang_pred"] != x["lang"] for x in got) <= 10
+
+
+def test_language_sample_keeps_its_bound_and_rare_languages(spark):
+    rows = [(7, f"thing {i}", "en") for i in range(600)] + [(i, f"ting {k}", f"x{k}") for k in range(30) for i in range(3)]
+    model = language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert sorted(x for f in model.within for x in f.classes) == sorted(["en", *(f"x{k}" for k in range(30))])

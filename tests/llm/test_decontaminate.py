@@ -88,3 +88,10 @@ def test_item_ids_of_any_type(spark):
     docs = spark.createDataFrame([(1, f"some words {text} and more")], "doc_id long, text string")
     for kind, value in (("date", dt.date(2024, 1, 2)), ("double", 1.5), ("string", "x"), ("short", 3), ("boolean", True)):
         assert [x["item_id"] for x in d.find_contamination(docs, spark.createDataFrame([(value, text)], f"item_id {kind}, text string")).collect()] == [value]
+
+
+def test_one_very_long_item_among_many_short_ones():
+    items = [f"short item number {i} of many" for i in range(20_000)] + [" ".join(f"w{i}" for i in range(200_000))]
+    paired, _ = d.Block.of(list(range(len(items))), items)
+    counted = paired.with_counts({0: 5, 1: 7})
+    assert len(counted.words) == len(items) and 0 < len(counted.keys) <= len(paired.keys)
