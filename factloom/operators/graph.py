@@ -62,10 +62,16 @@ def resolve_paths(wanted: DataFrame, files: DataFrame, suffixes: list[str]) -> D
 
 
 def call_targets(call: Column) -> Column:
-    """Candidates of a dotted call: whole, last two parts, last part."""
-    parts = F.split(call, r"\.")
-    last = lambda k: F.array_join(F.slice(parts, F.greatest(F.size(parts) - k + 1, F.lit(1)), F.lit(k)), ".")
-    return F.array_distinct(F.array(call, last(2), last(1)))
+    """Candidates of a call as it is written: without subscripts the whole, its last two parts, its last part.
+
+    Blanks around parts and parts without text do not count; a call of one part has only that.
+    """
+    whole = F.regexp_replace(F.regexp_replace(call, r"(?U)^\s+|\s+$", ""), r"\[[^\]]*\]", "")
+    trimmed = F.transform(F.split(whole, r"\."), lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", ""))
+    parts = F.filter(trimmed, lambda x: x != "")
+    last, second = F.try_element_at(parts, F.lit(-1)), F.try_element_at(parts, F.lit(-2))
+    several = F.array_distinct(F.array(whole, F.concat_ws(".", second, last), last))
+    return F.when(F.size(parts) > 1, several).otherwise(parts)
 
 
 def resolve_calls(declarations: DataFrame) -> DataFrame:
@@ -196,31 +202,11 @@ def impact_levels(edges: DataFrame, target: str, max_depth: int = 3) -> DataFram
 
 
 def impact_capped(edges: DataFrame, target: str, max_depth: int = 3, max_results: int = 25) -> DataFrame:
-    """id, depth, kind, confidence, truncated: breadth-first in discovery order, cut at ``max_results``.
+    """id, depth, kind, confidence, truncated of one target: ``impact.impact_of_all`` of just that."""
+    from .impact import impact_of_all
 
-    A node's callers come sorted by id, kind and confidence, and each node keeps the edge that found it first. As no more
-    than ``max_results`` rows are ever kept, a level takes only its first ones.
-    """
-    spark = edges.sparkSession
-    back = edges.where("to is not null").select(F.col("to").alias("at"), F.col("from").alias("id"), "kind", "confidence")
-    kept = [(target, 0, None, None, 0)]
-    front, more = list(kept), False
-    schema = "id string, depth int, kind string, confidence string, rank int"
-    for depth in range(1, max_depth + 1):
-        if not front or len(kept) - 1 >= max_results:
-            break
-        now = spark.createDataFrame([(r[0], r[4]) for r in front], "at string, parent int")
-        seen = spark.createDataFrame([(r[0],) for r in kept], "id string")
-        first = F.min(F.struct("parent", "id", "kind", "confidence")).alias("e")
-        found = back.join(F.broadcast(now), "at").join(F.broadcast(seen), "id", "left_anti").groupBy("id").agg(first).orderBy("e").limit(max_results + 1 - (len(kept) - 1))
-        rows = [(r["e"]["id"], depth, r["e"]["kind"], r["e"]["confidence"]) for r in found.collect()]  # max_results + 1 at most
-        room = max_results - (len(kept) - 1)
-        more = more or len(rows) > room
-        front = [(*r, len(kept) + i) for i, r in enumerate(rows[:room])]
-        kept += front
-    queued = len(kept) - 1 >= max_results and any(r[1] < max_depth for r in kept)
-    out = spark.createDataFrame(kept[1:], schema)
-    return out.select("id", "depth", "kind", "confidence", F.lit(bool(more or queued)).alias("truncated"))
+    found = impact_of_all(edges, edges.sparkSession.createDataFrame([(target,)], "target string"), max_depth, max_results)
+    return found.select("id", "depth", "kind", "confidence", "truncated")
 
 
 def propose_role(nodes: DataFrame, plumbing: list[str]) -> DataFrame:

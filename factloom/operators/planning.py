@@ -22,9 +22,14 @@ def revise(nodes: DataFrame, chosen: Column) -> DataFrame:
 
 
 def reject(nodes: DataFrame, chosen: Column) -> DataFrame:
-    """All nodes but the first (by id) of ``chosen`` in each feature."""
-    first = F.min(F.when(chosen, F.col("id"))).over(Window.partitionBy("feature"))
-    return nodes.withColumn("_first", first).where("not coalesce(id = _first, false)").drop("_first")
+    """All nodes but the first of ``chosen`` in the plan's order (``seq``); without a chosen one all stay."""
+    first = F.broadcast(nodes.where(F.coalesce(chosen, F.lit(False))).agg(F.min("seq").alias("_first")))  # one row
+    return nodes.join(first, F.col("seq") == F.col("_first"), "left_anti")
+
+
+def named_by(target: str) -> Column:
+    """Whether a node is meant by ``target``: by its id, its identity or one of its identities."""
+    return (F.col("id").cast("string") == target) | F.coalesce(F.array_contains(F.col("identities").cast("array<string>"), target), F.lit(False))
 
 
 def reorder(nodes: DataFrame, moved: DataFrame) -> DataFrame:
@@ -73,10 +78,15 @@ def row_status(nodes: DataFrame, results: DataFrame) -> DataFrame:
 
 
 def link_steps(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """from, to: call edges mapped to the nodes that own their ends (the last owner counts), without loops."""
-    owners = nodes.select("id", F.explode("identities").alias("identity")).groupBy("identity").agg(F.max("id").alias("id"))
-    a, b = owners.toDF("from", "a"), owners.toDF("to", "b")
-    return edges.join(a, "from").join(b, "to").where("a <> b").select(F.col("a").alias("from"), F.col("b").alias("to")).distinct()
+    """from, to: the steps that a step's calls lead to, other than itself.
+
+    ``nodes`` has id, identities and ``seq``, the plan's order. A call comes from every node that has its caller; it leads to
+    the last node of the plan that has what is called.
+    """
+    each = nodes.select("id", "seq", F.explode("identities").alias("identity"))
+    owners = each.groupBy(F.col("identity").alias("to")).agg(F.max_by("id", "seq").alias("b"))
+    callers = each.select(F.col("identity").alias("from"), F.col("id").alias("a"))
+    return edges.join(callers, "from").join(owners, "to").where("a <> b").select(F.col("a").alias("from"), F.col("b").alias("to")).distinct()
 
 
 def first_by_source(sources: list[DataFrame], key: str) -> DataFrame:

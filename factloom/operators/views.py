@@ -32,10 +32,11 @@ def status_pivot(nodes: DataFrame, by: str, statuses: list[str]) -> DataFrame:
 
 
 def preview(rows: DataFrame, group: str, order: list[str], limit: int) -> DataFrame:
-    """Each group's first, last and evenly spaced rows, ``limit`` at most (halves round up)."""
+    """Each group's first, last and evenly spaced rows, ``limit`` at most (halves round up), but the first and last always."""
     w = Window.partitionBy(group)
     numbered = rows.withColumn("_i", F.row_number().over(w.orderBy(*order)) - 1).withColumn("_n", F.count("*").over(w))
-    picks = F.transform(F.sequence(F.lit(0), F.lit(limit - 1)), lambda k: F.floor(k * (F.col("_n") - 1) / (limit - 1) + 0.5).cast("int"))
+    between = F.transform(F.sequence(F.lit(0), F.lit(max(limit, 2) - 1)), lambda k: F.floor(k * (F.col("_n") - 1) / (max(limit, 2) - 1) + 0.5).cast("int"))
+    picks = between if limit > 1 else F.array(F.lit(0), F.col("_n").cast("int") - 1)
     return numbered.where((F.col("_n") <= limit) | F.array_contains(picks, F.col("_i"))).drop("_i", "_n")
 
 
@@ -45,6 +46,21 @@ def chunks(rows: DataFrame, group: str, order: list[str], size: int) -> DataFram
     return rows.withColumn("chunk", F.floor((n - 1) / size).cast("int"))
 
 
+def batches(rows: DataFrame, order: list[str], size: int, directory: str) -> DataFrame:
+    """``rows`` with ``batch`` (from 0), runs of ``size`` in one order over all rows, and ``batch_name``.
+
+    The name is the batch's directory, or its first one and how many more there are. Places come from range partitions'
+    totals, so no task sees all rows.
+    """
+    from .events import with_rank
+    from .graph import reliable
+
+    placed = reliable(with_rank(rows, order).withColumn("batch", F.floor(F.col("rank") / size)))
+    names = placed.groupBy("batch").agg(F.min_by(directory, "rank").alias("_first"), F.count_distinct(directory).alias("_n"))
+    name = F.when(F.col("_n") == 1, F.col("_first")).otherwise(F.concat("_first", F.lit(" +"), (F.col("_n") - 1).cast("string"), F.lit(" more")))
+    return placed.join(names.select("batch", name.alias("batch_name")), "batch").drop("rank")
+
+
 def fold_runs(rows: DataFrame, group: str, order: str, shown: Column) -> DataFrame:
     """group, first, shown, n: every shown row by itself and every maximal run of others as one (gaps and islands)."""
     w = Window.partitionBy(group).orderBy(order)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import diff, events, graph, rules, views
+from ..operators import diff, events, graph, impact, rules, views
 from . import authoring as _authoring  # noqa: F401  likewise
 from . import history as _history  # noqa: F401  fills the registry
 from . import planning as _planning  # noqa: F401  likewise
@@ -264,9 +264,22 @@ _CALLS_SQL = f"""WITH {R.DECLARATIONS_SQL},
                  AND CASE WHEN n = 1 THEN sole WHEN ln = 1 THEN lonly END IS NOT NULL) """
 
 
-@query(_CALLS_SQL + "SELECT * FROM call_edges")
+#: Calls as sources have them: with blanks around dots and ends, subscripts with dots in them, and parts without text.
+_WRITTEN_SQL = _CALLS_SQL.replace(
+    "unnest(calls) AS call FROM decl),",
+    """unnest(list_concat(calls, ['  svc . ' || calls[2] || ' ', 'rows["a.b"].' || calls[2] || '[0]', '..' || string_split(calls[2], '.')[-1], ' [x] '])) AS call FROM decl),
+  parts AS (SELECT *, regexp_replace(trim(call), '\\[[^\\]]*\\]', '', 'g') AS whole, list_filter(list_transform(string_split(regexp_replace(trim(call), '\\[[^\\]]*\\]', '', 'g'), '.'), lambda x: trim(x)), lambda x: x <> '') AS p FROM calls),""",
+).replace(
+    "unnest([call, array_to_string(list_slice(string_split(call, '.'), -2, -1), '.'), string_split(call, '.')[-1]]) AS target, unnest([0, 1, 2]) AS pos FROM calls)",
+    "unnest(CASE WHEN len(p) > 1 THEN [whole, p[-2] || '.' || p[-1], p[-1]] ELSE p END) AS target, unnest(range(0, CASE WHEN len(p) > 1 THEN 3 ELSE len(p) END)) AS pos FROM parts)",
+)
+
+
+@query(_WRITTEN_SQL + "SELECT * FROM call_edges")
 def call_graph_resolve(spark, sf):
-    return graph.resolve_calls(R.declarations(spark, sf))
+    other = F.element_at("calls", 2)
+    written = F.array(F.concat(F.lit("  svc . "), other, F.lit(" ")), F.concat(F.lit('rows["a.b"].'), other, F.lit("[0]")), F.concat(F.lit(".."), F.element_at(F.split(other, r"\."), -1)), F.lit(" [x] "))
+    return graph.resolve_calls(R.declarations(spark, sf).withColumn("calls", F.concat("calls", written)))
 
 
 _DEGREES_SQL = _CALLS_SQL + """, deg AS (SELECT d.identity AS id, (SELECT count(DISTINCT "from") FROM call_edges e WHERE e."to" = d.identity) AS callers, (SELECT count(DISTINCT "to") FROM call_edges e WHERE e."from" = d.identity) AS callees FROM decl d) """
@@ -324,6 +337,48 @@ def impact_capped(spark, sf):
     return graph.impact_capped(R.edges(spark, sf), "region:0")
 
 
+_TARGETS_SQL = _VERIFIED_SQL + """, """ + R.EDGES_SQL.strip() + """, asked AS (
+  SELECT 'order:' || node_id AS target FROM nodes WHERE status <> 'implemented'
+  UNION SELECT 'supplier:' || s_suppkey FROM supplier UNION SELECT 'nation:' || n_nationkey FROM nation UNION SELECT 'region:' || r_regionkey FROM region),
+  c AS (SELECT "to" AS at, "from" AS id, kind, confidence FROM edges QUALIFY row_number() OVER (PARTITION BY "to", "from" ORDER BY kind, confidence) = 1),
+  f1 AS (SELECT target, c.id, 1 AS depth, 0 AS parent, kind, confidence, row_number() OVER (PARTITION BY target ORDER BY c.id) AS place FROM asked JOIN c ON c.at = target WHERE c.id <> target),
+  k1 AS (SELECT * FROM f1 WHERE place <= 25), s1 AS (SELECT target, id FROM k1 UNION ALL SELECT target, target FROM asked), n1 AS (SELECT target, count(*) AS n FROM k1 GROUP BY target),
+  d2 AS (SELECT k.target, c.id, 2 AS depth, k.place AS parent, c.kind, c.confidence FROM k1 k JOIN n1 ON n1.target = k.target AND n1.n < 25 JOIN c ON c.at = k.id ANTI JOIN s1 ON s1.target = k.target AND s1.id = c.id
+         QUALIFY row_number() OVER (PARTITION BY k.target, c.id ORDER BY k.place) = 1),
+  k2 AS (SELECT d2.*, n + row_number() OVER (PARTITION BY d2.target ORDER BY parent, id) AS place FROM d2 JOIN n1 ON n1.target = d2.target QUALIFY place <= 25),
+  s2 AS (SELECT * FROM s1 UNION ALL SELECT target, id FROM k2), n2 AS (SELECT s.target, count(*) - 1 AS n FROM s2 s GROUP BY s.target),
+  d3 AS (SELECT k.target, c.id, 3 AS depth, k.place AS parent, c.kind, c.confidence FROM k2 k JOIN n2 ON n2.target = k.target AND n2.n < 25 JOIN c ON c.at = k.id ANTI JOIN s2 ON s2.target = k.target AND s2.id = c.id
+         QUALIFY row_number() OVER (PARTITION BY k.target, c.id ORDER BY k.place) = 1),
+  k3 AS (SELECT d3.*, n + row_number() OVER (PARTITION BY d3.target ORDER BY parent, id) AS place FROM d3 JOIN n2 ON n2.target = d3.target QUALIFY place <= 25),
+  found AS (SELECT * FROM k1 UNION ALL BY NAME SELECT * FROM k2 UNION ALL BY NAME SELECT * FROM k3), known AS (SELECT target, id, place, depth FROM found UNION ALL SELECT target, target, 0, 0 FROM asked),
+  ended AS (SELECT target, parent FROM found WHERE place = 25),
+  cut AS (SELECT e.target FROM ended e JOIN known k ON k.target = e.target AND k.place > e.parent AND k.depth < 3
+          UNION SELECT e.target FROM ended e JOIN known k ON k.target = e.target AND k.place = e.parent JOIN c ON c.at = k.id ANTI JOIN known s ON s.target = e.target AND s.id = c.id),
+  walked AS (SELECT target, id, CAST(depth AS INTEGER) AS depth, CAST(place AS INTEGER) AS place, kind, confidence, target IN (SELECT target FROM cut) AS truncated FROM found) """
+
+
+def _results(spark, sf):
+    """Verification results of orders, and of suppliers, nations and regions that were not found any more."""
+    orders = _verified(spark, sf).select(F.concat(F.lit("order:"), F.col("node_id").cast("string")).alias("identity"), "status")
+    for name, key in (("supplier", "s_suppkey"), ("nation", "n_nationkey"), ("region", "r_regionkey")):
+        orders = orders.unionByName(R.table(spark, sf, name).select(F.concat(F.lit(f"{name}:"), F.col(key).cast("string")).alias("identity"), F.lit("error").alias("status")))
+    return orders
+
+
+@query(_TARGETS_SQL + "SELECT * FROM walked")
+def impact_of_all_results(spark, sf):
+    targets = _results(spark, sf).where("status <> 'implemented'").select(F.col("identity").alias("target"))
+    return impact.impact_of_all(R.edges(spark, sf), targets)
+
+
+@query(_TARGETS_SQL + """, r AS (SELECT 'order:' || node_id AS identity, status FROM nodes UNION ALL SELECT target, 'error' FROM asked WHERE target NOT LIKE 'order:%')
+  SELECT r.identity, r.status, CAST(count(w.id) AS INTEGER) AS n, coalesce(string_agg(w.id || '@' || w.depth, ' ' ORDER BY place), '') AS affected, coalesce(bool_or(w.truncated), false) AS truncated
+  FROM r LEFT JOIN walked w ON w.target = r.identity AND r.status <> 'implemented' GROUP BY r.identity, r.status""")
+def verify_impact(spark, sf):
+    shown = F.array_join(F.transform("impact", lambda e: F.concat(e["identity"], F.lit("@"), e["depth"].cast("string"))), " ")
+    return impact.impact_of_results(_results(spark, sf), R.edges(spark, sf)).select("identity", "status", F.size("impact").alias("n"), shown.alias("affected"), "truncated")
+
+
 # --- log -------------------------------------------------------------------------------------------------------------
 
 
@@ -496,9 +551,12 @@ def status_pivot(spark, sf):
 
 
 @query(f"""WITH {R.PLAN_SQL}, n AS (SELECT feature, id, row_number() OVER (PARTITION BY feature ORDER BY step, id) - 1 AS i, count(*) OVER (PARTITION BY feature) AS c FROM plan)
-  SELECT feature, id FROM n WHERE c <= 6 OR i IN (SELECT CAST(floor(k * (c - 1) / 5.0 + 0.5) AS BIGINT) FROM unnest(range(0, 6)) AS t(k))""")
+  SELECT 6 AS most, feature, id FROM n WHERE c <= 6 OR i IN (SELECT CAST(floor(k * (c - 1) / 5.0 + 0.5) AS BIGINT) FROM unnest(range(0, 6)) AS t(k))
+  UNION ALL SELECT 1, feature, id FROM n WHERE i IN (0, c - 1) UNION ALL SELECT 2, feature, id FROM n WHERE i IN (0, c - 1)""")
 def preview_pick(spark, sf):
-    return views.preview(R.plan(spark, sf), "feature", ["step", "id"], 6).select("feature", "id")
+    """With limits of six, two and one; the last still shows where a feature begins and ends."""
+    of = lambda most: views.preview(R.plan(spark, sf), "feature", ["step", "id"], most).select(F.lit(most).alias("most"), "feature", "id")
+    return of(6).unionByName(of(1)).unionByName(of(2))
 
 
 @query(f"WITH {R.PLAN_SQL} SELECT feature, id, CAST((row_number() OVER (PARTITION BY feature ORDER BY step, id) - 1) // 10 AS INTEGER) AS chunk FROM plan")

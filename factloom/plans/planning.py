@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import planning as P
 from ..operators import views
+from ..operators.events import with_rank
 from . import relations as R
 from .registry import query
 
@@ -31,9 +32,22 @@ def revise_nodes(spark, sf):
     return P.revise(_nodes(spark, sf), F.col("id") % 2 == 0).select("id", "status", "version", "approved_facts")
 
 
-@query(_NODES_SQL + "SELECT id, feature FROM nodes QUALIFY id IS DISTINCT FROM min(CASE WHEN title LIKE '%ring%' THEN id END) OVER (PARTITION BY feature)")
+#: The plan's order is by title here, so that neither ids nor their texts follow it; ids have no leading zeros.
+_PLACED_SQL = _NODES_SQL + ", placed AS (SELECT 'plan_' || id AS id, id AS key, [id, id + 1, id + 2] AS identities, row_number() OVER (ORDER BY title, id) AS seq FROM nodes) "
+
+
+def _placed(spark, sf):
+    nodes = _owning(spark, sf)
+    return with_rank(nodes, ["title", "id"]).select(F.concat(F.lit("plan_"), F.col("id").cast("string")).alias("id"), F.col("id").alias("key"), "identities", (F.col("rank") + 1).alias("seq"))
+
+
+@query(_PLACED_SQL + """SELECT 'identity' AS selector, id FROM placed WHERE seq IS DISTINCT FROM (SELECT min(seq) FROM placed WHERE list_contains(identities, 1000))
+  UNION ALL SELECT 'id', id FROM placed WHERE id <> 'plan_1000' UNION ALL SELECT 'none', id FROM placed""")
 def reject_nodes(spark, sf):
-    return P.reject(_nodes(spark, sf), F.contains("title", F.lit("ring"))).select("id", "feature")
+    """By an identity that three nodes share (the first of the plan goes), by an id, and by a name that nothing has."""
+    nodes = _placed(spark, sf)
+    of = lambda name, target: P.reject(nodes, P.named_by(target)).select(F.lit(name).alias("selector"), "id")
+    return of("identity", "1000").unionByName(of("id", "plan_1000")).unionByName(of("none", "nowhere"))
 
 
 @query(_NODES_SQL + "SELECT id, feature, CAST(row_number() OVER (PARTITION BY feature ORDER BY CASE WHEN id % 50 = 0 THEN id % 7 - 0.5 ELSE step END, id) AS INTEGER) AS step FROM nodes")
@@ -87,11 +101,11 @@ def row_status(spark, sf):
     return P.row_status(nodes, ids.join(items, "identity"))
 
 
-@query(_OWNED_SQL + """, w AS (SELECT identity, max(id) AS id FROM owned GROUP BY identity)
-  SELECT DISTINCT a.id AS "from", b.id AS "to" FROM lineitem JOIN w a ON a.identity = l_partkey JOIN w b ON b.identity = l_suppkey WHERE a.id <> b.id""")
+@query(_PLACED_SQL + """, each AS (SELECT id, seq, unnest(identities) AS identity FROM placed), w AS (SELECT identity, arg_max(id, seq) AS id FROM each GROUP BY identity)
+  SELECT DISTINCT a.id AS "from", b.id AS "to" FROM lineitem JOIN each a ON a.identity = l_partkey JOIN w b ON b.identity = l_suppkey WHERE a.id <> b.id""")
 def link_steps(spark, sf):
     edges = R.table(spark, sf, "lineitem").select(F.col("l_partkey").alias("from"), F.col("l_suppkey").alias("to")).distinct()
-    return P.link_steps(edges, _owning(spark, sf))
+    return P.link_steps(edges, _placed(spark, sf))
 
 
 @query("""WITH u AS (SELECT p_partkey AS id, p_name AS name, 0 AS s FROM part WHERE p_partkey % 2 = 0 UNION ALL SELECT c_custkey, c_name, 1 FROM customer WHERE c_custkey % 3 = 0 UNION ALL SELECT s_suppkey, s_name, 2 FROM supplier)
@@ -179,9 +193,12 @@ def parts_of_features(spark, sf):
     return first.withColumn("part", F.row_number().over(Window.partitionBy("feature").orderBy("first"))).drop("first")
 
 
-@query(f"""WITH {R.LOG_SQL}, d AS (SELECT seq, event_type AS dir, row_number() OVER (PARTITION BY event_type ORDER BY ts, identity, seq) - 1 AS n FROM log) SELECT seq, dir, CAST(n // 30 AS INTEGER) AS chunk FROM d""")
+@query(f"""WITH {R.LOG_SQL}, d AS (SELECT seq, event_type AS dir, (row_number() OVER (ORDER BY event_type, ts, identity, seq) - 1) // 30 AS batch FROM log),
+  b AS (SELECT batch, min(dir) AS first, count(DISTINCT dir) AS n FROM d GROUP BY batch)
+  SELECT seq, batch, CASE WHEN n = 1 THEN first ELSE first || ' +' || (n - 1) || ' more' END AS batch_name FROM d JOIN b USING (batch)""")
 def label_batches(spark, sf):
-    return views.chunks(R.log(spark, sf).select("seq", F.col("event_type").alias("dir"), "ts", "identity"), "dir", ["ts", "identity", "seq"], 30).select("seq", "dir", "chunk")
+    rows = R.log(spark, sf).select("seq", F.col("event_type").alias("dir"), "ts", "identity")
+    return views.batches(rows, ["dir", "ts", "identity", "seq"], 30, "dir").select("seq", "batch", "batch_name")
 
 
 @query(f"WITH {R.LOG_SQL} SELECT seq, identity FROM log WHERE after % 7 = 0 ORDER BY ts DESC, seq DESC LIMIT 1")
