@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import datetime as dt
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import reliable
+from .skew import hot_join
 
 
 def _by(key: str, seq: str = "seq"):
@@ -144,26 +144,81 @@ class SessionFold:
         return self.number
 
 
-def capped_sessions(events: DataFrame, key: str, identity: str) -> DataFrame:
-    """key, seq, session: sessions end after 30 idle minutes, and once 20 distinct identities are in.
+#: Events of a block in which capped sessions are looked for.
+BLOCK = 64
+
+
+def _first_names(entries: Column, most: int) -> Column:
+    """Of (name, place) entries in order the first of each name, ``most`` at most."""
+    names = F.transform(entries, lambda e: e["name"])
+    return F.transform(F.slice(F.array_distinct(names), 1, most), lambda n: F.get(entries, (F.array_position(names, n) - 1).cast("int")))
 
-    Which event reaches the cap depends on all before it since the last idle gap, where every count starts anew. So the log
-    is cut at the gaps, each stretch is folded in order by itself, and a running sum over a key's stretches numbers them.
+
+def _session_starts(placed: DataFrame, cap: int) -> DataFrame:
+    """place of the events that open a session; ``placed`` has place, name and fresh (opens a stretch without idle gap).
+
+    A session that opens at an event is full at the event where the ``cap``-th name falls, and the next one opens behind that. So
+    every event has a successor, which follows from the first places of the next names: lists of ``cap`` entries, which are put
+    together from blocks and, by doubling, from the blocks behind them until they are full. The events that open sessions
+    are those that the stretches' first events reach along successors; each round doubles the steps. No task sees a stretch.
+    """
+    stretch = with_running_sum(placed.select("place", "name", "fresh"), ["place"], F.col("fresh").cast("long"), "stretch")
+    entry = F.struct("place", "name")
+    blocks = reliable(stretch.groupBy("stretch", F.floor(F.col("place") / BLOCK).alias("block")).agg(F.array_sort(F.collect_list(entry)).alias("own")))  # BLOCK events at most
+    ahead, step = reliable(blocks.select("stretch", "block", _first_names(F.col("own"), cap).alias("names"))), 1
+    while True:
+        further = ahead.select("stretch", (F.col("block") - step).alias("block"), F.col("names").alias("more"))
+        short = ahead.where(F.size("names") < cap).join(further, ["stretch", "block"])
+        if short.isEmpty():
+            break
+        grown = F.when(F.col("more").isNotNull() & (F.size("names") < cap), _first_names(F.concat("names", "more"), cap)).otherwise(F.col("names"))
+        ahead, step = reliable(ahead.join(further, ["stretch", "block"], "left").select("stretch", "block", grown.alias("names"))), step * 2
+    behind = ahead.select("stretch", (F.col("block") - 1).alias("block"), F.col("names").alias("behind"))
+    tail = F.coalesce("behind", F.slice("own", 1, 0))
+    full_at = lambda entries: F.get(_first_names(entries, cap), cap - 1)["place"]
+    successors = F.transform("own", lambda e, i: F.struct(e["place"].alias("place"), (full_at(F.concat(F.slice("own", i + 1, F.lit(BLOCK)), tail)) + 1).alias("next")))
+    hops = reliable(blocks.join(behind, ["stretch", "block"], "left").select(F.explode(successors).alias("h")).select("h.*").where("next is not null"))
+    starts = reliable(placed.where("fresh").select("place"))
+    while True:
+        reached = reliable(hops.join(starts, "place").select(F.col("next").alias("place")).distinct().join(starts, "place", "left_anti"))
+        if reached.isEmpty():
+            return starts
+        starts = reliable(starts.unionByName(reached))
+        hops = reliable(hops.join(hops.select(F.col("place").alias("next"), F.col("next").alias("after")), "next").select("place", F.col("after").alias("next")))
+
+
+def _opened(rows: DataFrame, key: str, identity: str, order: list[str], control: Column) -> DataFrame:
+    """``rows`` with place (a global order by key), name, follows (the row before is of the key), opens (a session starts here).
+
+    Rows of ``control`` end what is open and open nothing themselves.
     """
-    by_key = Window.partitionBy(key).orderBy("ts", "seq")
-    idle = F.coalesce(F.col("ts") - F.lag("ts").over(by_key) >= F.expr(f"interval {int(IDLE.total_seconds())} seconds"), F.lit(True))
-    cut = events.select(key, "seq", "ts", identity, idle.cast("long").alias("idle")).withColumn("stretch", F.sum("idle").over(by_key))
-    kind = events.schema[key].dataType.simpleString()
+    ranked = reliable(with_rank(rows.withColumn("_control", control), [key, *order]))
+    before = ranked.select((F.col("rank") + 1).alias("rank"), F.lit(True).alias("_any"), F.col(key).alias("_key"), F.col("ts").alias("_ts"), F.col("_control").alias("_ended"))
+    near = ranked.join(before, "rank", "left")
+    follows = F.col("_any").isNotNull() & F.col(key).eqNullSafe(F.col("_key"))
+    idle = F.col("ts") - F.col("_ts") >= F.expr(f"interval {int(IDLE.total_seconds())} seconds")
+    fresh = ~follows | F.col("_ended") | F.coalesce(idle, F.lit(False))
+    name = F.coalesce(F.concat(F.lit("="), F.col(identity).cast("string")), F.lit(""))
+    placed = reliable(near.select(*rows.columns, "_control", F.col("rank").alias("place"), name.alias("name"), follows.alias("follows"), fresh.alias("fresh")))
+    starts = _session_starts(placed.where("not _control"), CAP).withColumn("_opens", F.lit(True))
+    return placed.join(starts, "place", "left").withColumn("opens", F.coalesce("_opens", F.lit(False))).drop("_opens", "fresh")
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        state, rows = SessionFold(), pdf.sort_values(["ts", "seq"])
-        numbers = [state.place(t, i) for t, i in zip(rows["ts"], rows[identity], strict=True)]
-        return pd.DataFrame({key: rows[key].to_numpy(), "stretch": rows["stretch"].to_numpy(), "seq": rows["seq"].to_numpy(), "own": numbers})
 
-    folded = reliable(cut.drop("idle").groupBy(key, "stretch").applyInPandas(fold, f"{key} {kind}, stretch long, seq long, own long"))
-    sizes = folded.groupBy(key, "stretch").agg(F.max("own").alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.partitionBy(key).orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return folded.join(sizes.select(key, "stretch", before.alias("before")), [key, "stretch"]).select(key, "seq", (F.col("before") + F.col("own")).alias("session"))
+def _from_first(rows: DataFrame, key: str, number: str) -> DataFrame:
+    """``rows`` with ``number`` counted from 1 in each key; numbers grow with the keys' own order."""
+    named = rows.withColumn("_k", F.to_json(F.struct(key)))  # a null key is one, too
+    firsts = named.groupBy("_k").agg(F.min(number).alias("_least"))
+    return hot_join(named, firsts, "_k").withColumn(number, F.col(number) - F.col("_least") + 1).drop("_k", "_least")
+
+
+def capped_sessions(events: DataFrame, key: str, identity: str) -> DataFrame:
+    """key, seq, session: sessions end after 30 idle minutes, and once 20 distinct identities are in; numbered by key from 1.
+
+    Neither a key's log nor a stretch of activity has to fit in a task (see ``_session_starts``).
+    """
+    opened = _opened(events.select(key, "seq", "ts", identity), key, identity, ["ts", "seq"], F.lit(False))
+    numbered = reliable(with_running_sum(opened, ["place"], F.col("opens").cast("long"), "session"))
+    return _from_first(numbered, key, "session").select(key, "seq", "session")
 
 
 def debounced(events: DataFrame, key: str, delay_seconds: float) -> DataFrame:
@@ -187,32 +242,17 @@ def watched_sessions(events: DataFrame, controls: DataFrame, key: str, identity:
     branch switch discards the open session's events. Sessions are numbered by key as they end; the last may be ``open``.
     ``sealed_by`` is cap, idle, git, manual or open.
     """
-    marks = controls.select(key, "ts", F.lit(None).cast("long").alias("seq"), F.lit(None).cast(events.schema[identity].dataType).alias(identity), "kind")
-    every = events.select(key, "ts", "seq", identity, F.lit(None).cast("string").alias("kind")).unionByName(marks)
-    order = Window.partitionBy(key).orderBy("ts", F.col("kind").isNotNull(), "seq")
-    control = F.col("kind").isin("commit", "manual", "branch-switch")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    cut = every.withColumn("era", F.coalesce(F.sum(control.cast("long")).over(before), F.lit(0)))
-    ends = cut.where(control).select(key, "era", F.col("kind").alias("end"))
-    inside = Window.partitionBy(key, "era").orderBy("ts", "seq")
-    idle = F.coalesce(F.col("ts") - F.lag("ts").over(inside) >= F.expr(f"interval {int(IDLE.total_seconds())} seconds"), F.lit(True))
-    stretches = cut.where("kind is null").withColumn("idle", idle.cast("long")).withColumn("stretch", F.sum("idle").over(inside)).drop("kind", "idle")
-    kind = events.schema[key].dataType.simpleString()
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        state, rows = SessionFold(), pdf.sort_values(["ts", "seq"])
-        numbers = [state.place(t, i) for t, i in zip(rows["ts"], rows[identity], strict=True)]
-        return pd.DataFrame({key: rows[key].to_numpy(), "era": rows["era"].to_numpy(), "stretch": rows["stretch"].to_numpy(), "seq": rows["seq"].to_numpy(), "own": numbers, "full": len(state.identities) >= CAP})
-
-    folded = reliable(stretches.groupBy(key, "era", "stretch").applyInPandas(fold, f"{key} {kind}, era long, stretch long, seq long, own long, full boolean"))
-    last = folded.groupBy(key, "era", "stretch").agg(F.max("own").alias("own"), F.first("full").alias("full"))
-    final = F.max("stretch").over(Window.partitionBy(key, "era")) == F.col("stretch")
-    last = last.withColumn("final", final).join(ends, [key, "era"], "left")
-    by = F.when(F.col("full"), "cap").when(~F.col("final"), "idle").when(F.col("end") == "commit", "git").when(F.col("end").isNotNull(), F.col("end")).otherwise("open")
-    ended = folded.drop("full").join(last.select(key, "era", "stretch", "own", by.alias("by")), [key, "era", "stretch", "own"], "left")
-    kept = ended.withColumn("sealed_by", F.coalesce("by", F.lit("cap"))).where("sealed_by <> 'branch-switch'")
-    number = F.dense_rank().over(Window.partitionBy(key).orderBy("era", "stretch", "own"))
-    return kept.select(key, "seq", number.alias("session"), "sealed_by")
+    marks = controls.where(F.col("kind").isin("commit", "manual", "branch-switch")).select(key, "ts", F.lit(None).cast("long").alias("seq"), F.lit(None).cast(events.schema[identity].dataType).alias(identity), "kind")
+    every = events.select(key, "ts", "seq", identity, F.lit(None).cast("string").alias("kind")).unionByName(marks).withColumn("_later", F.col("kind").isNotNull())
+    opened = _opened(every, key, identity, ["ts", "_later", "seq"], F.col("_later"))
+    numbered = reliable(with_running_sum(opened, ["place"], F.col("opens").cast("long"), "own"))
+    inside = numbered.where("not _control")
+    ends = inside.groupBy("own").agg(F.max_by(F.col(key), "place").alias("_key"), (F.max("place") + 1).alias("place"), F.size(F.collect_set("name")).alias("size"))  # CAP names at most
+    behind = numbered.select("place", F.col("kind").alias("end"), "follows")
+    by = F.when(F.col("size") >= CAP, "cap").when(~F.coalesce("follows", F.lit(False)), "open").when(F.col("end") == "commit", "git").when(F.col("end").isNotNull(), F.col("end")).otherwise("idle")
+    sessions = reliable(ends.join(behind, "place", "left").select("own", F.col("_key").alias(key), by.alias("sealed_by")).where("sealed_by <> 'branch-switch'"))
+    counted = _from_first(with_rank(sessions, ["own"]), key, "rank").select("own", F.col("rank").cast("int").alias("session"), "sealed_by")
+    return inside.join(counted, "own").select(key, "seq", "session", "sealed_by")
 
 
 def removed_files(removals: DataFrame, baseline: DataFrame, last_seen: DataFrame, history: DataFrame) -> DataFrame:

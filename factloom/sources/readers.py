@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import json
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.events import with_rank
 from ..operators.validation import plan_problems
+from .store import EventLog, read_rows
 
 # Directory names that are never scanned, source extensions, and the one that is left out.
 SKIPPED = ("node_modules", ".git", "dist", "build", "coverage", ".next", "out", ".turbo", ".cache")
@@ -91,11 +93,16 @@ def read_snapshot(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_events(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Events of a JSON Lines log, and its malformed lines; blank lines count as neither.
+    """Events of a log, and its malformed lines; blank lines count as neither.
 
-    ``seq`` is the line's place in the log, unless the line carries one: files by name, then the blocks of a file as they are
-    read, then the lines of a block.
+    The lines of a ``store.EventLog`` carry their ``seq``. In plain JSON Lines it is the line's place in the log, unless the line
+    has one: files by name, then the blocks of a file as they are read, then the lines of a block.
     """
+    segments = EventLog.segments(spark, path)
+    if segments is not None:
+        lines = spark.read.text(segments).where(F.trim("value") != "")
+        raw = lines.select(F.from_json("value", EVENT, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}).alias("e")).select("e.*")
+        return raw.where("_bad is null").drop("_bad"), raw.where("_bad is not null").select("_bad")
     lines = spark.read.text(path).select("value", F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("at"))
     numbered = with_rank(lines, ["at"]).where(F.trim("value") != "")
     raw = numbered.select("rank", F.from_json("value", EVENT, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}).alias("e")).select("rank", "e.*")
@@ -103,6 +110,35 @@ def read_events(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return good, raw.where("_bad is not null").select("_bad")
 
 
+def read_lines(spark: SparkSession, path: str, schema: str | None = None, strict: bool = False) -> DataFrame | None:
+    """Sessions or a history as ``write_sessions`` and ``write_evolution`` write them: a row a JSON line; nothing if there is no such path.
+
+    Without a ``schema`` the lines tell it. Lines that are no JSON are left out, or an error if ``strict``.
+    """
+    try:
+        lines = spark.read.text(path).where(F.trim("value") != "")
+    except AnalysisException as error:
+        if "PATH_NOT_FOUND" not in str(error):
+            raise
+        return None
+    if strict and not lines.where(F.try_parse_json("value").isNull()).isEmpty():
+        raise ValueError(f"{path} has a line that is no JSON")
+    if schema is None:
+        return spark.read.option("mode", "DROPMALFORMED").json(path)
+    return lines.where(F.try_parse_json("value").isNotNull()).select(F.from_json("value", schema).alias("r")).select("r.*")
+
+
+def read_sessions(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame | None:
+    """The sessions that ``write_sessions`` wrote."""
+    return read_lines(spark, path, schema)
+
+
+def read_evolution(spark: SparkSession, path: str, schema: str | None = None, key: str = "id") -> DataFrame | None:
+    """The history that ``write_evolution`` or ``store.update_rows`` wrote; a malformed one is an error."""
+    stored = read_rows(spark, path, key)
+    return stored if stored is not None else read_lines(spark, path, schema, strict=True)
+
+
 def read_document(spark: SparkSession, path: str, default, strict: bool = False):
     """A small JSON document as Python data; missing or (unless ``strict``) malformed gives ``default``."""
     try:

@@ -6,11 +6,11 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.events import dedupe_consecutive
-from ..operators.graph import reliable
+from ..operators.events import with_rank
 from ..operators.reports import evolution_lines
 from ..operators.validation import plan_problems
-from .readers import EVENT, VERSION, read_events
+from .readers import VERSION
+from .store import EventLog
 
 # Types of session markers.
 MARKERS = ("session_started", "session_sealed")
@@ -22,36 +22,21 @@ def write_snapshot(declarations: DataFrame, path: str) -> None:
     rows.orderBy("identity").write.mode("overwrite").option("ignoreNullFields", False).json(path)
 
 
-def append_events(events: DataFrame, path: str) -> None:
-    events.write.mode("append").json(path)
-
-
 def append_changes(incoming: DataFrame, path: str, same: list[str]) -> int:
     """Appends those events that differ from the event of their identity before them, in the log or among themselves; how many.
 
-    ``incoming`` has seq (of its own order), ts, identity, type and the columns ``same``, which the log's lines have too.
+    ``incoming`` has seq (of its own order), ts, identity, type and the columns ``same``. The log is a ``store.EventLog``: what is
+    read of it is the last event of the identities at hand, and appended events are numbered on.
     """
-    spark = incoming.sparkSession
-    columns = ["identity", *same]
-    try:
-        stored, _ = read_events(spark, path)
-    except AnalysisException as error:
-        if "PATH_NOT_FOUND" not in str(error):
-            raise
-        stored = spark.createDataFrame([], EVENT)
-    last = stored.groupBy("identity").agg(F.max_by(F.struct(*same), "seq").alias("_last")).select("identity", *[F.col(f"_last.{c}").alias(c) for c in same])
-    both = last.select(*columns, F.lit(-1).cast("long").alias("seq"), F.lit(False).alias("_new")).unionByName(incoming.select(*columns, "seq", F.lit(True).alias("_new")))
-    kept = dedupe_consecutive(both, same).where("_new").select("seq")
-    fresh = reliable(incoming.join(kept, "seq", "left_semi"))
-    append_events(fresh.orderBy("seq").drop("seq"), path)
-    return fresh.count()
+    return EventLog(incoming.sparkSession, path, same).append(incoming)
 
 
 def append_marker(spark: SparkSession, path: str, kind: str, session: str, ts: str, reason: str | None = None, commit: str | None = None) -> None:
     """One session marker; a kind that is none is an error."""
     if kind not in MARKERS:
         raise ValueError(f"{kind} is no session marker")
-    append_events(spark.createDataFrame([(ts, kind, session, reason, commit)], "ts string, type string, sessionId string, reason string, commit string"), path)
+    row = spark.createDataFrame([(0, ts, kind, session, reason, commit)], "seq long, ts string, type string, sessionId string, reason string, commit string")
+    EventLog(spark, path, ["type"]).append(row.withColumn("identity", F.lit(None).cast("string")), deduped=False)
 
 
 def write_sessions(sessions: DataFrame, path: str) -> None:
@@ -113,7 +98,8 @@ def append_initial(declarations: DataFrame, log: DataFrame, path: str, ts: str)
     """One ``added`` event a declaration with a shared time; nothing if the log has any event."""
     if not log.isEmpty():
         return False
-    append_events(declarations.select(F.lit(ts).alias("ts"), "identity", F.lit("added").alias("type")), path)
+    added = with_rank(declarations.select(F.lit(ts).alias("ts"), "identity", F.lit("added").alias("type")), ["identity"])
+    EventLog(declarations.sparkSession, path, ["type"]).append(added.withColumnRenamed("rank", "seq"), deduped=False)
     return True
 
 
