@@ -239,7 +239,7 @@ def watched_sessions(events: DataFrame, controls: DataFrame, key: str, identity:
     """key, seq, session, sealed_by of a watched log: sessions as of ``capped_sessions``, cut also by control events.
 
     ``controls`` has key, ts and kind. A commit or a manual seal ends the open session after the events up to its time; a
-    branch switch discards the open session's events. Sessions are numbered by key as they end; the last may be ``open``.
+    branch switch discards the open session's events. One that comes when the idle time is over finds no open session. Sessions are numbered by key as they end; the last may be ``open``.
     ``sealed_by`` is cap, idle, git, manual or open.
     """
     marks = controls.where(F.col("kind").isin("commit", "manual", "branch-switch")).select(key, "ts", F.lit(None).cast("long").alias("seq"), F.lit(None).cast(events.schema[identity].dataType).alias(identity), "kind")
@@ -247,9 +247,10 @@ def watched_sessions(events: DataFrame, controls: DataFrame, key: str, identity:
     opened = _opened(every, key, identity, ["ts", "_later", "seq"], F.col("_later"))
     numbered = reliable(with_running_sum(opened, ["place"], F.col("opens").cast("long"), "own"))
     inside = numbered.where("not _control")
-    ends = inside.groupBy("own").agg(F.max_by(F.col(key), "place").alias("_key"), (F.max("place") + 1).alias("place"), F.size(F.collect_set("name")).alias("size"))  # CAP names at most
-    behind = numbered.select("place", F.col("kind").alias("end"), "follows")
-    by = F.when(F.col("size") >= CAP, "cap").when(~F.coalesce("follows", F.lit(False)), "open").when(F.col("end") == "commit", "git").when(F.col("end").isNotNull(), F.col("end")).otherwise("idle")
+    ends = inside.groupBy("own").agg(F.max_by(F.col(key), "place").alias("_key"), (F.max("place") + 1).alias("place"), F.max("ts").alias("last"), F.size(F.collect_set("name")).alias("size"))  # CAP names at most
+    behind = numbered.select("place", F.col("kind").alias("end"), F.col("ts").alias("next"), "follows")
+    waited = F.col("next") - F.col("last") >= F.expr(f"interval {int(IDLE.total_seconds())} seconds")
+    by = F.when(F.col("size") >= CAP, "cap").when(~F.coalesce("follows", F.lit(False)), "open").when(waited, "idle").when(F.col("end") == "commit", "git").when(F.col("end").isNotNull(), F.col("end")).otherwise("idle")
     sessions = reliable(ends.join(behind, "place", "left").select("own", F.col("_key").alias(key), by.alias("sealed_by")).where("sealed_by <> 'branch-switch'"))
     counted = _from_first(with_rank(sessions, ["own"]), key, "rank").select("own", F.col("rank").cast("int").alias("session"), "sealed_by")
     return inside.join(counted, "own").select(key, "seq", "session", "sealed_by")
@@ -278,6 +279,30 @@ def routed(feed: DataFrame, delay_seconds: float) -> DataFrame:
     return saves.withColumn("_fires", ~F.col("_waits") | quiet).where("_fires").drop("_fires", "_waits")
 
 
+def file_changes(feed: DataFrame, baseline: DataFrame, delay_seconds: float) -> DataFrame:
+    """file, seq, ts, identity, type of the changes that a feed of file events makes.
+
+    ``feed`` has file, ts, seq, op and facts (identity to signature, a map), ``baseline`` file and facts. A save that counts
+    (``routed``) is compared with the declarations that were seen before it, at first with the baseline; a removal with the
+    baseline, whose declarations it deletes, if there are any. A signature equal to the one before changes nothing, and what
+    was seen before a removal stays what a later save is compared with.
+    """
+    none = F.create_map().cast("map<string,string>")
+    based = routed(feed, delay_seconds).join(baseline.select("file", F.col("facts").alias("_base")), "file", "left").withColumn("_base", F.coalesce("_base", none))
+    gone = F.col("op") == "unlink"
+    known = based.where(~gone | (F.size("_base") > 0)).withColumn("facts", F.when(gone, none).otherwise(F.coalesce("facts", none)))
+    told = F.to_json(F.map_from_entries(F.array_sort(F.map_entries("facts"))))
+    order = Window.partitionBy("file").orderBy("ts", "seq")
+    marked = known.withColumn("_told", told).withColumn("_counts", ~F.col("_told").eqNullSafe(F.lag("_told").over(order)))
+    seen = F.last(F.when(F.col("_counts") & ~gone, F.col("facts")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    old = F.when(gone, F.col("_base")).otherwise(F.coalesce("_seen", "_base"))
+    both = marked.withColumn("_seen", seen).where("_counts").select("file", "seq", "ts", old.alias("a"), F.col("facts").alias("b"))
+    each = both.select("*", F.explode(F.array_union(F.map_keys("a"), F.map_keys("b"))).alias("identity"))
+    was, now = F.try_element_at("a", F.col("identity")), F.try_element_at("b", F.col("identity"))
+    kind = F.when(was.isNull(), "added").when(now.isNull(), "deleted").when(was != now, "changed")
+    return each.select("file", "seq", "ts", "identity", kind.alias("type")).where("type is not null")
+
+
 def one_shot(entries: DataFrame, sealed: DataFrame, session: str, reason: str) -> DataFrame:
     """The events that record a one-shot session: a start marker, its entries, a seal marker; none if an earlier one is identical.
 

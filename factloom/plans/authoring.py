@@ -136,11 +136,11 @@ def rule_targets(spark, sf):
 
 # --- views -----------------------------------------------------------------------------------------------------------
 
-_STEPS_SQL = f"WITH {R.PLAN_SQL}, s AS (SELECT id, feature, CASE WHEN id % 6 <> 0 THEN step END AS step, CASE WHEN id % 5 = 0 THEN '' WHEN feature = 'Brand#3' THEN 'One' ELSE path[1] END AS heading FROM plan WHERE feature <> 'Brand#4' OR id % 16 = 3), t AS (SELECT *, CASE WHEN feature = 'Brand#3' THEN 'One' ELSE heading END AS h FROM s), w AS (SELECT id, feature, h, CAST(row_number() OVER (PARTITION BY feature ORDER BY step IS NULL, step, CASE WHEN step IS NOT NULL THEN CAST(id AS VARCHAR) END, id) AS INTEGER) AS place, count(*) OVER (PARTITION BY feature) AS n FROM t) "
+_STEPS_SQL = f"WITH {R.PLAN_SQL}, s AS (SELECT id, feature, CASE WHEN id % 6 <> 0 THEN step END AS step, CASE WHEN id % 5 = 0 THEN '' WHEN feature = 'Brand#3' THEN 'One' ELSE path[1] END AS heading FROM (SELECT * REPLACE (CASE WHEN feature = 'Brand#4' AND id % 16 <> 3 THEN 'Brand#5' ELSE feature END AS feature) FROM plan)), t AS (SELECT *, CASE WHEN feature = 'Brand#3' THEN 'One' ELSE heading END AS h FROM s), w AS (SELECT id, feature, h, CAST(row_number() OVER (PARTITION BY feature ORDER BY step IS NULL, step, CASE WHEN step IS NOT NULL THEN CAST(id AS VARCHAR) END, id) AS INTEGER) AS place, count(*) OVER (PARTITION BY feature) AS n FROM t) "
 
 
 def _steps(spark, sf):
-    p = R.plan(spark, sf).where("feature <> 'Brand#4' or id % 16 = 3")
+    p = R.plan(spark, sf).withColumn("feature", F.when((F.col("feature") == "Brand#4") & (F.col("id") % 16 != 3), "Brand#5").otherwise(F.col("feature")))  # one feature is short
     heading = F.when(F.col("feature") == "Brand#3", F.array(F.lit("One"))).when(F.col("id") % 5 == 0, F.array().cast("array<string>")).otherwise(F.col("path"))
     return p.select("id", F.col("id").alias("seq"), "feature", F.when(F.col("id") % 6 != 0, F.col("step")).alias("step"), heading.alias("path"), "role", "status", "lens_tags")
 
@@ -266,22 +266,29 @@ def recovered_net_delta(spark, sf):
     return events.recovered_net_delta(R.log(spark, sf).withColumn("pair", F.col("seq") % 4 != 0), ["identity"])
 
 
-@query("""WITH RECURSIVE f AS (SELECT user_id % 5 AS project, ts, event_id AS seq, user_id AS who, CASE WHEN event_type = 'error' AND event_id % 4 = 0 THEN 'commit' WHEN event_type = 'error' AND event_id % 4 = 1 THEN 'branch-switch' END AS control FROM events),
+WATCHED_SQL = """WITH RECURSIVE f AS (SELECT user_id % 5 AS project, ts, event_id AS seq, user_id AS who, CASE WHEN event_type = 'error' AND event_id % 4 = 0 THEN 'commit' WHEN event_type = 'error' AND event_id % 4 = 1 THEN 'branch-switch' END AS control FROM events),
   e AS (SELECT *, row_number() OVER (PARTITION BY project ORDER BY ts, control IS NOT NULL, seq) AS n FROM f),
   fold(project, n, seq, ts, session, who, control, fresh) AS (
     SELECT project, n, seq, ts, CAST(CASE WHEN control IS NULL THEN 1 ELSE 0 END AS BIGINT), CASE WHEN control IS NULL THEN [who] ELSE CAST([] AS BIGINT[]) END, control, control IS NOT NULL FROM e WHERE n = 1
     UNION ALL SELECT e.project, e.n, e.seq, e.ts, CASE WHEN e.control IS NOT NULL THEN f.session WHEN f.fresh OR len(f.who) >= 20 OR e.ts - f.ts >= INTERVAL 30 MINUTE THEN f.session + 1 ELSE f.session END,
       CASE WHEN e.control IS NOT NULL THEN CAST([] AS BIGINT[]) WHEN f.fresh OR len(f.who) >= 20 OR e.ts - f.ts >= INTERVAL 30 MINUTE THEN [e.who] ELSE list_distinct(list_append(f.who, e.who)) END,
       e.control, e.control IS NOT NULL FROM fold f JOIN e ON e.project = f.project AND e.n = f.n + 1),
-  s AS (SELECT project, session, max(n) FILTER (WHERE control IS NULL) AS last, max(len(who)) AS size FROM fold WHERE session > 0 GROUP BY project, session),
-  b AS (SELECT s.project, s.session, CASE WHEN size >= 20 THEN 'cap' WHEN nxt.control = 'commit' THEN 'git' WHEN nxt.control IS NOT NULL THEN nxt.control WHEN nxt.n IS NULL THEN 'open' ELSE 'idle' END AS sealed_by FROM s LEFT JOIN e nxt ON nxt.project = s.project AND nxt.n = s.last + 1),
-  k AS (SELECT *, row_number() OVER (PARTITION BY project ORDER BY session) AS number FROM b WHERE sealed_by <> 'branch-switch')
+  s AS (SELECT project, session, max(n) FILTER (WHERE control IS NULL) AS last, max(ts) FILTER (WHERE control IS NULL) AS last_ts, max(len(who)) AS size FROM fold WHERE session > 0 GROUP BY project, session),
+  b AS (SELECT s.project, s.session, CASE WHEN size >= 20 THEN 'cap' WHEN nxt.ts - last_ts >= INTERVAL 30 MINUTE THEN 'idle' WHEN nxt.control = 'commit' THEN 'git' WHEN nxt.control IS NOT NULL THEN nxt.control WHEN nxt.n IS NULL THEN 'open' ELSE 'idle' END AS sealed_by FROM s LEFT JOIN e nxt ON nxt.project = s.project AND nxt.n = s.last + 1),
+  k AS (SELECT *, row_number() OVER (PARTITION BY project ORDER BY session) AS number FROM b WHERE sealed_by <> 'branch-switch')"""
+
+
+def watched_feed(events_table):
+    """project, ts, seq, user_id, kind: the events, of which some errors stand for commits and branch switches."""
+    kind = F.when((F.col("event_type") == "error") & (F.col("event_id") % 4 == 0), "commit").when((F.col("event_type") == "error") & (F.col("event_id") % 4 == 1), "branch-switch")
+    return events_table.select((F.col("user_id") % 5).cast("int").alias("project"), F.col("event_id").alias("seq"), "ts", "user_id", kind.alias("kind"))
+
+
+@query(WATCHED_SQL + """
   SELECT CAST(fold.project AS INTEGER) AS project, seq, CAST(number AS INTEGER) AS session, sealed_by FROM fold JOIN k ON k.project = fold.project AND k.session = fold.session WHERE control IS NULL""")
 def watched_sessions(spark, sf):
-    e = R.table(spark, sf, "events").select((F.col("user_id") % 5).cast("int").alias("project"), F.col("event_id").alias("seq"), "ts", "user_id", "event_type")
-    kind = F.when((F.col("event_type") == "error") & (F.col("seq") % 4 == 0), "commit").when((F.col("event_type") == "error") & (F.col("seq") % 4 == 1), "branch-switch")
-    marked = e.withColumn("kind", kind)
-    return events.watched_sessions(marked.where("kind is null").drop("kind", "event_type"), marked.where("kind is not null").select("project", "ts", "kind"), "project", "user_id")
+    feed = watched_feed(R.table(spark, sf, "events"))
+    return events.watched_sessions(feed.where("kind is null").drop("kind"), feed.where("kind is not null").select("project", "ts", "kind"), "project", "user_id")
 
 
 @query(f"""WITH {R.SNAPSHOTS_SQL}, {R.LOG_SQL.strip()} SELECT identity, 'deleted' AS type FROM snap_b WHERE file IN ('Brand#1', 'Brand#2', 'Brand#9') AND file <> 'Brand#2' AND seq % 13 <> 0""")

@@ -11,6 +11,7 @@ from . import authoring as _authoring  # noqa: F401  likewise
 from . import history as _history  # noqa: F401  fills the registry
 from . import planning as _planning  # noqa: F401  likewise
 from . import sources as _sources  # noqa: F401  likewise
+from . import stores as _stores  # noqa: F401  likewise
 from . import summaries as _summaries  # noqa: F401  likewise
 from . import relations as R
 from .registry import ORACLES, QUERIES, query
@@ -154,12 +155,15 @@ def clause_errors(spark, sf):
 _FIELDS, _OPERATORS = [*rules.NUMERIC_FIELDS, *rules.LIST_FIELDS, "nothing"], [*rules.NUMERIC_OPERATORS, *rules.LIST_OPERATORS, "unchanged", "like"]
 
 
-@query(f"""SELECT field, op, CASE WHEN field = 'nothing' THEN 'unknown field' WHEN op = 'like' THEN 'unknown operator'
-  WHEN field IN {rules.LIST_FIELDS} AND op IN {rules.NUMERIC_OPERATORS} THEN 'needs a number' WHEN field NOT IN {rules.LIST_FIELDS} AND op IN {rules.LIST_OPERATORS} THEN 'needs a list' END AS problem
-  FROM unnest({_FIELDS}) AS f(field), unnest({_OPERATORS}) AS o(op)""")
+@query(f"""WITH c AS (SELECT p_partkey AS id, ({_FIELDS})[p_partkey % {len(_FIELDS)} + 1] AS field, ({_OPERATORS})[p_partkey // {len(_FIELDS)} % {len(_OPERATORS)} + 1] AS op FROM part)
+  SELECT id, field, op, CASE WHEN field = 'nothing' THEN 'unknown field' WHEN op = 'like' THEN 'unknown operator'
+  WHEN field IN {rules.LIST_FIELDS} AND op IN {rules.NUMERIC_OPERATORS} THEN 'needs a number' WHEN field NOT IN {rules.LIST_FIELDS} AND op IN {rules.LIST_OPERATORS} THEN 'needs a list' END AS problem FROM c""")
 def clause_static_check(spark, sf):
-    pairs = spark.createDataFrame([(f, o) for f in _FIELDS for o in _OPERATORS], "field string, op string")
-    return pairs.select("field", "op", rules.clause_problem(F.col("field"), F.col("op")).alias("problem"))
+    """A clause a part; over all parts each field meets each operator."""
+    pick = lambda names, k: F.get(F.array(*map(F.lit, names)), k.cast("int"))
+    field, op = pick(_FIELDS, F.col("p_partkey") % len(_FIELDS)), pick(_OPERATORS, F.expr(f"p_partkey div {len(_FIELDS)}") % len(_OPERATORS))
+    clauses = R.table(spark, sf, "part").select(F.col("p_partkey").alias("id"), field.alias("field"), op.alias("op"))
+    return clauses.withColumn("problem", rules.clause_problem(F.col("field"), F.col("op")))
 
 
 _VERIFIED_SQL = _EVALUATED_SQL + """, nodes AS (
