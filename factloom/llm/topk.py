@@ -157,11 +157,11 @@ def exact_top_k(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str =
     asked = asked.withColumn("turn", F.pmod(F.xxhash64("id"), F.greatest(F.ceil(F.lit(n_asked) / _side(F.col("dim"))), F.lit(1))).cast("int")).withColumn("length", length)
     reach = F.col("floor").cast("double") <= F.col("length") * F.col("longest") * (1 + 1e-9) + 1e-6
     asked = checkpointed(asked)
-    reaching = asked.join(bands, "dim").where(reach)
-    # For every band the groups that have to see it: a few numbers for each of a handful of bands.
+    reaching = asked.join(F.broadcast(bands), "dim").where(reach)
+    # For every band the groups that have to see it: a few numbers for each of a handful of bands, as are the bands themselves.
     turns = reaching.groupBy("dim", "band", "blocks").agg(F.collect_set("turn").alias("turns"))
     asked = reaching.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    held = rows.join(turns, ["dim", "band"]).withColumn("salt", F.expr("cast(pmod(xxhash64(id, v), blocks) as int)")).withColumn("turn", F.explode("turns"))
+    held = rows.join(F.broadcast(turns), ["dim", "band"]).withColumn("salt", F.expr("cast(pmod(xxhash64(id, v), blocks) as int)")).withColumn("turn", F.explode("turns"))
     key = ["dim", "band", "salt", "turn"]
 
     def search(left: pa.Table, right: pa.Table) -> pa.Table:

@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import checkpointed, small_batches
 
 #: Labelled rows to learn from at most; least toxic documents and log odds of a lexicon entry, entries at most; stem lengths.
 TRAIN_ROWS, SUPPORT, ODDS, ENTRIES, STEMS = 30_000, 3, 3.0, 5000, range(4, 9)
@@ -168,13 +168,13 @@ class Grammar:
         return 1 / (1 + np.exp(-np.clip(x @ self.weights + self.bias, -60, 60)))
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, penalty: float = 0.02) -> tuple[np.ndarray, float]:
-    """Non-negative pattern weights near their priors and a bias, by full gradients."""
-    w, b = _PRIOR.copy(), -2.0
+def _logistic(x: np.ndarray, y: np.ndarray, times: np.ndarray, penalty: float = 0.02) -> tuple[np.ndarray, float]:
+    """Non-negative pattern weights near their priors and a bias, by full gradients over rows that count so many ``times``."""
+    w, b, share = _PRIOR.copy(), -2.0, times / times.sum()
     for _ in range(400):
-        wrong = 1 / (1 + np.exp(-np.clip(x @ w + b, -60, 60))) - y
-        w = np.maximum(0.0, w - 0.01 * (x.T @ wrong / len(y) + penalty * (w - _PRIOR)))
-        b -= 0.5 * wrong.mean()
+        wrong = (1 / (1 + np.exp(-np.clip(x @ w + b, -60, 60))) - y) * share
+        w = np.maximum(0.0, w - 0.01 * (x.T @ wrong + penalty * (w - _PRIOR)))
+        b -= 0.5 * wrong.sum()
     return w, b
 
 
@@ -202,20 +202,16 @@ def lexicon_of(toxic: dict[str, int], clean: dict[str, int], n_toxic: int, n_cle
 def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Grammar:
     """A grammar from the labelled documents for whose label row ``learn`` holds, TRAIN_ROWS at most, drawn by a hash of the id.
 
-    Repeated labels of an id count as the largest; null labels and ids do not count.
+    Repeated labels of an id count as the largest; null labels and ids do not count. The drawn documents are picked once, by a
+    join with their ids (TRAIN_ROWS at most), and kept; what learns reads only those.
     """
     small_batches(docs)
     usable = labels.where(learn & F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).cast("int").alias("y"))
-    drawn = usable.orderBy(F.xxhash64(F.lit("toxicity"), id_col), id_col).limit(TRAIN_ROWS).toArrow()
-    known = docs.sparkSession.sparkContext.broadcast(dict(zip(drawn.column(0).to_pylist(), drawn.column(1).to_pylist(), strict=True)))
-    pairs = docs.select(id_col, text_col)
+    drawn = checkpointed(usable.orderBy(F.xxhash64(F.lit("toxicity"), id_col), id_col).limit(TRAIN_ROWS).select(F.col(id_col).alias("_id"), "y"))
+    pairs = checkpointed(docs.join(F.broadcast(drawn), F.col(id_col) == F.col("_id")).select("y", F.coalesce(text_col, F.lit("")).alias("text")))
 
     def taught(batch):
-        labels = known.value
-        ids = batch.column(0).to_pylist()
-        rows = [i for i, x in enumerate(ids) if x in labels]
-        part = batch.column(1).take(pa.array(rows, pa.int64())).to_pylist()
-        return [(labels[ids[i]], t or "") for i, t in zip(rows, part, strict=True)]
+        return zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
 
     def count(wanted: int, among=None):
         def run(batches):
@@ -257,8 +253,8 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id
                 yield pa.RecordBatch.from_arrays([pa.array([list(map(float, k)) for k in rows], pa.list_(pa.float64())), pa.array(list(rows.values()), pa.int64())], names=["x", "n"])
 
         seen = pairs.mapInArrow(examples, "x array<double>, n long").groupBy("x").agg(F.sum("n").alias("n")).orderBy("x").toArrow()
-        x = np.repeat(np.array(seen.column(0).to_pylist()), np.array(seen.column(1)), axis=0)
-        grammar.weights, grammar.bias = _logistic(x[:, 1:], x[:, 0])
+        x = np.array(seen.column(0).to_pylist())
+        grammar.weights, grammar.bias = _logistic(x[:, 1:], x[:, 0], np.array(seen.column(1), float))
     return grammar
 
 
