@@ -13,7 +13,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -21,6 +21,8 @@ from .common import small_batches
 
 #: Features, training rows of a language (and of all languages together) at most, steps and regularisation of a machine.
 DIM, PER_LANGUAGE, ALL_LANGUAGES, STEPS, PENALTY = 4096, 250, 5000, 150, 1e-3
+#: How many times the wanted rows of a language are looked at when its sample is drawn.
+AMPLE = 8
 UNKNOWN = "und"
 # Language families by public language codes; languages not listed form a family by their first letter.
 FAMILIES = {
@@ -128,6 +130,11 @@ class Hierarchy:
         return names, scores
 
 
+def _by_name(values: dict[str, int]) -> Column:
+    """The language's value, null for others."""
+    return F.create_map(*[F.lit(x) for pair in values.items() for x in pair])[F.col("lang")] if values else F.lit(None).cast("long")
+
+
 def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Hierarchy:
     """A model from the rows with a language and a letter: of each language those with the least hashes of id and text.
 
@@ -139,13 +146,17 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     small_batches(labelled)
     rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}")).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     rows = rows.withColumn("h", F.xxhash64(F.lit("language"), "id", "text"))
-    least = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
-    kept = rows.select("lang", "h").distinct().withColumn("n", least).where(F.col("n") <= PER_LANGUAGE)  # cut to that many before they are shuffled
-    hashes = {r[0]: r[1] for r in kept.groupBy("lang").agg(F.array_sort(F.collect_list("h"))).collect()}  # one row a language
-    each = min(PER_LANGUAGE, max(2, ALL_LANGUAGES // max(1, len(hashes))))
-    bar = F.create_map(*[F.lit(x) for name, own in hashes.items() for x in (name, own[:each][-1])])[F.col("lang")] if hashes else F.lit(None).cast("long")
-    drawn = rows.where(F.col("h") <= bar).dropDuplicates(["lang", "h"])
-    languages = sorted(hashes)
+    sizes = {r[0]: max(1, r[1]) for r in rows.groupBy("lang").agg(F.approx_count_distinct("h")).collect()}  # one row a language
+    each = min(PER_LANGUAGE, max(2, ALL_LANGUAGES // max(1, len(sizes))))
+    # A first bar lets about AMPLE times the wanted rows of a language pass, whatever its size; their hashes are few.
+    shares, bars = {name: min(1.0, AMPLE * each / n) for name, n in sizes.items()}, {}
+    while shares:
+        passes = F.col("h") <= _by_name({name: min(2**63 - 1, int(share * 2**64) - 2**63) for name, share in shares.items()})
+        found = {r[0]: r[1] for r in rows.where(passes).select("lang", "h").distinct().groupBy("lang").agg(F.array_sort(F.collect_list("h"))).collect()}
+        bars |= {name: found[name][:each][-1] for name, share in shares.items() if len(found.get(name, ())) >= each or share == 1}
+        shares = {name: min(1.0, AMPLE * share) for name, share in shares.items() if name not in bars}
+    drawn = rows.where(F.col("h") <= _by_name(bars)).dropDuplicates(["lang", "h"])
+    languages = sorted(bars)
     families = sorted({family_of(x) for x in languages})
     within = [[x for x in languages if family_of(x) == f] for f in families]
     pairs = [("family", a, b) for a, b in combinations(families, 2)] + [("language", a, b) for some in within for a, b in combinations(some, 2)]

@@ -219,3 +219,16 @@ def test_language_sample_keeps_its_bound_and_rare_languages(spark):
     rows = [(7, f"thing {i}", "en") for i in range(600)] + [(i, f"ting {k}", f"x{k}") for k in range(30) for i in range(3)]
     model = language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
     assert sorted(x for f in model.within for x in f.classes) == sorted(["en", *(f"x{k}" for k in range(30))])
+
+
+def test_drawn_rows_are_those_of_the_least_hashes(spark, monkeypatch):
+    rows = [(i, f"thing {i % 900}", "en" if i % 7 else "de") for i in range(4000)] + [(1, "thing one", "en")] * 3000
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    hashes = docs.select("lang", F.xxhash64(F.lit("language"), "doc_id", "text").alias("h")).distinct().collect()
+    expected = {x: sorted(r["h"] for r in hashes if r["lang"] == x)[:20] for x in ("en", "de")}
+    monkeypatch.setattr(language, "PER_LANGUAGE", 20)
+    monkeypatch.setattr(language, "AMPLE", 1.1)  # a first bar that is too low for one of them has to be raised
+    seen, plain = {}, language._by_name
+    monkeypatch.setattr(language, "_by_name", lambda values: seen.update(values) or plain(values))
+    language.fit(docs)
+    assert seen == {x: own[-1] for x, own in expected.items()}
