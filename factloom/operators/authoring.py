@@ -64,7 +64,7 @@ def move_steps(nodes: DataFrame, moves: DataFrame) -> DataFrame:
         raise ValueError("a position needs two numbers")
     both = F.col("to_x").isNotNull() & F.col("to_y").isNotNull()
     to = moves.select("id", F.col("x").alias("to_x"), F.col("y").alias("to_y"), F.lit(True).alias("to_move"))
-    out = nodes.drop("x", "y").join(nodes.select("id", "x", "y"), "id").join(to, "id", "left")
+    out = nodes.join(to, "id", "left")
     rounded = lambda c: F.floor(F.col(f"to_{c}") + 0.5).cast("long")
     placed = {c: F.when(F.col("to_move"), F.when(both, rounded(c))).otherwise(F.col(c)) for c in ("x", "y")}
     return out.withColumns(placed).select(nodes.columns)

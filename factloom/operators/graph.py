@@ -8,6 +8,8 @@ import tempfile
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .skew import hot_join
+
 
 def reliable(df: DataFrame) -> DataFrame:
     """Cut an iterative plan's lineage in the folder that ``spark.checkpoint.dir`` names.
@@ -48,7 +50,7 @@ def file_index(declarations: DataFrame) -> DataFrame:
 def resolve_names(calls: DataFrame, declarations: DataFrame) -> DataFrame:
     """caller, to, confidence: a name with one identity is certain, with several ambiguous, otherwise unresolved (and kept)."""
     names = declarations.groupBy(F.col("name").alias("callee")).agg(F.count_distinct("identity").alias("n"), F.min("identity").alias("identity"))
-    out = calls.join(names, "callee", "left")
+    out = hot_join(calls, names, "callee", "left")
     to = F.when(F.col("n") == 1, F.col("identity")).otherwise(F.col("callee"))
     sure = F.when(F.col("n") == 1, "certain").when(F.col("n") > 1, "ambiguous").otherwise("unresolved")
     return out.select("caller", to.alias("to"), sure.alias("confidence"))
@@ -90,7 +92,7 @@ def resolve_calls(declarations: DataFrame) -> DataFrame:
     # Counts by target and by target and file replace the list of matches, so a common name is never multiplied out.
     totals = index.groupBy("target").agg(F.count_distinct("identity").alias("n"), F.min("identity").alias("only"))
     local = index.groupBy("target", F.col("file").alias("here")).agg(F.count_distinct("identity").alias("n_here"), F.min("identity").alias("only_here"))
-    hits = tried.join(totals, "target").join(local, ["target", "here"], "left")
+    hits = hot_join(tried, totals, "target").join(local, ["target", "here"], "left")
     first = hits.groupBy("from", "here", "call").agg(F.min_by(F.struct("n", "only", "n_here", "only_here"), "pos").alias("m"))
     to = F.when(F.col("m.n") == 1, F.col("m.only")).when(F.col("m.n_here") == 1, F.col("m.only_here"))
     return first.select("from", to.alias("to")).where("to is not null and to <> from").distinct()
@@ -184,7 +186,7 @@ def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def reanchor_deleted(edges: DataFrame, deleted: DataFrame) -> DataFrame:
     """Edges to the bare name of a deleted declaration lead to its old identity again (the first by seq)."""
     names = deleted.groupBy(F.col("name").alias("to")).agg(F.min_by("identity", "seq").alias("old"))
-    return edges.join(names, "to", "left").withColumn("to", F.coalesce("old", "to")).drop("old")
+    return hot_join(edges, names, "to", "left").withColumn("to", F.coalesce("old", "to")).drop("old")
 
 
 def impact_levels(edges: DataFrame, target: str, max_depth: int = 3) -> DataFrame:

@@ -13,6 +13,7 @@ from . import planning as _planning  # noqa: F401  likewise
 from . import sources as _sources  # noqa: F401  likewise
 from . import stores as _stores  # noqa: F401  likewise
 from . import summaries as _summaries  # noqa: F401  likewise
+from . import documents as _documents
 from . import relations as R
 from .registry import ORACLES, QUERIES, query
 
@@ -383,6 +384,9 @@ def verify_impact(spark, sf):
     return impact.impact_of_results(_results(spark, sf), R.edges(spark, sf)).select("identity", "status", F.size("impact").alias("n"), shown.alias("affected"), "truncated")
 
 
+_documents.register(_diff, _DIFF_SQL, _results, _TARGETS_SQL)
+
+
 # --- log -------------------------------------------------------------------------------------------------------------
 
 

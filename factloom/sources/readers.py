@@ -69,7 +69,7 @@ def source_files(spark: SparkSession, root: str) -> DataFrame:
     """path (relative, with /) and content of the source files under ``root``, in skipped directories nothing."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     base = root.rstrip("/").removeprefix("file://")
-    path = F.expr("substring(path, {})".format("instr(path, '{}/') + {}".format(base.replace("'", ""), len(base) + 1)))
+    path = F.substring(F.col("path"), F.instr(F.col("path"), f"{base}/") + len(base) + 1, F.length("path"))
     rows = files.select(path.alias("path"), F.col("content").cast("string").alias("content"))
     skipped = F.arrays_overlap(F.split("path", "/"), F.array(*map(F.lit, SKIPPED)))
     return rows.where(is_source(F.col("path")) & ~skipped)
