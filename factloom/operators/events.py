@@ -148,6 +148,17 @@ class SessionFold:
 BLOCK = 64
 
 
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once a row."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _full_at(entries: Column, most: int) -> Column:
+    """The place of the entry with which (name, place) entries in order have ``most`` names; null with fewer."""
+    at = lambda e, names: F.get(e, (F.array_position(names, F.get(F.array_distinct(names), F.lit(most - 1))) - 1).cast("int"))["place"]
+    return _let(entries, lambda e: _let(F.transform(e, lambda x: x["name"]), lambda names: at(e, names)))
+
+
 def _first_names(entries: Column, most: int) -> Column:
     """Of (name, place) entries in order the first of each name, ``most`` at most."""
     names = F.transform(entries, lambda e: e["name"])
@@ -175,8 +186,7 @@ def _session_starts(placed: DataFrame, cap: int) -> DataFrame:
         ahead, step = reliable(ahead.join(further, ["stretch", "block"], "left").select("stretch", "block", grown.alias("names"))), step * 2
     behind = ahead.select("stretch", (F.col("block") - 1).alias("block"), F.col("names").alias("behind"))
     tail = F.coalesce("behind", F.slice("own", 1, 0))
-    full_at = lambda entries: F.get(_first_names(entries, cap), cap - 1)["place"]
-    successors = F.transform("own", lambda e, i: F.struct(e["place"].alias("place"), (full_at(F.concat(F.slice("own", i + 1, F.lit(BLOCK)), tail)) + 1).alias("next")))
+    successors = F.transform("own", lambda e, i: F.struct(e["place"].alias("place"), (_full_at(F.concat(F.slice("own", i + 1, F.lit(BLOCK)), tail), cap) + 1).alias("next")))
     hops = reliable(blocks.join(behind, ["stretch", "block"], "left").select(F.explode(successors).alias("h")).select("h.*").where("next is not null"))
     starts = reliable(placed.where("fresh").select("place"))
     while True:
