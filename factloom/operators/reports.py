@@ -69,24 +69,38 @@ def evolution_delta(before: Column, after: Column) -> Column:
     return F.concat_ws(" | ", *parts)
 
 
-def evolution_lines(rows: DataFrame, placed: DataFrame) -> DataFrame:
-    """Ordered lines (feature, trail, line) of a history: features by name, their roots by time, children under their parents.
+def evolution_label(rows: DataFrame) -> Column:
+    """A row's label, or one from its type and the name of its declaration, as far as ``rows`` has these columns."""
+    have = lambda c: F.when(F.col(c).cast("string") != "", F.col(c).cast("string")) if c in rows.columns else F.lit(None).cast("string")
+    name = F.substring_index(have("identity"), "::", -1)
+    verb = F.coalesce(*[F.when(have("type") == k, f"{v} ") for k, v in (("added", "Added"), ("changed", "Changed"), ("deleted", "Removed"))], F.lit(""))
+    return F.coalesce(have("label"), F.concat(verb, name), F.lit("unknown"))
 
-    ``rows`` has id, parent, feature, ts, label; ``placed`` the id, root and depth of ``forest``. A row's trail is the (time, id)
-    of all rows above it, found by climbing level by level, as deep as the deepest history.
+
+def evolution_lines(rows: DataFrame) -> DataFrame:
+    """place, part, line: a history's Markdown, whose order is (place, part). Features by name, their roots by time, children by time below their parents.
+
+    ``rows`` has id, parent, feature, ts and, if known, category, label, type, identity, tags (array of texts) and delta (text). The roots alone
+    tell the feature: it, else the category, else Unclassified, in Unicode's order of names; ties of time go by id. A row whose
+    parents lead into a loop or to a row that is not there has no line. A row's tags follow its label, its delta is a line below it.
     """
-    from .graph import reliable
-
-    step = F.array(F.concat_ws(" ", F.col("ts").cast("string"), F.col("id").cast("string")))
-    every = reliable(rows.join(placed.select("id", "depth"), "id"))
-    done = front = reliable(every.where("depth = 0").select("id", F.coalesce("feature", F.lit("Unclassified")).alias("feature"), step.alias("trail"), "label", "depth"))
-    level = 1
-    while True:
-        above = front.select(F.col("id").alias("parent"), F.col("feature").alias("_feature"), F.col("trail").alias("_trail"))
-        front = reliable(every.where(F.col("depth") == level).join(above, "parent").select("id", F.col("_feature").alias("feature"), F.concat("_trail", step).alias("trail"), "label", "depth"))
-        if front.isEmpty():
-            break
-        done, level = done.unionByName(front), level + 1
-    lines = done.select("feature", "trail", F.concat(F.repeat(F.lit("  "), F.col("depth") + 1), F.lit("- "), F.coalesce("label", F.lit("unknown"))).alias("line"))
-    heads = done.select("feature").distinct().select("feature", F.array().cast("array<string>").alias("trail"), F.concat(F.lit("- **"), "feature", F.lit("**")).alias("line"))
-    return heads.unionByName(lines).orderBy("feature", "trail")
+    from .trees import preorder
+
+    optional = lambda c, kind: F.col(c) if c in rows.columns else F.lit(None).cast(kind)
+    filled = lambda c: F.when(c != "", c)
+    feature = F.coalesce(filled(F.col("feature")), filled(optional("category", "string")), F.lit("Unclassified"))
+    tags = F.transform(F.filter(optional("tags", "array<string>"), lambda t: t.isNotNull()), lambda t: F.concat(F.lit(" `"), F.trim(t), F.lit("`")))
+    line = F.concat(evolution_label(rows), F.coalesce(F.array_join(tags, ""), F.lit("")))
+    top = F.when(F.col("parent").isNull(), feature)
+    told = rows.select("id", F.col("parent").alias("up"), F.collate(top, "UNICODE").alias("_feature"), top.alias("_name"), "ts", line.alias("_line"), F.trim(optional("delta", "string")).alias("_delta"))
+    placed = told.join(preorder(told, ["_feature", "_name", "ts"]).select("id", "depth", "size", "place"), "id")
+    indent = F.repeat(F.lit("  "), F.col("depth") + 1)
+    own = F.array(F.struct(F.lit(2).alias("part"), F.concat(indent, F.lit("- "), "_line").alias("line")), F.struct(F.lit(3).alias("part"), F.concat(indent, F.lit("  - "), "_delta").alias("line")))
+    lines = placed.select("place", F.explode(F.filter(own, lambda x: x["line"].isNotNull() & ((x["part"] == 2) | (F.col("_delta") != "")))).alias("x")).select("place", "x.*")
+    features = placed.where("up is null").groupBy("_name").agg(F.min("place").alias("place"), F.sum("size").alias("n"))
+    around = F.array(
+        F.struct("place", F.lit(0).alias("part"), F.when(F.col("place") > 0, "").alias("line")),
+        F.struct("place", F.lit(1).alias("part"), F.concat(F.lit("- **"), "_name", F.lit("**")).alias("line")),
+    )
+    heads = features.select(F.explode(F.filter(around, lambda x: x["line"].isNotNull())).alias("x")).select("x.*")
+    return heads.unionByName(lines)

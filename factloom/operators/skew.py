@@ -15,8 +15,11 @@ def hot_join(rows: DataFrame, keyed: DataFrame, key: str, how: str = "inner") ->
     The keyed rows of hot keys (HOT_KEYS at most) are broadcast, so no task gathers the rows of a hot key. Keys are counted
     first, so ``rows`` is read twice.
     """
-    counts = rows.groupBy(key).agg(F.count("*").alias("_c"))
-    total = counts.agg(F.coalesce(F.sum("_c"), F.lit(0))).first()[0]
-    hot = F.broadcast(counts.where(F.col("_c") > max(HOT, total // HOT_KEYS)).where(F.col(key).isNotNull()).select(key))
+    counts = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_c"))
+    total, most = counts.agg(F.coalesce(F.sum("_c"), F.lit(0)), F.coalesce(F.max("_c"), F.lit(0))).first()
+    bar = max(HOT, total // HOT_KEYS)
+    if most <= bar:
+        return rows.join(keyed, key, how)
+    hot = F.broadcast(counts.where(F.col("_c") > bar).select(key))
     others = rows.join(hot, key, "left_anti").join(keyed, key, how)
     return rows.join(hot, key, "left_semi").join(F.broadcast(keyed.join(hot, key, "left_semi")), key, how).unionByName(others)

@@ -241,16 +241,47 @@ def evolution_deltas(spark, sf):
     return both.select("identity", reports.evolution_delta(F.col("before"), F.col("after")).alias("text"))
 
 
-@query(f"""WITH RECURSIVE {R.LOG_SQL.strip()}, n AS (SELECT seq AS id, identity, ts, event_type, last_value(CASE WHEN type = 'added' THEN seq END IGNORE NULLS) OVER (PARTITION BY identity ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS anchor, type FROM log),
-  p AS (SELECT *, CASE WHEN type <> 'added' THEN anchor END AS parent, 'f' || CAST(identity AS BIGINT) % 7 AS feature FROM n)
-  SELECT feature, '  - ' || event_type AS line, count(*) AS n FROM p WHERE parent IS NULL GROUP BY ALL UNION ALL SELECT feature, '    - ' || event_type, count(*) FROM p WHERE parent IS NOT NULL GROUP BY ALL UNION ALL SELECT DISTINCT feature, '- **' || feature || '**', CAST(1 AS BIGINT) FROM p""")
+@query(f"""WITH {R.LOG_SQL}, p AS (SELECT *, CASE WHEN type <> 'added' THEN last_value(CASE WHEN type = 'added' THEN seq END IGNORE NULLS) OVER (PARTITION BY identity ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) END AS parent FROM log),
+  r AS (SELECT c.*, coalesce(p.ts, c.ts) AS t1, coalesce(p.seq, c.seq) AS s1, CASE WHEN p.seq IS NULL THEN 0 ELSE 1 END AS deep,
+    CASE CAST(coalesce(p.identity, c.identity) AS BIGINT) % 7 WHEN 0 THEN 'Unclassified' WHEN 1 THEN 'later' ELSE 'f' || CAST(coalesce(p.identity, c.identity) AS BIGINT) % 7 END AS feature FROM p c LEFT JOIN p ON p.seq = c.parent),
+  l AS (SELECT feature, t1, s1, deep, ts, seq, unnest([{{'part': 1, 'line': repeat('  ', deep + 1) || '- ' || CASE WHEN type <> 'deleted' THEN event_type ELSE 'Removed u' || identity END || CASE WHEN seq % 3 = 0 THEN ' `' || event_type || '` `x`' ELSE '' END}},
+      {{'part': 2, 'line': CASE WHEN type = 'changed' AND before <> after THEN repeat('  ', deep + 1) || '  - numbers ' || before || ' → ' || after END}}]) AS x FROM r),
+  h AS (SELECT DISTINCT feature, unnest([{{'part': -1, 'line': CASE WHEN feature <> (SELECT min(feature COLLATE NOCASE) FROM r) THEN '' END}}, {{'part': 0, 'line': '- **' || feature || '**'}}]) AS x FROM r),
+  every AS (SELECT feature, 1 AS body, t1, s1, deep, ts, seq, x.part AS part, x.line AS line FROM l UNION ALL SELECT feature, 0, NULL, NULL, NULL, NULL, NULL, x.part, x.line FROM h)
+  SELECT row_number() OVER (ORDER BY lower(feature), body, t1, s1, deep, ts, seq, part) AS n, line FROM every WHERE line IS NOT NULL""")
 def evolution_markdown(spark, sf):
-    """How often each line of the history's Markdown occurs in a feature; tests hold the order."""
-    from ..operators import evolution as E
+    """The history's Markdown, line by line: features by name, roots and their children by time, tags and deltas."""
+    from ..operators import trees
 
     log = R.log(spark, sf)
-    rows = events.lineage(log).withColumnRenamed("seq", "id").join(log.select(F.col("seq").alias("id"), "ts", F.col("event_type").alias("label")), "id").withColumn("feature", F.concat(F.lit("f"), F.col("identity").cast("long") % 7))
-    return reports.evolution_lines(rows, E.forest(rows.select("id", "feature", "parent"))).groupBy("feature", "line").agg(F.count("*").alias("n"))
+    user, seq = F.col("identity").cast("long") % 7, F.col("seq")
+    told = log.select(
+        seq.alias("id"), "ts", "type", F.concat(F.lit("src/a.js::u"), "identity").alias("identity"), F.when(F.col("type") != "deleted", F.col("event_type")).alias("label"),
+        F.when(user > 1, F.concat(F.lit("f"), user)).alias("feature"), F.when(user == 1, "later").alias("category"),
+        F.when(seq % 3 == 0, F.array("event_type", F.lit(" x "))).alias("tags"),
+        F.when((F.col("type") == "changed") & (F.col("before") != F.col("after")), F.concat(F.lit("numbers "), "before", F.lit(" → "), "after")).alias("delta"),
+    )
+    rows = told.join(events.lineage(log).select(seq.alias("id"), "parent"), "id")
+    return trees.numbered(reports.evolution_lines(rows), ["place", "part"], "n").select("n", "line")
+
+
+@query("""WITH RECURSIVE o AS (SELECT o_orderkey AS id, o_custkey, o_orderdate, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS k FROM orders),
+  t AS (SELECT c.id, CASE WHEN c.id % 97 = 0 THEN -1 WHEN c.id % 89 = 0 THEN c.id ELSE p.id END AS up, c.o_orderdate FROM o c LEFT JOIN o p ON p.o_custkey = c.o_custkey AND p.k = CASE WHEN c.o_custkey % 2 = 0 THEN c.k - 1 ELSE c.k // 3 END),
+  w(id, root, depth, path) AS (SELECT id, id, 0, [{'d': o_orderdate, 'i': id}] FROM t WHERE up IS NULL UNION ALL SELECT t.id, w.root, w.depth + 1, list_append(w.path, {'d': t.o_orderdate, 'i': t.id}) FROM w JOIN t ON t.up = w.id),
+  above AS (SELECT id, unnest(path).i AS over FROM w)
+  SELECT w.id, root, depth, CAST(s.size AS BIGINT) AS size, row_number() OVER (ORDER BY path) - 1 AS place FROM w JOIN (SELECT over, count(*) AS size FROM above GROUP BY over) s ON s.over = w.id""")
+def reading_order(spark, sf):
+    """A customer's orders as a chain or a tree, some below missing rows and some in loops: places in reading order."""
+    from pyspark.sql import Window
+
+    from ..operators import trees
+
+    o = R.table(spark, sf, "orders").withColumn("k", F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")))
+    above = o.select("o_custkey", F.col("k").alias("_k"), F.col("o_orderkey").alias("_up"))
+    wanted = F.when(F.col("o_custkey") % 2 == 0, F.col("k") - 1).otherwise(F.expr("k div 3"))
+    linked = o.withColumn("_k", wanted.cast("int")).join(above, ["o_custkey", "_k"], "left")
+    up = F.when(F.col("o_orderkey") % 97 == 0, F.lit(-1)).when(F.col("o_orderkey") % 89 == 0, F.col("o_orderkey")).otherwise(F.col("_up"))
+    return trees.preorder(linked.select(F.col("o_orderkey").alias("id"), up.alias("up"), "o_orderdate"), ["o_orderdate"])
 
 
 # --- log -------------------------------------------------------------------------------------------------------------

@@ -73,11 +73,10 @@ def read_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame] |
         raise
 
 
-def write_evolution_markdown(rows: DataFrame, placed: DataFrame, path: str) -> None:
-    """The history as Markdown text files in order: features by name, their roots by time, children indented under their parents."""
-    top = rows.sparkSession.range(1).select(F.lit(0).alias("section"), F.lit(None).cast("string").alias("feature"), F.lit(None).cast("array<string>").alias("trail"), F.lit("# Project Evolution").alias("line"))
-    lines = evolution_lines(rows, placed).select(F.lit(1).alias("section"), "feature", "trail", "line")
-    top.unionByName(lines).orderBy("section", "feature", "trail").select("line").write.mode("overwrite").text(path)
+def write_evolution_markdown(rows: DataFrame, path: str) -> None:
+    """The history as Markdown text files in order (``reports.evolution_lines``) under a heading."""
+    top = rows.sparkSession.createDataFrame([(-1, 0, "# Project Evolution"), (-1, 1, "")], "place long, part int, line string")
+    top.unionByName(evolution_lines(rows)).orderBy("place", "part").select("line").write.mode("overwrite").text(path)
 
 
 def declaration_lines(declarations: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from factloom.functions import text as T
-from factloom.operators import authoring, events, evolution, planning, reports, rules, validation, views
+from factloom.operators import authoring, events, evolution, planning, reports, rules, trees, validation, views
 from factloom.sources import readers, writers
 
 
@@ -71,12 +71,23 @@ def test_sinks_round_trip(spark, tmp_path):
 
 
 def test_evolution_markdown_order(spark, tmp_path):
-    rows = spark.createDataFrame([(1, None, "b", at(2), "one"), (2, 1, "b", at(9), "later"), (3, 1, "b", at(3), "sooner"), (4, None, "a", at(7), "four"), (5, 3, "b", at(8), "deep"), (6, None, None, at(1), None)], "id long, parent long, feature string, ts timestamp, label string")
-    placed = evolution.forest(rows.select("id", "feature", "parent"))
-    writers.write_evolution_markdown(rows, placed, str(tmp_path / "md"))
-    lines = [r["line"] for r in reports.evolution_lines(rows, placed).collect()]
-    assert lines == ["- **Unclassified**", "  - unknown", "- **a**", "  - four", "- **b**", "  - one", "    - sooner", "      - deep", "    - later"]
-    assert spark.read.text(str(tmp_path / "md")).count() == 10
+    schema = "id long, parent long, feature string, ts timestamp, label string, type string, identity string, tags array<string>, delta string"
+    rows = [(1, None, "b", at(2), "one", None, None, [" t ", "u"], None), (2, 1, "b", at(9), "later", None, None, None, ""), (3, 1, "c", at(3), "sooner", None, None, [], " x → y "), (4, None, "a", at(7), "four", None, None, None, None),
+            (5, 3, "b", at(8), "", "deleted", "a.js::f", None, None), (6, None, "", at(1), None, None, None, None, None), (7, 99, "a", at(1), "orphan", None, None, None, None), (8, 8, "a", at(1), "loop", None, None, None, None)]
+    rows = spark.createDataFrame(rows, schema)
+    writers.write_evolution_markdown(rows, str(tmp_path / "md"))
+    lines = [r["value"] for r in spark.read.text(str(tmp_path / "md")).collect()]
+    assert lines == ["# Project Evolution", "", "- **a**", "  - four", "", "- **b**", "  - one `t` `u`", "    - sooner", "      - x → y", "      - Removed f", "    - later", "", "- **Unclassified**", "  - unknown"]
+
+
+def test_reading_order_of_a_deep_chain_and_a_wide_row(spark):
+    deep = spark.range(500).select("id", F.when(F.col("id") > 0, F.col("id") - 1).alias("up"))
+    wide = spark.range(500, 2000).select("id", F.when(F.col("id") > 500, F.lit(500)).alias("up"))
+    rows = deep.unionByName(wide).withColumn("ts", -F.col("id"))
+    got = {r["id"]: r for r in trees.preorder(rows, ["ts"]).collect()}
+    assert [got[i]["place"] for i in (500, 1999, 1998, 501, 0, 1, 499)] == [0, 1, 2, 1499, 1500, 1501, 1999]
+    assert (got[499]["depth"], got[499]["root"], got[0]["size"], got[500]["size"], got[900]["size"]) == (499, 0, 500, 1500, 1)
+    assert trees.preorder(rows.limit(0), ["ts"]).count() == 0
 
 
 def test_steps_are_added_and_revised(spark):
