@@ -104,3 +104,25 @@ def evolution_lines(rows: DataFrame) -> DataFrame:
     )
     heads = features.select(F.explode(F.filter(around, lambda x: x["line"].isNotNull())).alias("x")).select("x.*")
     return heads.unionByName(lines)
+
+
+def covers_blocks(steps: DataFrame, rules: DataFrame, facts: DataFrame) -> DataFrame:
+    """id, place, title, names, rules, evidence: a block for each step that a summary covers, with what belongs to it.
+
+    ``steps`` has id (the summary's), place, title and identities; ``rules`` id, seq, target and line; ``facts`` identity and evidence (its
+    lines). A rule belongs to the covered steps of its summary that hold its target; rules stay in their order, names and evidence
+    in that of the identities. A step without identities has a block with nothing in it.
+    """
+    from ..functions.describe import declaration_name
+    from .skew import hot_join
+
+    own = F.coalesce("identities", F.array().cast("array<string>"))
+    each = steps.select("id", "place", "title", F.posexplode_outer(own).alias("pos", "identity"))
+    known = hot_join(each, facts.select("identity", "evidence"), "identity", "left")
+    lines = F.sort_array(F.collect_list(F.struct("pos", F.coalesce("identity", F.lit("")).alias("identity"), F.coalesce("evidence", F.array().cast("array<string>")).alias("evidence"))))
+    blocks = known.groupBy("id", "place", "title").agg(F.filter(lines, lambda x: x["pos"].isNotNull()).alias("x"))
+    held = each.where("identity is not null").select("id", "place", F.col("identity").alias("target")).distinct().join(rules, ["id", "target"])
+    told = held.groupBy("id", "place").agg(F.transform(F.sort_array(F.collect_list(F.struct("seq", "line"))), lambda r: r["line"]).alias("rules"))
+    names = F.transform("x", lambda x: declaration_name(x["identity"]))
+    out = blocks.join(told, ["id", "place"], "left")
+    return out.select("id", "place", "title", names.alias("names"), F.coalesce("rules", F.array().cast("array<string>")).alias("rules"), F.flatten(F.transform("x", lambda x: x["evidence"])).alias("evidence"))
