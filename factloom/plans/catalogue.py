@@ -9,6 +9,7 @@ from ..functions import text as T
 from ..operators import diff, events, graph, impact, rules, views
 from . import authoring as _authoring  # noqa: F401  likewise
 from . import describe as _describe  # noqa: F401  likewise
+from . import drafts as _drafts  # noqa: F401  likewise
 from . import history as _history  # noqa: F401  fills the registry
 from . import planning as _planning  # noqa: F401  likewise
 from . import sources as _sources  # noqa: F401  likewise
