@@ -1,4 +1,5 @@
 import datetime as dt
+import hashlib
 import random
 
 import duckdb
@@ -107,3 +108,21 @@ def test_as_of_verdicts(spark):
     assert all({x[c] for x in out.select(c).collect()} == {"clash"} for c in clashing[1:])
     assert {x["verdict"] for x in urls.filter_captures(table, listed.limit(0)).collect()} == {"none"}
     assert urls.filter_captures(table.limit(0), listed).count() == 0
+
+
+def test_conversations_against_a_plain_loop(spark, monkeypatch):
+    """Pieces of three: threads in order of their first message, then turns, then texts' digests; rows without a conversation left out."""
+    monkeypatch.setattr(quotes, "PIECE", 3)
+    said = [f"message number {k} says something of its own" for k in range(9)]
+    rows = [("c", k, "user", said[k]) for k in range(5)] + [("c", 5, "bot", f"> {said[1]}\nyes"), ("c", 6, "bot", f"> {said[0]}\nno"), ("c", 7, None, "> yes\nand more"), ("c", 6, "bot", f"> {said[0]}\nno")]
+    rows += [("d", 0, "user", None), ("d", 1, "user", ""), (None, 0, "user", said[8])]
+    linked = quotes.link_quotes(spark.createDataFrame(rows, "conv_id string, turn long, role string, text string")).cache()
+    got = {(r["conv_id"], r["piece"]): [tuple(m) for m in r["messages"]] for r in quotes.conversations(linked).collect()}
+    want = {}
+    by_digest = lambda r: (r["thread_root"], r["turn"], hashlib.md5((r["text"] or "").encode()).hexdigest())
+    for conv in ("c", "d"):
+        ordered = sorted((r for r in linked.collect() if r["conv_id"] == conv), key=by_digest)
+        for at, r in enumerate(ordered):
+            want.setdefault((conv, at // 3), []).append((r["role"], r["text"], r["reply_to"]))
+    assert got == want and len(got["c", 0]) == 3 and sum(map(len, got.values())) == 11
+    assert {r["turn"]: r["reply_to"] for r in linked.where("conv_id = 'c' and turn > 4").collect()} == {5: 1, 6: 0, 7: 5}
