@@ -22,9 +22,9 @@ STRUCTURE_FIELDS = ("mustNotImport", "mustImport")
 class Value:
     """A JSON value that may be missing."""
 
-    def __init__(self, column: Column):
+    def __init__(self, column: Column, kind: Column | None = None):
         self.column = column
-        self.kind = F.schema_of_variant(column)
+        self.kind = F.schema_of_variant(column) if kind is None else kind
 
     def get(self, name: str) -> Value:
         return Value(F.when(self.is_object, F.try_variant_get(self.column, f"$['{name}']", "variant")))
@@ -74,6 +74,24 @@ class Value:
         return F.coalesce(self.text.isin(*allowed), F.lit(False))
 
 
+def _once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once a row, however often the body reads it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _held(values: dict[str, Value], body: Callable[[dict[str, Value]], Column]) -> Column:
+    """``body`` of the values, each of which is computed once with its kind; what is read from a value would compute it again."""
+    given = F.struct(*[v.column.alias(f"v{i}") for i, v in enumerate(values.values())])
+    with_kinds = lambda x: F.struct(*[c for i in range(len(values)) for c in (x[f"v{i}"].alias(f"v{i}"), F.schema_of_variant(x[f"v{i}"]).alias(f"k{i}"))])
+    of = lambda y: body({name: Value(y[f"v{i}"], y[f"k{i}"]) for i, name in enumerate(values)})
+    return _once(given, lambda x: _once(with_kinds(x), of))
+
+
+def _fields(value: Value, names: list[str], body: Callable[[Callable[[str], Value]], Column]) -> Column:
+    """``body(g)`` with ``g(name)`` for the members of an object."""
+    return _held({n: value.get(n) for n in names}, lambda held: body(held.__getitem__))
+
+
 def _said(prefix: Column, what: str) -> Column:
     return F.concat(prefix, F.lit(what))
 
@@ -98,6 +116,11 @@ def _object_or(value: Value, where: Column, body: Column) -> Column:
     return F.when(value.is_object, body).otherwise(F.array(_said(where, " must be an object")))
 
 
+def _object_with(value: Value, where: Column, names: list[str], body: Callable[[Callable[[str], Value]], Column]) -> Column:
+    """The problems that ``body(g)`` finds in an object's members ``g(name)``, or that it is none."""
+    return _held({"": value}, lambda held: _object_or(held[""], where, _fields(held[""], names, body)))
+
+
 def _each(value: Value, check: Callable[[Value, Column], Column], where: Column) -> Column:
     """The problems of an array's members in their order."""
     return F.flatten(F.transform(value.items, lambda x, i: check(Value(x), F.concat(where, F.lit("["), i.cast("string"), F.lit("]")))))
@@ -105,83 +128,100 @@ def _each(value: Value, check: Callable[[Value, Column], Column], where: Column)
 
 def identities_of(node: Value) -> Column:
     """A node's declarations: its list if it has any, else its one identity."""
-    many = F.filter(F.transform(node.get("identities").items, lambda x: Value(x).text), lambda x: x.isNotNull())
-    return F.when(F.size(many) > 0, many).otherwise(F.array_compact(F.array(F.nullif(node.get("identity").text, F.lit("")))))
+    return _own_identities(node.get("identities"), node.get("identity"))
+
+
+def _own_identities(listed: Value, one: Value) -> Column:
+    many = F.filter(F.transform(listed.items, lambda x: Value(x).text), lambda x: x.isNotNull())
+    return _once(many, lambda m: F.when(F.size(m) > 0, m).otherwise(F.array_compact(F.array(F.nullif(one.text, F.lit(""))))))
 
 
 def lens_problems(lens: Value, where: Column) -> Column:
-    body = _all(
-        _text(lens.get("id"), _said(where, ".id")), _text(lens.get("label"), _said(where, ".label")),
-        _optional(lens.get("source"), lambda x: x.among(LENS_SOURCES), where, ".source must be derived or human_added"),
-        *[_optional(lens.get(k), lambda x: x.is_string, where, f".{k} must be a string") for k in ("derivedFrom", "color")],
+    body = lambda g: _all(
+        _text(g("id"), _said(where, ".id")), _text(g("label"), _said(where, ".label")),
+        _optional(g("source"), lambda x: x.among(LENS_SOURCES), where, ".source must be derived or human_added"),
+        *[_optional(g(k), lambda x: x.is_string, where, f".{k} must be a string") for k in ("derivedFrom", "color")],
     )
-    return _object_or(lens, where, body)
+    return _object_with(lens, where, ["id", "label", "source", "derivedFrom", "color"], body)
 
 
 def feature_problems(feature: Value, where: Column) -> Column:
-    body = _all(
-        _text(feature.get("id"), _said(where, ".id")), _text(feature.get("name"), _said(where, ".name")),
-        _optional(feature.get("status"), lambda x: x.among(STATUSES), where, ".status is invalid"),
-        _optional(feature.get("source"), lambda x: x.among(LENS_SOURCES), where, ".source must be derived or human_added"),
-        *[_optional(feature.get(k), lambda x: x.is_string, where, f".{k} must be a string") for k in ("derivedFrom", "color")],
+    body = lambda g: _all(
+        _text(g("id"), _said(where, ".id")), _text(g("name"), _said(where, ".name")),
+        _optional(g("status"), lambda x: x.among(STATUSES), where, ".status is invalid"),
+        _optional(g("source"), lambda x: x.among(LENS_SOURCES), where, ".source must be derived or human_added"),
+        *[_optional(g(k), lambda x: x.is_string, where, f".{k} must be a string") for k in ("derivedFrom", "color")],
     )
-    return _object_or(feature, where, body)
+    return _object_with(feature, where, ["id", "name", "status", "source", "derivedFrom", "color"], body)
 
 
 def _clause_problems(clause: Value, where: Column) -> Column:
-    op = clause.get("op")
-    body = _all(
-        _one(~op.among(ASSERT_OPERATORS), _said(where, ".op is not supported")),
-        _one(~clause.get("value").given & ~F.coalesce(op.text == "unchanged", F.lit(False)), _said(where, ".value is required")),
+    body = lambda g: _all(
+        _one(~g("op").among(ASSERT_OPERATORS), _said(where, ".op is not supported")),
+        _one(~g("value").given & ~F.coalesce(g("op").text == "unchanged", F.lit(False)), _said(where, ".value is required")),
     )
-    return _object_or(clause, where, body)
+    return _object_with(clause, where, ["op", "value"], body)
 
 
 def rule_problems(rule: Value, where: Column) -> Column:
-    asserted = rule.get("assert")
-    structure = F.coalesce(rule.get("kind").text == "structure", F.lit(False))
-
-    def of(field: Column) -> Column:
-        clause, at = asserted.member(field), F.concat(where, F.lit(".assert."), field)
-        on_structure = _all(
-            _one(~field.isin(*STRUCTURE_FIELDS), _said(at, " is not a supported structure assertion")),
-            _one(~clause.is_string & ~clause.is_array, _said(at, " must be a string or array")),
+    def body(g: Callable[[str], Value]) -> Column:
+        asserted = g("assert")
+        structure = F.coalesce(g("kind").text == "structure", F.lit(False))
+
+        def of(field: Column) -> Column:
+            clause, at = asserted.member(field), F.concat(where, F.lit(".assert."), field)
+            on_structure = lambda held: _all(
+                _one(~field.isin(*STRUCTURE_FIELDS), _said(at, " is not a supported structure assertion")),
+                _one(~held["clause"].is_string & ~held["clause"].is_array, _said(at, " must be a string or array")),
+            )
+            on_facts = F.when(field.isin(*FACT_FIELDS), _clause_problems(clause, at)).otherwise(F.array(_said(at, " is not a supported fact field")))
+            return F.when(structure, _held({"clause": clause}, on_structure)).otherwise(on_facts)
+
+        return _all(
+            _one(~g("kind").among(RULE_KINDS), _said(where, ".kind must be behaviour or structure")),
+            _text(g("target"), _said(where, ".target")),
+            F.when(~asserted.given, F.array().cast("array<string>")).otherwise(_object_or(asserted, _said(where, ".assert"), F.flatten(F.transform(asserted.entries, of)))),
         )
-        on_facts = F.when(field.isin(*FACT_FIELDS), _clause_problems(clause, at)).otherwise(F.array(_said(at, " is not a supported fact field")))
-        return F.when(structure, on_structure).otherwise(on_facts)
 
-    body = _all(
-        _one(~rule.get("kind").among(RULE_KINDS), _said(where, ".kind must be behaviour or structure")),
-        _text(rule.get("target"), _said(where, ".target")),
-        F.when(~asserted.given, F.array().cast("array<string>")).otherwise(_object_or(asserted, _said(where, ".assert"), F.flatten(F.transform(asserted.entries, of)))),
-    )
-    return _object_or(rule, where, body)
+    return _object_with(rule, where, ["kind", "target", "assert"], body)
+
+
+_NODE_FIELDS = (
+    "id title intent version supersedes feature identity identities merge summaryOf dimensions role step path lensTags edgesOut rules status origin approvedBy approvedAt approvedFacts"
+    " approvedFactsByIdentity annotation createdAt"
+).split()
 
 
 def node_problems(node: Value, where: Column) -> Column:
-    g = node.get
-    held = identities_of(node)
+    return _object_with(node, where, _NODE_FIELDS, lambda g: _once(_own_identities(g("identities"), g("identity")), lambda held: _node_problems(g, held, where)))
+
+
+def _node_problems(g: Callable[[str], Value], held: Column, where: Column) -> Column:
     strings = lambda name: _optional(g(name), lambda x: x.is_strings, where, f".{name} must be an array of strings")
     string = lambda name: _optional(g(name), lambda x: x.is_string, where, f".{name} must be a string")
     strange = lambda found, at, what: F.transform(F.filter(found, lambda x: ~F.array_contains(held, x)), lambda x: F.concat(at, F.lit(what), x, F.lit(", which the node does not stand for")))
     first = F.get(F.transform(g("identities").items, lambda x: Value(x).text), F.lit(0))
 
     def covered(entry: Value, at: Column) -> Column:
-        named = entry.get("identities")
-        own = F.transform(named.items, lambda x: Value(x).text)
-        which = F.when(named.is_strings, strange(own, at, ".identities includes ")).otherwise(F.array(_said(at, ".identities must be an array of strings")))
-        return _object_or(entry, at, _all(which, _text(entry.get("title"), _said(at, ".title"))))
+        def body(of: Callable[[str], Value]) -> Column:
+            named = of("identities")
+            own = F.transform(named.items, lambda x: Value(x).text)
+            which = F.when(named.is_strings, strange(own, at, ".identities includes ")).otherwise(F.array(_said(at, ".identities must be an array of strings")))
+            return _all(which, _text(of("title"), _said(at, ".title")))
+
+        return _object_with(entry, at, ["identities", "title"], body)
+
+    by_identity = g("approvedFactsByIdentity")
 
     def snapshots(field: Column) -> Column:
         at = _said(where, ".approvedFactsByIdentity")
-        return _all(strange(F.array(field), at, " has "), _one(~g("approvedFactsByIdentity").member(field).is_object, F.concat(at, F.lit("."), field, F.lit(" must be an object"))))
+        return _all(strange(F.array(field), at, " has "), _one(~by_identity.member(field).is_object, F.concat(at, F.lit("."), field, F.lit(" must be an object"))))
 
     def listed(name: str, check: Callable[[Value, Column], Column]) -> Column:
         some = F.when(g(name).is_array, _each(g(name), check, _said(where, f".{name}"))).otherwise(F.array(_said(where, f".{name} must be an array")))
         return F.when(g(name).given, some).otherwise(F.array().cast("array<string>"))
 
-    by_identity = g("approvedFactsByIdentity")
-    body = _all(
+    return _all(
         *[_text(g(k), _said(where, f".{k}")) for k in ("id", "title", "intent")],
         _optional(g("version"), lambda x: x.is_positive_whole, where, ".version must be a positive integer"),
         *map(string, ("supersedes", "feature", "identity")),
@@ -202,12 +242,14 @@ def node_problems(node: Value, where: Column) -> Column:
         F.when(~by_identity.given, F.array().cast("array<string>")).otherwise(_object_or(by_identity, _said(where, ".approvedFactsByIdentity"), F.flatten(F.transform(by_identity.entries, snapshots)))),
         *map(string, ("annotation", "createdAt")),
     )
-    return _object_or(node, where, body)
 
 
 def plan_problems(document: Column) -> Column:
     """The ordered problems of a whole plan document (JSON text); an empty list if it is valid."""
-    plan = Value(F.try_parse_json(document))
+    return _held({"": Value(F.try_parse_json(document))}, lambda held: _plan_problems(held[""]))
+
+
+def _plan_problems(plan: Value) -> Column:
     version = F.try_variant_get(plan.column, "$.version", "double")
     lists = {"lenses": lens_problems, "features": feature_problems, "nodes": node_problems}
     body = _all(

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import authoring as A
 from ..operators import events, reports, rules, validation, views
+from ..operators.skew import spread
 from ..sources import readers
 from . import relations as R
 from .registry import query
@@ -115,7 +116,8 @@ def validate_plan_rows(spark, sf):
         F.when(k % 19 == 0, F.array(first)).otherwise(F.array(first, F.lit("x"))).alias("identities"),
         F.when(k % 19 == 0, "family").alias("merge"), (size % 5).alias("step"), F.array(rule).alias("rules"), F.when(k % 23 == 0, "done").otherwise("intended").alias("status"),
     )
-    rows = R.table(spark, sf, "part").select(k.alias("id"), F.to_json(node).alias("document"))
+    parts = spread(R.table(spark, sf, "part").select("p_partkey", "p_name", "p_size"), "p_partkey")
+    rows = parts.select(k.alias("id"), F.to_json(node).alias("document"))
     return validation.node_row_problems(rows, "document", "id")
 
 
