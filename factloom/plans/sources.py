@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import extract
 from ..functions import imports as records
 from ..operators import graph, imports
+from ..operators.skew import spread
 from . import relations as R
 from .registry import query
 
@@ -38,8 +39,8 @@ _PY_LINES = (
 
 
 def source_texts(spark, sf) -> DataFrame:
-    """path, content."""
-    part = R.table(spark, sf, "part").select(F.col("p_partkey").alias("k"), F.expr("p_partkey div 2").alias("t"), F.expr("p_partkey div 6 * 6 + 1").alias("u"))
+    """path, content, in as many tasks as can parse them at a time."""
+    part = spread(R.table(spark, sf, "part").select("p_partkey"), "p_partkey").select(F.col("p_partkey").alias("k"), F.expr("p_partkey div 2").alias("t"), F.expr("p_partkey div 6 * 6 + 1").alias("u"))
     lines = [x.replace("{place}", _PLACE.replace("{k}", "t")) for x in _LINES]
     scripts = part.select(F.expr(_PATH.replace("{k}", "k")).alias("path"), F.concat_ws("\n", *map(F.expr, lines)).alias("content"))
     even = part.where("k % 2 = 0 and k > 0").withColumn("t", F.expr("k div 4 * 2"))
@@ -54,7 +55,11 @@ def _declarations(texts: DataFrame) -> DataFrame:
 
 def _resolved(spark, sf) -> DataFrame:
     texts = source_texts(spark, sf)
-    found = graph.reliable(_declarations(texts))
+    return _imported(texts, graph.reliable(_declarations(texts)))
+
+
+def _imported(texts: DataFrame, found: DataFrame) -> DataFrame:
+    """Resolved imports of texts whose declarations are ``found``."""
     failed = found.where("failed").select(F.col("file").alias("path"), F.lit(True).alias("failed"))
     files = texts.select("path").join(failed, "path", "left").fillna(False, ["failed"])
     return imports.resolve_imports(graph.reliable(records.extract_imports(texts)), files, found.where("not failed").select("identity", "file", "name"))
@@ -100,9 +105,13 @@ def imports_resolved(spark, sf):
 def _graph(spark, sf):
     """Scripts and modules now, and before every fiftieth script broke."""
     texts = source_texts(spark, sf)
-    now = graph.reliable(_declarations(texts).where("not failed").withColumn("seq", F.col("start")))
-    then = _declarations(texts.select("path", F.regexp_replace("content", r"^function \(", "").alias("content"))).withColumn("seq", F.col("start"))
-    return graph.impact_graph(_resolved(spark, sf), now, then)
+    found = graph.reliable(_declarations(texts))
+    now = found.where("not failed").withColumn("seq", F.col("start"))
+    # Of files that are the same then and now the declarations are, too; only the others are parsed again.
+    was = texts.withColumn("then", F.regexp_replace("content", r"^function \(", "")).where("then <> content")
+    then = graph.reliable(_declarations(was.select("path", F.col("then").alias("content"))))
+    same = found.join(was.select(F.col("path").alias("file")), "file", "left_anti").select(then.columns)
+    return graph.impact_graph(_imported(texts, found), now, same.unionByName(then).withColumn("seq", F.col("start")))
 
 
 _RUNS_SQL = _SOURCES_SQL + f""", every AS (SELECT k, t, {_sql("k")} AS me, {_sql("t")} AS tp FROM s),
@@ -155,7 +164,9 @@ def find_callers(spark, sf):
     UNION ALL SELECT me || '::hook' || k || ':function', 'init', 'call', 'unresolved' FROM every WHERE k % 4 = 2 AND k % 50 <> 49)
   SELECT kind, confidence, count(*) AS n, count(DISTINCT "from") AS sources FROM edges GROUP BY kind, confidence""")
 def join_dependencies(spark, sf):
-    found = graph.reliable(_declarations(source_texts(spark, sf)).where("not failed"))
+    texts = source_texts(spark, sf)
+    every = graph.reliable(_declarations(texts))
+    found = every.where("not failed")
     calls = graph.caller_index(found.select(F.col("identity").alias("caller"), "calls"))
-    edges = graph.join_dependencies(_resolved(spark, sf), graph.resolve_names(calls, found))
+    edges = graph.join_dependencies(_imported(texts, every), graph.resolve_names(calls, found))
     return edges.groupBy("kind", "confidence").agg(F.count("*").alias("n"), F.count_distinct("from").alias("sources"))

@@ -7,7 +7,7 @@ import duckdb
 from pyspark.sql import functions as F
 
 from factloom.operators import skew, summarise, validation
-from factloom.plans import catalogue
+from factloom.plans import catalogue, sources
 
 
 def test_a_node_is_parsed_once_however_many_fields_are_checked(spark):
@@ -80,3 +80,9 @@ def test_a_feature_of_many_steps_is_folded_in_proportion_to_them():
     start = time.monotonic()
     groups = summarise.Folding(steps, {f"x{i}": {f"x{i // 3}"} for i in range(20_000)}, 1, 12).groups
     assert time.monotonic() - start < 60 and sum(g.size for g in groups) == 20_000 and max(g.size for g in groups) <= 12
+
+
+def test_texts_of_a_table_in_one_file_are_parsed_by_many_tasks(spark, tmp_path):
+    spark.range(200).withColumnRenamed("id", "p_partkey").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    texts = sources.source_texts(spark, str(tmp_path)).where("path like 'src/%'")
+    assert texts.select(F.spark_partition_id()).distinct().count() > 8
