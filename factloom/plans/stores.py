@@ -56,6 +56,10 @@ def file_changes_replay(spark, sf):
     return events.file_changes(feed, base, 600).select("file", "seq", "identity", "type")
 
 
+#: Events that the live feed hands over at a time.
+_PIECE = 1_000_000
+
+
 @query(WATCHED_SQL + """, t AS (SELECT max(ts) AS now FROM e), ends AS (SELECT project, session, max(ts) AS last FROM fold WHERE control IS NULL GROUP BY project, session)
   SELECT CAST(fold.project AS INTEGER) AS project, seq, CAST(number AS INTEGER) AS session, CASE WHEN sealed_by = 'open' THEN 'idle' ELSE sealed_by END AS sealed_by
   FROM fold JOIN k ON k.project = fold.project AND k.session = fold.session JOIN ends ON ends.project = fold.project AND ends.session = fold.session, t
@@ -63,10 +67,15 @@ def file_changes_replay(spark, sf):
 def live_sessions(spark, sf):
     """The sessions of ``watched_sessions`` as a stream tells them: those that have ended, idle ones by the watermark alone."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    # A pattern, as the table can be one file, which a stream does not take by name.
     table, out = R.table(spark, sf, "events"), store.scratch(spark, "live")
-    stream = watched_feed(spark.readStream.schema(table.schema).parquet(f"{sf}/events.parque[t]")).withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "0 seconds")
-    told = processors.watched_sessions(stream, "project", "user_id")
-    query = told.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start()
-    query.awaitTermination()
+    # The feed comes in pieces of time, each of which the watermark passes before the next, so no more than a piece waits in state.
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    pieces = -(-table.where("ts is not null").count() // _PIECE)
+    cuts = sorted(set(table.select(us.cast("double").alias("us")).approxQuantile("us", [i / pieces for i in range(1, pieces)], 0.1 / pieces))) if pieces > 1 else []
+    for low, high in zip([None, *cuts], [*cuts, None], strict=True):
+        piece = table if low is None else table.where(us > int(low))
+        (piece if high is None else piece.where(us <= int(high))).write.mode("append").parquet(f"{out}/feed")
+        stream = watched_feed(spark.readStream.schema(table.schema).parquet(f"{out}/feed")).withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "0 seconds")
+        told = processors.watched_sessions(stream, "project", "user_id")
+        told.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema("project int, seq long, session int, sealed_by string").parquet(f"{out}/rows")

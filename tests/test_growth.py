@@ -7,7 +7,7 @@ import duckdb
 from pyspark.sql import functions as F
 
 from factloom.operators import skew, summarise, validation
-from factloom.plans import catalogue, sources
+from factloom.plans import catalogue, sources, stores
 
 
 def test_a_node_is_parsed_once_however_many_fields_are_checked(spark):
@@ -86,3 +86,12 @@ def test_texts_of_a_table_in_one_file_are_parsed_by_many_tasks(spark, tmp_path):
     spark.range(200).withColumnRenamed("id", "p_partkey").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
     texts = sources.source_texts(spark, str(tmp_path)).where("path like 'src/%'")
     assert texts.select(F.spark_partition_id()).distinct().count() > 8
+
+
+def test_a_live_feed_in_pieces_tells_the_same_sessions(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(stores, "_PIECE", 400)
+    folder = "/root/testdata/sf0.001"
+    got = sorted(tuple(r) for r in catalogue.queries()["live_sessions"](spark, folder).collect())
+    told = duckdb.connect()
+    told.sql(f"CREATE VIEW events AS SELECT * FROM '{folder}/events.parquet'")
+    assert got == sorted(told.execute(catalogue.oracle_sql()["live_sessions"]).fetchall()) and got
