@@ -1,12 +1,13 @@
 """What keeps queries in proportion to their input: work in many tasks, each value computed once, no step over a hot key."""
 
 import random
+import re
 import time
 
 import duckdb
 from pyspark.sql import functions as F
 
-from factloom.operators import skew, summarise, validation
+from factloom.operators import graph, skew, summarise, validation
 from factloom.plans import catalogue, sources, stores
 
 
@@ -95,3 +96,11 @@ def test_a_live_feed_in_pieces_tells_the_same_sessions(spark, tmp_path, monkeypa
     told = duckdb.connect()
     told.sql(f"CREATE VIEW events AS SELECT * FROM '{folder}/events.parquet'")
     assert got == sorted(told.execute(catalogue.oracle_sql()["live_sessions"]).fetchall()) and got
+
+
+def test_a_call_is_resolved_once_a_file_however_many_make_it(spark):
+    rows = [(f"f::d{i}", "f", f"d{i}", ["svc.only", "d0"]) for i in range(40)] + [("g::only", "g", "only", []), ("none", None, "alone", ["only"])]
+    found = graph.resolve_calls(spark.createDataFrame(rows, "identity string, file string, name string, calls array<string>"))
+    assert re.search(r"Aggregate \[here#\d+, call#\d+\]", found._jdf.queryExecution().optimizedPlan().toString())
+    want = {(f"f::d{i}", "g::only") for i in range(40)} | {(f"f::d{i}", "f::d0") for i in range(1, 40)} | {("none", "g::only")}
+    assert {tuple(r) for r in found.collect()} == want
