@@ -7,8 +7,8 @@ import time
 import duckdb
 from pyspark.sql import functions as F
 
-from factloom.operators import graph, skew, summarise, validation
-from factloom.plans import catalogue, sources, stores
+from factloom.operators import documents, drafts, graph, impact, planning, reports, skew, summarise, validation
+from factloom.plans import catalogue, relations, sources, stores
 
 
 def test_a_node_is_parsed_once_however_many_fields_are_checked(spark):
@@ -104,3 +104,22 @@ def test_a_call_is_resolved_once_a_file_however_many_make_it(spark):
     assert re.search(r"Aggregate \[here#\d+, call#\d+\]", found._jdf.queryExecution().optimizedPlan().toString())
     want = {(f"f::d{i}", "g::only") for i in range(40)} | {(f"f::d{i}", "f::d0") for i in range(1, 40)} | {("none", "g::only")}
     assert {tuple(r) for r in found.collect()} == want
+
+
+def _plan(frame):
+    return frame._jdf.queryExecution().executedPlan().toString()
+
+
+def _grouped_after_dealing(plan, grouping):
+    """Whether the rows are dealt out by number before the first grouping; plans are told from their end."""
+    return 0 <= plan.find(grouping) < plan.find("REPARTITION_BY_NUM")
+
+
+def test_evidence_moves_once_an_identity_and_is_grouped_where_it_lands(spark):
+    steps = spark.createDataFrame([("s", 1, "one", ["a::f:function", None, "a::g:function", "a::f:function"]), ("s", 2, None, [])], "id string, place int, title string, identities array<string>")
+    rules = spark.createDataFrame([("s", 1, "a::f:function", "x"), ("s", 1, "a::f:function", "x")], "id string, seq int, target string, line string")
+    facts = spark.createDataFrame([("a::f:function", ["calls x"]), ("a::g:function", None)], "identity string, evidence array<string>")
+    blocks = reports.covers_blocks(steps, rules, facts)
+    assert _grouped_after_dealing(_plan(blocks), "partial_collect_list")
+    got = {r["place"]: (r["title"], r["names"], r["rules"], r["evidence"]) for r in blocks.collect()}
+    assert got == {1: ("one", ["f", "", "g", "f"], ["x", "x"], ["calls x", "calls x"]), 2: (None, [], [], [])}
