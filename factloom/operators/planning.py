@@ -81,12 +81,18 @@ def link_steps(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """from, to: the steps that a step's calls lead to, other than itself.
 
     ``nodes`` has id, identities and ``seq``, the plan's order. A call comes from every node that has its caller; it leads to
-    the last node of the plan that has what is called.
+    the last node of the plan that has what is called. Called nodes come first, as each caller's nodes make a row more; nothing
+    is gathered before the pairs are dealt out, as few of them repeat.
     """
+    from .skew import spread
+
     each = nodes.select("id", "seq", F.explode("identities").alias("identity"))
     owners = each.groupBy(F.col("identity").alias("to")).agg(F.max_by("id", "seq").alias("b"))
     callers = each.select(F.col("identity").alias("from"), F.col("id").alias("a"))
-    return edges.join(callers, "from").join(owners, "to").where("a <> b").select(F.col("a").alias("from"), F.col("b").alias("to")).distinct()
+    total = edges.count()
+    led = spread(edges.select("from", "to").join(owners, "to").select("from", "b"), "from", total=total)
+    pairs = led.join(callers, "from").where("a <> b").select(F.col("a").alias("from"), F.col("b").alias("to"))
+    return spread(pairs, "from", "to", total=3 * total).distinct()
 
 
 def first_by_source(sources: list[DataFrame], key: str) -> DataFrame:

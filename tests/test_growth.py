@@ -123,3 +123,17 @@ def test_evidence_moves_once_an_identity_and_is_grouped_where_it_lands(spark):
     assert _grouped_after_dealing(_plan(blocks), "partial_collect_list")
     got = {r["place"]: (r["title"], r["names"], r["rules"], r["evidence"]) for r in blocks.collect()}
     assert got == {1: ("one", ["f", "", "g", "f"], ["x", "x"], ["calls x", "calls x"]), 2: (None, [], [], [])}
+
+
+def test_pairs_of_steps_are_dealt_out_before_they_are_gathered(spark):
+    nodes = spark.createDataFrame([("p", ["x", "y"], 1), ("q", ["y"], 2)], "id string, identities array<string>, seq long")
+    edges = spark.createDataFrame([("x", "y"), ("y", "x"), ("x", "x")], "`from` string, `to` string")
+    linked = planning.link_steps(edges, nodes)
+    plan = _plan(linked)
+    assert _grouped_after_dealing(plan, "HashAggregate") and plan.count("REPARTITION_BY_NUM") == 2
+    assert sorted(map(tuple, linked.collect())) == [("p", "q"), ("q", "p")]
+
+
+def test_tasks_grow_with_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(skew, "TASK_ROWS", 10)
+    assert skew.spread(spark.range(5), "id", total=991).rdd.getNumPartitions() == 100
