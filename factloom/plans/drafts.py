@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import drafts as D
+from ..operators.skew import spread
 from . import relations as R
 from .registry import query
 
@@ -15,7 +16,7 @@ _CLAUSE = "struct<field:string,op:string,value_num:double,value_str:string>"
 
 def _drafted(spark, sf):
     """Three of four parts are steps, every fourth also for the part after it; some are wrong, some settled by hand."""
-    p = R.table(spark, sf, "part")
+    p = spread(R.table(spark, sf, "part"), "p_partkey")
     k = F.col("p_partkey")
     one = F.concat(F.lit("d"), k.cast("string"))
     clause = lambda field, op, num, text=None: F.struct(F.lit(field).alias("field"), F.lit(op).alias("op"), F.lit(num).cast("double").alias("value_num"), F.lit(text).cast("string").alias("value_str"))

@@ -137,3 +137,12 @@ def test_pairs_of_steps_are_dealt_out_before_they_are_gathered(spark):
 def test_tasks_grow_with_the_rows(spark, monkeypatch):
     monkeypatch.setattr(skew, "TASK_ROWS", 10)
     assert skew.spread(spark.range(5), "id", total=991).rdd.getNumPartitions() == 100
+
+
+def test_features_are_looked_up_without_the_rows_of_the_draft(spark, monkeypatch):
+    """The rules, titles and readings of a draft are no part of the joins by a feature's name, where few keys have all rows."""
+    seen = []
+    monkeypatch.setattr(drafts, "hot_join", lambda rows, *rest: seen.append(set(rows.columns)) or skew.hot_join(rows, *rest))
+    folder = "/root/testdata/sf0.001"
+    assert catalogue.queries()["draft_notes"](spark, folder).count() > 0
+    assert seen and not any(columns & {"rules", "readings", "title", "dimensions"} for columns in seen)
