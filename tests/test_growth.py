@@ -146,3 +146,14 @@ def test_features_are_looked_up_without_the_rows_of_the_draft(spark, monkeypatch
     folder = "/root/testdata/sf0.001"
     assert catalogue.queries()["draft_notes"](spark, folder).count() > 0
     assert seen and not any(columns & {"rules", "readings", "title", "dimensions"} for columns in seen)
+
+
+def test_first_callers_need_no_window_and_results_are_made_once(spark, monkeypatch):
+    plans = []
+    monkeypatch.setattr(impact, "reliable", lambda frame: plans.append((frame.columns, _plan(frame))) or graph.reliable(frame))
+    edges = spark.createDataFrame([("b", "a", "call", "certain"), ("a", "a", "call", "certain"), ("c", "b", "call", "certain")], "`from` string, `to` string, kind string, confidence string")
+    results = spark.range(3).selectExpr("element_at(array('a', 'b', 'z'), cast(id + 1 as int)) as identity", "'error' as status")
+    found = impact.impact_of_results(results, edges)
+    first = next(plan for columns, plan in plans if "place" in columns)
+    assert "Window" not in first and "Range" not in _plan(found)
+    assert {r["identity"]: [(e["identity"], e["depth"]) for e in r["impact"]] for r in found.collect()} == {"a": [("b", 1), ("c", 2)], "b": [("c", 1)], "z": []}
