@@ -157,3 +157,11 @@ def test_first_callers_need_no_window_and_results_are_made_once(spark, monkeypat
     first = next(plan for columns, plan in plans if "place" in columns)
     assert "Window" not in first and "Range" not in _plan(found)
     assert {r["identity"]: [(e["identity"], e["depth"]) for e in r["impact"]] for r in found.collect()} == {"a": [("b", 1), ("c", 2)], "b": [("c", 1)], "z": []}
+
+
+def test_a_report_is_one_pass_over_its_results(spark):
+    results = spark.range(4).selectExpr("id as seq", "'i' || id as identity", "if(id % 2 = 0, 'drifted', 'error') as status", "'w' as intent", "'me' as approved_by", "cast(null as timestamp) as approved_at", "array('v') as violations", "array('e') as errors", "if(id = 3, array('u'), null) as unsupported", "array_except(array(named_struct('identity', 'x', 'confidence', 'y')), array(named_struct('identity', 'x', 'confidence', 'y'))) as impact")
+    lines = documents.verify_report_lines(results, "p", "t", F.lit(None).cast("timestamp")).where("seq >= 0")
+    assert _plan(lines).split("Initial Plan")[0].count("Range (") == 1
+    got = [tuple(r) for r in lines.orderBy("section", "seq", "place").select("section", "seq", "line").where("section > 1").collect()]
+    assert got == [(2, 1, "### `i1`"), (2, 1, ""), (2, 1, "- e"), (2, 1, ""), (2, 3, "### `i3`"), (2, 3, ""), (2, 3, "- e"), (2, 3, ""), (3, 3, "- `i3`: u")]
