@@ -165,3 +165,7 @@ def test_a_report_is_one_pass_over_its_results(spark):
     assert _plan(lines).split("Initial Plan")[0].count("Range (") == 1
     got = [tuple(r) for r in lines.orderBy("section", "seq", "place").select("section", "seq", "line").where("section > 1").collect()]
     assert got == [(2, 1, "### `i1`"), (2, 1, ""), (2, 1, "- e"), (2, 1, ""), (2, 3, "### `i3`"), (2, 3, ""), (2, 3, "- e"), (2, 3, ""), (3, 3, "- `i3`: u")]
+
+
+def test_snapshots_are_made_in_many_tasks(spark):
+    assert all("REPARTITION_BY_NUM" in _plan(side) for side in relations.snapshots(spark, "/root/testdata/sf0.001"))
