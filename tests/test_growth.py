@@ -125,6 +125,18 @@ def test_evidence_moves_once_an_identity_and_is_grouped_where_it_lands(spark):
     assert got == {1: ("one", ["f", "", "g", "f"], ["x", "x"], ["calls x", "calls x"]), 2: (None, [], [], [])}
 
 
+def test_rules_meet_their_steps_without_a_join_and_what_meets_evidence_is_dealt_by_its_number(spark, monkeypatch):
+    monkeypatch.setattr(skew, "TASK_ROWS", 1)
+    steps = spark.createDataFrame([("s", 1, "one", ["x::f:function", "x::g:function"]), ("s", 2, "two", ["x::g:function"]), (None, 3, "three", ["x::f:function"])], "id string, place int, title string, identities array<string>")
+    rules = spark.createDataFrame([("s", 2, "x::g:function", "b"), ("s", 1, "x::g:function", "a"), (None, 1, "x::f:function", "c"), ("t", 1, "x::f:function", "d"), ("s", 1, None, "e")], "id string, seq int, target string, line string")
+    facts = spark.createDataFrame([("x::f:function", ["calls x"]), ("x::g:function", [])], "identity string, evidence array<string>")
+    blocks = reports.covers_blocks(steps, rules, facts)
+    plan = blocks._jdf.queryExecution().optimizedPlan().toString()
+    assert len(re.findall("^.*Join ", plan, re.M)) == 1 and _plan(blocks).count("REPARTITION_BY_NUM") == 2
+    got = {r["place"]: (r["names"], r["rules"], r["evidence"]) for r in blocks.collect()}
+    assert got == {1: (["f", "g"], ["a", "b"], ["calls x"]), 2: (["g"], ["a", "b"], []), 3: (["f"], [], ["calls x"])}
+
+
 def test_pairs_of_steps_are_dealt_out_before_they_are_gathered(spark):
     nodes = spark.createDataFrame([("p", ["x", "y"], 1), ("q", ["y"], 2)], "id string, identities array<string>, seq long")
     edges = spark.createDataFrame([("x", "y"), ("y", "x"), ("x", "x")], "`from` string, `to` string")
